@@ -215,16 +215,16 @@ def ood_only_tasks(train: DataFrame, test: DataFrame, task: str = "task_id") ->
 
 
 def merge_splits_long(wide: DataFrame, threshold: float = 0.0, score_map: str = "scores") -> DataFrame:
-    """Per-dataset question files -> one long table with a running index per target.
+    """Per-dataset question files -> one long table with a running index per part.
 
     ``wide``: (task, part, index, question, scores map). Test rows of tasks without training rows go to "ood".
     """
     only = ood_only_tasks(wide.where("part = 'train'"), wide.where("part = 'test'"), "task").withColumn("_ood", F.lit(True))
     t = wide.join(only, "task", "left").withColumn(
         "target", F.when(F.col("_ood") & (F.col("part") == "test"), "ood").otherwise(F.col("part")))
-    ranked = ordered_rank(t.select("target", "task", "index", "question"), ["target"], ["task", "index", "question"], "rn")
-    long = t.select("target", "task", "index", "question", F.explode(score_map).alias("model_name", "score"))
-    return ranked.join(long, ["target", "task", "index", "question"]).select(
+    ranked = ordered_rank(t.select("part", "task", "index", "question"), ["part"], ["task", "index", "question"], "rn")
+    long = t.select("target", "part", "task", "index", "question", F.explode(score_map).alias("model_name", "score"))
+    return ranked.join(long, ["part", "task", "index", "question"]).select(
         "target", (F.col("rn") - 1).alias("global_index"), "task", "question", "model_name", "score",
         (F.col("score") > threshold).cast("int").alias("is_correct"))
 
