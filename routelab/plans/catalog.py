@@ -32,7 +32,7 @@ def load() -> None:
         importlib.import_module(f"routelab.plans.queries_{g}")
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Round double columns so that results do not hang on the last bits of a float."""
     return df.select(*[F.round(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`")
                        for n, t in df.dtypes])

@@ -16,7 +16,7 @@ _GRID = """, g AS (SELECT q.dataset_id, q.prompt, q.record_index, m.model_name,
  LEFT JOIN latest l ON l.dataset_id = q.dataset_id AND l.prompt = q.prompt AND l.model_name = m.model_name)"""
 
 
-@query("complete_grid", "latest", _GRID + """ SELECT dataset_id, prompt, record_index, model_name, filled, score, round(cost, 6) AS cost, prompt_tokens, completion_tokens FROM g""")
+@query("complete_grid", "latest", _GRID + """ SELECT dataset_id, prompt, record_index, model_name, filled, score, round(cost, 9) AS cost, prompt_tokens, completion_tokens FROM g""")
 def _(spark, d):
     return rounded(G.complete_grid(V.latest(spark, d), models=V.MODELS))
 
@@ -69,14 +69,14 @@ def _(spark, d):
 
 
 @query("to_edges", "dense", split_cte("dense", 0.7) + """ SELECT dataset_id AS task_id, prompt AS query, record_index, model_name AS llm, score AS effect,
- round(cost, 6) AS cost_usd, round((cost - min(cost) OVER w) / (max(cost) OVER w - min(cost) OVER w), 6) AS cost, NOT is_train AS is_test,
+ round(cost, 9) AS cost_usd, round((cost - min(cost) OVER w) / (max(cost) OVER w - min(cost) OVER w), 9) AS cost, NOT is_train AS is_test,
  'questions in ' || dataset_id AS task_description, 'accuracy' AS metric FROM dense JOIN sp USING (dataset_id, prompt) WINDOW w AS (PARTITION BY dataset_id)""")
 def _(spark, d):
     return rounded(G.to_edges(V.dense(spark, d), descriptions(spark, d)))
 
 
-_PAIRS = """ SELECT a.dataset_id, a.prompt, q.record_index, a.model_name AS model_a, b.model_name AS model_b, a.score AS score_model_a, round(a.cost, 6) AS cost_model_a,
-  b.score AS score_model_b, round(b.cost, 6) AS cost_model_b, a.score = b.score AS is_tie,
+_PAIRS = """ SELECT a.dataset_id, a.prompt, q.record_index, a.model_name AS model_a, b.model_name AS model_b, a.score AS score_model_a, round(a.cost, 9) AS cost_model_a,
+  b.score AS score_model_b, round(b.cost, 9) AS cost_model_b, a.score = b.score AS is_tie,
   CASE WHEN a.score = b.score THEN 'tie' WHEN a.score > b.score THEN 'model_a' ELSE 'model_b' END AS winner
  FROM {v} a JOIN {v} b ON a.dataset_id = b.dataset_id AND a.prompt = b.prompt
  JOIN (SELECT dataset_id, prompt, min(record_index) AS record_index FROM {v} GROUP BY ALL) q ON q.dataset_id = a.dataset_id AND q.prompt = a.prompt
@@ -129,7 +129,7 @@ def _with_text(spark, d):
 @query("to_candidates", "latest", """, q AS (SELECT DISTINCT dataset_id, prompt, record_index FROM latest)
 SELECT q.dataset_id || '/' || CAST(q.record_index AS VARCHAR) AS id, q.prompt AS input, 'truth ' || CAST(q.record_index AS VARCHAR) AS output,
  'm2' AS model_1, CASE WHEN a.score IS NULL THEN '' ELSE 'answer of m2' END AS text_1, coalesce(a.score, 0.0) AS score_1, coalesce(a.prompt_tokens, 0) AS tokens_1,
- 'm7' AS model_2, coalesce(b.score, 0.0) AS score_2, round(coalesce(b.cost, 0.0), 6) AS cost_2
+ 'm7' AS model_2, coalesce(b.score, 0.0) AS score_2, round(coalesce(b.cost, 0.0), 9) AS cost_2
 FROM q LEFT JOIN latest a ON a.dataset_id = q.dataset_id AND a.record_index = q.record_index AND a.model_name = 'm2'
  LEFT JOIN latest b ON b.dataset_id = q.dataset_id AND b.record_index = q.record_index AND b.model_name = 'm7'""")
 def _(spark, d):
@@ -151,7 +151,7 @@ def _(spark, d):
 
 
 @query("format_window", "dense", """SELECT record_index AS id, model_name AS model, repeat(CAST(score AS VARCHAR) || ',', 9) || CAST(score AS VARCHAR) AS scores,
- round(10 * (CASE WHEN model_name = 'm1' THEN 2.0 ELSE 1.0 END * prompt_tokens + CASE WHEN model_name = 'm1' THEN 4.0 ELSE 3.0 END * completion_tokens), 6) AS cost FROM dense""")
+ CAST(10 * (CASE WHEN model_name = 'm1' THEN 2 ELSE 1 END * prompt_tokens + CASE WHEN model_name = 'm1' THEN 4 ELSE 3 END * completion_tokens) AS DOUBLE) AS cost FROM dense""")
 def _(spark, d):
     c = V.dense(spark, d).select(F.col("record_index").alias("id"), F.col("model_name").alias("model"),
                                  F.lit(None).cast("array<double>").alias("scores"), "score", F.col("prompt_tokens").alias("token_num_prompt"),

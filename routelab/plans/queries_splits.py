@@ -75,16 +75,16 @@ def _steps(spark, d):
     return P.slopes(pts, "x", ["accuracy", "cost"], ["series"], positive=["cost"])
 
 
-@query("slopes", "recs", _POINTS + """ SELECT series, metric, x, round(slope, 6) AS slope FROM s""")
+@query("slopes", "recs", _POINTS + """ SELECT series, metric, x, round(slope, 10) AS slope FROM s""")
 def _(spark, d):
-    return rounded(_steps(spark, d))
+    return rounded(_steps(spark, d), 10)
 
 
 @query("slope_summary", "recs", _POINTS + """ SELECT series, metric, count(*) AS n, round(avg(slope), 6) AS mean_slope, round(stddev_pop(slope), 6) AS std_slope,
  round(max(slope), 6) AS max_slope, round(min(slope), 6) AS min_slope,
  CASE WHEN avg(slope) > 0 THEN 'increasing' WHEN avg(slope) < 0 THEN 'decreasing' ELSE 'flat' END AS direction FROM s GROUP BY ALL""")
 def _(spark, d):
-    return rounded(P.slope_summary(_steps(spark, d), ["series"]))
+    return rounded(P.slope_summary(_steps(spark, d), ["series"]), 6)
 
 
 @query("stable_points", "recs", _POINTS + """, d AS (SELECT series, metric, stddev_pop(slope) AS sd FROM s GROUP BY ALL)
@@ -115,7 +115,7 @@ def _(spark, d):
 
 
 @query("normalize_cost_by_task", "dense", _EDGES + """ SELECT task_id, record_index, llm, round(CASE WHEN max(cost) OVER w > min(cost) OVER w
- THEN (cost - min(cost) OVER w) / (max(cost) OVER w - min(cost) OVER w) ELSE 0 END, 6) AS cost_norm FROM edges WINDOW w AS (PARTITION BY task_id)""")
+ THEN (cost - min(cost) OVER w) / (max(cost) OVER w - min(cost) OVER w) ELSE 0 END, 9) AS cost_norm FROM edges WINDOW w AS (PARTITION BY task_id)""")
 def _(spark, d):
     return rounded(P.normalize_cost_by_task(edges(spark, d)).select("task_id", "record_index", "llm", "cost_norm"))
 
@@ -128,13 +128,13 @@ def _(spark, d):
 
 @query("cost_percentile", "dense", """, a AS (SELECT label % 8 AS cluster_id, model_name, CAST(round(cost * 1e9) AS BIGINT) AS c FROM dense),
  m AS (SELECT cluster_id, model_name, avg(c) AS mean_c FROM a GROUP BY ALL)
-SELECT m.cluster_id, m.model_name, round(100.0 * count(*) FILTER (a.c < mean_c) / count(*), 6) AS cost_percentile FROM m JOIN a USING (cluster_id) GROUP BY ALL""")
+SELECT m.cluster_id, m.model_name, round(100.0 * count(*) FILTER (a.c < mean_c) / count(*), 9) AS cost_percentile FROM m JOIN a USING (cluster_id) GROUP BY ALL""")
 def _(spark, d):
     return rounded(P.cost_percentile(V.dense(spark, d).withColumn("cluster_id", F.col("label") % 8)))
 
 
 @query("rank_models_in_cluster", "dense", """, s AS (SELECT label % 8 AS cluster_id, model_name, avg(score) AS mean_score, count(*) AS n FROM dense GROUP BY ALL)
-SELECT cluster_id, model_name, round(mean_score, 6) AS mean_score, n, row_number() OVER (PARTITION BY cluster_id ORDER BY mean_score DESC, model_name) AS rank FROM s""")
+SELECT cluster_id, model_name, round(mean_score, 9) AS mean_score, n, row_number() OVER (PARTITION BY cluster_id ORDER BY mean_score DESC, model_name) AS rank FROM s""")
 def _(spark, d):
     return rounded(P.rank_models_in_cluster(V.dense(spark, d).withColumn("cluster_id", F.col("label") % 8), V.MODELS).drop("mean_cost"))
 
@@ -153,8 +153,8 @@ def _(spark, d):
     return t.select("dataset_id", "record_index", "model_name", "rank")
 
 
-@query("top_models_by_cost", "recs", """SELECT model_name, round(sum(CAST(round(cost * 1e9) AS BIGINT)) / 1e9, 6) AS total_cost,
- round(sum(CAST(round(cost * 1e9) AS BIGINT)) * 100.0 / (SELECT sum(CAST(round(cost * 1e9) AS BIGINT)) FROM recs), 6) AS share FROM recs
+@query("top_models_by_cost", "recs", """SELECT model_name, round(sum(CAST(round(cost * 1e9) AS BIGINT)) / 1e9, 9) AS total_cost,
+ round(sum(CAST(round(cost * 1e9) AS BIGINT)) * 100.0 / (SELECT sum(CAST(round(cost * 1e9) AS BIGINT)) FROM recs), 9) AS share FROM recs
  GROUP BY model_name ORDER BY sum(CAST(round(cost * 1e9) AS BIGINT)) DESC, model_name LIMIT 5""")
 def _(spark, d):
     return rounded(P.top_models_by_cost(V.recs(spark, d), 5))
@@ -207,7 +207,7 @@ def _(spark, d):
 
 _TEST_SPLIT = split_cte("latest", 0.8) + """, t AS (SELECT latest.* FROM latest JOIN sp USING (dataset_id, prompt) WHERE NOT is_train),
  c AS (SELECT dataset_id || '/' || split AS key, model_name, avg(score) AS a FROM t GROUP BY ALL)
-SELECT model_name AS row_name, key AS column_name, round(a, 6) AS value FROM c"""
+SELECT model_name AS row_name, key AS column_name, round(a, 9) AS value FROM c"""
 
 
 @query("summary_test_mode", "latest", _TEST_SPLIT)

@@ -17,12 +17,12 @@ NANO = "CAST(round(cost * 1e9) AS BIGINT)"
 
 
 @query("stats_by_dataset_model", "recs", f"""SELECT dataset_id, split, model_name, count(*) AS total_records,
- count(*) FILTER (score > 0) AS correct_records, round(avg(score), 6) AS avg_score, round(sum(score), 6) AS sum_score,
- round(sum({NANO}) / 1e9, 6) AS total_cost, round(sum({NANO}) / 1e9 / count(*), 6) AS avg_cost_per_record,
+ count(*) FILTER (score > 0) AS correct_records, round(avg(score), 9) AS avg_score, round(sum(score), 9) AS sum_score,
+ round(sum({NANO}) / 1e9, 9) AS total_cost, round(sum({NANO}) / 1e9 / count(*), 9) AS avg_cost_per_record,
  CAST(sum(prompt_tokens) AS BIGINT) AS total_prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS total_completion_tokens,
- round(avg(prompt_tokens), 6) AS avg_prompt_tokens, round(avg(completion_tokens), 6) AS avg_completion_tokens,
+ round(avg(prompt_tokens), 9) AS avg_prompt_tokens, round(avg(completion_tokens), 9) AS avg_completion_tokens,
  CAST(sum(prompt_tokens) + sum(completion_tokens) AS BIGINT) AS total_tokens,
- round(count(*) FILTER (score > 0) / count(*), 6) AS accuracy FROM recs GROUP BY ALL""")
+ round(count(*) FILTER (score > 0) / count(*), 9) AS accuracy FROM recs GROUP BY ALL""")
 def _(spark, d):
     return rounded(S.stats_by_dataset_model(V.recs(spark, d)))
 
@@ -52,8 +52,8 @@ def _(spark, d):
 
 @query("global_stats", "recs", f"""SELECT count(*) AS total_records, count(DISTINCT (dataset_id, split)) AS total_datasets,
  count(DISTINCT model_name) AS total_models, count(DISTINCT (dataset_id, split, record_index)) AS total_prompts,
- round(avg(score), 6) AS avg_score, round(sum({NANO}) / 1e9, 6) AS total_cost,
- round(sum({NANO}) / 1e9 / count(*), 6) AS avg_cost_per_record, CAST(sum(prompt_tokens) AS BIGINT) AS total_prompt_tokens,
+ round(avg(score), 9) AS avg_score, round(sum({NANO}) / 1e9, 9) AS total_cost,
+ round(sum({NANO}) / 1e9 / count(*), 9) AS avg_cost_per_record, CAST(sum(prompt_tokens) AS BIGINT) AS total_prompt_tokens,
  CAST(sum(completion_tokens) AS BIGINT) AS total_completion_tokens,
  (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT dataset_id || '/' || split AS k FROM recs)) AS datasets,
  (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT model_name AS k FROM recs)) AS models FROM recs""")
@@ -64,14 +64,14 @@ def _(spark, d):
 
 @query("oracle_accuracy", "recs", """, q AS (SELECT dataset_id, split, record_index, bool_or(score > 0) AS hit FROM recs
  WHERE model_name <> 'm7' GROUP BY ALL)
-SELECT dataset_id, split, count(*) AS n_questions, round(avg(CAST(hit AS INT)), 6) AS oracle_accuracy FROM q GROUP BY ALL""")
+SELECT dataset_id, split, count(*) AS n_questions, round(avg(CAST(hit AS INT)), 9) AS oracle_accuracy FROM q GROUP BY ALL""")
 def _(spark, d):
     return rounded(S.oracle_accuracy(V.recs(spark, d), REFS))
 
 
 _ORACLE_COST = """, q AS (SELECT dataset_id, split, record_index, coalesce(min(n) FILTER (score > 0), min(n)) AS c
  FROM (SELECT *, CAST(round(cost * 1e9) AS BIGINT) AS n FROM recs WHERE model_name <> 'm7') GROUP BY ALL)
-SELECT dataset_id, split, round(sum(c) / 1e9{per}, 6) AS oracle_cost FROM q GROUP BY ALL"""
+SELECT dataset_id, split, round(sum(c) / 1e9{per}, 9) AS oracle_cost FROM q GROUP BY ALL"""
 
 
 @query("oracle_cost_total", "recs", _ORACLE_COST.format(per=""))
@@ -89,20 +89,20 @@ _BEST = f""", s AS (SELECT dataset_id, split, model_name, avg(score) AS a, sum({
  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY dataset_id, split ORDER BY a DESC, model_name) = 1)"""
 
 
-@query("max_expert_cost", "recs", _BEST + """ SELECT dataset_id, split, model_name, round(c, 6) AS max_expert_cost FROM b""")
+@query("max_expert_cost", "recs", _BEST + """ SELECT dataset_id, split, model_name, round(c, 9) AS max_expert_cost FROM b""")
 def _(spark, d):
     return rounded(S.max_expert_cost(V.recs(spark, d), exclude_models=REFS))
 
 
 @query("best_model_per_dataset", "recs", _BEST + """ SELECT dataset_id, split, model_name, n AS total_records,
- round(a, 6) AS avg_score FROM b""")
+ round(a, 9) AS avg_score FROM b""")
 def _(spark, d):
     b = S.best_model_per_dataset(V.recs(spark, d), REFS)
     return rounded(b.select("dataset_id", "split", "model_name", "total_records", "avg_score"))
 
 
 @query("dataset_oracle", "recs", _BEST + """ SELECT dataset_id, split, model_name, n AS total_records,
- round(a, 6) AS avg_score, round(c, 6) AS total_cost FROM b""")
+ round(a, 9) AS avg_score, round(c, 9) AS total_cost FROM b""")
 def _(spark, d):
     return rounded(S.dataset_oracle(V.recs(spark, d), REFS))
 
@@ -112,7 +112,7 @@ _PICK = f""", p AS (SELECT * FROM recs WHERE model_name <> 'm7'
 
 
 @query("random_router", "recs", _PICK + f""" SELECT dataset_id, split, count(*) AS n_questions,
- round(avg(score), 6) AS random_accuracy, round(sum({NANO}) / 1e9, 6) AS random_cost FROM p GROUP BY ALL""")
+ round(avg(score), 9) AS random_accuracy, round(sum({NANO}) / 1e9, 9) AS random_cost FROM p GROUP BY ALL""")
 def _(spark, d):
     return rounded(S.random_router(V.recs(spark, d), 42, REFS, tie=["run_no"]))
 
@@ -125,7 +125,7 @@ def _sample_sql(where: str) -> str:
        QUALIFY row_number() OVER (PARTITION BY dataset_id, split ORDER BY avg(score) DESC, model_name) = 1),
  p AS (SELECT * FROM main QUALIFY row_number() OVER (PARTITION BY dataset_id, split, record_index ORDER BY {HASH}, run_no, score, cost) = 1),
  q AS (SELECT bool_or(score > 0) AS hit FROM main GROUP BY dataset_id, split, record_index)
-SELECT row_name, round(value, 6) AS value FROM (
+SELECT row_name, round(value, 9) AS value FROM (
  SELECT model_name AS row_name, value FROM pm
  UNION ALL SELECT 'AVG', avg(value) FROM pm WHERE model_name <> 'm7'
  UNION ALL SELECT 'Max Expert', sum(ss) / sum(n) FROM b
@@ -192,7 +192,7 @@ _SECTION = "CASE WHEN row_name IN ('AVG','Random Router','Max Expert','Oracle')
 _LONG = (_CELLS + _MM + ", all_rows AS (SELECT * FROM cell_rows" +
          _ALL.replace("SELECT 'Max Expert', 'performance', 'Dataset-Avg', (SELECT avg(max_a) FROM best) FROM mm_main",
                       "SELECT 'Max Expert', 'performance', 'Dataset-Avg', avg(max_a) FROM best"))
-_TAIL = f") SELECT {_SECTION}, row_name, metric, column_name, round(value, 6) AS value FROM all_rows"
+_TAIL = f") SELECT {_SECTION}, row_name, metric, column_name, round(value, 9) AS value FROM all_rows"
 
 
 @query("summary_long", "recs", _LONG + _TAIL)
@@ -220,8 +220,8 @@ def _(spark, d):
  w AS (SELECT row_name, avg(a) AS da, sum(ss) / sum(n) AS sa,
    max(a) FILTER (key = 'de/test') AS de, max(a) FILTER (key = 'en/test') AS en, max(a) FILTER (key = 'es/test') AS es,
    max(a) FILTER (key = 'fr/test') AS fr FROM long GROUP BY row_name)
-SELECT row_name, round(de, 6) AS "de/test", round(en, 6) AS "en/test", round(es, 6) AS "es/test", round(fr, 6) AS "fr/test",
- round(da, 6) AS "Dataset-Avg", round(CASE WHEN row_name = 'AVG' THEN (SELECT avg(sa) FROM w WHERE row_name LIKE 'm_') ELSE sa END, 6) AS "Sample-Avg" FROM w""")
+SELECT row_name, round(de, 9) AS "de/test", round(en, 9) AS "en/test", round(es, 9) AS "es/test", round(fr, 9) AS "fr/test",
+ round(da, 9) AS "Dataset-Avg", round(CASE WHEN row_name = 'AVG' THEN (SELECT avg(sa) FROM w WHERE row_name LIKE 'm_') ELSE sa END, 9) AS "Sample-Avg" FROM w""")
 def _(spark, d):
     return rounded(summary_table(V.dense(spark, d))[0])
 
@@ -245,9 +245,9 @@ def _(spark, d):
     return S.baseline_scores(V.recs(spark, d))
 
 
-@query("run_aggregates", "runs", f"""SELECT dataset_id, split, model_name, count(*) AS counts, round(coalesce(avg(score), 0.0), 6) AS performance,
+@query("run_aggregates", "runs", f"""SELECT dataset_id, split, model_name, count(*) AS counts, round(coalesce(avg(score), 0.0), 9) AS performance,
  CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
- round(sum({NANO}) / 1e9, 6) AS cost FROM runs GROUP BY ALL""")
+ round(sum({NANO}) / 1e9, 9) AS cost FROM runs GROUP BY ALL""")
 def _(spark, d):
     return rounded(S.run_aggregates(V.runs(spark, d)))
 
@@ -259,15 +259,15 @@ def _events(spark, d):
                                                F.lit("note"), F.col("event_type")).alias("extra_fields"))
 
 
-@query("extra_metric_means", "", """SELECT event_type, metric, round(avg(x), 6) AS mean, count(x) AS n FROM (
+@query("extra_metric_means", "", """SELECT event_type, metric, round(avg(x), 9) AS mean, count(x) AS n FROM (
  SELECT event_type, 'k' AS metric, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS x FROM events
  UNION ALL SELECT event_type, 'value', value FROM events) WHERE x IS NOT NULL GROUP BY ALL""")
 def _(spark, d):
     return rounded(S.extra_metric_means(_events(spark, d), ["event_type"]))
 
 
-@query("suite_metric_means", "", """SELECT event_type, round(avg(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0)), 6) AS k,
- round(avg(0.0), 6) AS absent, round(coalesce(avg(value) FILTER (value > 0), -1.0), 6) AS value FROM events GROUP BY ALL""")
+@query("suite_metric_means", "", """SELECT event_type, round(avg(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0)), 9) AS k,
+ round(avg(0.0), 9) AS absent, round(coalesce(avg(value) FILTER (value > 0), -1.0), 9) AS value FROM events GROUP BY ALL""")
 def _(spark, d):
     return rounded(S.suite_metric_means(_events(spark, d), ["event_type"], ["k", "absent"], ["value"]))
 
@@ -279,7 +279,7 @@ def _(spark, d):
     return S.task_accuracy(V.dense(spark, d).withColumnRenamed("dataset_id", "task"))
 
 
-@query("model_avg_cost", "recs", f"SELECT model_name, round(sum({NANO}) / 1e9 / count(cost), 6) AS avg_cost FROM recs GROUP BY ALL")
+@query("model_avg_cost", "recs", f"SELECT model_name, round(sum({NANO}) / 1e9 / count(cost), 9) AS avg_cost FROM recs GROUP BY ALL")
 def _(spark, d):
     return rounded(S.model_avg_cost(V.recs(spark, d)))
 
@@ -293,16 +293,16 @@ def _decisions(spark, d):
 _PICK_ALL = _PICK.replace("WHERE model_name <> 'm7'", "")
 
 
-@query("routing_distribution", "recs", _PICK_ALL + """ SELECT model_name, n, round(n * 100.0 / (SELECT count(*) FROM p), 6) AS percent,
- CAST(count(*) OVER () AS BIGINT) AS models_used, round(max(n) OVER () * 100.0 / (SELECT count(*) FROM p), 6) AS top_share
+@query("routing_distribution", "recs", _PICK_ALL + """ SELECT model_name, n, round(n * 100.0 / (SELECT count(*) FROM p), 9) AS percent,
+ CAST(count(*) OVER () AS BIGINT) AS models_used, round(max(n) OVER () * 100.0 / (SELECT count(*) FROM p), 9) AS top_share
  FROM (SELECT model_name, count(*) AS n FROM p GROUP BY 1)""")
 def _(spark, d):
     return rounded(S.routing_distribution(_decisions(spark, d)))
 
 
 @query("routing_distribution_by_dataset", "recs", _PICK_ALL + """, c AS (SELECT dataset_id, model_name, count(*) AS n FROM p GROUP BY ALL)
-SELECT dataset_id, model_name, n, round(n * 100.0 / sum(n) OVER w, 6) AS percent, count(*) OVER w AS models_used,
- round(max(n) OVER w * 100.0 / sum(n) OVER w, 6) AS top_share FROM c WINDOW w AS (PARTITION BY dataset_id)""")
+SELECT dataset_id, model_name, n, round(n * 100.0 / sum(n) OVER w, 9) AS percent, count(*) OVER w AS models_used,
+ round(max(n) OVER w * 100.0 / sum(n) OVER w, 9) AS top_share FROM c WINDOW w AS (PARTITION BY dataset_id)""")
 def _(spark, d):
     return rounded(S.routing_distribution(_decisions(spark, d), by_dataset=True))
 
