@@ -156,7 +156,7 @@ def _steps(c):
     return F.map_from_arrays(F.transform(parts, lambda x, i: (i + 1).cast("string")), parts)
 
 
-@query("score_idea_text", "", """, e AS (SELECT vec_id AS id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings),
+@query("score_idea_text", "", """, e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
  p AS (SELECT d.doc_id AS id, d.text, a.v AS va, b.v AS vb FROM documents d JOIN e a ON a.id = d.doc_id JOIN e b ON b.id = d.doc_id - 1),
  s AS (SELECT id, 10.0 * 2 / 6 AS comp, CASE WHEN length(text) = 0 THEN 0.0 ELSE least(10.0, greatest(length(text) - 700, 300 - length(text), 0) / 100.0) END AS pen,
   list_cosine_similarity(va, vb) AS sim FROM p), r AS (SELECT *, least(10.0, greatest(0.0, (sim - 0.2) * 10)) AS rep FROM s),

@@ -41,7 +41,7 @@ def main() -> int:
     for f in glob.glob(f"{d}/*.parquet"):
         con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     bad = []
-    for name, fn in catalog.QUERIES.items():
+    for name, fn in list(catalog.QUERIES.items()):
         if name in skip or want and not any(name.startswith(w) for w in want):
             continue
         t = time.time()
