@@ -296,8 +296,9 @@ def parse_grids(c: Column) -> Column:
 # prompts, names and keys
 
 def build_scorer_text(prompt: Column, answer: Column) -> Column:
-    """Prompt and answer; only what follows the last "Q:"."""
-    return F.substring_index(F.concat_ws(" ", F.coalesce(prompt, L("")), F.coalesce(answer, L(""))), "Q:", -1)
+    """Prompt and answer; if the text has a "Q:", only the last one and what follows."""
+    whole = _trim(F.concat_ws(" ", F.coalesce(prompt, L("")), F.coalesce(answer, L(""))))
+    return let(whole, lambda t: F.when(t.contains("Q:"), _trim(F.concat(L("Q:"), F.substring_index(t, "Q:", -1)))).otherwise(t))
 
 
 def label_tasks(c: Column) -> Column:
@@ -306,18 +307,22 @@ def label_tasks(c: Column) -> Column:
 
 def canonical_model_name(c: Column) -> Column:
     """struct(name, effort, path_name): provider prefix cut, effort suffix split off, path-safe form."""
-    name = F.substring_index(c, "/", -1)
-    suffix = r"^(gpt-5[a-z0-9.]*?)-(minimal|low|medium|high)$"
-    base = F.when(name.rlike(suffix), F.regexp_extract(name, suffix, 1)).otherwise(name)
-    effort = F.when(name.rlike(suffix), F.regexp_extract(name, suffix, 2))
-    return F.struct(base.alias("name"), effort.alias("effort"), F.translate(c, "/ ", "__").alias("path_name"))
+    efforts = r"^(gpt-5)-(medium|high)$"
+    return F.struct(F.when(c.rlike(efforts), L("gpt-5")).otherwise(F.regexp_replace(c, r"^[^/]*/", "")).alias("name"),
+                    F.nullif(F.regexp_extract(c, efforts, 2), L("")).alias("effort"), F.translate(c, "/ ", "__").alias("path_name"))
+
+
+# fixed values: where a run file name's dataset part ends, in order of priority
+DATASET_NAME_RULES = [
+    r"^(tau2_[^_]*)", r"^(.*?-experiment)_", r"^(.*?)_anthropic_", r"^(.*?)_openai_", r"^(.*?)_google_", r"^(.*?)_qwen_",
+    r"^(.*?)_claude", r"^(.*?)_gpt", r"^(.*?)_gemini", r"^(.*?)_qwen", r"^(.*?)_", r"^(.*)$",
+]
 
 
 def dataset_from_file_name(c: Column) -> Column:
-    """Dataset part of a run file name: before "__", else before "-", else before the last "_" group."""
-    stem = _sub(F.substring_index(c, "/", -1), r"\.json$", "")
-    return F.when(stem.contains("__"), F.substring_index(stem, "__", 1)).when(
-        stem.contains("-"), F.substring_index(stem, "-", 1)).otherwise(_sub(stem, r"_[^_]*$", ""))
+    """Dataset part of a run file name by the first rule that matches."""
+    stem = F.replace(F.substring_index(c, "/", -1), L(".json"), L(""))
+    return let(stem, lambda s: F.coalesce(*[_first(s, r) for r in DATASET_NAME_RULES]))
 
 
 def json_path_extract(c: Column, paths: dict[str, str]) -> Column:

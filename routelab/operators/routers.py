@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Interaction, OneHotEncoder, StringIndexer
+from pyspark.ml.feature import PCA, Interaction, OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -151,8 +151,10 @@ def win_rates(model: PipelineModel, prompts: DataFrame) -> DataFrame:
 def per_model_correctness(labels: DataFrame, vectors: DataFrame, keys: Sequence[str] = ("dataset_id", "prompt")) -> PipelineModel:
     """Logistic regression on model one-hot x prompt vector: one linear rule per model in one fit."""
     d = labels.join(vectors.select(*keys, "embedding"), list(keys)).withColumn("vec", array_to_vector("embedding"))
-    stages = [StringIndexer(inputCol="model_name", outputCol="mi", stringOrderType="alphabetAsc", handleInvalid="skip"),
-              OneHotEncoder(inputCol="mi", outputCol="mo", dropLast=False), Interaction(inputCols=["mo", "vec"], outputCol="features"),
+    size = len(vectors.select("embedding").where("embedding is not null").first()[0])
+    stages = [VectorSizeHint(inputCol="vec", size=size, handleInvalid="error"), VectorAssembler(inputCols=["vec"], outputCol="va"),
+              StringIndexer(inputCol="model_name", outputCol="mi", stringOrderType="alphabetAsc", handleInvalid="skip"),
+              OneHotEncoder(inputCol="mi", outputCol="mo", dropLast=False), Interaction(inputCols=["mo", "va"], outputCol="features"),
               LogisticRegression(maxIter=50, regParam=0.01)]
     return Pipeline(stages=stages).fit(d)
 

@@ -82,7 +82,8 @@ def sweep(assigned_train: DataFrame, assigned_test: DataFrame, configs: DataFram
     per = pick.join(t, [cluster, "model_name"]).groupBy("performance_weight", "cost_sensitivity", "dataset_id").agg(
         F.sum("n").alias("n"), F.sum("sc").alias("sc"), F.sum("c").alias("c"))
     r = per.groupBy("performance_weight", "cost_sensitivity").agg(
-        F.avg(F.col("sc") / F.col("n")).alias("accuracy"), (F.sum("sc") / F.sum("n")).alias("sample_accuracy"),
+        # 12 digits: configurations with the same choices must tie exactly on the frontier
+        F.round(F.avg(F.col("sc") / F.col("n")), 12).alias("accuracy"), (F.sum("sc") / F.sum("n")).alias("sample_accuracy"),
         dollars(F.sum("c")).alias("total_cost"), (dollars(F.sum("c")) / F.sum("n")).alias("avg_cost_per_query"))
     return r.withColumn("cost_efficiency", F.col("accuracy") / (F.col("avg_cost_per_query") + L(1e-8)))
 
@@ -117,7 +118,7 @@ def optimal_configs(s: DataFrame, min_accuracy: float = 0.3, x: str = "performan
         "best_accuracy": -acc, "lowest_cost": F.when(acc > min_accuracy, F.col("avg_cost_per_query")), "best_efficiency": -eff,
         "most_balanced": F.round(F.abs(F.col(x) - 0.5), 9), "best_product": -F.when(eff > 0, acc * eff).otherwise(acc), "most_stable": F.round(F.abs(F.col(x) - F.col("_med")), 9)}
     a = d.agg(*[F.min_by(F.when(c.isNotNull(), row), F.when(c.isNotNull(), F.struct(c.alias("c"), F.col(x).alias("x")))).alias(k) for k, c in crit.items()])
-    long = a.select(F.explode(F.map_from_entries(F.array(*[F.struct(L(k), F.col(k)) for k in crit]))).alias("criterion", "r"))
+    long = a.select(F.explode(F.map_from_entries(F.array(*[F.struct(L(k).alias("k"), F.col(k).alias("v")) for k in crit]))).alias("criterion", "r"))
     return long.where("r is not null").select("criterion", F.col("r.x").alias(x), "r.accuracy", "r.avg_cost_per_query", "r.cost_efficiency")
 
 

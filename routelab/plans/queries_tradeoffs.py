@@ -34,8 +34,8 @@ SWEEP = """, a AS (SELECT label % 8 AS cluster_id, dataset_id, model_name, score
  g AS (SELECT round(i * CAST(0.1 AS DOUBLE), 9) AS w, round(1 - round(i * CAST(0.1 AS DOUBLE), 9), 9) AS s FROM range(11) x(i)),
  pick AS (SELECT w, s, cluster_id, model_name FROM n, g QUALIFY row_number() OVER (PARTITION BY w, cluster_id ORDER BY round(w * na + s * nc, 12) DESC, model_name) = 1),
  per AS (SELECT w, s, dataset_id, count(*) AS n, sum(score) AS sc, sum(c) AS c FROM pick JOIN a USING (cluster_id, model_name) GROUP BY ALL),
- sweep AS (SELECT w AS performance_weight, s AS cost_sensitivity, avg(sc / n) AS accuracy, sum(sc) / sum(n) AS sample_accuracy, sum(c) / 1e9 AS total_cost, sum(c) / 1e9 / sum(n) AS avg_cost_per_query,
-  avg(sc / n) / (sum(c) / 1e9 / sum(n) + 1e-8) AS cost_efficiency FROM per GROUP BY w, s)"""
+ sweep AS (SELECT w AS performance_weight, s AS cost_sensitivity, round(avg(sc / n), 12) AS accuracy, sum(sc) / sum(n) AS sample_accuracy, sum(c) / 1e9 AS total_cost, sum(c) / 1e9 / sum(n) AS avg_cost_per_query,
+  round(avg(sc / n), 12) / (sum(c) / 1e9 / sum(n) + 1e-8) AS cost_efficiency FROM per GROUP BY w, s)"""
 
 
 @query("sweep", "dense", SWEEP + """ SELECT performance_weight, cost_sensitivity, round(accuracy, 6) AS accuracy, round(sample_accuracy, 6) AS sample_accuracy, round(total_cost, 6) AS total_cost,
