@@ -66,7 +66,10 @@ def _numbered(tokens: Column) -> Column:
 
 
 def token_f1(pred: Column, truth: Column) -> Column:
-    """struct(f1, precision, recall) of normalised tokens; yes/no/noanswer must match exactly."""
+    """struct(f1, precision, recall) of normalised tokens; yes/no/noanswer must match exactly.
+
+    For answers: the cost grows with the square of the token count. ``scoring.score_token_f1`` does whole texts.
+    """
     def score(p: Column, t: Column) -> Column:
         guard = (p != t) & (p.isin("yes", "no", "noanswer") | t.isin("yes", "no", "noanswer"))
         counts = F.struct(F.size(F.split(p, " ")).alias("np"), F.size(F.split(t, " ")).alias("nt"), F.size(F.array_intersect(
@@ -110,7 +113,8 @@ def boxed(text: Column, which: str = "last") -> Column:
         depth = acc["depth"] + _occurrences(piece, "{") - 1
         return F.when(acc["depth"] <= 0, acc).otherwise(F.struct(
             depth.alias("depth"), F.concat(acc["out"], piece, F.when(depth > 0, L("}")).otherwise(L(""))).alias("out")))
-    res = F.aggregate(pieces, start, step)
+    # every piece but the last is followed by a closing brace
+    res = let(pieces, lambda p: F.aggregate(F.slice(p, L(1), F.size(p) - 1), start, step))
     if which == "first":
         return F.when(at == 0, L("")).otherwise(_trim(let(res, lambda r: F.when(r["depth"] <= 0, r["out"]).otherwise(rest))))
     return F.when(at > 0, let(res, lambda r: F.when(r["depth"] <= 0, r["out"])))

@@ -12,7 +12,7 @@ from routelab.plans.views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-GROUPS = ["runs", "stats", "splits", "shapes", "joins", "decisions", "routers", "tradeoffs", "training", "scalars",
+GROUPS = ["runs", "stats", "splits", "shapes", "decisions", "routers", "tradeoffs", "training", "scalars",
           "scoring"]
 
 

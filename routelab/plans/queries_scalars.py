@@ -8,6 +8,7 @@ from routelab.functions import money as M
 from routelab.functions import similarity as S
 from routelab.functions import text as T
 from routelab.operators import pool as P
+from routelab.operators.scoring import score_token_f1
 from routelab.plans import views as V
 from routelab.plans.catalog import query, rounded
 from routelab.plans.queries_scoring import golden
@@ -41,7 +42,7 @@ def _neighbours(spark, d):
 @query("token_f1", "", _TOK + """ SELECT n.doc_id, round(coalesce(2 * (same / len(n.t)) * (same / len(m.t)) / (same / len(n.t) + same / len(m.t)), 0.0), 6) AS f1,
  round(coalesce(same / len(n.t), 0.0), 6) AS precision, round(coalesce(same / len(m.t), 0.0), 6) AS recall FROM n JOIN n m ON m.doc_id = n.doc_id - 1 LEFT JOIN s ON s.doc_id = n.doc_id""")
 def _(spark, d):
-    return rounded(_neighbours(spark, d).select("doc_id", T.token_f1(F.col("text"), F.col("other")).alias("r")).select("doc_id", "r.*"), 6)
+    return rounded(score_token_f1(_neighbours(spark, d), "doc_id", "text", "other"), 6)
 
 
 @query("qa_exact", "", _TOK.split(",\n c AS")[0] + " SELECT n.doc_id, n.t = m.t AS same FROM n JOIN n m ON m.doc_id = n.doc_id - 1")
@@ -50,6 +51,8 @@ def _(spark, d):
 
 
 golden("qa_normalize_choice", ["x"], TXT, [("{t} (A) or (b)", "(b)"), ("plain text", "")], _one(lambda c: T.qa_normalize(c, "mc")))
+golden("token_f1_answer", ["x", "y"], {"f1": "DOUBLE"}, [("The cat, the cat!", "a cat", 0.666667), ("yes", "yes it is", 0.0), ("no", "No.", 1.0), ("dog {v}", "{v} dog", 1.0), ("", "x", 0.0)],
+       lambda df: df.withColumn("f1", T.token_f1(F.col("x"), F.col("y"))["f1"]), 6)
 golden("choice_letter", ["x"], TXT, [("{t}\nAnswer: B\nanswer:$C", "C"), ("{t}\nFinal Answer\n\n D", "D"), ("{t} \\boxed{A{v}}", "A{v}"), (" B", "B"), ("{t} nothing", "")],
        _one(lambda c: T.choice_letter(c, "A-D")))
 golden("boxed_last", ["x"], TXT, [("{t} \\boxed{1} \\boxed{a{b}{c{v}}} }", "a{b}{c{v}}"), ("{t} \\boxed{open", None), ("no box {v}", None), ("{t}\\boxed 5", None)], _one(T.boxed))

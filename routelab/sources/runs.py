@@ -20,7 +20,7 @@ from routelab.operators.stats import run_aggregates
 L = F.lit
 RUN_KEYS = ("dataset_id", "split", "model_name")
 
-RUN_SCHEMA = T.StructType.fromDDL(
+RUN_SCHEMA = (
     "performance double, time_taken double, cost double, prompt_tokens bigint, completion_tokens bigint, counts bigint, model_name string, "
     "dataset_name string, split string, data_fingerprint string, demo boolean, extra_metrics map<string,double>, "
     "records array<struct<index:bigint, origin_query:string, prompt:string, prompt_tokens:bigint, completion_tokens:bigint, cost:double, "
@@ -34,7 +34,7 @@ def _stamp(path: Column, mtime: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), F.unix_timestamp(mtime))
 
 
-def read_run_files(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RUN_SCHEMA) -> DataFrame:
+def read_run_files(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType = RUN_SCHEMA) -> DataFrame:
     """One row per run file; files that do not parse or have no model name are left out."""
     raw = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option(
         "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
@@ -50,7 +50,7 @@ def explode_records(runs: DataFrame) -> DataFrame:
         "r.ground_truth", "r.raw_output", "r.score", "r.prompt_tokens", "r.completion_tokens", "r.cost", "r.extra_fields")
 
 
-def read_runs(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RUN_SCHEMA) -> DataFrame:
+def read_runs(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType = RUN_SCHEMA) -> DataFrame:
     return explode_records(read_run_files(spark, path, schema))
 
 
