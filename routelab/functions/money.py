@@ -13,7 +13,8 @@ def _col(c: str | Column) -> Column:
 
 
 def nano(c: str | Column) -> Column:
-    return F.round(_col(c) * F.lit(float(NANO))).cast("bigint")
+    """Nearest whole nano-dollar; ``floor`` stays on primitive doubles where ``round`` builds decimals."""
+    return F.floor(_col(c) * F.lit(float(NANO)) + 0.5)
 
 
 def dollars(total: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from routelab.functions.text import let
+
 L = F.lit
 
 
@@ -19,20 +21,18 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    return let(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    n = norm(a) * norm(b)
-    return F.when(n == 0, L(0.0)).otherwise(dot(a, b) / n)
+    return let(norm(a) * norm(b), lambda n: F.when(n == 0, L(0.0)).otherwise(dot(a, b) / n))
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    total = F.aggregate(e, L(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    def scaled(e: Column) -> Column:
+        return let(F.aggregate(e, L(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total))
+    shifted = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(shifted, scaled)
 
 
 def sigmoid(x: Column) -> Column:
@@ -76,9 +76,10 @@ def repetition_penalty(vectors: Column) -> Column:
 
     With unit vectors the sum over pairs is (|sum|^2 - n) / 2, so no pair list is built.
     """
-    unit = F.transform(vectors, l2_normalize)
-    n = F.size(unit)
-    total = F.aggregate(F.slice(unit, L(2), F.greatest(n - 1, L(0))), unit[0], lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    zero = F.size(F.filter(vectors, lambda v: norm(v) == 0))
-    mean = (dot(total, total) - (n - zero)) / (n * (n - 1))
-    return F.when(n < 2, L(0.0)).otherwise(F.least(L(10.0), F.greatest(L(0.0), (mean - 0.2) * 10)))
+    def penalty(unit: Column) -> Column:
+        n = F.size(unit)
+        total = F.aggregate(F.slice(unit, L(2), F.greatest(n - 1, L(0))), unit[0], lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+        zero = F.size(F.filter(unit, lambda v: norm(v) == 0))
+        mean = let(total, lambda t: dot(t, t)) - (n - zero)
+        return F.when(n < 2, L(0.0)).otherwise(F.least(L(10.0), F.greatest(L(0.0), (mean / (n * (n - 1)) - 0.2) * 10)))
+    return let(F.transform(vectors, l2_normalize), penalty)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -13,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from routelab.functions.similarity import dot, l2_normalize
+from routelab.functions.similarity import l2_normalize
 from routelab.operators.splits import cost_percentile, rank_models_in_cluster, tie_labels, top_k_experts
 from routelab.operators.stats import best_first
 from routelab.operators.tradeoffs import balance_score, cluster_metrics, pareto_join
@@ -49,16 +51,25 @@ def _centers(spark: SparkSession, model) -> DataFrame:
 
 
 def assign_nearest_centroid(vectors: DataFrame, centers: DataFrame, top_k: int = 1, vector: str = "embedding") -> DataFrame:
-    """Adds (cluster_id, distance = 1 - q.c, place) for the ``top_k`` nearest centres.
+    """Adds (cluster_id, distance = 1 - q.c, place) for the ``top_k`` nearest centres; ties by cluster id.
 
-    Centres are model parameters: they travel as one array column of the plan, so each vector is compared with
-    all centres in its own row and nothing is joined or multiplied out.
+    Centres are model parameters and travel with the function: each Arrow batch of vectors is one matrix product,
+    nothing is joined or multiplied out.
     """
     rows = centers.orderBy("cluster_id").collect()
-    table = F.array(*[F.struct(L(int(r["cluster_id"])).alias("c"), F.array(*[L(float(x)) for x in r["center"]]).alias("v")) for r in rows])
-    near = F.slice(F.array_sort(F.transform(table, lambda s: F.struct((1 - dot(F.col("_u"), s["v"])).alias("d"), s["c"].alias("c")))), 1, top_k)
-    return _unit(vectors, vector).withColumn("_n", near).drop("_u").select(
-        *vectors.columns, F.posexplode("_n").alias("place", "_x")).select(
+    ids = np.array([int(r["cluster_id"]) for r in rows])
+    c = np.array([r["center"] for r in rows], dtype=float).T
+
+    @F.pandas_udf("array<struct<c:int,d:double>>")
+    def nearest(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(float)
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        d = 1.0 - (x / np.where(n == 0, 1.0, n)) @ c
+        top = np.argsort(d, axis=1, kind="stable")[:, :top_k]
+        near = np.take_along_axis(d, top, 1)
+        return pd.Series([[{"c": int(ids[j]), "d": float(y)} for j, y in zip(js, ys)] for js, ys in zip(top, near)])
+    return vectors.where(F.col(vector).isNotNull()).select(
+        *vectors.columns, F.posexplode(nearest(F.col(vector))).alias("place", "_x")).select(
         *vectors.columns, F.col("_x.c").alias("cluster_id"), F.col("_x.d").alias("distance"), (F.col("place") + 1).alias("place"))
 
 

@@ -286,8 +286,8 @@ def preference_pairs(samples: DataFrame) -> DataFrame:
     """
     packed = F.array_sort(F.transform(F.arrays_zip("scores", "responses"), lambda x, i: F.struct(
         x["scores"].alias("s"), i.alias("i"), x["responses"].alias("r"))))
-    d = samples.withColumn("p", packed).withColumn("mid", F.element_at("p", (F.floor(F.size("p") / 2) + 1).cast("int")))
-    lo, hi = F.element_at("p", 1), F.element_at("p", -1)
+    d = samples.withColumn("p", packed).withColumn("mid", F.try_element_at("p", (F.floor(F.size("p") / 2) + 1).cast("int")))
+    lo, hi = F.try_element_at("p", F.lit(1)), F.try_element_at("p", F.lit(-1))
     pair = F.array_compact(F.array(
         F.when(lo["s"] < F.col("mid.s"), F.struct(F.lit("middle_worst").alias("kind"), F.col("mid.r").alias("chosen"), lo["r"].alias("rejected"))),
         F.when(hi["s"] > F.col("mid.s"), F.struct(F.lit("best_middle").alias("kind"), hi["r"].alias("chosen"), F.col("mid.r").alias("rejected")))))

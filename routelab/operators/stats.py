@@ -26,8 +26,12 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     """One row per key: the one with the largest ``order`` tuple; the other columns break ties."""
     rest = [c for c in df.columns if c not in keys]
     lead = [c for c in order if c not in keys]
-    packed = F.struct(*lead, *[c for c in rest if c not in lead and not _unordered(df, c)])
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), packed).alias("_r"))
+    tail = [c for c in rest if c not in lead]
+    loose = [c for c in tail if _unordered(df, c)]
+    packed = F.struct(*lead, *[c for c in tail if c not in loose])
+    # the largest tuple carries the row itself; maps have no order and ride along
+    best = F.max_by(F.struct(*rest), packed) if loose else F.max(packed)
+    best = df.groupBy(*keys).agg(best.alias("_r"))
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
@@ -104,15 +108,15 @@ def question_outcomes(records: DataFrame, exclude_models: Sequence[str] = (), se
 
     The draw is uniform over the question's rows; ``tie`` names extra columns that tell repeats apart.
     """
-    draw = F.struct(seeded_hash(seed, *QUESTION, "model_name", *tie).alias("h"), *tie, "score", "cost")
+    draw = F.struct(seeded_hash(seed, *QUESTION, "model_name", *tie).alias("h"), *tie, "score", "cost", "model_name")
     correct = F.col("score") > 0
     return exclude(records, exclude_models).groupBy(*QUESTION).agg(
         F.max(correct).alias("any_correct"),
         F.coalesce(F.min(F.when(correct, nano("cost"))), F.min(nano("cost"))).alias("oracle_nano"),
-        F.min_by(F.struct("model_name", "score", nano("cost").alias("nano")), draw).alias("pick")).select(
+        F.min(draw).alias("pick")).select(
         *QUESTION, F.coalesce("any_correct", F.lit(False)).alias("any_correct"), "oracle_nano",
         F.col("pick.model_name").alias("random_model"), F.col("pick.score").alias("random_score"),
-        F.col("pick.nano").alias("random_nano"))
+        nano(F.col("pick.cost")).alias("random_nano"))
 
 
 def dataset_outcomes(records: DataFrame, exclude_models: Sequence[str] = (), seed: int = 42,

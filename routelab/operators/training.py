@@ -63,7 +63,7 @@ def stratified_negatives(anchors: DataFrame, prompts: DataFrame, top_k: int = 32
     ends = F.transform("o", lambda x, i: F.struct(
         x["acc"].alias("acc"), x["n"].alias("n"),
         F.aggregate(F.slice("o", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, y: a + y["n"]).alias("end")))
-    blocks = blocks.withColumn("b", ends).withColumn("total", F.coalesce(F.element_at("b", -1)["end"], F.lit(0))) \
+    blocks = blocks.withColumn("b", ends).withColumn("total", F.coalesce(F.try_element_at("b", F.lit(-1))["end"], F.lit(0))) \
         .where("total > 0").drop("o")
     total, k = F.col("total"), F.least(F.lit(top_k).cast("bigint"), F.col("total"))
     near_cut, mid_cut = F.ceil(total * F.lit(0.5)), F.ceil(total * F.lit(0.8))
@@ -104,7 +104,7 @@ def stratified_negatives(anchors: DataFrame, prompts: DataFrame, top_k: int = 32
         F.sequence(F.lit(0).cast("bigint"), F.col("spill") - 1),
         lambda j: leftover(F.pmod(F.col("spill_start") + j, F.col("left_total"))))).otherwise(F.array().cast("array<bigint>"))
     pos = a.select("dataset_id", "accuracy", "anchor", "b", F.posexplode(F.concat(own, spilled)).alias("slot", "pos"))
-    block = F.element_at(F.filter("b", lambda x: x["end"] > F.col("pos")), 1)
+    block = F.try_element_at(F.filter("b", lambda x: x["end"] > F.col("pos")), F.lit(1))
     addr = pos.withColumn("x", block).select(
         "dataset_id", "anchor", F.col("accuracy").alias("anchor_accuracy"), "slot", F.col("x.acc").alias("accuracy"),
         (F.col("pos") - (F.col("x.end") - F.col("x.n")) + 1).alias("rn"))
@@ -135,7 +135,7 @@ def best_of_n(samples: DataFrame, n: int = 5, repeats: int = 10, seed: int = 42)
     Per (id, model, size, repeat): the chosen index is the first in the whole list with the drawn maximum; tokens
     are summed over the drawn responses.
     """
-    d = samples.withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
+    d = samples.where(F.size("proxy_scores") > 0).withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
         "rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     picks = F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: (F.pmod(_hash_int(
         F.lit(str(seed)), F.col("id").cast("string"), F.col("model"), F.col("size").cast("string"),

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routelab.scale import spread
+
 # Price per token in nano-dollars (input, output).
 PRICES = {
     "m0": (90, 600), "m1": (180, 540), "m2": (250, 880), "m3": (270, 1000),
@@ -22,7 +24,8 @@ QUESTION = ["dataset_id", "split", "record_index"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in ("lineitem", "documents", "embeddings") else df
 
 
 def prices(spark: SparkSession) -> DataFrame:
@@ -42,7 +45,7 @@ def _with_cost(df: DataFrame) -> DataFrame:
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    tenths = F.round(F.col("l_discount") * 100)
+    tenths = F.floor(F.col("l_discount") * 100 + 0.5)
     base = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return _with_cost(base.select(
         F.col("o_orderpriority").alias("dataset_id"), F.col("o_orderstatus").alias("split"),

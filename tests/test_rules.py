@@ -1,0 +1,316 @@
+"""Rules that the large queries do not pin down: small fixtures, brute force, invariants and plans."""
+
+import itertools
+import json
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from routelab import scale
+from routelab.operators import cascade, decisions, neighbors, pool, routers, shapes, splits, stats, tradeoffs, training
+from routelab.plans import views as V
+from routelab.plans.summary import summary_table
+from routelab.sources import prompts, runs
+
+
+def rows(df, *cols):
+    return sorted(tuple(r) for r in (df.select(*cols) if cols else df).collect())
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+# ranks
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_ordered_rank_does_not_depend_on_partitions(spark, parts):
+    df = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise("cold").alias("g"), ((F.col("id") * 7919) % 1000).alias("x"))
+    got = scale.ordered_rank(df.repartition(parts), ["g"], ["x"]).collect()
+    for g in ("hot", "cold"):
+        r = sorted((x["x"], x["rn"]) for x in got if x["g"] == g)
+        assert [n for _, n in r] == list(range(1, len(r) + 1))
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_shuffled_rank_is_a_permutation_and_keeps_null_groups(spark, parts):
+    df = spark.range(500).select(F.when(F.col("id") < 300, "a").alias("g"), "id").repartition(parts)
+    got = scale.shuffled_rank(df, ["g"], ["id"], 42).collect()
+    assert sorted(r["rn"] for r in got if r["g"] == "a") == list(range(1, 301))
+    assert sorted(r["rn"] for r in got if r["g"] is None) == list(range(1, 201))
+    again = {(r["id"], r["rn"]) for r in scale.shuffled_rank(df.repartition(3), ["g"], ["id"], 42).collect()}
+    assert again == {(r["id"], r["rn"]) for r in got}
+
+
+def test_hot_group_is_not_sorted_in_one_task(spark):
+    df = spark.range(100_000).select(F.lit("hot").alias("g"), "id")
+    r = scale.shuffled_rank(df, ["g"], ["id"], 1)
+    sizes = r.groupBy(F.spark_partition_id()).count().collect()
+    assert max(x["count"] for x in sizes) < 60_000
+
+
+# splits
+
+@pytest.mark.parametrize("n,parts", [(60, (42, 6, 12)), (198, (138, 19, 41)), (500, (350, 50, 100)), (1055, (738, 105, 212))])
+def test_sequential_split_sizes(spark, n, parts):
+    e = spark.range(n).select(F.lit("t").alias("task_id"), F.col("id").alias("record_index"))
+    c = {r["part"]: r["count"] for r in splits.split_sequential(e).groupBy("part").count().collect()}
+    assert (c["train"], c["val"], c["test"]) == parts
+
+
+def test_prompt_split_is_disjoint_covering_and_ood_is_test(spark):
+    r = spark.range(200).select(F.when(F.col("id") % 2 == 0, "in").otherwise("ood").alias("dataset_id"), (F.col("id") % 50).cast("string").alias("prompt"), "id")
+    s = splits.split_by_prompt(r, 0.7, 42, ["ood"])
+    assert s.count() == 200
+    per = s.groupBy("dataset_id", "prompt").agg(F.countDistinct("is_train").alias("k"), F.max("is_train").alias("t")).collect()
+    assert all(x["k"] == 1 for x in per) and not any(x["t"] for x in per if x["dataset_id"] == "ood")
+    assert sum(x["t"] for x in per if x["dataset_id"] == "in") == int(25 * 0.7)
+    with pytest.raises(ValueError):
+        splits.split_by_prompt(r, 1.0)
+
+
+# statistics
+
+def facts(spark, data):
+    return spark.createDataFrame([(d, "test", m, i, f"{d}{i}", s, c, 1, 1) for d, m, i, s, c in data],
+                                 "dataset_id string, split string, model_name string, record_index long, prompt string, score double, cost double, prompt_tokens long, completion_tokens long")
+
+
+def test_summary_rules_for_max_expert(spark):
+    r = facts(spark, [("d1", "a", 1, 1.0, 2.0), ("d1", "b", 1, 0.0, 1.0), ("d2", "a", 1, 0.0, 2.0), ("d2", "b", 1, 1.0, 1.0), ("d2", "ref", 1, 1.0, 9.0)])
+    perf, cost = summary_table(r, ood_datasets=["d2"], reference_models=["ref"])
+    p = {x["row_name"]: x for x in perf.collect()}
+    c = {x["row_name"]: x for x in cost.collect()}
+    assert list(p) == ["a", "b", "AVG", "Random Router", "Max Expert", "Oracle", "ref"]
+    assert p["Max Expert"]["Dataset-Avg"] == 1.0 and p["AVG"]["Dataset-Avg"] == 0.5
+    assert c["Max Expert"]["Dataset-Sum"] == 4.0 and c["Oracle"]["Dataset-Sum"] == 3.0
+    assert p["ref"]["In-Dist-Avg"] is None and p["ref"]["OOD-Avg"] == 1.0 and p["ref"]["In-Dist-Sample-Avg"] == 0.0
+
+
+def test_bounds_hold(spark, sf):
+    r = V.dense(spark, sf)
+    o = {x["dataset_id"]: x["oracle_accuracy"] for x in stats.oracle_accuracy(r).collect()}
+    b = {x["dataset_id"]: x["avg_score"] for x in stats.best_model_per_dataset(r).collect()}
+    assert all(o[d] >= b[d] for d in b)
+
+
+def test_one_scan_is_jvm_only_and_pruned(spark, sf):
+    text = plan(stats.stats_by_dataset_model(V.recs(spark, sf)))
+    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
+    assert "l_partkey" not in text.split("== Physical Plan ==")[1]
+
+
+def test_quantiles_match_numpy(spark):
+    rng = random.Random(1)
+    xs = [rng.randint(0, 50) / 10 for _ in range(333)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = {r["prob"]: r["quantile"] for r in stats.exact_quantiles(df, [], "x", [0.0, 0.25, 0.333, 1.0]).collect()}
+    assert all(abs(got[p] - np.quantile(xs, p)) < 1e-12 for p in got) and len(got) == 4
+
+
+# joins
+
+def test_pareto_equals_brute_force(spark):
+    rng = random.Random(3)
+    pts = [(g, i, float(rng.randint(0, 12)), float(rng.randint(0, 12))) for g in "xy" for i in range(60)]
+    df = spark.createDataFrame(pts, "g string, id long, cost double, acc double")
+    want = sorted((g, i) for g, i, c, a in pts if not any(
+        h == g and b >= a and e <= c and (b > a or e < c) for h, _, e, b in pts))
+    assert rows(tradeoffs.pareto_join(df, "cost", "acc", ["g"]), "g", "id") == want
+
+
+@pytest.mark.parametrize("pivots,block,chunk", [(1, 1000, 1000), (8, 16, 7), (40, 4, 50)])
+def test_knn_equals_brute_force_with_a_third_of_copies(spark, pivots, block, chunk):
+    rng = np.random.default_rng(5)
+    tr = rng.normal(size=(120, 6))
+    tr[:40] = tr[0]
+    te = np.vstack([rng.normal(size=(20, 6)), tr[:2]])
+    a = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(te)], "test_id long, embedding array<double>")
+    b = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(tr)], "train_id long, embedding array<double>")
+    got = rows(neighbors.knn_join(a, b, 9, pivots=pivots, block=block, chunk=chunk), "test_id", "rank", "train_id")
+    want = []
+    for i, q in enumerate(te):
+        d = np.sqrt(((tr - q) ** 2).sum(1))
+        want += [(i, k + 1, int(j)) for k, j in enumerate(np.argsort(d, kind="stable")[:9])]
+    assert got == sorted(want)
+
+
+def test_knn_with_fewer_rows_than_k(spark):
+    a = spark.createDataFrame([(1, [0.0, 0.0])], "test_id long, embedding array<double>")
+    b = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "train_id long, embedding array<double>")
+    assert rows(neighbors.knn_join(a, b, 131), "train_id", "rank") == [(1, 1), (2, 2)]
+
+
+def test_grid_keeps_the_last_of_repeated_rows(spark):
+    r = facts(spark, [("d", "a", 1, 0.0, 1.0), ("d", "b", 2, 1.0, 3.0)]).withColumn("run_no", F.lit(1))
+    r = r.unionByName(facts(spark, [("d", "a", 1, 1.0, 2.0)]).withColumn("run_no", F.lit(2)))
+    g = shapes.complete_grid(r, order=["record_index", "run_no"])
+    assert rows(g, "prompt", "model_name", "score", "cost", "filled") == [
+        ("d1", "a", 1.0, 2.0, False), ("d1", "b", 0.0, 0.0, True), ("d2", "a", 0.0, 0.0, True), ("d2", "b", 1.0, 3.0, False)]
+    assert "CartesianProduct" not in plan(g) and "NestedLoop" not in plan(g)
+
+
+def test_missing_candidates_and_descriptions_raise(spark):
+    c = spark.createDataFrame([(1, [("a", "greedy")])], "id long, candidates array<struct<model:string,decoding_method:string>>")
+    with pytest.raises(Exception, match="candidates missing"):
+        shapes.filter_candidates(c, ["a", "b"]).collect()
+    with pytest.raises(ValueError, match="no description"):
+        shapes.lookup_descriptions(spark.createDataFrame([("x",)], "task_id string"), spark.createDataFrame([("y", "t")], "task_id string, task_description string"), "task_id")
+
+
+# training sets
+
+@pytest.mark.parametrize("top_k", [3, 10, 64])
+def test_negatives_are_complete_and_distinct(spark, top_k):
+    p = spark.createDataFrame([("d", f"p{i}", i, [0.0, 0.5, 1.0, 1.0, 1.0][i % 5]) for i in range(30)] + [("e", "only", 1, 0.5)],
+                              "dataset_id string, prompt string, record_index long, accuracy double")
+    acc = {r["prompt"]: r["accuracy"] for r in p.collect()}
+    got = training.stratified_negatives(p, p, top_k).collect()
+    for a in (x for x in acc if x != "only"):
+        mine = [r["negative"] for r in got if r["anchor"] == a]
+        others = [x for x in acc if x != "only" and acc[x] != acc[a]]
+        assert len(mine) == len(set(mine)) == min(top_k, len(others))
+        assert all(acc[m] != acc[a] for m in mine)
+    assert not any(r["anchor"] == "only" for r in got)
+
+
+def test_positive_pairs_per_group(spark):
+    p = spark.createDataFrame([("d", f"p{i}", i, 0.5) for i in range(10)], "dataset_id string, prompt string, record_index long, accuracy double")
+    assert training.positive_pairs(p, 3).count() == sum(min(3, 9 - i) for i in range(10))
+    assert training.positive_pairs(p, 0).count() == 0
+
+
+# decisions
+
+def test_pairwise_report_reproduces_published_counts(spark):
+    # published totals: 3858 pairs, 1058 decisive, 728 routed right, 757 decisive and 2326 all selected right
+    ties = [("tie", 1.0)] * (2326 - 757) + [("tie", 0.0)] * (2800 - (2326 - 757))
+    data = [("d", "tie", s, s, 0.9) for _, s in ties]
+    data += [("d", "model_a", 1.0, 0.0, 0.9)] * 728 + [("d", "model_b", 0.5, 1.0, 0.9)] * 29 + [("d", "model_b", 0.0, 1.0, 0.9)] * 301
+    df = spark.createDataFrame(data, "dataset_id string, winner string, score_model_a double, score_model_b double, winrate double").withColumns(
+        {"cost_model_a": F.lit(0.1), "cost_model_b": F.lit(0.01)})
+    r = decisions.pairwise_report(df).where("level = 'all'").first()
+    assert (r["n"], r["n_decisive"], r["n_ties"]) == (3858, 1058, 2800)
+    assert abs(r["selection_accuracy"] - 2326 / 3858) < 1e-12 and abs(r["routing_accuracy"] - 728 / 1058) < 1e-12
+    assert abs(r["selection_accuracy_decisive"] - 757 / 1058) < 1e-12 and r["winrate_std"] < 1e-6
+
+
+def test_auc_of_one_class_is_null(spark):
+    df = spark.createDataFrame([(0.1, 1), (0.2, 1)], "p double, y int")
+    assert decisions.auc(df, "p", "y").first()["auc"] is None
+
+
+# cascades
+
+def cascade_rows(spark, n=60, models=("a", "b", "c")):
+    rng = random.Random(11)
+    return [("d", f"s{i}", m, rng.randint(0, 1), rng.randint(1, 99) / 100, (j + 1) / 100) for i in range(n) for j, m in enumerate(models)]
+
+
+def test_cascade_search_equals_brute_force(spark):
+    data = cascade_rows(spark)
+    df = spark.createDataFrame(data, "dataset_id string, sample_id string, model_name string, label int, probability double, cost double")
+    budget, grid = 0.035, 4
+    qs = [1e-5 + (1 - 2e-5) * i / (grid - 1) for i in range(grid)]
+    by = {}
+    for _, s, m, y, p, c in data:
+        by.setdefault(s, {})[m] = (y, 1 - p, c)
+    best = -1
+    for o in itertools.permutations("abc", 3):
+        for q in itertools.product(qs, repeat=2):
+            if q[0] > q[1]:
+                continue
+            left, thr = list(by.values()), []
+            for st in range(2):
+                ds = [x[o[st]][1] for x in left]
+                thr.append(float(np.quantile(ds, 1 - q[st])) if ds else 1.0)
+                left = [x for x in left if x[o[st]][1] >= thr[-1]]
+            hit = cost = 0.0
+            for x in by.values():
+                paid = 0.0
+                for m, t in zip(o, [*thr, 1.0]):
+                    paid += x[m][2]
+                    if x[m][1] < t:
+                        hit, cost = hit + x[m][0], cost + paid
+                        break
+            if cost <= budget * len(by) and sum(x[o[0]][2] for x in by.values()) <= budget * len(by):
+                best = max(best, hit / len(by))
+    got = cascade.cascade_search(df, budget, 3, grid=grid)
+    assert abs(got.accuracy - best) < 1e-12
+    used = cascade.run_cascade(df, got).agg(F.sum("cum_cost")).first()[0]
+    assert used <= budget * len(by) + 1e-9
+
+
+def test_cascade_falls_back_to_the_last_available(spark):
+    df = spark.createDataFrame([("d", "s", "a", 0, 0.1, 1.0), ("d", "s", "b", 1, 0.0, 2.0)], "dataset_id string, sample_id string, model_name string, label int, probability double, cost double")
+    r = cascade.run_cascade(df, cascade.Strategy(["a", "b", "c"], [0.2, 0.2, 1.0])).first()
+    assert (r["model_name"], r["label"], r["cum_cost"]) == ("b", 1, 3.0)
+    assert cascade.cascade_search(df, 0.5, 1) is None
+
+
+# routers
+
+def test_cluster_routing_beats_every_single_model(spark, sf):
+    r, v = V.dense(spark, sf), V.prompt_vectors(spark, sf).drop("cluster_id")
+    m = routers.fit_cluster_router(r, v, n_clusters=10, n_init=2)
+    d = routers.route_by_cluster(v, m)
+    assert d.count() == v.count()
+    got = decisions.evaluate_selection(d, r).where("level = 'all'").first()["pooled_accuracy"]
+    best = r.groupBy("model_name").agg(F.avg("score").alias("a")).agg(F.max("a")).first()[0]
+    assert got > best * 100
+
+
+# sources
+
+def write_run(folder, name, payload):
+    p = folder / name
+    p.parent.mkdir(parents=True, exist_ok=True)
+    p.write_text(payload if isinstance(payload, str) else json.dumps(payload))
+
+
+def run_doc(model="m", demo=False, score=1.0, **kw):
+    return {"performance": 1.0, "cost": 0.1, "model_name": model, "dataset_name": "d", "split": "test", "demo": demo, "records": [
+        {"index": 1, "prompt": "p", "origin_query": None, "prediction": ["x", 1], "score": score, "cost": None, "prompt_tokens": 3}], **kw}
+
+
+def test_run_files(spark, tmp_path):
+    write_run(tmp_path, "d/test/m/d-test-m-20250101_000000.json", run_doc(score=0.0))
+    write_run(tmp_path, "d/test/m/d-test-m-20250301_000000.json", run_doc(score=None))
+    write_run(tmp_path, "d/test/m/result.json", run_doc(score=0.5))
+    write_run(tmp_path, "d/test/x/d-test-x-20250101_000000.json", run_doc("x", demo=True))
+    write_run(tmp_path, "d/test/y/broken.json", "{not json")
+    docs = runs.read_run_files(spark, str(tmp_path))
+    assert docs.count() == 4
+    live = runs.keep_latest_run(runs.filter_runs(docs))
+    r = runs.normalize_records(runs.explode_records(live)).collect()
+    assert len(r) == 1 and r[0]["run_ts"] == 20250301000000
+    assert (r[0]["score"], r[0]["cost"], r[0]["completion_tokens"], r[0]["origin_query"]) == (0.0, 0.0, 0, "")
+    assert json.loads(r[0]["prediction"]) == ["x", 1]
+    assert runs.filter_runs(docs, models=[]).count() == 0
+    assert runs.read_cascade_records(spark, str(tmp_path)).count() == 0  # no cost anywhere
+    with pytest.raises(ValueError):
+        runs.validate_model_lists(["a"], ["a"])
+
+
+def test_fingerprint_ignores_order_and_sees_changes(spark):
+    a = spark.createDataFrame([("d", "t", i, "x") for i in range(50)], "dataset_id string, split string, i long, s string")
+    f = lambda df: df.select("fingerprint").first()[0]
+    assert f(runs.fingerprint(a)) == f(runs.fingerprint(a.repartition(7).orderBy(F.desc("i"))))
+    assert f(runs.fingerprint(a)) != f(runs.fingerprint(a.where("i < 49"))) != f(runs.fingerprint(a.union(a.where("i = 0"))))
+
+
+def test_wide_prompt_lines(spark, tmp_path):
+    lines = ['{"query": "q", "dataset": "d", "index": 1, "records": {"a": null, "b": true, "c": 0.5}, "usages": {"b": {"cost": 0.1}}}',
+             "not json", '{"query": "", "dataset": "d", "records": {"a": 1}}', '{"query": "r", "dataset": "d", "index": 2, "records": {"a": "text"}}']
+    (tmp_path / "w.jsonl").write_text("\n".join(lines))
+    w = prompts.read_wide_prompts(spark, str(tmp_path / "w.jsonl"))
+    assert w.count() == 1 and w.first()["records"] == {"a": 0.0, "b": 1.0, "c": 0.5}
+    assert rows(prompts.explode_wide_prompts(w, "t"), "sample_id", "model_name", "cost") == [("d::1", "b", 0.1)]
+
+
+def test_token_cost_order(spark):
+    df = spark.createDataFrame([("a", 1_000_000, 0, None), ("a", 1_000_000, 0, 7.0), ("z", 5, 5, None)], "model_name string, prompt_tokens long, completion_tokens long, provider_cost double")
+    price = spark.createDataFrame([("a", 2.0, 0.0)], "model_name string, prompt_price double, completion_price double")
+    assert sorted(r["cost"] for r in pool.token_cost(df, price).collect()) == [0.0, 2.0, 7.0]
