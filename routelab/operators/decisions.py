@@ -143,11 +143,11 @@ def choice_report(chosen: DataFrame, cost: str = "cost") -> DataFrame:
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC with average ranks; one class only gives null. Ranks come from counts per distinct value."""
-    counts = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"))
+    counts = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("_pos"))
     ranks = rank_sums(df.select(*by, score), list(by), score)
     j = join_null_safe(ranks, counts, [*by, score])
-    p, n = F.sum("p").cast("double"), F.sum("n").cast("double")
-    return j.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * F.col("avg_rank")) - p * (p + 1) / 2, p * (n - p)).alias("auc"))
+    p, n = F.sum("_pos").cast("double"), F.sum("_n").cast("double")
+    return j.groupBy(*by).agg(F.try_divide(F.sum(F.col("_pos") * F.col("avg_rank")) - p * (p + 1) / 2, p * (n - p)).alias("auc"))
 
 
 def binary_scores(scored: DataFrame, threshold: float = 0.5, sample: str = "sample_id") -> DataFrame:

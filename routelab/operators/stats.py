@@ -321,9 +321,9 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 def rank_sums(df: DataFrame, partition: Sequence[str], value: str) -> DataFrame:
     """Distinct values of a group with their count and average rank (1-based), computed without a group sort."""
-    counts = df.groupBy(*partition, value).agg(F.count("*").alias("n"))
-    r = ordered_running(counts, partition, [value], {"upto": ("sum", "n")})
-    return r.withColumn("avg_rank", F.col("upto") - (F.col("n") - 1) / 2.0)
+    counts = df.groupBy(*partition, value).agg(F.count("*").alias("_n"))
+    r = ordered_running(counts, partition, [value], {"_upto": ("sum", "_n")})
+    return r.withColumn("avg_rank", F.col("_upto") - (F.col("_n") - 1) / 2.0)
 
 
 def exact_quantiles(df: DataFrame, partition: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
