@@ -266,3 +266,18 @@ def headline_metrics(accuracy: DataFrame, sweep: DataFrame, best_single_accuracy
     near = F.array_min(F.transform("f", lambda p: F.sqrt(F.pow(p["acc"] - F.col("acc"), 2) + F.pow((p["cost"] - F.col("cost")) / L(best_single_cost), 2))))
     dist = s.withColumn("_k", L(1)).join(front, "_k").agg(F.avg(near).alias("pareto_dist"), L(1).alias("_k"))
     return a.join(gain, "_k").join(dist, "_k").drop("_k")
+
+
+def merge_run_reports(reports: DataFrame, metric: str = "selection_accuracy", datasets: Sequence[str] | None = None) -> DataFrame:
+    """Reports of several seeds side by side: one row per seed, one column per dataset, then the overall columns.
+
+    ``reports`` comes from ``sources.runs.read_reports``: (seed, all_dataset_avg, sample_avg, total_cost, datasets
+    map). Accuracies are in percent, ``total_cost`` in dollars.
+    """
+    names = list(datasets) if datasets is not None else sorted(
+        r[0] for r in reports.select(F.explode(F.map_keys("datasets"))).distinct().collect())
+    scale = 100.0 if metric == "selection_accuracy" else 1.0
+    cell = [(F.try_element_at("datasets", L(n))[metric] * scale).alias(n) for n in names]
+    tail = [(F.col("all_dataset_avg") * 100).alias("all_dataset_avg"), (F.col("sample_avg") * 100).alias("sample_avg")] \
+        if metric == "selection_accuracy" else [F.col("total_cost")]
+    return reports.select("seed", *cell, *tail).orderBy("seed")

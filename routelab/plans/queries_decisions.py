@@ -232,3 +232,23 @@ def _(spark, d):
     ends = per.agg(F.min("accuracy").alias("random"), F.max("accuracy").alias("best_single"), L(1).alias("k"))
     oracle = r.groupBy(*Q3).agg(F.max("score").alias("h")).agg(F.avg("h").alias("oracle"), L(1).alias("k"))
     return rounded(D.headline_metrics(router.join(ends, "k").join(oracle, "k"), per, 0.36, 20.0), 6)
+
+
+@query("merge_run_reports", "latest", """, c AS (SELECT CAST(record_index % 3 AS VARCHAR) AS seed, dataset_id, avg(CAST(score > 0 AS INT)) AS a, count(*) AS n FROM latest GROUP BY ALL)
+SELECT seed, """ + ", ".join(f"round(max(a * 100) FILTER (dataset_id = '{n}'), 9) AS \"{n}\"" for n in ("1-URGENT", "2-HIGH", "3-MEDIUM")) +
+       """, round(avg(a) * 100, 9) AS all_dataset_avg, round(sum(a * n) / sum(n) * 100, 9) AS sample_avg FROM c GROUP BY seed""")
+def _(spark, d):
+    from routelab.functions.money import sum_money
+    from routelab.scale import shared_dir
+    from routelab.sources.runs import read_reports
+    # one report document per seed, written and read back
+    path = f"{shared_dir(spark)}/reports-{spark.sparkContext.applicationId}"
+    per = V.latest(spark, d).groupBy((F.col("record_index") % 3).alias("seed"), "dataset_id").agg(
+        F.count("*").alias("total"), F.count_if(F.col("score") > 0).alias("hit"), sum_money("cost").alias("total_cost"))
+    acc = F.col("hit") / F.col("total")
+    doc = per.groupBy("seed").agg(
+        F.avg(acc).alias("all_dataset_avg"), (F.sum("hit") / F.sum("total")).alias("sample_avg"), F.sum("total_cost").alias("total_cost"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("dataset_id", F.struct(
+            "total", acc.alias("selection_accuracy"), L(None).cast("double").alias("routing_accuracy"), "total_cost"))))).alias("datasets"))
+    doc.write.mode("overwrite").partitionBy("seed").json(path)
+    return rounded(D.merge_run_reports(read_reports(spark, path), datasets=["1-URGENT", "2-HIGH", "3-MEDIUM"]))

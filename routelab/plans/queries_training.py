@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from routelab.operators import training as T
 from routelab.plans import views as V
-from routelab.plans.catalog import query, rounded
+from routelab.plans.catalog import query
 from routelab.plans.queries_shapes import SAMPLES, samples
 
 _RANKED = """, a AS (SELECT dataset_id, prompt, round(count(*) FILTER (score > 0) / count(*), 9) AS accuracy FROM dense GROUP BY ALL),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from routelab.functions.money import dollars
 from routelab.operators.splits import split_by_prompt
-from routelab.operators.stats import (DATASET, best_first, dataset_outcomes, exclude, format_table,
+from routelab.operators.stats import (DATASET, best_first, dataset_outcomes, format_table,
                                       stats_by_dataset_model)
 from routelab.scale import distinct_values, stable
 

@@ -190,3 +190,15 @@ def summarize_external_run(records: DataFrame, model: str, dataset: str = "exter
         F.sum("completion_tokens").alias("completion_tokens"), (F.sum(nano("cost")).cast("double") / 1e9).alias("cost"), F.count("*").alias("counts")).select(
         L(dataset).alias("dataset_id"), L(split).alias("split"), L(model).alias("model_name"), "performance", "prompt_tokens", "completion_tokens", "cost", "counts")
 
+
+
+REPORT_SCHEMA = ("all_dataset_avg double, sample_avg double, total_cost double, "
+                 "datasets map<string,struct<total:bigint,selection_accuracy:double,routing_accuracy:double,total_cost:double>>")
+
+
+def read_reports(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Pairwise reports, one JSON document per file; the seed is the number after ``seed`` in the path."""
+    raw = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(paths)
+    path = F.col("_metadata.file_path")
+    seed = F.regexp_extract(path, r"seed=?(\d+)", 1)
+    return raw.select(F.when(seed != "", seed).otherwise(path).alias("seed"), *raw.columns)
