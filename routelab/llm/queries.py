@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from routelab.llm.common import table
 from routelab.llm.exact_dedup import exact_duplicates
+from routelab.llm.merkle import fingerprint_edits
 from routelab.llm.mixing import mix
+from routelab.llm.quality import score_quality
+from routelab.llm.toxicity import score_toxicity
 from routelab.llm.url_rules import RULES, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +27,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, d):
+    return score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op3_merkle_fingerprint")
+def op3_merkle_fingerprint(spark, d):
+    return fingerprint_edits(table(spark, d, "documents"))
+
+
 @query("op4_url_rules", r"""
 with r as (select page_id, case when url is null or position('://' in url) = 0 then '' else substr(url, position('://' in url) + 3) end as rest from pages),
 p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
@@ -51,3 +64,8 @@ select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (p
 """)
 def op8_exact_dedup(spark, d):
     return exact_duplicates(table(spark, d, "documents"))
+
+
+@query("op10_quality")
+def op10_quality(spark, d):
+    return score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
