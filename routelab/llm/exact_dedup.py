@@ -34,13 +34,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     base = docs.select(F.col(id_col).alias("doc_id"), collapse_white(text_of(text_col)).alias("norm")).withColumn("h", hash_fn(F.col("norm")))
     slim = stable(base.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")))
-    groups = slim.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # both sides of the join come from tables, so that Spark can split a hot hash
+    groups = stable(slim.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     placed = slim.join(groups, "h")
 
     members = (placed.where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "keep_id", "group_size").distinct()
                .withColumn("_salts", F.ceil(F.col("group_size") / rows_per_salt).cast("int")))
-    texts = base.join(members, base["doc_id"].eqNullSafe(members["_id"]) & (base["h"] == members["_h"])).select(
-        "doc_id", "h", "norm", "keep_id", "_salts", F.pmod(F.xxhash64("doc_id"), F.col("_salts")).cast("int").alias("_salt"))
+    # written once, as it is read twice: the texts of documents that have copies
+    texts = stable(base.join(members, base["doc_id"].eqNullSafe(members["_id"]) & (base["h"] == members["_h"])).select(
+        "doc_id", "h", "norm", "keep_id", "_salts", F.pmod(F.xxhash64("doc_id"), F.col("_salts")).cast("int").alias("_salt")))
     # any text under the kept id may stand for the group: rows that differ from it are grouped by their bytes below
     kept = (texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("h", "_salts", F.col("norm").alias("kept_norm")).dropDuplicates(["h"])
             .select("h", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), "kept_norm"))
