@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelab.scale import stable
+from routelab.scale import shared_dir, stable
 
-__all__ = ["stable", "table", "text_of", "held_out", "collapse_white", "WHITE", "read_text_column"]
+__all__ = ["stable", "table", "text_of", "held_out", "collapse_white", "WHITE", "read_text_column", "scratch"]
 
 # ASCII white space of the contracts.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -34,3 +36,8 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 def read_text_column(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``doc_id`` and ``text`` of a table with any other columns."""
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

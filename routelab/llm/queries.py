@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from routelab.llm.common import table
+from routelab.llm.common import scratch, table
 from routelab.llm.exact_dedup import exact_duplicates
 from routelab.llm.merkle import fingerprint_edits
 from routelab.llm.mixing import mix
 from routelab.llm.quality import score_quality
+from routelab.llm.simple8b import document_index, write_ids
 from routelab.llm.toxicity import score_toxicity
 from routelab.llm.url_rules import RULES, judge_urls
 
+# Fixed value: the vocabulary folder, a parameter of the operators that use it.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", os.path.dirname(public_tokenizers.path("x")))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -69,3 +75,10 @@ def op8_exact_dedup(spark, d):
 @query("op10_quality")
 def op10_quality(spark, d):
     return score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op9_simple8b_ids")
+def op9_simple8b_ids(spark, d):
+    path = scratch(spark, "token-ids")
+    write_ids(table(spark, d, "documents"), path, os.path.join(TOKENIZERS, "word_bpe_49k.json"))
+    return document_index(spark, path)
