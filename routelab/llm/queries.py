@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from routelab.llm.common import scratch, table
 from routelab.llm.exact_dedup import exact_duplicates
+from routelab.llm.jaccard import near_duplicates
 from routelab.llm.merkle import fingerprint_edits
 from routelab.llm.mixing import mix
 from routelab.llm.quality import score_quality
@@ -58,6 +59,11 @@ def op4_url_rules(spark, d):
     return judge_urls(table(spark, d, "pages"), rules)
 
 
+@query("op5_ngram_jaccard")
+def op5_ngram_jaccard(spark, d):
+    return near_duplicates(table(spark, d, "documents"))
+
+
 @query("op7_source_mix")
 def op7_source_mix(spark, d):
     return mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
