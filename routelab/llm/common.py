@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from routelab.scale import shared_dir, stable
 
-__all__ = ["stable", "table", "text_of", "held_out", "collapse_white", "WHITE", "read_text_column", "scratch"]
+__all__ = ["stable", "table", "text_of", "held_out", "collapse_white", "WHITE", "read_text_column", "scratch", "written"]
 
 # ASCII white space of the contracts.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -41,3 +41,10 @@ def read_text_column(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written below the shared folder and read again: like a checkpoint, but compressed and by column."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

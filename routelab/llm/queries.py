@@ -14,6 +14,7 @@ from routelab.llm.jaccard import near_duplicates
 from routelab.llm.merkle import fingerprint_edits
 from routelab.llm.mixing import mix
 from routelab.llm.quality import score_quality
+from routelab.llm.repeats import cut_repeats
 from routelab.llm.simple8b import document_index, write_ids
 from routelab.llm.toxicity import score_toxicity
 from routelab.llm.url_rules import RULES, judge_urls
@@ -39,6 +40,11 @@ def op1_toxicity(spark, d):
     return score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query("op2_repeated_passages")
+def op2_repeated_passages(spark, d):
+    return cut_repeats(table(spark, d, "documents")).drop("spans")
+
+
 @query("op3_merkle_fingerprint")
 def op3_merkle_fingerprint(spark, d):
     return fingerprint_edits(table(spark, d, "documents"))
