@@ -15,6 +15,7 @@ from routelab.llm.merkle import fingerprint_edits
 from routelab.llm.mixing import mix
 from routelab.llm.quality import score_quality
 from routelab.llm.repeats import cut_repeats
+from routelab.llm.segment import encoding_digests
 from routelab.llm.simple8b import document_index, write_ids
 from routelab.llm.toxicity import score_toxicity
 from routelab.llm.url_rules import RULES, judge_urls
@@ -70,6 +71,11 @@ def op5_ngram_jaccard(spark, d):
     return near_duplicates(table(spark, d, "documents"))
 
 
+@query("op6_sentencepiece_draws")
+def op6_sentencepiece_draws(spark, d):
+    return encoding_digests(table(spark, d, "documents"), os.path.join(TOKENIZERS, "piece_bpe_32k.model"))
+
+
 @query("op7_source_mix")
 def op7_source_mix(spark, d):
     return mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
