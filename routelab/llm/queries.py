@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from routelab.llm.common import scratch, table
 from routelab.llm.exact_dedup import exact_duplicates
 from routelab.llm.jaccard import near_duplicates
@@ -19,9 +18,7 @@ from routelab.llm.segment import encoding_digests
 from routelab.llm.simple8b import document_index, write_ids
 from routelab.llm.toxicity import score_toxicity
 from routelab.llm.url_rules import RULES, judge_urls
-
-# Fixed value: the vocabulary folder, a parameter of the operators that use it.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", os.path.dirname(public_tokenizers.path("x")))
+from routelab.llm.vocabularies import vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,7 +70,7 @@ def op5_ngram_jaccard(spark, d):
 
 @query("op6_sentencepiece_draws")
 def op6_sentencepiece_draws(spark, d):
-    return encoding_digests(table(spark, d, "documents"), os.path.join(TOKENIZERS, "piece_bpe_32k.model"))
+    return encoding_digests(table(spark, d, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
 @query("op7_source_mix")
@@ -98,5 +95,10 @@ def op10_quality(spark, d):
 @query("op9_simple8b_ids")
 def op9_simple8b_ids(spark, d):
     path = scratch(spark, "token-ids")
-    write_ids(table(spark, d, "documents"), path, os.path.join(TOKENIZERS, "word_bpe_49k.json"))
+    write_ids(table(spark, d, "documents"), path, vocabulary_path("word_bpe_49k.json"))
     return document_index(spark, path)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, d):
+    return corpus_pipeline.run(spark, d)
