@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from routelab.scale import shared_dir, stable
 
-__all__ = ["stable", "table", "text_of", "held_out", "collapse_white", "WHITE", "read_text_column", "scratch", "written"]
+__all__ = ["stable", "table", "text_of", "held_out", "collapse_white", "WHITE", "read_text_column", "scratch", "written", "renamed"]
 
 # ASCII white space of the contracts.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -38,6 +38,11 @@ def read_text_column(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
 
+def renamed(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """The table with neutral column names, which clash with nothing that an operator adds, and the new names of the wanted columns."""
+    return docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))]), [f"_in{docs.columns.index(c)}" for c in wanted]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelab.llm.common import collapse_white, stable, text_of
+from routelab.llm.common import collapse_white, renamed, stable, text_of
 
 ROWS_PER_SALT = 512
 
@@ -64,7 +64,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, all columns; of rows that repeat both id and text one stays."""
-    marks = (exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct())
-    sha = docs.withColumn("_sha", F.sha2(collapse_white(text_of(text_col)), 256))
-    hits = sha.join(marks, sha[id_col].eqNullSafe(marks["_keep_id"]) & (sha["_sha"] == marks["_keep_sha"]))
-    return hits.dropDuplicates(["_keep_id", "_keep_sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, (i, t) = renamed(docs, id_col, text_col)
+    marks = exact_duplicates(rows, i, t).where("kept").groupBy(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).agg(F.count("*").alias("_rows"))
+    marks = stable(marks)
+    sha = rows.withColumn("_sha", F.sha2(collapse_white(text_of(t)), 256))
+    hits = sha.join(marks, sha[i].eqNullSafe(marks["_keep_id"]) & (sha["_sha"] == marks["_keep_sha"]))
+    once = hits.where("_rows = 1")
+    if not marks.where("_rows > 1").isEmpty():
+        once = once.unionByName(hits.where("_rows > 1").dropDuplicates(["_keep_id", "_keep_sha"]))
+    return once.select(*rows.columns).toDF(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelab.llm import textbytes as tb
-from routelab.llm.common import read_text_column, stable
+from routelab.llm.common import read_text_column, renamed, stable
 from routelab.llm.components import components
 
 WORDS = 5
@@ -228,5 +228,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group stays, the one with the least id; all columns. Of rows that repeat an id and are all to stay, one stays."""
-    marks = near_duplicates(docs, id_col, text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(marks, docs[id_col].cast("long").eqNullSafe(marks["_keep"])).dropDuplicates(["_keep"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, (i, t) = renamed(docs, id_col, text_col)
+    kept = near_duplicates(rows, i, t, **options).where(F.col("doc_id").eqNullSafe(F.col("group_id")))
+    marks = stable(kept.groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows")))
+    hits = rows.join(marks, rows[i].cast("long").eqNullSafe(marks["_keep"]))
+    once = hits.where("_rows = 1")
+    if not marks.where("_rows > 1").isEmpty():
+        once = once.unionByName(hits.where("_rows > 1").dropDuplicates(["_keep"]))
+    return once.select(*rows.columns).toDF(*docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelab.llm.common import stable, text_of
+from routelab.llm.common import renamed, stable, text_of
 from routelab.scale import join_null_safe, ordered_rank, ordered_running
 
 WEIGHTS = (5, 2, 1)
@@ -120,12 +120,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus, columns of ``docs``: a row for every whole copy and one for the part of a cut document (its first words, one space between)."""
-    marks = (mix(docs, id_col, text_col, source_col, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("k").alias("_k"))
-             .agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(source_col), text_of(text_col)))
-    hits = keyed.join(marks, keyed[id_col].cast("long").eqNullSafe(marks["_id"]) & (keyed["_key"] == marks["_k"])).dropDuplicates(["_id", "_k"])
+    rows, (i, t, s) = renamed(docs, id_col, text_col, source_col)
+    marks = stable(mix(rows, i, t, s, **options).groupBy(F.col("doc_id").alias("_id"), F.col("k").alias("_k"))
+                   .agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count("*").alias("_rows")).where("_taken > 0"))
+    keyed = rows.withColumn("_key", F.xxhash64(F.col(i), F.col(s), text_of(t)))
+    all_hits = keyed.join(marks, keyed[i].cast("long").eqNullSafe(marks["_id"]) & (keyed["_key"] == marks["_k"]))
+    hits = all_hits.where("_rows = 1")
+    if not marks.where("_rows > 1").isEmpty():  # repeated rows: one of them stands for what all take
+        hits = hits.unionByName(all_hits.where("_rows > 1").dropDuplicates(["_id", "_k"]))
     full, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
     copy = hits.withColumn("_copy", F.explode(F.sequence(F.lit(1), full + F.when(part > 0, 1).otherwise(0))))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0)
-    cut = F.when(F.col("_copy") <= full, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(part, F.lit(1))), " "))
-    return copy.withColumn("_text", cut).select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    words = F.regexp_extract_all(F.col(t), F.lit(WORD), 0)
+    cut = F.when(F.col("_copy") <= full, F.col(t)).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(part, F.lit(1))), " "))
+    return copy.withColumn("_text", cut).select(*["_text" if c == t else c for c in rows.columns]).toDF(*docs.columns)

@@ -68,8 +68,8 @@ def features(texts: list[bytes]) -> np.ndarray:
         d = of[at]
         most = np.zeros(n)
         np.maximum.at(most, d, count)
-        had = np.maximum(np.bincount(of, minlength=n), 1)
-        return np.bincount(d, minlength=n) / had, most / had
+        had = np.bincount(of, minlength=n)
+        return np.where(had, np.bincount(d, minlength=n) / np.maximum(had, 1), 1.0), most / np.maximum(had, 1)
 
     length = end - begin
     punct = np.concatenate([[0], np.cumsum((cls >= 6).astype(np.int32))])
