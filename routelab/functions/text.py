@@ -31,7 +31,7 @@ def let2(a: Column, b: Column, fn: Callable[[Column, Column], Column]) -> Column
 
 
 def _trim(c: Column) -> Column:
-    return _sub(c, r"^\s+|\s+$", "")
+    return _sub(c, r"(?U)^\s+|\s+$", "")
 
 
 def _last(c: Column, pattern: str, group: int = 1) -> Column:
@@ -125,7 +125,7 @@ def choice_letter(text: Column, letters: str = "A-D") -> Column:
     main = rf"(?i)Answer\s*:\s*\$?([{letters}])[.\s\n]?"
     final = rf"(?i)Final Answer\s\n+\s*\$?([{letters}])[.\s\n]?"
     short = (F.length(text) <= 10) & ~text.contains("Answer") & ~text.contains("box")
-    return F.when(short, F.ltrim(text)).otherwise(
+    return F.when(short, _sub(text, r"(?U)^\s+", "")).otherwise(
         F.coalesce(_last(text, main), _first(text, final), boxed(text, "first")))
 
 
@@ -171,8 +171,7 @@ def _int_text(c: Column) -> Column:
     """Whole numbers as plain integer text, null for anything else."""
     def whole(t: Column) -> Column:
         x = F.when(t.rlike(_FLOAT), t.try_cast("double"))
-        return let(x, lambda v: F.when((F.abs(v - F.round(v)) <= 1e-7) & (F.abs(v) < 1e18),
-                                       F.round(v).cast("decimal(38,0)").cast("string")))
+        return let(x, lambda v: F.when(F.abs(v - F.round(v)) <= 1e-7, F.round(v).try_cast("decimal(38,0)").cast("string")))
     return let(c, whole)
 
 

@@ -6,7 +6,6 @@ stage accepts where the distance is below its threshold.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -68,85 +67,64 @@ def _complete(w: DataFrame, n: int) -> DataFrame:
     return w.where(ok)
 
 
-def enumerate_orders(models: Sequence[str], depth: int, order: Sequence[str] | None = None, limit: int = 5000) -> list[tuple[str, ...]]:
-    """The given order cut to depth, or all permutations; above ``limit`` permutations the sorted order only."""
-    if order:
-        known = [m for m in order if m in models]
-        return [tuple(known[:depth])] if known else []
-    depth = max(1, min(depth, len(models)))
-    if math.perm(len(models), depth) > limit:
-        return [tuple(sorted(models))]
-    return list(itertools.permutations(models, depth))
-
+def _routes(scored: DataFrame, depth: int, order: Sequence[str] | None) -> DataFrame:
+    """A row for each sample and order of ``depth`` of its models: order (array), path (array<struct<label, d, c>> along it).
 
-def cascade_search(scored: DataFrame, budget: float, max_depth: int = 2, order: Sequence[str] | None = None, grid: int = 15,
-                   perm_limit: int = 5000) -> Strategy | None:
-    """Best (order, quantiles) of a grid by accuracy within the mean-cost budget; ties by the earlier candidate.
-
-    All candidates of a depth are evaluated in one job: thresholds of a stage come from one quantile job over all
-    orders, and each sample adds its outcome to per-candidate sums that combine before the shuffle.
+    Orders grow a model at a time out of the models that the sample has, so a sample without a model takes no part in orders with it.
+    """
+    cells = scored.groupBy("sample_id", "model_name").agg(F.max(F.struct("label", (1 - F.col("probability")).alias("d"), nano("cost").alias("c"))).alias("cell"))
+    rows = cells.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("model_name", "cell"))).alias("s")).withColumn(
+        "order", F.array().cast("array<string>"))
+    for i in range(depth):
+        free = F.array_except(F.map_keys("s"), F.col("order"))
+        if order:
+            free = F.array_intersect(free, F.array(L(order[i])))
+        rows = rows.select("s", "order", F.explode(free).alias("m")).select("s", F.concat("order", F.array("m")).alias("order"))
+    return rows.select("order", F.transform("order", lambda m: F.element_at(F.col("s"), m)).alias("path"))
+
+
+def cascade_search(scored: DataFrame, budget: float, max_depth: int = 2, order: Sequence[str] | None = None, grid: int = 15) -> Strategy | None:
+    """Best (order, quantiles) of a grid by accuracy within the mean-cost budget; ties by model names, then the lower quantiles.
+
+    Every order of ``max_depth`` models is searched (or the given one, cut to that depth), whatever their number. Candidates are a table:
+    each stage extends it by the quantiles that do not fall below the last one, with thresholds from the samples that reach the stage,
+    and the last join adds each sample's outcome to sums per candidate that combine before the shuffle.
     """
     models = distinct_values(scored, "model_name")
-    orders = enumerate_orders(models, max_depth, order, perm_limit)
-    if not orders:
+    if order:
+        order = [m for m in order if m in models]
+    depth = max(1, min(max_depth, len(order) if order else len(models))) if models else 0
+    if not depth or order == []:
         return None
-    wide = stable(_wide(scored, models))
-    at = {m: i for i, m in enumerate(models)}
-    depth = len(orders[0])
-    qs = [EPS + (1 - 2 * EPS) * i / (grid - 1) for i in range(grid)] if depth > 1 else []
-    # (candidate number, order, quantiles so far, thresholds so far)
-    cands = [(o, (), ()) for o in orders]
+    routes = stable(_routes(scored, depth, order).withColumn("key", F.array_join("order", "\u001f")))
+    qs = [EPS + (1 - 2 * EPS) * i / (grid - 1) for i in range(grid)]
+    none = F.array().cast("array<double>")
+    cands = routes.select("key", "order").distinct().select("key", "order", none.alias("q"), none.alias("t"))
     for stage in range(depth - 1):
-        probs = {q: 1 - q for q in qs}
-        # group by (order, quantiles so far): the samples that reach this stage
-        groups = list(enumerate(cands))
-        arms = F.array(*[F.when(_reach(o, t, at), F.struct(L(g).alias("g"), F.col(f"s{at[o[stage]]}.d").alias("d"))) for g, (o, _, t) in groups])
-        long = wide.select(F.explode(F.array_compact(arms)).alias("x")).select("x.g", "x.d")
-        got = {(r["g"], round(r["prob"], 12)): r["quantile"] for r in exact_quantiles(long, ["g"], "d", list(probs.values())).collect()}
-        nxt = []
-        for g, (o, qq, tt) in groups:
-            for q in qs:
-                if not qq or q >= qq[-1]:
-                    nxt.append((o, (*qq, q), (*tt, float(got.get((g, round(probs[q], 12)), 1.0)))))
-        cands = nxt
-    cands = [(o, q, (*t, 1.0)) for o, q, t in cands]
-    best = None
-    for start in range(0, len(cands), 1000):  # candidates per plan, to keep the expression size bounded
-        part = cands[start:start + 1000]
-        arms = F.array(*[_outcome(o, t, at, start + g) for g, (o, _, t) in enumerate(part)])
-        res = wide.select(F.explode(F.array_compact(arms)).alias("x")).groupBy("x.g").agg(
-            F.count("*").alias("n"), F.sum("x.label").alias("hits"), F.sum("x.c").alias("c"), F.sum("x.c0").alias("c0"))
-        ok = res.where((F.col("c0") <= L(float(budget) * 1e9) * F.col("n")) & (F.col("c") <= L(float(budget) * 1e9) * F.col("n")))
-        top = ok.select("g", (F.col("hits") / F.col("n")).alias("acc")).orderBy(F.desc("acc"), "g").first()
-        if top is not None and (best is None or top["acc"] > best[0]):
-            best = (top["acc"], top["g"])
-    if best is None:
+        here = F.col("path")[stage]["d"]
+        passed = F.forall(F.arrays_zip(F.slice("path", 1, stage).alias("p"), F.col("t").alias("t")), lambda x: x["p"]["d"] >= x["t"]) if stage else L(True)
+        cands = stable(cands.withColumn("cand", F.concat_ws("|", "key", F.array_join(F.transform("q", lambda x: x.cast("string")), "|"))))
+        reach = routes.join(cands.select("key", "cand", "t"), "key").where(passed).select("cand", here.alias("d"))
+        cuts = exact_quantiles(reach, ["cand"], "d", [1 - q for q in qs]).groupBy("cand").agg(F.collect_list(F.struct("prob", "quantile")).alias("cuts"))
+        steps = F.array(*[F.struct(L(q).alias("q"), L(1 - q).alias("prob")) for q in qs])
+        cands = cands.join(cuts, "cand", "left").withColumn("x", F.explode(steps)).where(
+            (F.size("q") == 0) | (F.col("x.q") >= F.element_at("q", -1)) if stage else L(True))
+        found = F.filter("cuts", lambda c: F.abs(c["prob"] - F.col("x.prob")) < 1e-12)
+        cut = F.coalesce(F.try_element_at(F.transform(found, lambda c: c["quantile"]), L(1)), L(1.0))
+        cands = cands.select("key", "order", F.concat("q", F.array("x.q")).alias("q"), F.concat("t", F.array(cut)).alias("t"))
+    cands = stable(cands.withColumn("t", F.concat("t", F.array(L(1.0)))))
+    # the first stage that accepts; a sample that none accepts counts 0 / 0
+    hit = F.filter(F.sequence(L(1), L(depth)), lambda i: F.element_at("path", i)["d"] < F.element_at("t", i))
+    at = F.try_element_at(hit, L(1))
+    label = F.when(at.isNotNull(), F.element_at("path", F.coalesce(at, L(1)))["label"]).otherwise(0)
+    paid = F.when(at.isNotNull(), F.aggregate(F.slice("path", L(1), F.coalesce(at, L(1))), L(0).cast("bigint"), lambda acc, p: acc + p["c"])).otherwise(0)
+    res = routes.drop("order").join(cands, "key").select("order", "q", "t", label.alias("label"), paid.alias("c"), F.col("path")[0]["c"].alias("c0")).groupBy("order", "q", "t").agg(
+        F.count("*").alias("n"), F.sum("label").alias("hits"), F.sum("c").alias("c"), F.sum("c0").alias("c0"))
+    limit = L(float(budget) * 1e9) * F.col("n")
+    top = res.where((F.col("c0") <= limit) & (F.col("c") <= limit)).withColumn("acc", F.col("hits") / F.col("n")).orderBy(F.desc("acc"), "order", "q").first()
+    if top is None:
         return None
-    o, q, t = cands[best[1]]
-    return Strategy(list(o), list(t), [*q, 1.0] if depth == 1 else list(q), float(budget), best[0])
-
-
-def _reach(o, thresholds, at):
-    ok = L(True)
-    for m in o:
-        ok = ok & F.col(f"s{at[m]}").isNotNull()
-    for m, t in zip(o, thresholds):
-        ok = ok & (F.col(f"s{at[m]}.d") >= L(t))
-    return ok
-
-
-def _outcome(o, thresholds, at, g):
-    """Label and cumulative cost of the accepting stage; rows that no stage accepts count 0 / 0."""
-    cost, label, total = L(0).cast("bigint"), L(None).cast("int"), L(None).cast("bigint")
-    taken = L(False)
-    for m, t in zip(o, thresholds):
-        s = F.col(f"s{at[m]}")
-        cost = cost + s["c"]
-        hit = ~taken & (s["d"] < L(t))
-        label, total = F.when(hit, s["label"]).otherwise(label), F.when(hit, cost).otherwise(total)
-        taken = taken | (s["d"] < L(t))
-    return F.when(_reach(o, (), at), F.struct(L(g).alias("g"), F.coalesce(label, L(0)).alias("label"), F.coalesce(total, L(0).cast("bigint")).alias("c"),
-                                              F.col(f"s{at[o[0]]}.c").alias("c0")))
+    return Strategy(list(top["order"]), list(top["t"]), list(top["q"]) or [1.0], float(budget), top["acc"])
 
 
 def run_cascade(scored: DataFrame, strategy: Strategy, keys: Sequence[str] = ("dataset_id", "sample_id")) -> DataFrame:

@@ -257,13 +257,13 @@ def headline_metrics(accuracy: DataFrame, sweep: DataFrame, best_single_accuracy
     distance to the frontier is measured on accuracy and on cost scaled by the best single model's cost.
     """
     from routelab.operators.tradeoffs import pareto_join
-    a = accuracy.select(((F.col("router") / F.col("random")) - 1).alias("gain_at_random"), ((F.col("router") / F.col("best_single")) - 1).alias("gain_at_best"),
-                        (1 - F.col("router") / F.col("oracle")).alias("gap_at_oracle"), L(1).alias("_k"))
+    a = accuracy.select((F.try_divide("router", "random") - 1).alias("gain_at_random"), (F.try_divide("router", "best_single") - 1).alias("gain_at_best"),
+                        (1 - F.try_divide("router", "oracle")).alias("gap_at_oracle"), L(1).alias("_k"))
     s = stable(sweep.select("method", F.col("accuracy").alias("acc"), F.col("cost").alias("cost")))
-    gain = s.agg((F.max("acc") / L(best_single_accuracy) - 1).alias("perf_gain"),
-                 F.coalesce(F.max(F.when(F.col("acc") >= best_single_accuracy, 1 - F.col("cost") / L(best_single_cost))), L(0.0)).alias("cost_save"), L(1).alias("_k"))
+    gain = s.agg((F.try_divide(F.max("acc"), L(float(best_single_accuracy))) - 1).alias("perf_gain"),
+                 F.coalesce(F.max(F.when(F.col("acc") >= best_single_accuracy, 1 - F.try_divide("cost", L(float(best_single_cost))))), L(0.0)).alias("cost_save"), L(1).alias("_k"))
     front = pareto_join(s, "cost", "acc").agg(F.array_sort(F.collect_set(F.struct("cost", "acc"))).alias("f"), L(1).alias("_k"))
-    near = F.array_min(F.transform("f", lambda p: F.sqrt(F.pow(p["acc"] - F.col("acc"), 2) + F.pow((p["cost"] - F.col("cost")) / L(best_single_cost), 2))))
+    near = F.array_min(F.transform("f", lambda p: F.sqrt(F.pow(p["acc"] - F.col("acc"), 2) + F.pow(F.try_divide(p["cost"] - F.col("cost"), L(float(best_single_cost))), 2))))
     dist = s.withColumn("_k", L(1)).join(front, "_k").agg(F.avg(near).alias("pareto_dist"), L(1).alias("_k"))
     return a.join(gain, "_k").join(dist, "_k").drop("_k")
 

@@ -121,15 +121,15 @@ def dedup_prompts_capped(records: DataFrame, cap: int | None = None) -> DataFram
 
 
 def upsample_minority(df: DataFrame, major: str, minor: str, key: str, seed: int = 42) -> DataFrame:
-    """Rows where ``minor`` wins are redrawn (with replacement) to the count of the rows where ``major`` wins.
+    """The rows where ``major`` wins and, drawn with replacement, as many of the rows where ``minor`` wins.
 
-    ``major``/``minor`` name boolean columns. Each extra draw picks the minority row at position
+    Rows of neither side are left out, whichever side is larger; without minority rows only the majority comes back. ``major``/``minor`` name boolean columns. Each extra draw picks the minority row at position
     md5(seed, draw number) mod size; the draws are generated by a distributed ``range``.
     """
     big, small = df.where(F.col(major)), df.where(F.col(minor))
     n_big, n_small = big.count(), small.count()
-    if n_small == 0 or n_small >= n_big:
-        return df
+    if n_small == 0:
+        return big
     spark = df.sparkSession
     hexpos = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), 1, 15), 16, 10)
     draws = spark.range(n_big).select((hexpos.cast("bigint") % n_small + 1).alias("_rn"))
@@ -190,7 +190,7 @@ def top_k_experts(scored: DataFrame, max_router: int = 1, keys: Sequence[str] =
 def top_models_by_cost(decisions: DataFrame, n: int = 10) -> DataFrame:
     c = decisions.groupBy("model_name").agg(F.sum(nano("cost")).alias("_c"), sum_money("cost").alias("total_cost"))
     total = Window.partitionBy()
-    return c.withColumn("share", F.col("_c") * 100.0 / F.sum("_c").over(total)).orderBy(
+    return c.withColumn("share", F.try_divide(F.col("_c") * 100.0, F.sum("_c").over(total))).orderBy(
         F.desc("_c"), "model_name").limit(n).drop("_c")
 
 

@@ -83,8 +83,7 @@ def global_stats(records: DataFrame) -> DataFrame:
     """One row. Distinct questions are counted after a combine per question, never in one task."""
     q = records.groupBy(*QUESTION).agg(
         F.count("*").alias("n"), F.sum("score").alias("s"), F.sum(nano("cost")).alias("c"),
-        F.sum("prompt_tokens").alias("p"), F.sum("completion_tokens").alias("t"),
-        F.collect_set("model_name").alias("m"))
+        F.sum("prompt_tokens").alias("p"), F.sum("completion_tokens").alias("t"))
     d = q.groupBy(*DATASET).agg(
         F.count("*").alias("q"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"),
         F.sum("p").alias("p"), F.sum("t").alias("t"))

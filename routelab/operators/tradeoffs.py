@@ -128,7 +128,7 @@ def beats_baseline(s: DataFrame, baseline_accuracy: float, x: str = "performance
     total = s.agg(F.count("*").alias("n_configs"), F.count_if(F.col("accuracy") > baseline_accuracy).alias("n_better"), L(1).alias("_k"))
     w = win.agg(F.min(x).alias("min_x"), F.max(x).alias("max_x"), F.avg(F.col("accuracy") - L(baseline_accuracy)).alias("mean_gain"), L(1).alias("_k"))
     med = exact_quantiles(win, [], x, [0.5]).select(F.col("quantile").alias("median_x"), L(1).alias("_k"))
-    return total.join(w, "_k").join(med, "_k", "left").drop("_k").withColumn("percent", F.col("n_better") * 100.0 / F.col("n_configs"))
+    return total.join(w, "_k").join(med, "_k", "left").drop("_k").withColumn("percent", F.try_divide(F.col("n_better") * 100.0, F.col("n_configs")))
 
 
 def export_sweep(s: DataFrame, path: str, fmt: str = "csv") -> None:

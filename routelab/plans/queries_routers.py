@@ -188,13 +188,12 @@ def _(spark, d):
 @query("cascade_search", "dense", SCORED + """, w AS (SELECT sample_id, m.m AS a, n.m AS b, max(1 - probability) FILTER (model_name = m.m) AS da, max(1 - probability) FILTER (model_name = n.m) AS db,
   max(label) FILTER (model_name = m.m) AS la, max(label) FILTER (model_name = n.m) AS lb, CAST(sum(CASE WHEN model_name = m.m THEN round(cost * 1e9) END) AS BIGINT) AS ca,
   CAST(sum(CASE WHEN model_name = n.m THEN round(cost * 1e9) END) AS BIGINT) AS cb
-  FROM scored, (VALUES ('m1'), ('m2'), ('m4')) m(m), (VALUES ('m1'), ('m2'), ('m4')) n(m) WHERE m.m <> n.m GROUP BY sample_id, m.m, n.m),
- g AS (SELECT i, 0.00001 + (1 - 0.00002) * i / CAST(4 AS DOUBLE) AS q FROM range(5) x(i)),
+  FROM scored, (SELECT DISTINCT model_name AS m FROM scored) m, (SELECT DISTINCT model_name AS m FROM scored) n WHERE m.m <> n.m GROUP BY sample_id, m.m, n.m),
+ g AS (SELECT i, 0.00001 + (1 - 0.00002) * i / CAST(14 AS DOUBLE) AS q FROM range(15) x(i)),
  dl AS (SELECT a, b, list(da ORDER BY da) AS ds, count(*) AS n FROM w GROUP BY a, b),
  th AS (SELECT a, b, i, ds[CAST(floor((1 - q) * (n - 1)) AS BIGINT) + 1] + (ds[CAST(ceil((1 - q) * (n - 1)) AS BIGINT) + 1] - ds[CAST(floor((1 - q) * (n - 1)) AS BIGINT) + 1]) * ((1 - q) * (n - 1) - floor((1 - q) * (n - 1))) AS t FROM dl, g),
  r AS (SELECT a, b, i, any_value(t) AS t, avg(CASE WHEN da < t THEN la WHEN db < 1 THEN lb ELSE 0 END) AS acc, avg(CASE WHEN da < t THEN ca WHEN db < 1 THEN ca + cb ELSE 0 END) AS c, avg(ca) AS c0 FROM w JOIN th USING (a, b) GROUP BY a, b, i)
 SELECT a || ',' || b AS model_order, round(t, 6) AS threshold, round(acc, 6) AS accuracy FROM r WHERE c <= 0.0008 * 1e9 AND c0 <= 0.0008 * 1e9 ORDER BY acc DESC, a, b, i LIMIT 1""")
 def _(spark, d):
-    s = scored(spark, d).where(F.col("model_name").isin("m1", "m2", "m4"))
-    b = C.cascade_search(s, 0.0008, 2, grid=5)
+    b = C.cascade_search(scored(spark, d), 0.0008, 2)
     return rounded(spark.createDataFrame([(",".join(b.order), float(b.thresholds[0]), float(b.accuracy))] if b else [], "model_order string, threshold double, accuracy double"), 6)

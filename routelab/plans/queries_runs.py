@@ -31,14 +31,13 @@ _WP = """, p AS (SELECT *, dataset_id || '/' || split || '/' || model_name || '/
 
 @query("read_runs", "runs", f"""SELECT dataset_id, split, model_name, count(*) AS n, round(avg(score), 9) AS avg_score, round(sum({NANO}) / 1e9, 9) AS cost FROM runs GROUP BY ALL""")
 def _(spark, d):
-    # one nested document per (order, run): the exchange format, written as JSON documents and read back
+    # a nested document per file, of 10,000 orders of a run at most: the exchange format, written and read back by the reader
     path = _dir(spark, "runfiles")
     rec = F.struct(F.col("record_index").alias("index"), F.col("prompt").alias("origin_query"), "prompt", "prompt_tokens", "completion_tokens", "cost", "score",
                    L("p").alias("prediction"), L("t").alias("ground_truth"))
-    V.runs(spark, d).groupBy("dataset_id", "split", "model_name", "record_index").agg(F.collect_list(rec).alias("records"), F.max("demo").alias("demo")).select(
-        F.col("dataset_id").alias("dataset_name"), "split", "model_name", "demo", "records").write.mode("overwrite").json(path)
-    docs = R.explode_records(spark.read.schema(R.RUN_SCHEMA).json(path).withColumnRenamed("dataset_name", "dataset_id").withColumns(
-        {"run_ts": L(0), "path": F.col("_metadata.file_path")}))
+    V.runs(spark, d).groupBy("dataset_id", "split", "model_name", F.floor(F.col("record_index") / 10_000)).agg(F.collect_list(rec).alias("records"), F.max("demo").alias("demo")).select(
+        F.col("dataset_id").alias("dataset_name"), "split", "model_name", "demo", "records").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+    docs = R.read_runs(spark, path)
     from routelab.functions.money import sum_money
     return rounded(docs.groupBy("dataset_id", "split", "model_name").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), sum_money("cost").alias("cost")))
 
@@ -88,7 +87,11 @@ def _(spark, d):
     r = docs.select(F.col("lang").alias("dataset_id"), L("test").alias("split"), L("m0").alias("model_name"), F.col("doc_id").alias("record_index"),
                     F.when(F.col("doc_id") % 2 == 0, "Q: first Q: second").otherwise("only").alias("prompt"), L("").alias("origin_query"), L("").alias("prediction"),
                     F.regexp_replace("text", r"^[ \n]+|[ \n]+$", "").alias("raw_output"), F.col("quality").cast("double").alias("score"), L(0.0).alias("cost"))
-    return R.cascade_records(r).select("sample_id", "dataset_id", F.md5("text").alias("text_md5"), "score")
+    path = _dir(spark, "cascade")
+    rec = F.struct(F.col("record_index").alias("index"), "prompt", "origin_query", "prediction", "raw_output", "score", "cost")
+    r.groupBy(F.col("dataset_id").alias("dataset_name"), "split", "model_name", F.floor(F.col("record_index") / 500)).agg(F.collect_list(rec).alias("records")).select(
+        "dataset_name", "split", "model_name", "records").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+    return R.read_cascade_records(spark, path).select("sample_id", "dataset_id", F.md5("text").alias("text_md5"), "score")
 
 
 @query("read_wide_prompts", "latest", """SELECT dataset_id AS dataset, record_index AS index, sum(score) AS total FROM latest GROUP BY ALL""")
@@ -122,7 +125,7 @@ def _(spark, d):
     return rounded(R.list_runs(_with_path(spark, d).drop("run_ts").withColumnRenamed("run_stamp", "run_ts")))
 
 
-_FP = """, h AS (SELECT lang AS dataset_id, 'test' AS split, sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), coalesce(source, chr(0)), coalesce(text, chr(0)))) AS h FROM documents),
+_FP = """, h AS (SELECT lang AS dataset_id, 'test' AS split, sha256(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR) || coalesce(length(source) || ':' || source, '-') || coalesce(length(text) || ':' || text, '-')) AS h FROM documents),
  f AS (SELECT dataset_id, split, count(*) AS n_items, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), """ + ", ".join(
     f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)) + ")) AS fingerprint FROM h GROUP BY ALL)"
 

@@ -94,11 +94,11 @@ def _(spark, d):
     return rounded(v.select("vec_id", F.posexplode(z).alias("pos", "z")).select("vec_id", "pos", "z.p", "z.s"), 6)
 
 
-@query("kendall_similarity", "", """, e AS (SELECT vec_id, i, x FROM (SELECT vec_id, unnest(embedding[1:12]) AS x, generate_subscripts(embedding[1:12], 1) AS i FROM embeddings)),
+@query("kendall_similarity", "", """, e AS (SELECT vec_id, i, x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
  p AS (SELECT a.vec_id, a.i AS i, a.x AS x, b.x AS y FROM e a JOIN e b ON b.vec_id = a.vec_id - 1 AND b.i = a.i)
-SELECT p.vec_id, round(1 - count(*) FILTER ((p.x < q.x AND p.y > q.y) OR (p.x > q.x AND p.y < q.y)) / 66.0, 6) AS tau FROM p JOIN p q ON q.vec_id = p.vec_id AND q.i > p.i GROUP BY 1""".replace("/ 66.0", "/ CAST(66 AS DOUBLE)"))
+SELECT p.vec_id, round(1 - count(*) FILTER ((p.x < q.x AND p.y > q.y) OR (p.x > q.x AND p.y < q.y)) / 2016.0, 6) AS tau FROM p JOIN p q ON q.vec_id = p.vec_id AND q.i > p.i GROUP BY 1""".replace("/ 2016.0", "/ CAST(2016 AS DOUBLE)"))
 def _(spark, d):
-    e = V.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 12).alias("a"))
+    e = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("a"))
     j = e.join(e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
     return rounded(j.select("vec_id", S.kendall_similarity(F.col("a"), F.col("b")).alias("tau")), 6)
 

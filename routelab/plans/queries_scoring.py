@@ -56,7 +56,8 @@ golden("score_multiple_choice", ["dataset_id", "output", "answer"], P, [
     ("arcc", "{t}\nAnswer: B", "B", "B", 1), ("arcc", "{t}\nanswer: $c.", "C", "c", 0),
     ("mmlupro", "Answer: A {t}\nAnswer: J", "J", "J", 1), ("arcc", "{t} so \\boxed{D}", "D", "D", 1),
     ("winogrande", "{t}\nAnswer: A", "1", "A", 1), ("winogrande", "{t}\nAnswer: A", "2", "A", 0),
-    ("gpqa", "B", "B", "B", 1), ("medqa", "{t}\nFinal Answer\n\n C", "C", "C", 1)], G.score_multiple_choice)
+    ("arcc", "{t}\nAnswer: E", "E", "E", 1), ("brainteaser", "{t}\nAnswer: E", "E", "E", 1), ("truthfulqa", "{t}\nAnswer: E\nFinal Answer\n\n D", "D", "D", 1),
+    ("arcc", "\n\tB", "B", "B", 1), ("arcc", "{t}\nAnswer: A", "1", "A", 0), ("gpqa", "B", "B", "B", 1), ("medqa", "{t}\nFinal Answer\n\n C", "C", "C", 1)], G.score_multiple_choice)
 
 golden("score_math", ["output", "answer"], P, [
     ("{t} \\boxed{\\frac12}", "\\frac{1}{2}", "\\frac12", 1), ("{t} \\boxed{0.5}", "1/2", "0.5", 1),
@@ -73,7 +74,8 @@ golden("score_logic_assignment", ["output", "answer"], {"ratio": "DOUBLE", "reas
     ("{t}\nCONCLUSION:\n(1) Ann is a knight.\n(2) Bob is a knave.\n### Reason x", "(1) Ann is a knight\n(2) Bob is a knave", 1, "", 1),
     ("{t}\nCONCLUSION:\n(1) Ann is a Knight.\n(2) Bob is a knight.", "(1) Ann is a knight\n(2) Bob is a knave", 0.5, "wrong_identity", 0),
     ("{t}\nCONCLUSION:\n(1) Ann is a knight.\n(2) Bob is a knave.\n(3) Cy is a knave.", "(1) Ann is a knight\n(2) Bob is a knave", 0, "beyond_list", 0),
-    ("{t}\nCONCLUSION:\nif (1) Ann is a knight", "(1) Ann is a knight\n(2) Bob is a knave", 0, "contain_if", 0)], G.score_logic_assignment)
+    ("{t}\nCONCLUSION:\nif (1) Ann is a knight", "(1) Ann is a knight\n(2) Bob is a knave", 0, "contain_if", 0),
+    ("{t}\nCONCLUSION:\nnobody", "", 0, "wrong_identity", 0)], G.score_logic_assignment)
 
 
 @query("vote_assignments", "", """SELECT source, CASE WHEN a >= b THEN 'Ann:knight;Bob:knave' ELSE 'Ann:knave;Bob:knave' END AS assignment, greatest(a, b) AS votes,
@@ -96,6 +98,8 @@ golden("score_rule_tasks", ["question_type", "rule_id", "idx", "output", "answer
     ("puzzle", "3", "1", "[[b, A]] {t}", "[[a b]]", 1), ("puzzle", "4", "1", "[[CA]] {t}", "[[cat]]", 1),
     ("puzzle", "5", "1", "[[2, 1]] {t}", "[[1,2]]", 1), ("puzzle", "9", "1", "[[1 + 2 × 3 = 7]] {t}", "[[4 + 1 * 3 = 7]]", 1),
     ("puzzle", "9", "1", "[[1 - 2 × 3 = 7]] {t}", "[[4 + 1 * 3 = 7]]", 0), ("puzzle", "10", "1", "[[4*6 = 24]] {t}", "[[6*4=24]]", 1),
+    ("puzzle", "10", "1", "[[(5-1)*6=24]] {t}", "[[6*(5-1)=24]]", 1), ("puzzle", "10", "1", "[[6/(1-3/4)=24]] {t}", "[[6/(1-3/4)=24]]", 1), ("puzzle", "10", "1", "[[(5-1)*(6=24]]", "[[6*(5-1)=24]]", 0),
+    ("puzzle", "9", "1", "[[((1+2) × 3)=9]] {t}", "[[4 + 1 * 3 = 9]]", 1), ("puzzle", "9", "1", "[[1+2*(3-6)=-5]]", "[[9 + 2 * 3 - 6 = -5]]", 1),
     ("puzzle", "18", "1", "[[1, 2]] {t}", "[[12]]", 1), ("puzzle", "20", "1", "[[x-y]] {t}", "[[x y]]", 1),
     ("cipher", "1", "1", "[[ HI ]] {t}", "[[HI]]", 1), ("cipher", "1", "1", "no brackets", "[[HI]]", 0)], G.score_rule_tasks)
 

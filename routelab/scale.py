@@ -123,8 +123,3 @@ def with_models(prompts: DataFrame, models: Sequence[str], out: str = "model_nam
     """Every prompt once per model, from an array literal: no join and no broadcast."""
     return prompts.withColumn(out, F.explode(F.array(*[F.lit(m) for m in models])))
 
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Rows over all cores by a key hash when the input has few splits (one small file); otherwise unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key or df.columns[0]) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from routelab.sources.runs import ROWS_PER_FILE, dealt_by
+
 L = F.lit
 
 WIDE_TEXT = ("query string, dataset string, index bigint, records map<string,string>, "
@@ -43,7 +45,8 @@ def explode_wide_prompts(wide: DataFrame, split: str) -> DataFrame:
 
 
 def write_training_sets(df: DataFrame, path: str, fmt: str = "json", by: Sequence[str] | None = None, mode: str = "overwrite") -> None:
-    w = df.write.mode(mode)
+    # a folder's rows go to a few tasks, so that it gets files of a useful size
+    w = (dealt_by(df, by) if by else df).write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE)
     if by:
         w = w.partitionBy(*by)
     if fmt == "csv":
@@ -59,8 +62,8 @@ def read_item_shards(spark: SparkSession, paths: Sequence[str], schema: str | T.
     return spark.read.schema(schema).format(fmt).load(list(paths))
 
 
-def unify_qa(sources: Sequence[tuple[DataFrame, str, Column, Column, str, str]], sample_size: int | None = 60, order: str = "id") -> DataFrame:
-    """(frame, task, query, ground truth, metric, description) per source -> one table, first ``sample_size`` rows each."""
+def unify_qa(sources: Sequence[tuple[DataFrame, str, Column, Column, str, str]], sample_size: int | None = None, order: str = "id") -> DataFrame:
+    """(frame, task, query, ground truth, metric, description) per source -> one table; with ``sample_size`` the first rows of each only."""
     parts = []
     for df, task, query, truth, metric, text in sources:
         d = df if sample_size is None else df.orderBy(order).limit(sample_size)

@@ -8,6 +8,7 @@ folders, so a run of any size is written and read by many tasks, and filters pru
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,9 +73,11 @@ def filter_runs(runs: DataFrame, *, skip_demo: bool = True, datasets: Sequence[s
 
 
 def keep_latest_run(runs: DataFrame, keys: Sequence[str] = RUN_KEYS, ts: str = "run_ts", tie: str = "path") -> DataFrame:
-    """Rows of the newest run per key. The newest stamp is an aggregate; rows are matched by it, not ranked."""
+    """Rows of the newest run per key; a null in a key is a value of its own. The newest stamp is an aggregate; rows are matched by it, not ranked."""
     newest = runs.groupBy(*keys).agg(F.max(F.struct(ts, tie)).alias("_m")).select(*keys, F.col(f"_m.{ts}").alias(ts), F.col(f"_m.{tie}").alias(tie))
-    return runs.join(newest, [*keys, ts, tie], "left_semi")
+    wanted = newest.select(*[F.col(c).alias(f"_n_{c}") for c in (*keys, ts, tie)])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in (*keys, ts, tie)])
+    return runs.join(wanted, same, "left_semi")
 
 
 def normalize_records(runs: DataFrame) -> DataFrame:
@@ -132,13 +135,22 @@ def cascade_records(records: DataFrame) -> DataFrame:
         "text", "score", "cost")
 
 
+ROWS_PER_FILE = 1_000_000
+SALTS = 8
+
+
+def dealt_by(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt by folder keys and a salt: a folder is written by ``SALTS`` tasks at most, however many tasks read the input."""
+    return rows.repartition(*[F.col(k) for k in keys], F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t]), L(SALTS)))
+
+
 def write_runs(records: DataFrame, path: str, run_ts: str, mode: str = "append") -> None:
     """Records as JSON lines per run folder, and the run headers as a table next to them.
 
     Spark's commit protocol moves finished files into place; no run is packed into one row.
     """
     stamped = records.withColumn("run_ts", L(run_ts))
-    stamped.write.mode(mode).partitionBy("dataset_id", "split", "model_name", "run_ts").json(f"{path}/records")
+    dealt_by(stamped, [*RUN_KEYS, "run_ts"]).write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("dataset_id", "split", "model_name", "run_ts").json(f"{path}/records")
     run_aggregates(records).withColumn("run_ts", L(run_ts)).write.mode(mode).json(f"{path}/headers")
 
 
@@ -159,12 +171,13 @@ def list_runs(runs: DataFrame) -> DataFrame:
 def fingerprint(items: DataFrame, keys: Sequence[str] = ("dataset_id", "split")) -> DataFrame:
     """A digest of all rows of a split that does not depend on their order.
 
-    Each row is hashed (columns in name order) and the hash parts are summed, so any number of rows combines
-    map-side; the sums and the count are hashed once more. Equal multisets of rows, and only those, agree.
+    Each row is hashed with the length of every value (columns in name order, so no two different rows read alike) and the hash parts are
+    summed as decimals, so any number of rows combines map-side; the sums and the count are hashed once more.
     """
     body = sorted(c for c in items.columns if c not in keys)
-    row = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), L("\u0000")) for c in body]), 256)
-    part = lambda i: F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("bigint"))
+    value = lambda c: F.coalesce(F.concat(F.length(c), L(":"), c), L("-"))
+    row = F.sha2(F.concat(*[value(F.col(c).cast("string")) for c in body]), 256)
+    part = lambda i: F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)"))
     g = items.withColumn("_h", row).groupBy(*keys).agg(F.count("*").alias("n_items"), *[part(i).alias(f"_p{i}") for i in range(8)])
     return g.select(*keys, "n_items", F.sha2(F.concat_ws(":", "n_items", *[f"_p{i}" for i in range(8)]), 256).alias("fingerprint"))
 

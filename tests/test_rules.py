@@ -250,6 +250,49 @@ def test_cascade_falls_back_to_the_last_available(spark):
     assert cascade.cascade_search(df, 0.5, 1) is None
 
 
+def test_cascade_searches_every_order(spark):
+    """19 models at depth 3 have 5,814 orders; only one of them is good, and a sample without its last model is left out."""
+    names = [f"m{i:02d}" for i in range(19)]
+    rows = []
+    for k in range(4):
+        for m in names:
+            good = m == {0: "m17", 1: "m03"}.get(k, "m11")
+            rows.append(("d", f"s{k}", m, int(good), 0.9 if good else 0.1, 1.0))
+    df = spark.createDataFrame(rows, "dataset_id string, sample_id string, model_name string, label int, probability double, cost double")
+    assert cascade._routes(df, 3, None).select("order").distinct().count() == 19 * 18 * 17
+    got = cascade.cascade_search(df, 100.0, 3, grid=2)
+    assert sorted(got.order) == ["m03", "m11", "m17"] and got.accuracy == 1.0
+    assert cascade.cascade_search(df, 100.0, 3, order=["m17", "nobody", "m03", "m11"], grid=2).order == ["m17", "m03", "m11"]
+
+
+def test_upsampling_has_one_rule(spark):
+    rows = [(i, i < 3, 3 <= i < 10) for i in range(12)]
+    df = spark.createDataFrame(rows, "id bigint, a boolean, b boolean")
+    for major, minor, n in (("a", "b", 3), ("b", "a", 7)):
+        got = splits.upsample_minority(df, major, minor, "id")
+        assert got.where(major).count() == n and got.where(minor).count() == n and got.count() == 2 * n
+    assert splits.upsample_minority(df.where("not a"), "b", "a", "id").count() == 7
+
+
+def test_fingerprint_tells_rows_apart(spark):
+    make = lambda rows: runs.fingerprint(spark.createDataFrame([("d", "t", *r) for r in rows], "dataset_id string, split string, x string, y string")).first()["fingerprint"]
+    prints = [make([r]) for r in (("a\u001fb", "c"), ("a", "b\u001fc"), (None, "c"), ("null", "c"), ("", "c"))]
+    assert len(set(prints)) == 5
+    assert make([("a", "b"), ("c", "d")]) == make([("c", "d"), ("a", "b")])
+
+
+def test_latest_run_keeps_null_keys(spark):
+    df = spark.createDataFrame([("d", None, "m", 1, "p"), ("d", None, "m", 2, "q"), ("d", "t", "m", 1, "r")], "dataset_id string, split string, model_name string, run_ts bigint, path string")
+    assert sorted(r["path"] for r in runs.keep_latest_run(df).collect()) == ["q", "r"]
+
+
+def test_writer_file_count(spark, tmp_path):
+    df = spark.range(4000).repartition(16).selectExpr("id", "cast(id % 3 as string) g", "map('a', id) m")
+    prompts.write_training_sets(df, str(tmp_path / "x"), "parquet", by=["g"])
+    for g in range(3):
+        assert len(list((tmp_path / "x" / f"g={g}").glob("*.parquet"))) <= runs.SALTS
+
+
 # routers
 
 def test_cluster_routing_beats_every_single_model(spark, sf):
