@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,11 +13,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Interaction, OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routelab.functions.similarity import l2_normalize
-from routelab.operators.splits import cost_percentile, rank_models_in_cluster, tie_labels, top_k_experts
+from routelab.operators.splits import cost_percentile, rank_models_in_cluster, tie_labels
 from routelab.operators.stats import best_first
 from routelab.operators.tradeoffs import balance_score, cluster_metrics, pareto_join
 
@@ -50,8 +51,8 @@ def _centers(spark: SparkSession, model) -> DataFrame:
     return spark.createDataFrame(rows, "cluster_id int, center array<double>")
 
 
-def assign_nearest_centroid(vectors: DataFrame, centers: DataFrame, top_k: int = 1, vector: str = "embedding") -> DataFrame:
-    """Adds (cluster_id, distance = 1 - q.c, place) for the ``top_k`` nearest centres; ties by cluster id.
+def _nearest(centers: DataFrame, top_k: int, vector: str) -> Column:
+    """array<struct<c: cluster id, d: distance 1 - q.c>> of the ``top_k`` nearest centres; ties by cluster id.
 
     Centres are model parameters and travel with the function: each Arrow batch of vectors is one matrix product,
     nothing is joined or multiplied out.
@@ -68,8 +69,13 @@ def assign_nearest_centroid(vectors: DataFrame, centers: DataFrame, top_k: int =
         top = np.argsort(d, axis=1, kind="stable")[:, :top_k]
         near = np.take_along_axis(d, top, 1)
         return pd.Series([[{"c": int(ids[j]), "d": float(y)} for j, y in zip(js, ys)] for js, ys in zip(top, near)])
+    return nearest(F.col(vector))
+
+
+def assign_nearest_centroid(vectors: DataFrame, centers: DataFrame, top_k: int = 1, vector: str = "embedding") -> DataFrame:
+    """Adds (cluster_id, distance = 1 - q.c, place) for the ``top_k`` nearest centres; ties by cluster id."""
     return vectors.where(F.col(vector).isNotNull()).select(
-        *vectors.columns, F.posexplode(nearest(F.col(vector))).alias("place", "_x")).select(
+        *vectors.columns, F.posexplode(_nearest(centers, top_k, vector)).alias("place", "_x")).select(
         *vectors.columns, F.col("_x.c").alias("cluster_id"), F.col("_x.d").alias("distance"), (F.col("place") + 1).alias("place"))
 
 
@@ -85,17 +91,28 @@ def fit_cluster_router(train: DataFrame, vectors: DataFrame, n_clusters: int = 3
 
 def route_by_cluster(queries: DataFrame, model: RouterModel, top_k: int = 1, beta: float = 9.0, max_router: int = 1,
                      keys: Sequence[str] = ("dataset_id", "record_index"), vector: str = "embedding") -> DataFrame:
-    """Model score = sum over the nearest clusters of softmax(-beta d) / rank; the best ``max_router`` are selected."""
-    near = assign_nearest_centroid(queries, model.centers, top_k, vector).select(*keys, "cluster_id", "distance")
-    lists = model.ranking.groupBy("cluster_id").agg(F.collect_list(F.struct("model_name", "rank")).alias("r"))
-    j = near.join(lists, "cluster_id")
-    # weights are normalised over all nearest clusters before clusters without a ranking drop out
-    total = near.groupBy(*keys).agg(F.min("distance").alias("_d0"), F.collect_list("distance").alias("_ds"))
-    weight = F.exp(-L(beta) * (F.col("distance") - F.col("_d0"))) / F.aggregate(
-        "_ds", L(0.0), lambda s, x: s + F.exp(-L(beta) * (x - F.col("_d0"))))
-    scored = j.join(total, list(keys)).select(*keys, weight.alias("w"), F.explode("r").alias("r")).groupBy(*keys, F.col("r.model_name").alias("model_name")).agg(
-        F.round(F.sum(F.col("w") / F.col("r.rank")), 12).alias("expert_score"))
-    return top_k_experts(scored, max_router, keys)
+    """Model score = sum over the nearest clusters of softmax(-beta d) / rank; the best ``max_router`` are selected.
+
+    The ranking (clusters x models) is a parameter, so a query is scored in its own row, without a join or a shuffle. Weights are
+    normalised over all nearest clusters before clusters without a ranking drop out.
+    """
+    lists: dict[str, list[dict]] = {}
+    for r in model.ranking.select("cluster_id", "model_name", "rank").collect():
+        lists.setdefault(str(r["cluster_id"]), []).append({"m": r["model_name"], "r": r["rank"]})
+    ranking = F.from_json(L(json.dumps(lists)), "map<string,array<struct<m:string,r:int>>>")
+    near = queries.where(F.col(vector).isNotNull()).select(*keys, _nearest(model.centers, top_k, vector).alias("near"))
+    first = F.element_at("near", 1)["d"]
+    pull = F.transform("near", lambda x: F.struct(x["c"].cast("string").alias("c"), F.exp(-L(beta) * (x["d"] - first)).alias("w")))
+    weighed = near.select(*keys, pull.alias("pull")).withColumn("total", F.aggregate("pull", L(0.0), lambda acc, x: acc + x["w"]))
+    parts = F.flatten(F.transform("pull", lambda x: F.transform(F.coalesce(F.try_element_at(ranking, x["c"]), F.array()), lambda y: F.struct(
+        y["m"].alias("m"), (x["w"] / F.col("total") / y["r"]).alias("s")))))
+    scored = weighed.select(*keys, parts.alias("parts"))
+    names = F.array_distinct(F.transform("parts", lambda x: x["m"]))
+    sums = F.transform(names, lambda m: F.struct(
+        (-F.round(F.aggregate(F.filter("parts", lambda x: x["m"] == m), L(0.0), lambda acc, x: acc + x["s"]), 12)).alias("s"), m.alias("m")))
+    best = F.slice(F.array_sort(sums), 1, max_router)
+    return scored.select(*keys, F.posexplode(best).alias("_at", "_b")).select(
+        *keys, F.col("_b.m").alias("model_name"), (-F.col("_b.s")).alias("expert_score"), (F.col("_at") + 1).alias("rank"))
 
 
 def fit_balance_router(assigned: DataFrame, performance_weight: float = 0.7, cost_sensitivity: float = 0.3,

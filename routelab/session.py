@@ -15,6 +15,8 @@ def local_session(cores: int | str = 8, app: str = "routelab", memory: str | Non
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory or os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
+        # small local files have one split each: deal their rows to the local cores
+        .config("spark.routelab.dealInputs", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
