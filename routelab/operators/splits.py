@@ -26,10 +26,9 @@ def split_by_prompt(records: DataFrame, train_ratio: float = 0.8, seed: int = 42
     if not 0.0 < train_ratio < 1.0:
         raise ValueError("train_ratio must lie strictly between 0 and 1")
     prompts = records.select("dataset_id", "prompt").distinct()
-    ranked = shuffled_rank(prompts, ["dataset_id"], ["prompt"], seed, "_rn", hash_keys=["dataset_id", "prompt"])
-    total = prompts.groupBy("dataset_id").agg(F.count("*").alias("_n"))
+    ranked = shuffled_rank(prompts, ["dataset_id"], ["prompt"], seed, "_rn", hash_keys=["dataset_id", "prompt"], total="_n")
     ood = F.col("dataset_id").isin(list(ood_datasets)) if ood_datasets else F.lit(False)
-    flags = join_null_safe(ranked, total, ["dataset_id"]).select(
+    flags = ranked.select(
         "dataset_id", "prompt", (~ood & (F.col("_rn") <= _cut(train_ratio, F.col("_n")))).alias("is_train"))
     return join_null_safe(records, flags, ["dataset_id", "prompt"])
 
@@ -39,9 +38,8 @@ def split_by_record(records: DataFrame, train_ratio: float = 0.8, seed: int = 42
     """Row-level split inside each dataset; ``keys`` identify a row of a dataset."""
     if not 0.0 < train_ratio < 1.0:
         raise ValueError("train_ratio must lie strictly between 0 and 1")
-    ranked = shuffled_rank(records, ["dataset_id"], list(keys), seed, "_rn", hash_keys=["dataset_id", *keys])
-    total = records.groupBy("dataset_id").agg(F.count("*").alias("_n"))
-    return join_null_safe(ranked, total, ["dataset_id"]).withColumn(
+    ranked = shuffled_rank(records, ["dataset_id"], list(keys), seed, "_rn", hash_keys=["dataset_id", *keys], total="_n")
+    return ranked.withColumn(
         "is_train", F.col("_rn") <= _cut(train_ratio, F.col("_n"))).drop("_rn", "_n")
 
 
@@ -49,8 +47,7 @@ def split_sequential(edges: DataFrame, ratio: Sequence[float] = (0.7, 0.1, 0.2),
                      index: str = "record_index") -> DataFrame:
     """Per task in index order: first part train, next part val, rest test; adds ``part``."""
     questions = edges.select(task, index).distinct()
-    total = questions.groupBy(task).agg(F.count("*").alias("_n"))
-    ranked = join_null_safe(ordered_rank(questions, [task], [index], "_rn"), total, [task])
+    ranked = ordered_rank(questions, [task], [index], "_rn", total="_n")
     n, rn = F.col("_n"), F.col("_rn")
     train, val = _cut(ratio[0], n), _cut(ratio[1], n)
     flags = ranked.select(task, index, F.when(rn <= train, "train").when(rn <= train + val, "val")
@@ -60,13 +57,11 @@ def split_sequential(edges: DataFrame, ratio: Sequence[float] = (0.7, 0.1, 0.2),
 
 def split_shuffled_80_10_10(df: DataFrame, keys: Sequence[str], seed: int = 1) -> DataFrame:
     """One shuffle of the whole set, then cut; ``keys`` identify a row."""
-    ranked = shuffled_rank(df, [], list(keys), seed, "_rn")
-    total = df.agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
-    j = ranked.withColumn("_one", F.lit(1)).join(total, "_one")
+    j = shuffled_rank(df, [], list(keys), seed, "_rn", total="_n")
     rn, n = F.col("_rn"), F.col("_n")
     train, val = _cut(0.8, n), _cut(0.1, n)
     return j.withColumn("part", F.when(rn <= train, "train").when(rn <= train + val, "val").otherwise("test")) \
-        .drop("_rn", "_n", "_one")
+        .drop("_rn", "_n")
 
 
 def candidate_ranks(df: DataFrame, score: str = "score", keys: Sequence[str] = ("id",), index: str = "idx") -> DataFrame:

@@ -40,8 +40,11 @@ def seeded_hash(seed: int | str, *keys: str | Column) -> Column:
 
 
 def _running(buckets: DataFrame, partition: Sequence[str], order: Sequence[Column], bucket: str,
-             aggs: dict[str, tuple[str, str]]) -> DataFrame:
-    """Running aggregates over ordered buckets; ``aggs`` maps output -> (count|sum|max|min, column)."""
+             aggs: dict[str, tuple[str, str]], total: str | None = None) -> DataFrame:
+    """Running aggregates over ordered buckets; ``aggs`` maps output -> (count|sum|max|min, column).
+
+    ``total`` names a column for the whole group's value of the first aggregate (a count or sum); it comes from the same small bucket table.
+    """
     partition = list(partition)
     make = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
     per_bucket = buckets.groupBy(*partition, bucket).agg(
@@ -50,10 +53,11 @@ def _running(buckets: DataFrame, partition: Sequence[str], order: Sequence[Colum
     carry = per_bucket.select(
         *partition, bucket,
         *[(F.sum if fn in ("count", "sum") else make[fn])(f"_t_{out}").over(before).alias(f"_c_{out}")
-          for out, (fn, _) in aggs.items()])
+          for out, (fn, _) in aggs.items()],
+        *([F.sum(f"_t_{next(iter(aggs))}").over(Window.partitionBy(*partition)).alias("_total")] if total else []))
     # null-safe join keys: a null group is a group too
     keys = partition + [bucket]
-    right = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_c_{o}" for o in aggs])
+    right = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_c_{o}" for o in aggs], *(["_total"] if total else []))
     cond = None
     for i, k in enumerate(keys):
         this = F.col(k).eqNullSafe(F.col(f"_k{i}"))
@@ -71,11 +75,11 @@ def _running(buckets: DataFrame, partition: Sequence[str], order: Sequence[Colum
         else:
             result.append(F.least(carried, local).alias(out))
     kept = [F.col(c) for c in buckets.columns if c != bucket]
-    return joined.select(*kept, *result)
+    return joined.select(*kept, *result, *([F.col("_total").alias(total)] if total else []))
 
 
 def ordered_running(df: DataFrame, partition: Sequence[str], order: Sequence[str | Column],
-                    aggs: dict[str, tuple[str, str]]) -> DataFrame:
+                    aggs: dict[str, tuple[str, str]], total: str | None = None) -> DataFrame:
     """Running aggregates (current row included) along ``order`` inside ``partition``.
 
     ``order`` must be unique inside a group. Rows are range-partitioned on (partition, order), so a hot group
@@ -83,25 +87,25 @@ def ordered_running(df: DataFrame, partition: Sequence[str], order: Sequence[str
     """
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     ranged = stable(df.repartitionByRange(*[F.col(p) for p in partition], *cols))
-    return _running(ranged.withColumn("_bucket", F.spark_partition_id()), partition, cols, "_bucket", aggs)
+    return _running(ranged.withColumn("_bucket", F.spark_partition_id()), partition, cols, "_bucket", aggs, total)
 
 
-def ordered_rank(df: DataFrame, partition: Sequence[str], order: Sequence[str | Column], out: str = "rn") -> DataFrame:
-    """1-based position along ``order`` inside ``partition``."""
-    return ordered_running(df, partition, order, {out: ("count", "*")})
+def ordered_rank(df: DataFrame, partition: Sequence[str], order: Sequence[str | Column], out: str = "rn", total: str | None = None) -> DataFrame:
+    """1-based position along ``order`` inside ``partition``; ``total`` names a column for the group's size."""
+    return ordered_running(df, partition, order, {out: ("count", "*")}, total)
 
 
 def shuffled_rank(df: DataFrame, partition: Sequence[str], keys: Sequence[str], seed: int | str,
-                  out: str = "rn", hash_keys: Sequence[str] | None = None) -> DataFrame:
+                  out: str = "rn", hash_keys: Sequence[str] | None = None, total: str | None = None, digits: int = 3) -> DataFrame:
     """1-based position in a seeded pseudo-random order inside ``partition``; ``keys`` identify a row.
 
-    The md5 text is uniform, so its first three hex digits are 4,096 even, ordered buckets per group: no
-    sampling, no checkpoint.
+    The md5 text is uniform, so its first ``digits`` hex digits are 16 ** digits even, ordered buckets per group: no sampling, no
+    checkpoint. More digits suit groups of more rows. ``total`` names a column for the group's size.
     """
     d = df.withColumn("_h", seeded_hash(seed, *(hash_keys or keys)))
-    d = d.withColumn("_bucket", F.substring("_h", 1, 3))
+    d = d.withColumn("_bucket", F.substring("_h", 1, digits))
     order = [F.col("_h"), *[F.col(k) for k in keys]]
-    return _running(d, partition, order, "_bucket", {out: ("count", "*")}).drop("_h")
+    return _running(d, partition, order, "_bucket", {out: ("count", "*")}, total).drop("_h")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
