@@ -20,6 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +54,12 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
     left = np.repeat(ends, sizes) - np.arange(n)
     need = _bits(ids)
-    least = int(need.min()) if n else 0
+    upto = np.cumsum(np.bincount(need, minlength=65))
     # per layout: whether the ids from i on fit it, from a running count of those that do not
     choice = np.full(n, ESCAPE, dtype=np.int8)
     for s in range(len(LAYOUTS) - 1, -1, -1):
         count, bits = LAYOUTS[s]
-        if count > n or bits < least:
+        if upto[bits] < count:
             continue
         bad = np.zeros(n + 1, dtype=np.int32)
         np.cumsum(need > bits, out=bad[1:])
@@ -85,9 +86,8 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for j in range(count if bits else 0):
                 word |= ids[mine + j] << np.uint64(j * bits)
         words[slot[hit]] = word
-    upto = np.searchsorted(at, ends)
-    upto = upto + escapes[upto]
-    return words, np.diff(upto, prepend=0)
+    until = np.searchsorted(at, ends)
+    return words, np.diff(until + escapes[until], prepend=0)
 
 
 def decode(words: np.ndarray) -> np.ndarray:
@@ -170,7 +170,11 @@ def read_block(data: bytes, block: int) -> np.ndarray:
 _encoders: dict[str, WordIds] = {}
 CACHE_WORDS = 800_000
 _ASCII_WHITE = re.compile(r"[ \t\n\r\x0b\x0c]+")
-_ODD = re.compile(r"[\x1c-\x1f]")
+# white space to str.split, but not ASCII white space
+_WIDE = re.compile("[^\x00-\u024f]")
+# a full stop or comma before white space that does not follow a letter or digit
+_MARKS = re.compile("(?:^|[^a-z0-9\u00df-\u00f6\u00f8-\u024f])[.,][ \n]")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class WordIds:
@@ -190,50 +194,84 @@ class WordIds:
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ("", ".", ",")}
+        self.marks = {"": -1} | {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"}
 
-    def _library(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids by the library. Words of letters only go in long texts, a word's last token carries the end mark; others go one by one."""
+    def _add(self, words: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.flat, self.counts = np.concatenate([self.flat, flat.astype(np.uint32)]), np.concatenate([self.counts, counts])
+
+    def _library(self, words: list[str]) -> None:
+        """Ids by the library. Words of letters only go in long texts, where a word's last token carries the end mark; others go one by one."""
         plain = [w for w in words if w.isalpha()]
-        out: dict[str, list[int]] = {}
+        rest = [w for w in words if not w.isalpha()]
+        done, counts, flat = [], [], []
         texts = [plain[i:i + 500] for i in range(0, len(plain), 500)]
         for mine, got in zip(texts, self.tokenizer.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)):
-            ids = got.ids
-            cuts = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            ids = np.array(got.ids, dtype=np.int64)
+            cuts = np.flatnonzero(self.last[ids]) + 1
             if len(cuts) == len(mine):
-                out.update((w, ids[x:y]) for w, x, y in zip(mine, [0, *cuts], cuts))
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
-        if not new:
-            return
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.flat, self.starts, self.counts = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            new = list(dict.fromkeys(words))
+                done += mine
+                counts.append(np.diff(cuts, prepend=0))
+                flat.append(ids)
+            else:
+                rest += mine
+        if rest:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            done += rest
+            counts.append(np.array([len(g) for g in got], dtype=np.int64))
+            flat.append(np.array([i for g in got for i in g], dtype=np.int64))
+        if done:
+            self._add(done, np.concatenate(counts), np.concatenate(flat))
+
+    def _learn(self, new: list[str]) -> None:
         # a full stop or comma after a letter or digit is a token of its own; ASCII case is folded by the library anyway
-        parts = [(w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalnum() else (w, "") for w in new]
+        parts = [(w[:-1], w[-1]) if w[-1] in ".," and w[-2:-1].isalnum() and w[-2:-1].isascii() else (w, "") for w in new]
         stems = [p.lower() if p.isascii() else p for p, _ in parts]
-        got = {w: self.flat[self.starts[i]:self.starts[i] + self.counts[i]].tolist() for w in dict.fromkeys(stems) if (i := self.known.get(w)) is not None}
-        got.update(self._library([w for w in dict.fromkeys(stems) if w not in got]))
-        ids = [got[s] + self.marks[m] for s, (_, m) in zip(stems, parts)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        counts = np.array([len(g) for g in ids], dtype=np.int64)
-        flat = np.fromiter((i for g in ids for i in g), dtype=np.uint32, count=int(counts.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+        self._library([w for w in dict.fromkeys(stems) if w not in self.known])
+        made = [(w, s, m) for w, s, (_, m) in zip(new, stems, parts) if w not in self.known]
+        at = np.array([self.known[s] for _, s, _ in made], dtype=np.int64)
+        mark = np.array([self.marks[m] for _, _, m in made], dtype=np.int64)
+        stem = self.counts[at]
+        counts = stem + (mark >= 0)
+        ends = np.cumsum(counts)
+        flat = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        flat[ends[mark >= 0] - 1] = mark[mark >= 0]
+        inside = np.arange(int(stem.sum())) - np.repeat(np.cumsum(stem) - stem, stem)
+        flat[np.repeat(ends - counts, stem) + inside] = self.flat[np.repeat(self.starts[at], stem) + inside]
+        self._add([w for w, _, _ in made], counts, flat)
+
+    def _find(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """Words between ASCII white space, in a form that the library gives the same ids."""
+        if _ODD.search(text):
+            return [w for w in _ASCII_WHITE.split(text) if w]
+        if not _WIDE.search(text):
+            # for Latin letters the library's case folding is that of Python; a mark after a letter or digit is a token of its own
+            text = text.lower()
+            if not _MARKS.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        return text.split()
 
     def encode(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
-        split = [t.split() if t.isascii() and not _ODD.search(t) else [w for w in _ASCII_WHITE.split(t) if w] for t in texts]
+        split = [self._split(t) for t in texts]
         words = [w for s in split for w in s]
-        self._learn(words)
-        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        at = self._find(words)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unseen = list(dict.fromkeys(words[i] for i in new.tolist()))
+            if len(self.known) + 2 * len(unseen) > CACHE_WORDS:
+                self.known, self.flat, self.starts, self.counts = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                new, unseen = np.arange(len(words)), list(dict.fromkeys(words))
+            self._learn(unseen)
+            at[new] = self._find([words[i] for i in new.tolist()])
         counts = self.counts[at]
         ends = np.cumsum(counts)
         flat = self.flat[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        cuts = np.concatenate([[0], np.cumsum([len(s) for s in split])])
+        cuts = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
         bounds = np.concatenate([[0], ends])[cuts].tolist()
         tail = np.array([] if end_id is None else [end_id], dtype=np.uint32)
         return [np.concatenate([flat[a:b], tail]) for a, b in zip(bounds, bounds[1:])]
@@ -244,43 +282,38 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
     """Encode every text and write segment files in ascending id order under ``path``.
 
     Null is the empty text and has only the end id. Null ids come first, as the smallest 64-bit number; rows with one id go by the text's
-    hash. Texts are encoded and packed before the shuffle, so only the packed words move.
+    hash. Texts move once, to their range of ids; each task then encodes its rows in order and writes full segments as it goes.
     """
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer_path)
         if encoder is None:
             encoder = _encoders[tokenizer_path] = WordIds(tokenizer_path)
-        for b in it:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = encoder.encode([t or "" for t in part.column(2).to_pylist()], end_id)
-                packed = [(len(i), *p) for i, p in zip(ids, pack_documents(ids))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p[0] for p in packed], pa.int64()), pa.array([p[1] for p in packed], pa.list_(pa.int32())),
-                                                  pa.array([p[2] for p in packed], pa.list_(pa.int32())), pa.array([p[3].astype("<u8").tobytes() for p in packed], pa.binary())],
-                                                 ["doc_id", "tie", "n", "block_words", "block_ids", "words"])
-
-    def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        count, seq = 0, 0
+        count, seq, first = 0, 0, (0, 0)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([held[0][5]], pa.int64()), pa.array([seq], pa.int64()), pa.array([count], pa.int64()),
-                                               pa.array([write_segment([h[:5] for h in held])], pa.binary())], ["first_id", "first_tie", "seq", "n_ids", "data"])
-        for b in it:
-            for i, tie, n, bw, bi, words in zip(*(c.to_pylist() for c in b.columns)):
-                held.append((i, n, bw, bi, words, tie))
-                count += n
-                if count >= segment_ids:
-                    yield out()
-                    held, count, seq = [], 0, seq + 1
+            return pa.RecordBatch.from_arrays([pa.array([first[0]], pa.int64()), pa.array([first[1]], pa.int64()), pa.array([seq], pa.int64()), pa.array([count], pa.int64()),
+                                               pa.array([write_segment(held)], pa.binary())], ["first_id", "first_tie", "seq", "n_ids", "data"])
+
+        for batch in it:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                ids = encoder.encode([t or "" for t in b.column(2).to_pylist()], end_id)
+                for i, tie, own, (words, sizes, raw) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ids, pack_documents(ids)):
+                    if not held:
+                        first = (i, tie)
+                    held.append((i, len(own), words, sizes, raw.astype("<u8").tobytes()))
+                    count += len(own)
+                    if count >= segment_ids:
+                        yield out()
+                        held, count, seq = [], 0, seq + 1
         if held:
             yield out()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), F.col(text_col).alias("text"))
-    packed = rows.mapInArrow(pack, "doc_id bigint, tie bigint, n bigint, block_words array<int>, block_ids array<int>, words binary")
-    dealt = packed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    dealt.mapInArrow(gather, "first_id bigint, first_tie bigint, seq bigint, n_ids bigint, data binary").write.mode("overwrite").option("compression", "none").parquet(path)
+    dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt.mapInArrow(pack, "first_id bigint, first_tie bigint, seq bigint, n_ids bigint, data binary").write.mode("overwrite").option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -304,18 +337,18 @@ def document_index(spark: SparkSession, path: str) -> DataFrame:
 
     A segment's ids are decoded in its task; starts inside it come from its counts, starts of segments from a running sum of their totals.
     """
+    keys = ["first_id", "first_tie", "seq"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for before, data in zip(*(c.to_pylist() for c in b.columns)):
+            for first, tie, seq, data in zip(*(c.to_pylist() for c in b.columns)):
                 docs = list(read_segment(data))
                 n = np.array([len(d[1]) for d in docs], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs], pa.int64()), pa.array(before + np.cumsum(n) - n), pa.array(n),
-                                                  pa.array([zlib.crc32(d[1].astype("<u4").tobytes()) for d in docs], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(docs), pa.int64()) for x in (first, tie, seq)), pa.array([d[0] for d in docs], pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n),
+                                                  pa.array([zlib.crc32(d[1].astype("<u4").tobytes()) for d in docs], pa.int64())], [*keys, "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     files = spark.read.parquet(path)
-    keys = ["first_id", "first_tie", "seq"]
     order = ordered_running(files.select(*keys, "n_ids"), [], keys, {"upto": ("sum", "n_ids")})
     before = stable(order.select(*keys, (F.col("upto") - F.col("n_ids")).alias("before")))
-    placed = files.join(before, keys).select("before", "data")
-    return _null_ids(placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
+    rows = files.select(*keys, "data").mapInArrow(run, "first_id bigint, first_tie bigint, seq bigint, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
+    return _null_ids(rows.join(before, keys).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"))
