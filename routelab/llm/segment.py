@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -64,7 +65,7 @@ class Vocabulary:
                         children.append({})
                     node = children[node][c]
                 at[node] = i
-        self.next = np.zeros((len(children), 256), dtype=np.int32)
+        self.next = np.zeros((len(children), 256), dtype=np.uint16 if len(children) < 1 << 16 else np.int32)
         for n, c in enumerate(children):
             self.next[n, list(c)] = list(c.values())
         self.piece = np.full(len(children), -1, dtype=np.int32)
@@ -93,7 +94,7 @@ class Lattice:
         self.end = self.start + size
         end_of = np.repeat(self.end, size + 1)
         pos = np.flatnonzero(np.arange(len(buf)) < end_of)
-        node, begin, depth = np.zeros(len(pos), dtype=np.int32), pos, 0
+        node, begin, depth = np.zeros(len(pos), dtype=v.next.dtype), pos, 0
         found = []
         while len(pos):
             depth += 1
@@ -102,11 +103,11 @@ class Lattice:
             begin, node = begin[alive], node[alive]
             piece = v.piece[node]
             hit = piece >= 0
-            found.append((begin[hit], np.full(int(hit.sum()), depth, dtype=np.int32), piece[hit]))
+            found.append((begin[hit].astype(np.int32), np.full(int(hit.sum()), depth, dtype=np.int32), piece[hit]))
             more = begin + depth < end_of[begin]
             begin, node = begin[more], node[more]
             pos = begin
-        place, length, piece = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        place, length, piece = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int32) for i in range(3))
         # characters without a piece of their own go as bytes
         inside = np.arange(len(buf)) < end_of
         lead = inside & ((buf & 0xC0) != 0x80)
@@ -118,19 +119,20 @@ class Lattice:
         bare = np.flatnonzero(lead & ~has)
         extra = np.repeat(bare, chars[bare])
         extra = extra + np.arange(len(extra)) - np.repeat(np.cumsum(chars[bare]) - chars[bare], chars[bare])
-        place = np.concatenate([place, extra]).astype(np.int64)
-        length = np.concatenate([length, np.ones(len(extra), dtype=np.int64)]).astype(np.int64)
-        piece = np.concatenate([piece, v.byte_id[buf[extra]]]).astype(np.int64)
-        order = np.lexsort((length, place))
+        place = np.concatenate([place, extra.astype(np.int32)])
+        length = np.concatenate([length, np.ones(len(extra), dtype=np.int32)])
+        piece = np.concatenate([piece, v.byte_id[buf[extra]]])
+        order = np.argsort(place, kind="stable")
         self.place, self.length, self.piece = place[order], length[order], piece[order]
+        del place, length, piece, found, extra
         gain = alpha * v.score[self.piece]
         # sums of what follows, from the ends of the words backwards
-        left = end_of[self.place] - self.place
+        left = (end_of[self.place] - self.place).astype(np.uint16 if size.max() < 1 << 16 else np.int64)
         beta = np.full(len(buf), -np.inf)
         beta[self.end] = 0
         self.q = np.zeros(len(order))
         by = np.argsort(left, kind="stable")
-        cuts = np.flatnonzero(np.diff(left[by], prepend=-1)) if len(by) else []
+        cuts = np.flatnonzero(np.diff(left[by].astype(np.int64), prepend=-1)) if len(by) else []
         for a, b in zip(cuts, [*cuts[1:], len(by)]):
             e = by[a:b]
             value = gain[e] + beta[self.place[e] + self.length[e]]
@@ -146,9 +148,9 @@ class Lattice:
         self.q = np.minimum(self.q, 0.0)
         self.first = np.searchsorted(self.place, np.arange(len(buf) + 1))
         p = np.exp(self.q)
-        run = np.cumsum(p)
-        base = np.concatenate([[0.0], run])[self.first[self.place]]
-        self.upto = run - base
+        del gain, beta, left, by, end_of
+        run = np.concatenate([[0.0], np.cumsum(p)])
+        self.upto = run[1:] - run[self.first[self.place]]
         # the last possible piece of a place takes what rounding leaves
         live = np.flatnonzero(p > 0)
         last = live[np.flatnonzero(np.diff(self.place[live], append=-1))]
@@ -299,6 +301,17 @@ def draw_segmentations(texts: list[bytes], keys: np.ndarray, v: Vocabulary, draw
     return out
 
 
+def _drawn(it: Iterator[pa.RecordBatch], model_path: str, draws: int, alpha: float, seed: int) -> Iterator[tuple[list[pa.Array], list[np.ndarray]]]:
+    """For each slice of the batches (doc_id, text): the columns doc_id, draw, log_prob, perturbed, inclusion, and the ids."""
+    v = vocabulary(model_path)
+    for batch, texts in tb.batches(it, most=CHUNK):
+        i = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+        keys = tb.mix64(i.view(np.uint64) + np.uint64(seed * int(_C[1]) % (1 << 64)))
+        rows = [(k, n + 1, *d) for k, ds in enumerate(draw_segmentations(texts, keys, v, draws, alpha)) for n, d in enumerate(ds)]
+        yield ([batch.column(0).take(pa.array([x[0] for x in rows])), pa.array([x[1] for x in rows], pa.int32()), *(pa.array([x[c] for x in rows], pa.float64()) for c in (3, 4, 5))],
+               [x[2] for x in rows])
+
+
 def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", draws: int = DRAWS, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """doc_id, draw (1 is the best), ids, log_prob, perturbed, inclusion: up to ``draws`` distinct segmentations of every whole text.
 
@@ -307,20 +320,13 @@ def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_path)
-        for batch, texts in tb.batches(it, most=CHUNK):
-            i = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            keys = tb.mix64(i.view(np.uint64) + np.uint64(seed * int(_C[1]) % (1 << 64)))
-            got = draw_segmentations(texts, keys, v, draws, alpha)
-            rows = [(k, n + 1, *d) for k, ds in enumerate(got) for n, d in enumerate(ds)]
-            off = np.concatenate([[0], np.cumsum([len(x[2]) for x in rows])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in rows])), pa.array([x[1] for x in rows], pa.int32()),
-                                              pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([x[2] for x in rows]))),
-                                              *(pa.array([x[c] for x in rows], pa.float64()) for c in (3, 4, 5))], ["doc_id", "draw", "ids", "log_prob", "perturbed", "inclusion"])
+        for (doc, draw, *scores), ids in _drawn(it, model_path, draws, alpha, seed):
+            off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([doc, draw, pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids))), *scores],
+                                             ["doc_id", "draw", "ids", "log_prob", "perturbed", "inclusion"])
 
     rows = read_text_column(docs, id_col, text_col)
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, draw int, ids array<int>, log_prob double, perturbed double, inclusion double")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, draw int, ids array<int>, log_prob double, perturbed double, inclusion double")
 
 
 def decode_ids(v: Vocabulary, ids: list[int]) -> bytes:
@@ -342,22 +348,16 @@ def decoded(rows: DataFrame, model_path: str) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, text string")
 
 
-def encoding_digests(docs: DataFrame, model_path: str, **options) -> DataFrame:
-    """doc_id, draw, n_tokens, ids_crc32 (ids as little-endian 32-bit numbers), log_prob, perturbed, inclusion, decoded_sha256 of every draw."""
-    import zlib
+def encoding_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", draws: int = DRAWS, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """The draws of ``sample_encodings``, decoded in the same pass: doc_id, draw, n_tokens, ids_crc32 (ids as little-endian 32-bit numbers),
+    log_prob, perturbed, inclusion, decoded_sha256."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
-        for batch in it:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                ids = b.column(2)
-                off, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4")
-                own = [flat[x:y] for x, y in zip(off, off[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in own], pa.int32()), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
-                                                  b.column(3), b.column(4), b.column(5), pa.array([sha256(decode_ids(v, x.tolist())).hexdigest() for x in own])],
-                                                 ["doc_id", "draw", "n_tokens", "ids_crc32", "log_prob", "perturbed", "inclusion", "decoded_sha256"])
-
-    rows = sample_encodings(docs, model_path, **options)
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, draw int, n_tokens int, ids_crc32 bigint, log_prob double, perturbed double, inclusion double, decoded_sha256 string")
+        for (doc, draw, *scores), ids in _drawn(it, model_path, draws, alpha, seed):
+            yield pa.RecordBatch.from_arrays([doc, draw, pa.array([len(x) for x in ids], pa.int32()), pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()), *scores,
+                                              pa.array([sha256(decode_ids(v, x.tolist())).hexdigest() for x in ids])],
+                                             ["doc_id", "draw", "n_tokens", "ids_crc32", "log_prob", "perturbed", "inclusion", "decoded_sha256"])
+
+    rows = read_text_column(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, draw int, n_tokens int, ids_crc32 bigint, log_prob double, perturbed double, inclusion double, decoded_sha256 string")
