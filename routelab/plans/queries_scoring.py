@@ -66,6 +66,13 @@ golden("score_math", ["output", "answer"], P, [
     ("{t}\nAnswer: 4{v} cm", "4{v}", "4{v} cm", 1), ("{t} \\boxed{x=5}", "5", "x=5", 1), ("{t} \\boxed{2/4}", "1/2", "2/4", 0)],
     G.score_math)
 
+golden("score_outputs", ["dataset_id", "output", "answer"], {"prediction": "VARCHAR", "score": "DOUBLE"}, [
+    ("arcc", "{t}\nAnswer: E", "E", "E", 1), ("medqa", "B", "B", "B", 1), ("winogrande", "{t}\nAnswer: A", "1", "A", 1), ("mmlupro", "{t}\nAnswer: J", "J", "J", 1),
+    ("meld", "{t}\nAnswer: G", "F", "G", 0), ("math500", "{t} Final Answer: 4{v}", "4{v}", "4{v}", 1), ("math500", "{t} Answer: 4{v}", "4{v}", None, 0),
+    ("aime2025", "{t} \\boxed{70}", "70", "70", 1), ("bbh", "42", "42", "42", 1), ("bbh", "{t}\nAnswer: valid", "valid", "valid", 1), ("finqa", "{t} \\boxed{12.3}", "12", "12.3", 1),
+    ("kandk", "{t}\nCONCLUSION:\n(1) Ann is a knight", "(1) Ann is a knight", "(1) Ann is a knight", 1), ("arc-agi", "{t} [[1, 2], [3, 4]]", "[[[1,2],[3,4]]]", None, 1),
+    ("elsewhere", "{t}", "x", None, None)], G.score_outputs)
+
 golden("score_numeric_qa", ["output", "answer"], P, [
     ("{t} \\boxed{12.3}", "12", "12.3", 1), ("{t} \\boxed{12.5%}", "12.1", "12.5%", 1), ("{t} \\boxed{-3.7}", "-4", "-3.7", 1),
     ("{t} \\boxed{3.5}", "3", "3.5", 0), ("no box at all", "3{v}", "", 0)], G.score_numeric_qa)
