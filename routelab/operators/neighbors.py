@@ -59,13 +59,14 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = 131, test_id: str = "te
             bound = np.where(enough.any(1), np.take_along_axis(reach, order, 1)[np.arange(len(b)), pos], np.inf)
             near = np.maximum(np.maximum(d - hi, lo - d), 0.0) <= (bound * (1 + slack) + slack)[:, None]
             rows, cols = near.nonzero()
-            yield pd.DataFrame({test_id: b[test_id].to_numpy()[rows], "q": b["v"].to_numpy()[rows], "cell": ids[cols].astype("int32")})
+            yield pd.DataFrame({test_id: b[test_id].to_numpy()[rows], "cell": ids[cols].astype("int32")})
     n_blocks = F.create_map(*[F.lit(x) for c, x in blocks.items() for x in (c, x)])
-    q = te.mapInPandas(to_candidates, f"{test_id} {q_kind}, q array<double>, cell int")
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks[F.col("cell")] - 1))).withColumn(
-        "chunk", F.pmod(F.xxhash64(test_id), F.lit(n_chunks)).cast("int"))
-    t = cells.withColumn("block", F.pmod(F.xxhash64(train_id), n_blocks[F.col("cell")].cast("bigint")).cast("int")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    # queries travel as ids until they meet their blocks
+    visits = stable(te.mapInPandas(to_candidates, f"{test_id} {q_kind}, cell int").withColumn("chunk", F.pmod(F.xxhash64(test_id), F.lit(n_chunks)).cast("int")))
+    q = visits.join(te.withColumnRenamed("v", "q"), test_id).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks[F.col("cell")] - 1)))
+    # a train row goes only to the chunks that have a query for its cell
+    t = cells.withColumn("block", F.pmod(F.xxhash64(train_id), n_blocks[F.col("cell")].cast("bigint")).cast("int")).join(
+        stable(visits.select("cell", (F.col("chunk") + 0).alias("chunk")).distinct()), "cell")
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = [test_id, train_id, "distance"]
@@ -73,12 +74,21 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = 131, test_id: str = "te
             return pd.DataFrame({c: [] for c in cols})
         right = right.sort_values(train_id, kind="stable")
         tv, tid = np.stack(right["v"].to_numpy()), right[train_id].to_numpy()
-        out = []
-        for qid, qv in zip(left[test_id].to_numpy(), left["q"].to_numpy()):
-            d = np.sqrt(((tv - qv) ** 2).sum(1))
-            top = np.argsort(d, kind="stable")[:k]
-            out.append(pd.DataFrame({test_id: qid, train_id: tid[top], "distance": d[top]}))
-        return pd.concat(out)
+        qv, qid = np.stack(left["q"].to_numpy()), left[test_id].to_numpy()
+        room = 1e-6 * (1 + np.sqrt(max((tv * tv).sum(1).max(), (qv * qv).sum(1).max())))
+        found = []
+        for at in range(0, len(qv), 256):
+            # one product finds who can be among the k best; their distances are then taken exactly
+            rough = _distances(qv[at:at + 256], tv)
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * room if len(tv) > k else np.full(len(rough), np.inf)
+            r, c = (rough <= limit[:, None]).nonzero()
+            d = np.sqrt(((tv[c] - qv[at + r]) ** 2).sum(1))
+            order = np.lexsort((c, d, r))
+            r, c, d = r[order], c[order], d[order]
+            mine = np.arange(len(r)) - np.searchsorted(r, r) < k
+            found.append((at + r[mine], c[mine], d[mine]))
+        r, c, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+        return pd.DataFrame({test_id: qid[r], train_id: tid[c], "distance": d})
     keys = ["cell", "block", "chunk"]
     cand = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(best, f"{test_id} {q_kind}, {train_id} {t_kind}, distance double")
     w = Window.partitionBy(test_id).orderBy("distance", train_id)
