@@ -41,12 +41,18 @@ _MAGIC = b"S8B1"
 
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bits of the narrowest layout that holds each id; 64 beyond the widest."""
+    if len(x) and x.max() < len(_SMALL):
+        return _SMALL[x]
     out = np.full(len(x), 64, dtype=np.uint8)
     for bits in sorted({b for _, b in LAYOUTS}, reverse=True):
         out[(x >> np.uint64(bits)) == 0] = bits
     return out
 
 
+#: The same for ids of up to 16 bits, by id.
+_SMALL = np.array([min(b for _, b in LAYOUTS if b >= i.bit_length()) for i in range(1 << 16)], dtype=np.uint8)
+
+
 def encode(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of consecutive blocks with ``sizes`` ids, and how many words each takes. A word takes the longest layout that the block's coming ids fit."""
     n = len(ids)
@@ -66,9 +72,9 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         choice[: n - count + 1][(bad[count:] == bad[:-count]) & (left[: n - count + 1] >= count)] = s
     take = np.array([c for c, _ in LAYOUTS] + [1], dtype=np.int64)[choice]
     at, i = [], 0
-    jump = (np.arange(n) + take).tolist()
+    add, jump = at.append, (np.arange(n) + take).tolist()
     while i < n:
-        at.append(i)
+        add(i)
         i = jump[i]
     at = np.array(at, dtype=np.int64)
     chosen = choice[at]
@@ -173,7 +179,8 @@ _ASCII_WHITE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 # white space to str.split, but not ASCII white space
 _WIDE = re.compile("[^\x00-\u024f]")
 # a full stop or comma before white space that does not follow a letter or digit
-_MARKS = re.compile("(?:^|[^a-z0-9\u00df-\u00f6\u00f8-\u024f])[.,][ \n]")
+_MARKS = re.compile("[.,](?<![a-z0-9\u00df-\u00f6\u00f8-\u024f].)[ \n]")
+_ODD_ASCII = re.compile("[\x1c-\x1f]")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -187,9 +194,13 @@ class WordIds:
     def __init__(self, path: str):
         # Spark runs a task per core; threads inside a task would only compete
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for lower-case words of Latin letters the library's normaliser and pattern change nothing, so they are left out
+        self.latin = Tokenizer.from_file(path)
+        self.latin.normalizer = None
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, int] = {}
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -202,12 +213,13 @@ class WordIds:
         self.flat, self.counts = np.concatenate([self.flat, flat.astype(np.uint32)]), np.concatenate([self.counts, counts])
 
     def _library(self, words: list[str]) -> None:
-        """Ids by the library. Words of letters only go in long texts, where a word's last token carries the end mark; others go one by one."""
-        plain = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
+        """Ids by the library. Words of Latin letters go in long texts, where a word's last token carries the end mark; others go one by one."""
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() and w == w.lower() and not _WIDE.search(w) else rest).append(w)
         done, counts, flat = [], [], []
         texts = [plain[i:i + 500] for i in range(0, len(plain), 500)]
-        for mine, got in zip(texts, self.tokenizer.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)):
+        for mine, got in zip(texts, self.latin.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)):
             ids = np.array(got.ids, dtype=np.int64)
             cuts = np.flatnonzero(self.last[ids]) + 1
             if len(cuts) == len(mine):
@@ -247,9 +259,10 @@ class WordIds:
     @staticmethod
     def _split(text: str) -> list[str]:
         """Words between ASCII white space, in a form that the library gives the same ids."""
-        if _ODD.search(text):
+        plain = text.isascii()
+        if _ODD_ASCII.search(text) if plain else _ODD.search(text):
             return [w for w in _ASCII_WHITE.split(text) if w]
-        if not _WIDE.search(text):
+        if plain or not _WIDE.search(text):
             # for Latin letters the library's case folding is that of Python; a mark after a letter or digit is a token of its own
             text = text.lower()
             if not _MARKS.search(text):
