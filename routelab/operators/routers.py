@@ -55,7 +55,7 @@ def _nearest(centers: DataFrame, top_k: int, vector: str) -> Column:
     """array<struct<c: cluster id, d: distance 1 - q.c>> of the ``top_k`` nearest centres; ties by cluster id.
 
     Centres are model parameters and travel with the function: each Arrow batch of vectors is one matrix product,
-    nothing is joined or multiplied out.
+    nothing is joined or multiplied out. A null vector gives null.
     """
     rows = centers.orderBy("cluster_id").collect()
     ids = np.array([int(r["cluster_id"]) for r in rows])
@@ -63,20 +63,29 @@ def _nearest(centers: DataFrame, top_k: int, vector: str) -> Column:
 
     @F.pandas_udf("array<struct<c:int,d:double>>")
     def nearest(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()).astype(float)
+        out = pd.Series([None] * len(v), dtype=object)
+        had = np.flatnonzero(v.notna().to_numpy())
+        if not len(had):
+            return out
+        x = np.stack(v.to_numpy()[had]).astype(float)
         n = np.sqrt((x * x).sum(1, keepdims=True))
         d = 1.0 - (x / np.where(n == 0, 1.0, n)) @ c
         top = np.argsort(d, axis=1, kind="stable")[:, :top_k]
         near = np.take_along_axis(d, top, 1)
-        return pd.Series([[{"c": int(ids[j]), "d": float(y)} for j, y in zip(js, ys)] for js, ys in zip(top, near)])
+        for i, js, ys in zip(had.tolist(), top, near):
+            out.iat[i] = [{"c": int(ids[j]), "d": float(y)} for j, y in zip(js, ys)]
+        return out
     return nearest(F.col(vector))
 
 
 def assign_nearest_centroid(vectors: DataFrame, centers: DataFrame, top_k: int = 1, vector: str = "embedding") -> DataFrame:
-    """Adds (cluster_id, distance = 1 - q.c, place) for the ``top_k`` nearest centres; ties by cluster id."""
-    return vectors.where(F.col(vector).isNotNull()).select(
-        *vectors.columns, F.posexplode(_nearest(centers, top_k, vector)).alias("place", "_x")).select(
-        *vectors.columns, F.col("_x.c").alias("cluster_id"), F.col("_x.d").alias("distance"), (F.col("place") + 1).alias("place"))
+    """Adds (cluster_id, distance = 1 - q.c, place) for the ``top_k`` nearest centres; ties by cluster id.
+
+    A row without a vector stays once, at place 1 with null cluster and distance.
+    """
+    return vectors.select(
+        *vectors.columns, F.posexplode_outer(_nearest(centers, top_k, vector)).alias("place", "_x")).select(
+        *vectors.columns, F.col("_x.c").alias("cluster_id"), F.col("_x.d").alias("distance"), (F.coalesce("place", L(0)) + 1).alias("place"))
 
 
 def fit_cluster_router(train: DataFrame, vectors: DataFrame, n_clusters: int = 32, n_init: int = 10, seed: int = 42,
@@ -94,15 +103,18 @@ def route_by_cluster(queries: DataFrame, model: RouterModel, top_k: int = 1, bet
     """Model score = sum over the nearest clusters of softmax(-beta d) / rank; the best ``max_router`` are selected.
 
     The ranking (clusters x models) is a parameter, so a query is scored in its own row, without a join or a shuffle. Weights are
-    normalised over all nearest clusters before clusters without a ranking drop out.
+    normalised over all nearest clusters before clusters without a ranking drop out. A query without a vector, or with none but unranked
+    clusters near it, is decided as if it were equally far from all ranked clusters.
     """
     lists: dict[str, list[dict]] = {}
     for r in model.ranking.select("cluster_id", "model_name", "rank").collect():
         lists.setdefault(str(r["cluster_id"]), []).append({"m": r["model_name"], "r": r["rank"]})
     ranking = F.from_json(L(json.dumps(lists)), "map<string,array<struct<m:string,r:int>>>")
-    near = queries.where(F.col(vector).isNotNull()).select(*keys, _nearest(model.centers, top_k, vector).alias("near"))
+    near = queries.select(*keys, _nearest(model.centers, top_k, vector).alias("near"))
     first = F.element_at("near", 1)["d"]
     pull = F.transform("near", lambda x: F.struct(x["c"].cast("string").alias("c"), F.exp(-L(beta) * (x["d"] - first)).alias("w")))
+    anywhere = F.from_json(L(json.dumps([{"c": c, "w": 1.0} for c in sorted(lists)])), "array<struct<c:string,w:double>>")
+    pull = F.when(F.exists("near", lambda x: F.map_contains_key(ranking, x["c"].cast("string"))), pull).otherwise(anywhere)
     weighed = near.select(*keys, pull.alias("pull")).withColumn("total", F.aggregate("pull", L(0.0), lambda acc, x: acc + x["w"]))
     parts = F.flatten(F.transform("pull", lambda x: F.transform(F.coalesce(F.try_element_at(ranking, x["c"]), F.array()), lambda y: F.struct(
         y["m"].alias("m"), (x["w"] / F.col("total") / y["r"]).alias("s")))))
@@ -177,19 +189,23 @@ def win_rates(model: PipelineModel, prompts: DataFrame) -> DataFrame:
 
 
 def per_model_correctness(labels: DataFrame, vectors: DataFrame, keys: Sequence[str] = ("dataset_id", "prompt")) -> PipelineModel:
-    """Logistic regression on model one-hot x prompt vector: one linear rule per model in one fit."""
+    """Logistic regression on model one-hot x prompt vector: one linear rule per model in one fit. A model without labels has zero weights."""
     d = labels.join(vectors.select(*keys, "embedding"), list(keys)).withColumn("vec", array_to_vector("embedding"))
     size = len(vectors.select("embedding").where("embedding is not null").first()[0])
     stages = [VectorSizeHint(inputCol="vec", size=size, handleInvalid="error"), VectorAssembler(inputCols=["vec"], outputCol="va"),
-              StringIndexer(inputCol="model_name", outputCol="mi", stringOrderType="alphabetAsc", handleInvalid="skip"),
+              StringIndexer(inputCol="model_name", outputCol="mi", stringOrderType="alphabetAsc", handleInvalid="keep"),
               OneHotEncoder(inputCol="mi", outputCol="mo", dropLast=False), Interaction(inputCols=["mo", "va"], outputCol="features"),
               LogisticRegression(maxIter=50, regParam=0.01)]
     return Pipeline(stages=stages).fit(d)
 
 
 def route_by_correctness(model: PipelineModel, prompts: DataFrame, models: Sequence[str], keys: Sequence[str] = ("dataset_id", "prompt")) -> DataFrame:
-    """The model with the highest predicted correctness per prompt."""
-    d = prompts.withColumn("model_name", F.explode(F.array(*[L(m) for m in models]))).withColumn("vec", array_to_vector("embedding"))
+    """The model with the highest predicted correctness per prompt; every prompt gets one.
+
+    The intercept alone scores a model that the fit has not seen, and every model of a prompt without a vector (so the first name wins).
+    """
+    none = F.array_repeat(L(0.0), model.stages[0].getSize())
+    d = prompts.withColumn("model_name", F.explode(F.array(*[L(m) for m in models]))).withColumn("vec", array_to_vector(F.coalesce(F.col("embedding").cast("array<double>"), none)))
     p = model.transform(d).withColumn("p", vector_to_array("probability")[1])
     return p.groupBy(*keys).agg(F.min_by(F.struct("model_name", F.col("p").alias("probability")), best_first("p")).alias("b")).select(*keys, "b.*")
 

@@ -357,3 +357,26 @@ def test_token_cost_order(spark):
     df = spark.createDataFrame([("a", 1_000_000, 0, None), ("a", 1_000_000, 0, 7.0), ("z", 5, 5, None)], "model_name string, prompt_tokens long, completion_tokens long, provider_cost double")
     price = spark.createDataFrame([("a", 2.0, 0.0)], "model_name string, prompt_price double, completion_price double")
     assert sorted(r["cost"] for r in pool.token_cost(df, price).collect()) == [0.0, 2.0, 7.0]
+
+
+def test_queries_without_a_vector_are_decided(spark):
+    q = spark.createDataFrame([("d", 1, [1.0, 0.0]), ("d", 2, None), ("d", 3, [0.0, 1.0]), ("d", 4, [-1.0, -1.0])], "dataset_id string, record_index int, embedding array<double>")
+    centers = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, -1.0])], "cluster_id int, center array<double>")
+    ranking = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (0, "c", 3), (1, "c", 1), (1, "b", 2), (1, "a", 4)], "cluster_id int, model_name string, rank int")
+    got = {r.record_index: r for r in routers.route_by_cluster(q, routers.RouterModel(centers, ranking)).collect()}
+    assert {i: r.model_name for i, r in got.items()} == {1: "a", 2: "c", 3: "c", 4: "c"}  # 2 has no vector, 4 only an unranked cluster
+    assert got[2].expert_score == got[4].expert_score == pytest.approx((1 / 3 + 1) / 2)
+    near = sorted((r.record_index, r.place, r.cluster_id) for r in routers.assign_nearest_centroid(q, centers).collect())
+    assert near == [(1, 1, 0), (2, 1, None), (3, 1, 1), (4, 1, 2)]
+
+
+def test_unseen_models_and_missing_vectors_are_scored(spark):
+    rng = random.Random(4)
+    rows = [("d", f"p{i}", [rng.choice([-1.0, 1.0]), rng.random()]) for i in range(60)]
+    vec = spark.createDataFrame(rows, "dataset_id string, prompt string, embedding array<double>")
+    lab = spark.createDataFrame([(d, p, m, float((e[0] > 0) == (m == "b"))) for d, p, e in rows for m in "bc"], "dataset_id string, prompt string, model_name string, label double")
+    m = routers.per_model_correctness(lab, vec)
+    ask = spark.createDataFrame([("d", "x", [1.0, 0.5]), ("d", "none", None)], vec.schema)
+    both = {r.prompt: r.model_name for r in routers.route_by_correctness(m, ask, ["b", "c", "new"]).collect()}
+    assert both == {"x": "b", "none": "b"}
+    assert {r.prompt: r.model_name for r in routers.route_by_correctness(m, ask, ["new"]).collect()} == {"x": "new", "none": "new"}
