@@ -4,8 +4,8 @@
    rows of a band so that a pair at the threshold is found with the target recall.
 2. Equal texts form a class; only classes go on. Classes that share a band hash are candidates, linked to the bucket's smallest class only
    (a star, never all pairs), and connected into candidate clusters.
-3. Clusters are cut into blocks of bounded n-gram volume, and every pair of blocks is verified in its own task: set intersections of whole
-   blocks by matrix products. A task emits one row per class (its number of links and its local root), never pairs.
+3. Clusters are cut into blocks of bounded n-gram volume and number of classes, and every pair of blocks is verified by itself: set
+   intersections by matrix products, one pair of tiles at a time. A task emits one row per class (its number of links and its local root), never pairs.
 4. Links are summed per class, roots are connected into groups.
 """
 
@@ -29,6 +29,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 ROWS = 5
 BLOCK_GRAMS = 1 << 20
+BLOCK_CLASSES = 1 << 12
 _TILE, _COLUMNS = 512, 4096
 
 
@@ -110,28 +111,32 @@ def link_counts(cids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], thre
     use = shared[column]
     owner, column = owner[use], place[column[use]]
     width = int(shared.sum())
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    cuts = np.searchsorted(column, np.arange(0, width + _COLUMNS, _COLUMNS))
+    # entries by tile of classes and chunk of columns
+    chunks = -(-width // _COLUMNS)
+    part = owner // _TILE * chunks + column // _COLUMNS
+    order = np.argsort(part, kind="stable")
+    owner, column = owner[order] % _TILE, column[order] % _COLUMNS
     tiles = [np.arange(i, min(i + _TILE, m)) for i in range(0, m, _TILE)]
-    common = {(i, j): np.zeros((len(tiles[i]), len(tiles[j])), dtype=np.float32) for i in range(len(tiles)) for j in range(i, len(tiles))}
-    for k in range(len(cuts) - 1):
-        o, c = owner[cuts[k]:cuts[k + 1]], column[cuts[k]:cuts[k + 1]] - k * _COLUMNS
-        if not len(o):
-            continue
-        w = min(_COLUMNS, width - k * _COLUMNS)
-        mats = []
-        for t in tiles:
-            mine = (o >= t[0]) & (o <= t[-1])
-            a = np.zeros((len(t), w), dtype=np.float32)
-            a[o[mine] - t[0], c[mine]] = 1
-            mats.append(a)
-        for (i, j), acc in common.items():
-            acc += mats[i] @ mats[j].T
+    cuts = np.searchsorted(part[order], np.arange(len(tiles) * chunks + 1))
+
+    def matrix(t: int, k: int) -> np.ndarray | None:
+        x, y = cuts[t * chunks + k], cuts[t * chunks + k + 1]
+        if x == y:
+            return None
+        a = np.zeros((len(tiles[t]), min(_COLUMNS, width - k * _COLUMNS)), dtype=np.float32)
+        a[owner[x:y], column[x:y]] = 1
+        return a
+
     links = np.zeros(m, dtype=np.int64)
     joined = {}
-    for (i, j), inter in common.items():
+    for i, j in ((i, j) for i in range(len(tiles)) for j in range(i, len(tiles))):
         a, b = tiles[i], tiles[j]
+        inter = np.zeros((len(a), len(b)), dtype=np.float32)
+        for k in range(chunks):
+            left = matrix(i, k)
+            right = left if i == j or left is None else matrix(j, k)
+            if left is not None and right is not None:
+                inter += left @ right.T
         ok = inter >= threshold * (sizes[a][:, None] + sizes[b][None, :] - inter) - 1e-6
         ok &= inter > 0
         ok &= cids[a][:, None] != cids[b][None, :]
@@ -181,7 +186,7 @@ def _verify(blocks: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL,
-                    rows: int = ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+                    rows: int = ROWS, block_grams: int = BLOCK_GRAMS, block_classes: int = BLOCK_CLASSES) -> DataFrame:
     """One row per document: doc_id, class_id (least id with the same text), class_size, links (other texts at least as similar as
     ``threshold``), group_id (least id of the connected group).
 
@@ -197,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = components(keys.join(buckets, "key").where("cid != root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
 
     found = stable(classes.join(clusters.withColumnRenamed("v", "cid"), "cid").select("cid", "h", "class_id", "grams", F.col("label").alias("cluster")))
-    volume = found.groupBy("cluster").agg(F.ceil(F.sum("grams") / block_grams).cast("int").alias("n_blocks"))
+    volume = found.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("grams") / block_grams, F.count("*") / block_classes)).cast("int").alias("n_blocks"))
     wanted = found.join(volume, "cluster").select("cid", F.col("h").alias("_h"), "class_id", "cluster", "n_blocks", F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int").alias("block"))
     hashed = texts.withColumn("h", F.unhex(F.md5("text")))
     picked = hashed.join(wanted, (hashed["h"] == wanted["_h"]) & (hashed["doc_id"] == wanted["class_id"])).select("cid", "text", "cluster", "n_blocks", "block")

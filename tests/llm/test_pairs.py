@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -112,6 +113,25 @@ def test_link_counts_tiles():
     assert (link_counts(cids, side, sets, 0.8, False)[0] == (ok & (side[:, None] != side[None])).sum(1)).all()
 
 
+def test_link_counts_memory():
+    """Many short near copies: the intersections of all pairs of classes are never held at once."""
+    m = 5000
+    sets = [np.concatenate([np.arange(60), [1000 + i]]) for i in range(m)]
+    tracemalloc.start()
+    links, root = link_counts(np.arange(m), np.zeros(m, dtype=int), sets, 0.8, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links == m - 1).all() and (root == 0).all()
+    assert peak < m * m / 2 * 4
+
+
+def test_blocks_are_bounded_by_classes(spark):
+    """The hot group of short texts is cut by its number of classes; the links stay whole."""
+    rows = near_rows()
+    got = near_duplicates(documents(spark, rows), block_classes=40)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _near(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 70)] + [(100, 103), (103, 101), (200, 200), (300, 299)]
     got = {r.v: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
