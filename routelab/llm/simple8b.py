@@ -237,9 +237,10 @@ class WordIds:
             self._add(done, np.concatenate(counts), np.concatenate(flat))
 
     def _learn(self, new: list[str]) -> None:
-        # a full stop or comma after a letter or digit is a token of its own; ASCII case is folded by the library anyway
+        # a full stop or comma after a letter or digit is a token of its own; ASCII case is folded by the library anyway,
+        # but not inside added tokens such as <|endoftext|>, which it looks for in the raw text
         parts = [(w[:-1], w[-1]) if w[-1] in ".," and w[-2:-1].isalnum() and w[-2:-1].isascii() else (w, "") for w in new]
-        stems = [p.lower() if p.isascii() else p for p, _ in parts]
+        stems = [p.lower() if p.isascii() and "<|" not in p else p for p, _ in parts]
         self._library([w for w in dict.fromkeys(stems) if w not in self.known])
         made = [(w, s, m) for w, s, (_, m) in zip(new, stems, parts) if w not in self.known]
         at = np.array([self.known[s] for _, s, _ in made], dtype=np.int64)
@@ -262,7 +263,7 @@ class WordIds:
         plain = text.isascii()
         if _ODD_ASCII.search(text) if plain else _ODD.search(text):
             return [w for w in _ASCII_WHITE.split(text) if w]
-        if plain or not _WIDE.search(text):
+        if "<|" not in text and (plain or not _WIDE.search(text)):
             # for Latin letters the library's case folding is that of Python; a mark after a letter or digit is a token of its own
             text = text.lower()
             if not _MARKS.search(text):

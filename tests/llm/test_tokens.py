@@ -95,6 +95,12 @@ def test_word_ids_are_those_of_the_library():
         assert [x.tolist() for x in fast.encode(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_added_tokens_are_case_sensitive():
+    texts = ["<|ENDOFTEXT|> Some, words", "a<|EndOfText|>B. C <|endoftext|>", "<|StartOfText|>, x", "\u4e00 <|ENDOFTEXT|>\u4e00 <|STARTOFTEXT|>.", "<|startoftext|> \u00c9t\u00c9, THE <|Other|> 5."]
+    got = simple8b.WordIds(WORD_BPE).encode(texts)
+    assert [g.tolist() for g in got] == [e.ids for e in Tokenizer.from_file(WORD_BPE).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_word_ids_forget(monkeypatch):
     monkeypatch.setattr(simple8b, "CACHE_WORDS", 20)
     library, fast = Tokenizer.from_file(WORD_BPE), simple8b.WordIds(WORD_BPE)
