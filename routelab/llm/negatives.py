@@ -35,11 +35,11 @@ _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def dots(x: np.ndarray, a: np.ndarray, exact: bool) -> np.ndarray:
-    """Exact inner products of integer-valued rows: as doubles if those hold them exactly, else as Python integers."""
+    """Exact inner products of integer-valued rows: as doubles if those hold them exactly, else as 64-bit integers (the nearest one beyond)."""
     if exact:
         return x @ a
     whole = [int(v) for v in a]
-    return np.array([sum(int(v) * w for v, w in zip(row, whole)) for row in x], dtype=object)
+    return np.array([max(min(sum(int(v) * w for v, w in zip(row, whole)), _HIGH), _LOW) for row in x], dtype=np.int64)
 
 
 class Tree:
@@ -132,7 +132,7 @@ class Tree:
         """Least and largest inner product possible below each node, for each row of ``a``."""
         return interval(a, self.centres, self.norms, np.sqrt(np.maximum(self.top[0] - self.norms, 0)), self.radius, self.top[0])
 
-    def search(self, a: np.ndarray, low: np.ndarray, high: np.ndarray, me: int, label: int, windows: list[tuple[int | float, int | float]], same: bool, k: int) -> list[list[tuple[int, int]]]:
+    def search(self, a: np.ndarray, low: np.ndarray, high: np.ndarray, me: int, label: int, windows: list[tuple[int, int]], same: bool, k: int) -> list[list[tuple[int, int]]]:
         """The k best (score, id) of each window (least and largest score): largest score first, then smallest id.
 
         ``low`` and ``high`` are the bounds of this anchor's nodes; rows with the anchor's id never count, and only rows of the same
@@ -185,7 +185,8 @@ def interval(a: np.ndarray, centres: np.ndarray, norms: np.ndarray, lift: np.nda
     wide = np.sqrt(room)  # a difference of squares is off by more than a square
     low = (a2 + top - (d + radius[None, :] + wide) ** 2) / 2 - room
     high = (a2 + top - np.maximum(d - radius[None, :] - wide, 0) ** 2) / 2 + room
-    return low, high
+    # scores end at 64 bits; the largest double below that end
+    return np.minimum(low, 2.0 ** 63 - 1024), np.maximum(high, -2.0 ** 63)
 
 
 def scaled(values: pd.Series, scale: float, size: int) -> np.ndarray:
@@ -290,18 +291,13 @@ class Forest:
                     a = scaled(block["v"], scale, size)
                     low, high = t.bounds(a)
                     for i, (me, h, label, lo, hi) in enumerate(zip(block["anchor_id"], block["h"], block["label"], block["lows"], block["highs"])):
-                        wanted = [(_whole(p), _whole(q)) for p, q in zip(lo, hi)]
-                        for w, got in enumerate(t.search(a[i], low[i], high[i], me, label, wanted, same, k)):
-                            out += [(me, h, w, min(max(score, _LOW), _HIGH), n) for score, n in got]
+                        for w, got in enumerate(t.search(a[i], low[i], high[i], me, label, list(zip(lo.tolist(), hi.tolist())), same, k)):
+                            out += [(me, h, w, score, n) for score, n in got]
             return pd.DataFrame(out, columns=["anchor_id", "h", "at", "score", "vec_id"])
         keys = ["cell", "slot", "chunk"]
         return trees.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(look, "anchor_id bigint, h bigint, at int, score bigint, vec_id bigint")
 
 
-def _whole(x: float) -> int | float:
-    return int(x) if abs(x) != float("inf") else x
-
-
 def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", scale: float = 256.0, positives: int = 5,
                    negatives: int = 5, low_percent: int = 80, high_percent: int = 100, chunk: int = CHUNK, **index) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
@@ -311,7 +307,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
     to ``high_percent`` of the positive's. ``is_anchor`` is a condition on ``vec_id`` and ``label``.
 
     Rows without id, label or vector, or with a null or non-finite component, take no part. A shorter vector ends in zeros; an empty one scores 0. Repeated rows
-    are candidates each by themselves; equal repeats of an anchor are one anchor. Scores beyond 64 bits are exact in comparisons and shown at the end of the range. An
+    are candidates each by themselves; equal repeats of an anchor are one anchor. A score beyond 64 bits counts as the end of their range. An
     empty table, or one without pairs, gives no rows; other columns are ignored.
     """
     rows = usable_rows(vectors, id_col, label_col, vector_col)
@@ -319,20 +315,20 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
     base = stable(rows.where(is_anchor).dropDuplicates(["vec_id", "label", "v"]).select(F.col("vec_id").alias("anchor_id"), F.xxhash64("label", "v").alias("h"), "label", "v"))
     chunks = max(1, -(-base.count() // chunk))
     me = ["anchor_id", "h"]
-    any_score = base.withColumn("lows", F.array(F.lit(float("-inf")))).withColumn("highs", F.array(F.lit(float("inf"))))
+    any_score = base.withColumn("lows", F.array(F.lit(_LOW))).withColumn("highs", F.array(F.lit(_HIGH)))
 
     def best(found: DataFrame, by: list[str], k: int) -> DataFrame:
         # at most k rows per tree and anchor come here
         return found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
     first = stable(forest.visit(any_score, True, positives, chunks, True))
-    reached = best(first, me, positives).groupBy(*me).agg(F.when(F.count("*") >= positives, F.min("score")).cast("double").alias("least"))
-    again = any_score.join(reached, me, "left").withColumn("lows", F.array(F.coalesce("least", F.lit(float("-inf"))))).drop("least")
+    reached = best(first, me, positives).groupBy(*me).agg(F.when(F.count("*") >= positives, F.min("score")).alias("least"))
+    again = any_score.join(reached, me, "left").withColumn("lows", F.array(F.coalesce("least", F.lit(_LOW)))).drop("least")
     chosen = stable(best(first.unionByName(forest.visit(again, True, positives, chunks, False)), me, positives).select(*me, "rank", "score", F.col("vec_id").alias("positive_id")))
 
     # whole numbers s with low * p <= 100 * s <= high * p, by position of the positive
     low, high = (F.col("score").cast("decimal(38,0)") * F.lit(p) / 100 for p in (low_percent, high_percent))
-    windows = chosen.groupBy(*me).agg(F.array_sort(F.collect_list(F.struct("rank", F.ceil(low).cast("double").alias("lo"), F.floor(high).cast("double").alias("hi"), "score", "positive_id"))).alias("w"))
+    windows = chosen.groupBy(*me).agg(F.array_sort(F.collect_list(F.struct("rank", F.ceil(low).cast("bigint").alias("lo"), F.floor(high).cast("bigint").alias("hi"), "score", "positive_id"))).alias("w"))
     open_ = base.join(windows, me).withColumn("lows", F.col("w.lo")).withColumn("highs", F.col("w.hi"))
     found = forest.visit(open_.select(*base.columns, "lows", "highs"), False, negatives, chunks, None)
     ranked = best(found, [*me, "at"], negatives)
