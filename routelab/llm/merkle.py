@@ -12,6 +12,7 @@ with 32 hex digits for the root and 8 for other nodes. Likeness is the share of
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
@@ -107,38 +108,36 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document.
 
     The edited text is the text with its last floor(n / 4) code points replaced by the first as many (or all) of the next document by
-    ascending id; after the last comes the first. Null is the empty text; null ids come first; rows with one id go by the text's hash. One
-    document alone is its own next. Documents are dealt to id ranges; the first document of a range also goes to the range before, so
-    every task has each next document at hand and reads its sorted rows once. An empty table gives an empty result.
+    ascending id; after the last comes the first. Null is the empty text; null ids come first; rows with one id go by the text's hash, so
+    repeats of an id spread over ranges too. One document alone is its own next. Documents are dealt to ranges of (id, hash) that begin
+    with one of the documents; the first document of a range also goes to the range before, so
+    every task has each next document at hand and reads its sorted rows once. A very long text is one row of its task. An empty
+    table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
     ranges = ranges or RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # as many numbers as there are tasks, each of them the id of a document
-    found = ids.approxQuantile("doc_id", [i / ranges for i in range(ranges)], 1 / (4 * ranges))
-    heads = np.unique(np.array(found, dtype=np.int64))
-    low = ids.agg(F.min("doc_id"), F.max(F.col("doc_id").isNull().cast("int"))).first()
-    heads = np.union1d(heads[heads > low[0]], [low[0]]) if low[0] is not None else np.array([0], dtype=np.int64)
-    nulls = bool(low[1])
+    # the least key of each range, exactly: as many keys as there are tasks, each that of a document
+    ranged = rows.select("doc_id", "tie").repartitionByRange(ranges, F.asc_nulls_first("doc_id"), "tie")
+    found = ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct("doc_id", "tie")).alias("k")).collect()
+    heads = sorted({_key(r["k"]["doc_id"], r["k"]["tie"]) for r in found})
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(heads)
         for b in it:
-            null = np.asarray(b.column(0).is_null())
-            i = b.column(0).fill_null(int(heads[0])).to_numpy(zero_copy_only=False)
-            own = np.maximum(np.searchsorted(heads, i, side="right") - 1, 0)
-            first = np.isin(i, heads) & ~null
-            if nulls:
-                first = np.where(own == 0, null, first)
-            before = (own - 1) % len(heads)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.zeros(len(i), bool)), b.column(0), b.column(1)], ["r", "copy", "doc_id", "text"])
+            keys = list(map(_key, b.column(0).to_pylist(), b.column(1).to_pylist()))
+            own = np.array([bisect_right(heads, k) - 1 for k in keys], dtype=np.int32)
+            first = np.array([k in known for k in keys], dtype=bool)
+            names = ["r", "copy", "doc_id", "tie", "text"]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), bool)), *b.columns], names)
             at = pa.array(np.flatnonzero(first))
-            yield pa.RecordBatch.from_arrays([pa.array(before[first].astype(np.int32)), pa.array(np.ones(len(at), bool)), b.column(0).take(at), b.column(1).take(at)], ["r", "copy", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array((own[first] - 1) % len(heads), pa.int32()), pa.array(np.ones(len(at), bool)), *(c.take(at) for c in b.columns)], names)
 
     def walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out, size = None, [], 0
         for b in it:
-            for r, copy, i, text in zip(*(c.to_pylist() for c in b.columns)):
+            for r, copy, i, _, text in zip(*(c.to_pylist() for c in b.columns)):
                 if held is None or held[0] != r:
                     if copy:
                         continue
@@ -160,11 +159,15 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield _batch(out)
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    placed = rows.mapInArrow(place, "r int, copy boolean, doc_id bigint, text string")
-    dealt = placed.repartition("r").sortWithinPartitions("r", "copy", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    placed = rows.select("doc_id", "tie", "text").mapInArrow(place, "r int, copy boolean, doc_id bigint, tie bigint, text string")
+    dealt = placed.repartition("r").sortWithinPartitions("r", "copy", F.asc_nulls_first("doc_id"), "tie")
     return dealt.mapInArrow(walk, schema)
 
 
+def _key(i: int | None, tie: int) -> tuple[bool, int, int]:
+    return i is not None, i or 0, tie
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from routelab.llm import merkle, segment, simple8b
@@ -216,3 +217,20 @@ def test_sampled_encodings(spark, v):
     assert Counter((r.doc_id, r.draw, r.n_tokens, r.ids_crc32) for r in digests) == Counter((r.doc_id, r.draw, len(r.ids), zlib.crc32(np.array(r.ids, "<i4").tobytes())) for r in got)
     assert {(r.doc_id, r.decoded_sha256) for r in digests} == {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in edge_rows()}
     assert segment.sample_encodings(documents(spark, []), PIECES).count() == 0
+
+
+def test_fingerprint_large_null_and_repeated_ids(spark):
+    """Ids that doubles cannot tell apart, many null ids and repeated ids: every document has its row and its successor."""
+    rows = [((1 << 60) + 1 + 3 * i, prose(i, 12), "s") for i in range(300)] + [(None, prose(i, 12), "s") for i in range(60)] + [(5, prose(i, 12), "s") for i in range(60)] + [(5, "same", "s")] * 3
+    got = merkle.fingerprint_edits(documents(spark, rows), ranges=16).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in rows)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed_hash(r[1])))
+    want = Counter()
+    for (i, t, _), (_, n, _) in zip(order, order[1:] + order[:1]):
+        want[i, hashlib.sha256((t[:len(t) - len(t) // 4] + n[:len(t) // 4]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
+def signed_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
