@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from routelab.llm import pipeline as corpus_pipeline
 from routelab.llm.audit import audit_filters
 from routelab.llm.common import scratch, table
 from routelab.llm.exact_dedup import exact_duplicates
