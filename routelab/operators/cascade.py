@@ -7,9 +7,11 @@ stage accepts where the distance is below its threshold.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,9 +88,9 @@ def _routes(scored: DataFrame, depth: int, order: Sequence[str] | None) -> DataF
 def cascade_search(scored: DataFrame, budget: float, max_depth: int = 2, order: Sequence[str] | None = None, grid: int = 15) -> Strategy | None:
     """Best (order, quantiles) of a grid by accuracy within the mean-cost budget; ties by model names, then the lower quantiles.
 
-    Every order of ``max_depth`` models is searched (or the given one, cut to that depth), whatever their number. Candidates are a table:
-    each stage extends it by the quantiles that do not fall below the last one, with thresholds from the samples that reach the stage,
-    and the last join adds each sample's outcome to sums per candidate that combine before the shuffle.
+    Every order of ``max_depth`` models is searched (or the given one, cut to that depth), whatever their number. Where every sample has every
+    model, as in a full evaluation, candidates form a trie of prefixes that share thresholds (``_search_trie``). Else the
+    thresholds of an order come from the samples that have all of its models, so each order stands for itself (``_search_orders``).
     """
     models = distinct_values(scored, "model_name")
     if order:
@@ -96,6 +98,168 @@ def cascade_search(scored: DataFrame, budget: float, max_depth: int = 2, order:
     depth = max(1, min(max_depth, len(order) if order else len(models))) if models else 0
     if not depth or order == []:
         return None
+    used = list(order[:depth]) if order else models
+    cells = stable(scored.where(F.col("model_name").isin(used)).groupBy("sample_id", "model_name").agg(F.max(F.struct("label", (1 - F.col("probability")).alias("d"), nano("cost").alias("c"))).alias("cell")))
+    full = F.col("cell.label").isNotNull() & F.col("cell.d").isNotNull() & F.col("cell.c").isNotNull() & F.col("sample_id").isNotNull()
+    n = cells.where(full).count()
+    samples = cells.select("sample_id").distinct().count()
+    if samples and n == samples * len(used):
+        return _search_trie(cells, used, float(budget), depth, bool(order), grid, samples)
+    return _search_orders(scored, float(budget), depth, order, grid)
+
+
+@dataclass
+class _Nodes:
+    """Prefixes of candidates: models (numbers) and thresholds along each, and the quantiles behind the thresholds."""
+    path: np.ndarray
+    cut: np.ndarray
+    q: np.ndarray
+
+    def take(self, at: np.ndarray) -> _Nodes:
+        return _Nodes(self.path[at], self.cut[at], self.q[at])
+
+
+def _walk(nodes: _Nodes, label: np.ndarray, dist: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each node and sample of a block: still unanswered, and paid so far; for each node: right answers and money of the answered samples."""
+    n, rows = len(nodes.path), len(dist)
+    alive, paid = np.ones((n, rows), dtype=bool), np.zeros((n, rows))
+    hits, money = np.zeros(n), np.zeros(n)
+    for j in range(nodes.path.shape[1]):
+        m = nodes.path[:, j]
+        done = alive & (dist.T[m] < nodes.cut[:, j:j + 1])
+        paid += cost.T[m]
+        hits += (done * label.T[m]).sum(1)
+        money += (done * paid).sum(1)
+        alive &= ~done
+    return alive, paid, hits, money
+
+
+_NODES_AT_ONCE, _SAMPLES_AT_ONCE = 256, 1024
+
+
+def _search_trie(cells: DataFrame, models: list[str], budget: float, depth: int, fixed: bool, grid: int, samples: int) -> Strategy | None:
+    """Search over prefixes: a node is an order of models with quantiles so far, and its thresholds serve every candidate that begins with it.
+
+    Samples stay packed (three numbers per model and sample) and meet the nodes in blocks, as matrix products; no table has a row for
+    each sample and order. The thresholds of a stage are quantiles over the samples that its prefix leaves. A prefix is dropped when the money
+    already spent on answered and open samples exceeds the budget, or when its right answers so far plus the open samples that any unused model
+    gets right stay below the best candidate found so far (the most promising prefixes are followed first to have one). The bounds only drop what cannot win.
+    """
+    m, limit = len(models), budget * 1e9 * samples
+    index = F.array(*[L(x) for x in models])
+    packed = stable(cells.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct((F.array_position(index, F.col("model_name")) - 1).alias("i"), "cell"))).alias("s")).select(
+        *[F.col(f"s.cell.{k}").cast("array<double>").alias(k) for k in ("label", "d", "c")]))
+    qs = np.array([EPS + (1 - 2 * EPS) * i / (grid - 1) for i in range(grid)])
+
+    def blocks(it: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for b in it:
+            for at in range(0, len(b), _SAMPLES_AT_ONCE):
+                yield tuple(np.stack(b[c].iloc[at:at + _SAMPLES_AT_ONCE].to_numpy()).astype(float) for c in ("label", "d", "c"))
+
+    def parts(nodes: _Nodes) -> Iterator[tuple[int, _Nodes]]:
+        for at in range(0, len(nodes.path), _NODES_AT_ONCE):
+            yield at, nodes.take(np.arange(at, min(at + _NODES_AT_ONCE, len(nodes.path))))
+
+    def bounds(nodes: _Nodes) -> pd.DataFrame:
+        """Per node: right answers so far, open samples that an unused model gets right, money spent so far."""
+        used = np.zeros((len(nodes.path), m), dtype=bool)
+        np.put_along_axis(used, nodes.path, True, axis=1)
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros((len(nodes.path), 3))
+            for label, dist, cost in blocks(it):
+                for at, some in parts(nodes):
+                    alive, paid, hits, money = _walk(some, label, dist, cost)
+                    free = ~used[at:at + len(hits)]
+                    # the best label of an unused model: models that differ in a path are few, so by distinct sets
+                    sets, which = np.unique(free, axis=0, return_inverse=True)
+                    best = np.stack([np.where(f, label, 0).max(1) for f in sets])[which.ravel()]
+                    out[at:at + len(hits)] += np.column_stack([hits, (alive * best).sum(1), money + (alive * paid).sum(1)])
+            yield pd.DataFrame({"node": np.arange(len(out)), "hits": out[:, 0], "open": out[:, 1], "money": out[:, 2]})
+        sums = packed.mapInPandas(run, "node bigint, hits double, open double, money double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("hits", "open", "money")])
+        return sums.orderBy("node").toPandas()
+
+    def finish(nodes: _Nodes) -> DataFrame:
+        """Per node and last model (threshold 1): right answers and money."""
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros((len(nodes.path), m, 2))
+            for label, dist, cost in blocks(it):
+                ok = (dist < 1).astype(float)
+                for at, some in parts(nodes):
+                    alive, paid, hits, money = _walk(some, label, dist, cost)
+                    live = alive.astype(float)
+                    out[at:at + len(hits), :, 0] += hits[:, None] + live @ (label * ok)
+                    out[at:at + len(hits), :, 1] += money[:, None] + (live * paid) @ ok + live @ (cost * ok)
+            node, last = (x.ravel() for x in np.indices(out.shape[:2]))
+            yield pd.DataFrame({"node": node, "last": last.astype("int32"), "hits": out[:, :, 0].ravel(), "money": out[:, :, 1].ravel()})
+        return packed.mapInPandas(run, "node bigint, last int, hits double, money double").groupBy("node", "last").agg(F.sum("hits").alias("hits"), F.sum("money").alias("money"))
+
+    def following(path: Sequence[int]) -> list[int]:
+        return [len(path)] if fixed else [i for i in range(m) if i not in path]
+
+    def best_of(nodes: _Nodes) -> tuple | None:
+        """(hits, order, quantiles, thresholds) of the best candidate among the completions of the nodes: one row comes back."""
+        spark = cells.sparkSession
+        rows = [(i, [models[j] for j in p], [int(j) for j in p], q, t) for i, (p, q, t) in enumerate(zip(nodes.path.tolist(), nodes.q.tolist(), nodes.cut.tolist()))]
+        told = spark.createDataFrame(rows, "node bigint, names array<string>, path array<int>, q array<double>, t array<double>")
+        done = finish(nodes).join(told, "node").where(F.col("money") <= limit)
+        done = done.where(F.col("last") == len(nodes.path[0])) if fixed else done.where(~F.array_contains("path", F.col("last")))
+        top = done.withColumn("order", F.concat("names", F.array(F.element_at(index, F.col("last") + 1)))).orderBy(F.desc("hits"), "order", "q").first()
+        return (top["hits"], list(top["order"]), list(top["q"]), list(top["t"])) if top else None
+
+    empty = np.zeros((1, 0))
+    nodes = _Nodes(empty.astype(np.int64), empty, empty)
+    first = packed.select(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(m)]).first()
+    affordable = np.array([first[f"c{i}"] <= limit for i in range(m)])
+    known = -1.0
+    for stage in range(depth - 1):
+        nexts = [[j for j in following(p) if stage or affordable[j]] for p in nodes.path.tolist()]
+        here = np.array([(i, j) for i, js in enumerate(nexts) for j in js], dtype=np.int64).reshape(-1, 2)
+        if not len(here):
+            return None
+        at_node = nodes
+
+        def reach(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for label, dist, cost in blocks(it):
+                for at, some in parts(at_node):
+                    node, row = _walk(some, label, dist, cost)[0].nonzero()
+                    if len(node):
+                        yield pd.DataFrame({"node": node + at, "d": list(dist[row])})
+        left = packed.mapInPandas(reach, "node bigint, d array<double>").select("node", F.posexplode("d").alias("next", "d"))
+        cuts = exact_quantiles(left, ["node", "next"], "d", (1 - qs).tolist()).select("node", "next", "prob", "quantile").collect()
+        of = {(r["node"], r["next"], round(r["prob"], 12)): r["quantile"] for r in cuts}
+        path, cut, q = [], [], []
+        for i, j in here.tolist():
+            for x in qs:
+                # without samples left a threshold accepts anything
+                if stage == 0 or x >= nodes.q[i][-1]:
+                    path.append([*nodes.path[i], j])
+                    q.append([*nodes.q[i], x])
+                    cut.append([*nodes.cut[i], of.get((i, j, round(1 - x, 12)), 1.0)])
+        nodes = _Nodes(np.array(path, dtype=np.int64), np.array(cut), np.array(q))
+        seen = bounds(nodes)
+        reachable = (seen["hits"] + seen["open"]).to_numpy()
+        keep = seen["money"].to_numpy() <= limit
+        if stage == depth - 2 and keep.sum() > 4 * _NODES_AT_ONCE:
+            tried = np.flatnonzero(keep)[np.argsort(-reachable[keep], kind="stable")[:_NODES_AT_ONCE]]
+            some = best_of(nodes.take(np.sort(tried)))
+            known = some[0] if some else -1.0
+        nodes = nodes.take(np.flatnonzero(keep & (reachable >= known)))
+        if not len(nodes.path):
+            return None
+    if depth == 1:
+        # one model alone: it is asked and paid first
+        sums = finish(nodes).where(F.col("money") <= limit).where(F.col("last").isin([int(i) for i in np.flatnonzero(affordable)][: 1 if fixed else None]))
+        top = sums.withColumn("name", F.element_at(index, F.col("last") + 1)).orderBy(F.desc("hits"), "name").first()
+        return Strategy([top["name"]], [1.0], [1.0], budget, top["hits"] / samples) if top else None
+    top = best_of(nodes)
+    return Strategy(top[1], [*top[3], 1.0], top[2], budget, top[0] / samples) if top else None
+
+
+def _search_orders(scored: DataFrame, budget: float, depth: int, order: Sequence[str] | None, grid: int) -> Strategy | None:
+    """Candidates as a table: each stage extends it by the quantiles that do not fall below the last one, with thresholds from the samples that
+    reach the stage, and the last join adds each sample's outcome to sums per candidate that combine before the shuffle.
+    """
     routes = stable(_routes(scored, depth, order).withColumn("key", F.array_join("order", "\u001f")))
     qs = [EPS + (1 - 2 * EPS) * i / (grid - 1) for i in range(grid)]
     none = F.array().cast("array<double>")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -15,6 +17,7 @@ from pyspark.ml.feature import PCA, Interaction, OneHotEncoder, StringIndexer, V
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from routelab.functions.similarity import l2_normalize
 from routelab.operators.splits import cost_percentile, rank_models_in_cluster, tie_labels
@@ -26,9 +29,11 @@ L = F.lit
 
 @dataclass
 class RouterModel:
-    """``centers``: (cluster_id, center); ``ranking``: (cluster_id, model_name, mean_score, rank, ...)."""
+    """``centers``: (cluster_id, center); ``ranking``: (cluster_id, model_name, mean_score, rank, ...); ``parameters``: how to route, and
+    with what the router was made."""
     centers: DataFrame
     ranking: DataFrame
+    parameters: dict = field(default_factory=dict)
 
 
 def _unit(df: DataFrame, vector: str) -> DataFrame:
@@ -138,6 +143,19 @@ def fit_balance_router(assigned: DataFrame, performance_weight: float = 0.7, cos
         front, [cluster, "model_name"], "left").withColumn("pareto", F.coalesce("pareto", L(False)))
 
 
+def balance_router(centers: DataFrame, assigned: DataFrame, performance_weight: float = 0.7, cost_sensitivity: float = 0.3, min_accuracy: float = 0.0,
+                   top_k: int = 1, beta: float = 9.0, max_router: int = 1, cluster: str = "cluster_id") -> RouterModel:
+    """A router that ranks the models of a cluster by balance, with all its metrics and parameters."""
+    made = {"performance_weight": performance_weight, "cost_sensitivity": cost_sensitivity, "min_accuracy": min_accuracy, "top_k": top_k, "beta": beta, "max_router": max_router}
+    return RouterModel(centers, fit_balance_router(assigned, performance_weight, cost_sensitivity, min_accuracy, cluster), made)
+
+
+def route(queries: DataFrame, model: RouterModel, keys: Sequence[str] = ("dataset_id", "record_index"), vector: str = "embedding") -> DataFrame:
+    """``route_by_cluster`` with the router's own parameters."""
+    own = {k: model.parameters[k] for k in ("top_k", "beta", "max_router") if k in model.parameters}
+    return route_by_cluster(queries, model, keys=keys, vector=vector, **own)
+
+
 def assign_clusters_global(train: DataFrame, test: DataFrame, n_clusters: int = 50, seed: int = 42,
                            vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """One K-Means over all training prompts; both sides get ``cluster_id``."""
@@ -210,13 +228,55 @@ def route_by_correctness(model: PipelineModel, prompts: DataFrame, models: Seque
     return p.groupBy(*keys).agg(F.min_by(F.struct("model_name", F.col("p").alias("probability")), best_first("p")).alias("b")).select(*keys, "b.*")
 
 
-def export_router(model: RouterModel, path: str) -> None:
-    model.centers.write.mode("overwrite").parquet(f"{path}/centers")
-    model.ranking.write.mode("overwrite").parquet(f"{path}/ranking")
+def _checksum(df: DataFrame) -> Column:
+    """Rows and contents, whatever their order."""
+    return F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), L(0).cast("decimal(38,0)")).cast("string"))
+
 
+def export_router(model: RouterModel, path: str) -> int:
+    """Saves a version of a router below ``path`` and returns its number (from 1).
 
-def load_router(spark: SparkSession, path: str) -> RouterModel:
-    return RouterModel(spark.read.parquet(f"{path}/centers"), spark.read.parquet(f"{path}/ranking"))
+    Centres, ranking (with every metric it has: scores, balance, cost percentile, Pareto flag) and parameters are written to a new folder; the
+    row of the manifest that names the folder, the parameters and the checksums is appended last, so a half-written version is never loaded and
+    earlier ones stay.
+    """
+    spark = model.centers.sparkSession
+    folder = f"version-{uuid.uuid4().hex}"
+    parts = {"centers": model.centers, "ranking": model.ranking}
+    for name, df in parts.items():
+        df.write.parquet(f"{path}/{folder}/{name}")
+    sums = {name: spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}").agg(_checksum(df)).first()[0] for name, df in parts.items()}
+    version = 1 + max((r["version"] for r in router_versions(spark, path).collect()), default=0)
+    row = (version, folder, json.dumps(model.parameters, sort_keys=True), sums["centers"], sums["ranking"], model.centers.schema.json(), model.ranking.schema.json())
+    spark.createDataFrame([row], _MANIFEST).write.mode("append").json(f"{path}/manifest")
+    return version
+
+
+_MANIFEST = "version int, folder string, parameters string, centers_sum string, ranking_sum string, centers_schema string, ranking_schema string"
+
+
+def router_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest: one row per published version; none if nothing was published."""
+    try:
+        return spark.read.schema(_MANIFEST).json(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _MANIFEST)
+
+
+def load_router(spark: SparkSession, path: str, version: int | None = None) -> RouterModel:
+    """The latest published version, or the given one; a part whose checksum is not the manifest's raises."""
+    rows = [r for r in router_versions(spark, path).collect() if version is None or r["version"] == version]
+    if not rows:
+        raise FileNotFoundError(f"no published router version at {path}")
+    r = max(rows, key=lambda x: x["version"])
+    parts = {}
+    for name in ("centers", "ranking"):
+        parts[name] = spark.read.schema(StructType.fromJson(json.loads(r[f"{name}_schema"]))).parquet(f"{path}/{r['folder']}/{name}")
+        if parts[name].agg(_checksum(parts[name])).first()[0] != r[f"{name}_sum"]:
+            raise ValueError(f"{name} of version {r['version']} is not what was exported")
+    return RouterModel(parts["centers"], parts["ranking"], json.loads(r["parameters"]))
 
 
 def project_embeddings(vectors: DataFrame, k: int = 2, vector: str = "embedding") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,23 +72,87 @@ def sweep(assigned_train: DataFrame, assigned_test: DataFrame, configs: DataFram
     table and the test side is reduced to (cluster, dataset, model) sums before they meet.
     """
     m = stable(cluster_metrics(assigned_train, cluster))
-    n_cfg = configs.agg(F.collect_list(F.struct("performance_weight", "cost_sensitivity")).alias("cfg"), L(1).alias("_k"))
-    grid = m.withColumn("_k", L(1)).join(n_cfg, "_k").withColumn("cfg", F.explode("cfg")).select(
-        cluster, "model_name", "cfg.performance_weight", "cfg.cost_sensitivity", "accuracy", "avg_cost", "total_queries", "_hi", "_lo", "_mc")
-    s = F.round(balance_score(F.col("performance_weight"), F.col("cost_sensitivity")), 12)
-    pick = grid.withColumn("s", s).groupBy("performance_weight", "cost_sensitivity", cluster).agg(
-        F.min_by("model_name", F.struct((-F.col("s")).alias("s"), "model_name")).alias("model_name"))
     t = assigned_test.groupBy(cluster, "dataset_id", "model_name").agg(
         F.count("*").alias("n"), F.sum("score").alias("sc"), F.sum(nano(clean_usage_cost("cost"))).alias("c"))
-    per = pick.join(t, [cluster, "model_name"]).groupBy("performance_weight", "cost_sensitivity", "dataset_id").agg(
+    return _sweep(m, t, configs, [], cluster)
+
+
+def _sweep(metrics: DataFrame, test: DataFrame, configs: DataFrame, by: list[str], cluster: str) -> DataFrame:
+    """Every configuration for each value of ``by``: choices from cluster metrics, results from the sums of the test side."""
+    pair = ["performance_weight", "cost_sensitivity"]
+    n_cfg = configs.agg(F.collect_list(F.struct(*pair)).alias("cfg"), L(1).alias("_k"))
+    grid = metrics.withColumn("_k", L(1)).join(n_cfg, "_k").withColumn("cfg", F.explode("cfg")).select(
+        *by, cluster, "model_name", *[f"cfg.{x}" for x in pair], "accuracy", "avg_cost", "total_queries", "_hi", "_lo", "_mc")
+    s = F.round(balance_score(F.col("performance_weight"), F.col("cost_sensitivity")), 12)
+    pick = grid.withColumn("s", s).groupBy(*by, *pair, cluster).agg(
+        F.min_by("model_name", F.struct((-F.col("s")).alias("s"), "model_name")).alias("model_name"))
+    per = pick.join(test, [*by, cluster, "model_name"]).groupBy(*by, *pair, "dataset_id").agg(
         F.sum("n").alias("n"), F.sum("sc").alias("sc"), F.sum("c").alias("c"))
-    r = per.groupBy("performance_weight", "cost_sensitivity").agg(
+    r = per.groupBy(*by, *pair).agg(
         # 12 digits: configurations with the same choices must tie exactly on the frontier
         F.round(F.avg(F.col("sc") / F.col("n")), 12).alias("accuracy"), (F.sum("sc") / F.sum("n")).alias("sample_accuracy"),
         dollars(F.sum("c")).alias("total_cost"), (dollars(F.sum("c")) / F.sum("n")).alias("avg_cost_per_query"))
     return r.withColumn("cost_efficiency", F.col("accuracy") / (F.col("avg_cost_per_query") + L(1e-8)))
 
 
+def merge_levels(centers: DataFrame, ks: DataFrame, fine: str = "cluster_id") -> DataFrame:
+    """(n_clusters, fine_id, cluster_id): which merged cluster each fine cluster belongs to, for every cluster count of ``ks``.
+
+    ``centers``: (fine cluster, center, n). Ward linkage joins the two clusters whose union adds least to the squared distances, weighing
+    them by their rows; ties go to the smaller ids. A merged cluster keeps the least fine id. One tree serves every count: a
+    level is cut where that many clusters are left (all fine ones if there are fewer). Centres are model parameters, a few hundred at most.
+    """
+    spark = centers.sparkSession
+    rows = sorted((int(r[fine]), [float(x) for x in r["center"]], float(r["n"])) for r in centers.select(fine, "center", "n").collect())
+    wanted = sorted({int(r[0]) for r in ks.select("n_clusters").collect()})
+    merges = ward_merges([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])) if rows else []
+    out = []
+    for k in wanted:
+        of = {r[0]: r[0] for r in rows}
+        for keep, gone in merges[: max(0, len(rows) - max(1, k))]:
+            of = {f: keep if c == gone else c for f, c in of.items()}
+        out += [(k, f, c) for f, c in of.items()]
+    return spark.createDataFrame(out, "n_clusters int, fine_id bigint, cluster_id bigint")
+
+
+def ward_merges(ids: Sequence[int], centers: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """(kept id, id merged into it) in the order of merging."""
+    c, n = centers.astype(float).copy(), counts.astype(float).copy()
+    gap = (n[:, None] * n[None, :] / (n[:, None] + n[None, :])) * ((c[:, None, :] - c[None, :, :]) ** 2).sum(2)
+    gap[np.tril_indices(len(n))] = np.inf
+    out = []
+    for _ in range(len(n) - 1):
+        i, j = np.unravel_index(int(gap.argmin()), gap.shape)
+        c[i] = (n[i] * c[i] + n[j] * c[j]) / (n[i] + n[j])
+        n[i] += n[j]
+        out.append((int(ids[i]), int(ids[j])))
+        gap[j, :] = gap[:, j] = np.inf
+        left = np.flatnonzero(np.isfinite(gap).any(0) | np.isfinite(gap).any(1))
+        left = left[left != i]
+        new = n[i] * n[left] / (n[i] + n[left]) * ((c[left] - c[i]) ** 2).sum(1)
+        gap[np.minimum(left, i), np.maximum(left, i)] = new
+    return out
+
+
+def sweep_clusters(assigned_train: DataFrame, assigned_test: DataFrame, levels: DataFrame, configs: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """``sweep`` for every cluster count of ``levels`` (from ``merge_levels``) as well: a row per (n_clusters, performance_weight, cost_sensitivity).
+
+    Both sides are summed once per (fine cluster, dataset, model); levels and configurations multiply those small tables only, so a dozen
+    cluster counts read the facts once. Rows of a cluster that is in no level take no part.
+    """
+    def sums(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(F.col(cluster).cast("bigint").alias("fine_id"), *by, "model_name").agg(
+            F.count("*").alias("n"), F.sum("score").alias("sc"), F.sum(nano(clean_usage_cost("cost"))).alias("c"))
+
+    key = ["n_clusters", "cluster_id"]
+    m = sums(assigned_train).join(levels, "fine_id").groupBy(*key, "model_name").agg(F.sum("n").alias("total_queries"), F.sum("sc").alias("sc"), F.sum("c").alias("c"))
+    m = m.select(*key, "model_name", "total_queries", (F.col("sc") / F.col("total_queries")).alias("accuracy"), (dollars(F.col("c")) / F.col("total_queries")).alias("avg_cost"))
+    w = Window.partitionBy(*key)  # rows per cluster = models
+    m = stable(m.withColumns({"_hi": F.max("accuracy").over(w), "_lo": F.min("accuracy").over(w), "_mc": F.max("avg_cost").over(w)}))
+    t = sums(assigned_test, "dataset_id").join(levels, "fine_id").groupBy(*key, "dataset_id", "model_name").agg(*[F.sum(x).alias(x) for x in ("n", "sc", "c")])
+    return _sweep(m, t, configs, ["n_clusters"], "cluster_id")
+
+
 def tradeoff_summary(s: DataFrame) -> DataFrame:
     """Correlations (with more than two rows), extremes, and accuracy range per cost range."""
     n = F.count("*")

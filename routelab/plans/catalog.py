@@ -16,13 +16,15 @@ GROUPS = ["runs", "stats", "splits", "shapes", "decisions", "routers", "tradeoff
           "scoring"]
 
 
-def query(name: str, views: str = "", sql: str | None = None):
+def query(name: str, views: str = "", sql: str | None = None, recursive: bool = False):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = with_views(views, sql)
+            if recursive:
+                ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)
         return fn
     return register
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from routelab.operators import cascade as C
@@ -53,11 +55,13 @@ def _(spark, d):
     return rounded(R.route_by_cluster(V.prompt_vectors(spark, d).drop("cluster_id"), m), 6)
 
 
-@query("fit_balance_router", "dense", """, a AS (SELECT label % 8 AS cluster_id, model_name, score, CAST(round(cost * 1e9) AS BIGINT) AS c FROM dense),
+_BALANCE = """, a AS (SELECT label % 8 AS cluster_id, model_name, score, CAST(round(cost * 1e9) AS BIGINT) AS c FROM dense),
  m AS (SELECT cluster_id, model_name, avg(score) AS accuracy, sum(c) / 1e9 / count(*) AS avg_cost, count(*) AS total_queries, avg(c) AS mc FROM a GROUP BY ALL),
  b AS (SELECT *, 0.7 * CASE WHEN max(accuracy) OVER w > min(accuracy) OVER w THEN (accuracy - min(accuracy) OVER w) / (max(accuracy) OVER w - min(accuracy) OVER w) ELSE 1 END
-   + 0.3 * (1 - avg_cost / max(avg_cost) OVER w) AS balance FROM m WINDOW w AS (PARTITION BY cluster_id))
-SELECT cluster_id, model_name, round(accuracy, 9) AS accuracy, round(avg_cost, 9) AS avg_cost, total_queries, round(CASE WHEN accuracy >= 0.2 THEN balance ELSE 0 END, 9) AS balance,
+   + 0.3 * (1 - avg_cost / max(avg_cost) OVER w) AS balance FROM m WINDOW w AS (PARTITION BY cluster_id))"""
+
+
+@query("fit_balance_router", "dense", _BALANCE + """ SELECT cluster_id, model_name, round(accuracy, 9) AS accuracy, round(avg_cost, 9) AS avg_cost, total_queries, round(CASE WHEN accuracy >= 0.2 THEN balance ELSE 0 END, 9) AS balance,
  row_number() OVER (PARTITION BY cluster_id ORDER BY round(CASE WHEN accuracy >= 0.2 THEN balance ELSE 0 END, 12) DESC, model_name) AS rank,
  round((SELECT 100.0 * count(*) FILTER (a.c < b.mc) / count(*) FROM a WHERE a.cluster_id = b.cluster_id), 9) AS cost_percentile,
  NOT EXISTS (SELECT 1 FROM m x WHERE x.cluster_id = b.cluster_id AND x.accuracy >= b.accuracy AND x.avg_cost <= b.avg_cost AND (x.accuracy > b.accuracy OR x.avg_cost < b.avg_cost)) AS pareto FROM b""")
@@ -132,15 +136,27 @@ def _(spark, d):
     return R.route_by_correctness(m, vec, V.MODELS).select("dataset_id", "prompt", "model_name", F.round("probability", 4).alias("probability"))
 
 
-@query("export_router")
+@query("export_router", "dense", """ SELECT CAST(label % 8 AS BIGINT) AS cluster_id, model_name, round(avg(score), 9) AS mean_score, count(*) AS n, round(sum(CAST(round(cost * 1e9) AS BIGINT)) / 1e9 / count(*), 9) AS mean_cost,
+ row_number() OVER (PARTITION BY label % 8 ORDER BY avg(score) DESC, model_name) AS rank FROM dense GROUP BY label % 8, model_name""")
 def _(spark, d):
     from routelab.operators.splits import rank_models_in_cluster
-    path = f"{shared_dir(spark)}/router-{spark.sparkContext.applicationId}"
-    ranking = rank_models_in_cluster(V.dense(spark, d).withColumn("cluster_id", F.col("label") % 8), V.MODELS)
+    path = f"{shared_dir(spark)}/router-{uuid.uuid4().hex}"
+    ranking = rank_models_in_cluster(V.dense(spark, d).withColumn("cluster_id", (F.col("label") % 8).cast("bigint")), V.MODELS)
     R.export_router(R.RouterModel(_fixed_centers(spark, d), ranking), path)
     return rounded(R.load_router(spark, path).ranking)
 
 
+@query("export_balance_router", "dense prompt_vectors", _CENTERS + _BALANCE + """, rk AS (SELECT cluster_id, model_name, row_number() OVER (PARTITION BY cluster_id ORDER BY round(CASE WHEN accuracy >= 0.2 THEN balance ELSE 0 END, 12) DESC, model_name) AS rank FROM b),
+ w AS (SELECT dataset_id, record_index, cluster_id, exp(-5 * d) / sum(exp(-5 * d)) OVER (PARTITION BY dataset_id, record_index) AS w FROM near WHERE place <= 4),
+ s AS (SELECT dataset_id, record_index, model_name, round(sum(w / rank), 12) AS s FROM w JOIN rk USING (cluster_id) GROUP BY ALL)
+SELECT dataset_id, record_index, model_name, round(s, 6) AS expert_score, row_number() OVER (PARTITION BY dataset_id, record_index ORDER BY s DESC, model_name) AS rank FROM s QUALIFY rank <= 3""")
+def _(spark, d):
+    path = f"{shared_dir(spark)}/router-{uuid.uuid4().hex}"
+    model = R.balance_router(_fixed_centers(spark, d), V.dense(spark, d).withColumn("cluster_id", F.col("label") % 8), 0.7, 0.3, 0.2, top_k=4, beta=5.0, max_router=3)
+    R.export_router(model, path)
+    return rounded(R.route(V.prompt_vectors(spark, d).drop("cluster_id"), R.load_router(spark, path)), 6)
+
+
 @query("project_embeddings")
 def _(spark, d):
     p = R.project_embeddings(V.prompt_vectors(spark, d).drop("cluster_id"))

@@ -44,6 +44,50 @@ def _(spark, d):
     return rounded(_sweep(spark, d), 6)
 
 
+_FINE = 96
+
+# Ward merging of the fine clusters, a step per row: s is the list of clusters left, f the map from fine to merged ids
+LEVELS = """, fv AS (SELECT record_index % 96 AS f, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM prompt_vectors),
+ fc AS (SELECT f, round(avg(CAST(x AS DOUBLE)), 6) AS x, i FROM fv GROUP BY f, i),
+ fn AS (SELECT record_index % 96 AS f, CAST(count(*) AS DOUBLE) AS n FROM prompt_vectors GROUP BY 1),
+ fine AS (SELECT f, any_value(n) AS n, list(x ORDER BY i) AS c FROM fc JOIN fn USING (f) GROUP BY f),
+ tree AS (SELECT 0 AS step, list({'f': f, 'n': n, 'c': c} ORDER BY f) AS s, list({'fine': f, 'id': f}) AS f, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM fine
+  UNION ALL SELECT step + 1, [CASE WHEN x.f = p.a THEN {'f': x.f, 'n': x.n + y.n, 'c': [(x.n * x.c[i] + y.n * y.c[i]) / (x.n + y.n) for i in range(1, len(x.c) + 1)]} ELSE x END for x in s if x.f <> p.b],
+   [{'fine': m.fine, 'id': CASE WHEN m.id = p.b THEN p.a ELSE m.id END} for m in f], p.a, p.b
+  FROM (SELECT step, s, f, p, list_filter(s, lambda z: z.f = p.b)[1] AS y FROM (
+    SELECT step, s, f, list_sort(flatten([[{'cost': u.n * v.n / (u.n + v.n) * list_distance(u.c, v.c) ** 2, 'a': u.f, 'b': v.f} for v in s if v.f > u.f] for u in s]))[1] AS p FROM tree WHERE len(s) > 8))),
+ ks AS (SELECT CAST(unnest([8, 12, 16, 20, 24, 32, 40, 48, 56, 64, 72, 80]) AS INT) AS n_clusters),
+ levels AS (SELECT n_clusters, unnest(f).fine AS fine_id, unnest(f).id AS cluster_id FROM ks JOIN tree ON len(s) = greatest(8, least(n_clusters, (SELECT count(*) FROM fine))))"""
+
+
+def _fine(spark, d):
+    """96 fine clusters of the documents and, for those with a vector, their mean vector and size."""
+    v = V.prompt_vectors(spark, d).withColumn("cluster_id", F.col("record_index") % _FINE)
+    long = v.select("cluster_id", F.posexplode("embedding").alias("i", "x")).groupBy("cluster_id", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
+    centers = long.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("center"))
+    return centers.join(v.groupBy("cluster_id").agg(F.count("*").alias("n")), "cluster_id")
+
+
+@query("merge_levels", "prompt_vectors", LEVELS + " SELECT n_clusters, CAST(fine_id AS BIGINT) AS fine_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM levels", recursive=True)
+def _(spark, d):
+    return T.merge_levels(_fine(spark, d), T.k_grid(spark))
+
+
+@query("sweep_clusters", "dense prompt_vectors", LEVELS + """, a AS (SELECT record_index % 96 AS fine_id, dataset_id, model_name, score, CAST(round(cost * 1e9) AS BIGINT) AS c FROM dense),
+ al AS (SELECT n_clusters, cluster_id, a.* FROM a JOIN levels USING (fine_id)),
+ m AS (SELECT n_clusters, cluster_id, model_name, avg(score) AS accuracy, sum(c) / 1e9 / count(*) AS avg_cost FROM al GROUP BY ALL),
+ n AS (SELECT *, CASE WHEN max(accuracy) OVER w > min(accuracy) OVER w THEN (accuracy - min(accuracy) OVER w) / (max(accuracy) OVER w - min(accuracy) OVER w) ELSE 1 END AS na, 1 - avg_cost / max(avg_cost) OVER w AS nc
+  FROM m WINDOW w AS (PARTITION BY n_clusters, cluster_id)),
+ g AS (SELECT round(i * CAST(0.1 AS DOUBLE), 9) AS w, round(1 - round(i * CAST(0.1 AS DOUBLE), 9), 9) AS s FROM range(11) x(i)),
+ pick AS (SELECT w, s, n_clusters, cluster_id, model_name FROM n, g QUALIFY row_number() OVER (PARTITION BY w, n_clusters, cluster_id ORDER BY round(w * na + s * nc, 12) DESC, model_name) = 1),
+ per AS (SELECT n_clusters, w, s, dataset_id, count(*) AS n, sum(score) AS sc, sum(c) AS c FROM pick JOIN al USING (n_clusters, cluster_id, model_name) GROUP BY ALL)
+SELECT n_clusters, w AS performance_weight, s AS cost_sensitivity, round(avg(sc / n), 6) AS accuracy, round(sum(sc) / sum(n), 6) AS sample_accuracy, round(sum(c) / 1e9, 6) AS total_cost,
+ round(sum(c) / 1e9 / sum(n), 6) AS avg_cost_per_query, round(round(avg(sc / n), 12) / (sum(c) / 1e9 / sum(n) + 1e-8), 6) AS cost_efficiency FROM per GROUP BY n_clusters, w, s""", recursive=True)
+def _(spark, d):
+    a = V.dense(spark, d).withColumn("cluster_id", F.col("record_index") % _FINE)
+    return rounded(T.sweep_clusters(a, a, T.merge_levels(_fine(spark, d), T.k_grid(spark)), _configs(spark)), 6)
+
+
 @query("weight_grid", "dense", SWEEP + " SELECT DISTINCT model_name, w AS performance_weight, s AS cost_sensitivity FROM m, g")
 def _(spark, d):
     m = V.dense(spark, d).select("model_name").distinct()

@@ -380,3 +380,72 @@ def test_unseen_models_and_missing_vectors_are_scored(spark):
     both = {r.prompt: r.model_name for r in routers.route_by_correctness(m, ask, ["b", "c", "new"]).collect()}
     assert both == {"x": "b", "none": "b"}
     assert {r.prompt: r.model_name for r in routers.route_by_correctness(m, ask, ["new"]).collect()} == {"x": "new", "none": "new"}
+
+
+def test_cascade_trie_equals_the_search_by_orders(spark):
+    """Full pools go through the trie; the search by orders, which keeps a row per order and sample, gives the same answer at every budget."""
+    for seed, models, grid, budget, depth in ((1, "abcd", 5, 0.06, 3), (2, "abc", 6, 0.02, 2), (3, "abcde", 3, 0.02, 1), (3, "abcde", 3, 0.5, 3)):
+        rng = random.Random(seed)
+        rows = [("d", f"s{i}", m, int(rng.random() < 0.3 + 0.1 * j), rng.randint(0, 20) / 20, (j + 1) ** 2 / 100) for i in range(40) for j, m in enumerate(models)]
+        df = spark.createDataFrame(rows, "dataset_id string, sample_id string, model_name string, label int, probability double, cost double")
+        got, want = cascade.cascade_search(df, budget, depth, grid=grid), cascade._search_orders(df, budget, depth, None, grid)
+        assert (got.order, got.quantiles, got.accuracy) == (want.order, want.quantiles, pytest.approx(want.accuracy)) and got.thresholds == pytest.approx(want.thresholds)
+    assert cascade.cascade_search(df, 0.001, 2, grid=3) is None
+    got, want = (f(df, 0.5, 3, order=list("edc"), grid=3) for f in (cascade.cascade_search, lambda d, b, k, order, grid: cascade._search_orders(d, b, k, order, grid)))
+    assert (got.order, got.quantiles) == (want.order, want.quantiles) == (list("edc"), got.quantiles)
+
+
+def test_cascade_of_33_models(spark):
+    """The size of a full pool at depth 3: 32,736 orders, no table with a row for each of them and each sample."""
+    rng = random.Random(5)
+    rows = [("d", f"s{i}", f"m{j:02d}", int(rng.random() < 0.4 + 0.01 * j), rng.randint(1, 99) / 100, (j + 1) / 1000) for i in range(60) for j in range(33)]
+    df = spark.createDataFrame(rows, "dataset_id string, sample_id string, model_name string, label int, probability double, cost double")
+    got = cascade.cascade_search(df, 0.02, 3, grid=3)
+    run = cascade.run_cascade(df, got).agg(F.avg("label"), F.avg("cum_cost")).first()
+    assert len(got.order) == 3 and run[1] <= 0.02 + 1e-9 and got.accuracy > 0.6
+    alone = max(sum(y for _, _, m, y, _, _ in rows if m == f"m{j:02d}") / 60 for j in range(20))
+    assert got.accuracy >= alone
+
+
+def test_merge_levels_is_ward(spark):
+    """Every level equals merging by the least growth of squared distances, recomputed from the points."""
+    rng = np.random.default_rng(3)
+    c, n = rng.normal(0, 1, (9, 3)), rng.integers(1, 20, 9)
+    df = spark.createDataFrame([(i, c[i].tolist(), int(n[i])) for i in range(9)], "cluster_id int, center array<double>, n bigint")
+    ks = spark.createDataFrame([(k,) for k in (1, 2, 4, 9, 50)], "n_clusters int")
+    got = {}
+    for r in tradeoffs.merge_levels(df, ks).collect():
+        got.setdefault(r.n_clusters, {}).setdefault(r.cluster_id, set()).add(r.fine_id)
+    groups, want = [{i} for i in range(9)], {}
+    within = lambda g: sum(n[i] * ((c[i] - np.average(c[list(g)], axis=0, weights=n[list(g)])) ** 2).sum() for i in g)
+    while True:
+        want[len(groups)] = sorted(map(sorted, groups))
+        if len(groups) == 1:
+            break
+        a, b = min(itertools.combinations(groups, 2), key=lambda p: within(p[0] | p[1]) - within(p[0]) - within(p[1]))
+        groups = [g for g in groups if g not in (a, b)] + [a | b]
+    for k in (1, 2, 4, 9):
+        assert sorted(map(sorted, got[k].values())) == want[k] and all(min(v) == key for key, v in got[k].items())
+    assert got[50] == got[9]
+
+
+def test_router_versions(spark, tmp_path):
+    """Versions add up, the last published one is loaded, damage is seen and a half-written one is not."""
+    path = str(tmp_path / "router")
+    centers = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cluster_id int, center array<double>")
+    a = spark.createDataFrame([(i % 2, m, float((i + j) % 3 == 0), 0.001 * (j + 1)) for i in range(12) for j, m in enumerate("xyz")], "cluster_id int, model_name string, score double, cost double")
+    with pytest.raises(FileNotFoundError):
+        routers.load_router(spark, path)
+    one, two = routers.balance_router(centers, a, 0.9, 0.1, top_k=2, max_router=2), routers.balance_router(centers, a, 0.1, 0.9)
+    assert (routers.export_router(one, path), routers.export_router(two, path)) == (1, 2)
+    q = spark.createDataFrame([("d", i, [float(i), 3.0 - i]) for i in range(4)] + [("d", 9, None)], "dataset_id string, record_index int, embedding array<double>")
+    for version, model in ((1, one), (2, two), (None, two)):
+        back = routers.load_router(spark, path, version)
+        assert back.parameters == model.parameters and sorted(back.ranking.collect()) == sorted(model.ranking.collect())
+        assert sorted(routers.route(q, back).collect()) == sorted(routers.route(q, model).collect())
+    centers.write.parquet(f"{path}/version-lost/centers")
+    assert routers.load_router(spark, path).parameters == two.parameters
+    folder = routers.router_versions(spark, path).where("version = 2").first().folder
+    one.ranking.limit(1).write.mode("append").parquet(f"{path}/{folder}/ranking")
+    with pytest.raises(ValueError, match="ranking"):
+        routers.load_router(spark, path)
