@@ -1,12 +1,13 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled good rows, the unlabelled set is a sample of the corpus, and the class prior is estimated as the share of
+Trusted positives are labelled good rows, the unlabelled set is the whole corpus, and the class prior is estimated as the share of
 good rows among the labels. An additive logistic model over quantile bins of text statistics minimises the non-negative unbiased risk
 pi * E_p[loss(f)] + max(0, E_u[loss(-f)] - pi * E_p[loss(-f)]). Labels of bad rows enter the prior only. As the
-non-negative bound stops short of the risk's minimum, the bias is last moved so that the mean score of the unlabelled rows is the prior.
+non-negative bound stops short of the risk's minimum, the bias is last moved so that the mean score of the corpus is the prior.
 
-The fit takes at most ``max_positives`` and ``max_unlabelled`` rows (the smallest by id hash); all corpus rows are scored, in one pass
-without a shuffle.
+The positives are at most ``max_positives`` labelled rows (the smallest by id hash). Everything else covers all documents: the statistics are
+computed once and written; bin edges come from histograms of all of them; shards of about ``shard_rows`` documents each minimise the risk
+on their own and the weights are averaged by rows; the final shift comes from a histogram of all scores. Only histograms and weights reach the driver.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelab.llm import textbytes as tb
-from routelab.llm.common import held_out, read_text_column
+from routelab.llm.common import held_out, text_of, written
 from routelab.llm.toxicity import train_ids
 
 MAX_POSITIVES = 20_000
-MAX_UNLABELLED = 20_000
+SHARD_ROWS = 32_768
 THRESHOLD = 0.3
 BINS = 16
 
@@ -94,21 +95,66 @@ def features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _feature_rows(rows: DataFrame, keep: str) -> DataFrame:
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, shard hash and statistics of every document, written below the shared folder."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in tb.batches(it):
+        for batch, texts in tb.batches(it, 3):
             x = features(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["role", "x"])
-    return rows.select(keep, "text").mapInArrow(run, "role int, x array<float>")
-
-
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, bins: int = BINS, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Bin edges, weight of each bin and bias of the additive model with the least non-negative risk."""
-    both = np.concatenate([pos, unl])
-    edges = np.quantile(both, np.linspace(0, 1, bins + 1)[1:-1], axis=0).T.astype(np.float32)
-    shift = np.arange(len(edges)) * bins
-    at_p, at_u = (binned(x, edges) + shift for x in (pos, unl))
-    w, b = np.zeros(len(edges) * bins), 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["doc_id", "held_out", "h", "x"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.xxhash64(text_of(text_col)).alias("h"), text_of(text_col).alias("text"))
+    return written(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, h bigint, x array<float>"), "statistics")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).astype(np.float32)
+
+
+def _buckets(x: np.ndarray) -> np.ndarray:
+    """The upper 16 bits of each value, in an order that follows the values."""
+    bits = (x + np.float32(0)).view(np.uint32)  # one zero
+    return (np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)) >> np.uint32(16)).astype(np.int64)
+
+
+def _bucket_start(bucket: np.ndarray) -> np.ndarray:
+    bits = np.asarray(bucket, dtype=np.uint32) << np.uint32(16)
+    return np.where(bits >> 31, bits & np.uint32((1 << 31) - 1), ~bits).astype(np.uint32).view(np.float32)
+
+
+def corpus_edges(table: DataFrame, bins: int = BINS) -> np.ndarray:
+    """Quantile edges (statistics x bins - 1) over all rows, from counts of 65,536 buckets a statistic: exact but for the width of a bucket, under 1 % of the value."""
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in it:
+            x = _matrix(b.column(0))
+            held = np.zeros((x.shape[1], 1 << 16), dtype=np.int64) if held is None else held
+            np.add.at(held, (np.arange(x.shape[1])[None, :], _buckets(x)), 1)
+        if held is not None:
+            at = np.flatnonzero(held.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held.ravel()[at])], ["at", "n"])
+    got = table.select("x").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toPandas()
+    at, n = got["at"].to_numpy(), got["n"].to_numpy()
+    edges = []
+    for i in range(int(at[-1] >> 16) + 1):
+        mine = at >> 16 == i
+        upto = np.cumsum(n[mine])
+        need = np.arange(1, bins) * upto[-1] / bins
+        edges.append(_bucket_start((at[mine] & 0xFFFF)[np.searchsorted(upto, need)] + 1))
+    return np.array(edges, dtype=np.float32)
+
+
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, bins: int = BINS, **how) -> tuple[np.ndarray, np.ndarray, float]:
+    """Bin edges, weight of each bin and bias of the additive model with the least non-negative risk, for rows in memory."""
+    edges = np.quantile(np.concatenate([pos, unl]), np.linspace(0, 1, bins + 1)[1:-1], axis=0).T.astype(np.float32)
+    at_p, at_u = _cells(pos, edges), _cells(unl, edges)
+    w, b = descend(at_p, at_u, len(edges) * bins, prior, **how)
+    return edges, w, b + _shift(w[at_u].sum(1) + b, np.ones(len(unl)), prior)
+
+
+def descend(at_p: np.ndarray, at_u: np.ndarray, size: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias after ``steps`` of Adam on the non-negative risk; rows are the cells that they fall into."""
+    w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
 
     def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -129,15 +175,15 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, bins: int = BINS, s
         c1, c2 = 1 - 0.9 ** t, 1 - 0.999 ** t
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-9)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
-    return edges, w, b + _shift(w[at_u].sum(1) + b, prior)
+    return w, b
 
 
-def _shift(f: np.ndarray, prior: float) -> float:
-    """What to add to the scores so that their mean probability over the unlabelled rows is the class prior."""
+def _shift(f: np.ndarray, n: np.ndarray, prior: float) -> float:
+    """What to add to the scores ``f``, each ``n`` times, so that their mean probability is the class prior."""
     low, high = -30.0, 30.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (low, mid) if (1 / (1 + np.exp(-np.clip(f + mid, -35, 35)))).mean() > prior else (mid, high)
+        low, high = (low, mid) if (n / (1 + np.exp(-np.clip(f + mid, -35, 35)))).sum() > prior * n.sum() else (mid, high)
     return (low + high) / 2
 
 
@@ -145,49 +191,85 @@ def binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.column_stack([np.searchsorted(e, x[:, i], side="right") for i, e in enumerate(edges)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_positives: int = MAX_POSITIVES,
-        max_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """The model, or None without trusted positives or without unlabelled rows (all scores are then the prior 0.5)."""
-    known = labels.where(~held_out(id_col) & F.col(label).isin(0, 1))
-    prior = known.agg(F.avg(label)).first()[0]
-    positives = train_ids(labels.where(F.col(label) == 1), label, max_positives, id_col).select("doc_id", F.lit(1).alias("role"))
-    free = docs.select(F.col(id_col).alias("doc_id")).where(~held_out())
-    free = free.withColumn("h", F.xxhash64("doc_id", F.lit(1))).orderBy("h", "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("role")).distinct()
-    # both id tables are bounded by their parameters
-    rows = read_text_column(docs, id_col, text_col).join(F.broadcast(positives.unionByName(free)), "doc_id")
-    got = _feature_rows(rows, "role").toPandas()
-    if not len(got) or not 0 < got["role"].mean() < 1:
-        return None
-    x, role = np.stack(got["x"].to_numpy()), got["role"].to_numpy()
-    order = np.lexsort(x.T)  # the sums must not depend on the order of arrival
-    x, role = x[order], role[order]
-    return fit_nnpu(x[role == 1], x[role == 0], min(max(prior, 0.01), 0.99))
+def _cells(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The cell of each statistic of each row, numbered through all statistics."""
+    return binned(x, edges) + np.arange(len(edges)) * (edges.shape[1] + 1)
+
 
+def _logits(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    edges, w, b = model
+    return w[_cells(x, edges)].sum(1) + b
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every text; an empty or null text is scored on zero statistics."""
 
+def fit(table: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", max_positives: int = MAX_POSITIVES, bins: int = BINS,
+        shard_rows: int = SHARD_ROWS) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """The model over a ``feature_table``, or None without trusted positives or without documents (all scores are then 0.5)."""
+    known = labels.where(~held_out(id_col) & F.col(label).isin(0, 1))
+    prior = known.agg(F.avg(label)).first()[0]
+    positives = train_ids(labels.where(F.col(label) == 1), label, max_positives, id_col).select("doc_id")
+    n = table.count()
+    # the id table is bounded by its parameter; of rows with one id one is learnt
+    trusted = table.join(F.broadcast(positives), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").toPandas() if n else []
+    if not len(trusted):
+        return None
+    prior = min(max(prior, 0.01), 0.99)
+    edges = corpus_edges(table, bins)
+    at_p = _cells(np.stack(trusted["x"].to_numpy()).astype(np.float32), edges)
+    size, unit = len(edges) * bins, float(1 << 20)
+
+    def shard(rows: pa.Table) -> pa.Table:
+        x = _matrix(rows.column("x"))
+        x = x[np.lexsort(x.T)]  # the sums must not depend on the order of arrival
+        w, b = descend(at_p, _cells(x, edges), size, prior)
+        # whole numbers add up alike in any order
+        return pa.table({"at": pa.array(np.arange(size + 1), pa.int32()), "w": pa.array(np.rint(np.append(w, b) * unit).astype(np.int64) * len(x))})
+
+    shards = max(1, round(n / shard_rows))
+    # copies of a text have ids of their own; rows without an id are dealt by their place
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    dealt = table.select("x", F.pmod(F.xxhash64("doc_id", "h", place), F.lit(shards)).alias("shard"))
+    got = dealt.groupBy("shard").applyInArrow(shard, "at int, w bigint").groupBy("at").agg(F.sum("w").alias("w")).orderBy("at").toPandas()
+    mean = got["w"].to_numpy() / unit / n
+    model = edges, mean[:-1], float(mean[-1])
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(70 * 256 + 1, dtype=np.int64)
+        for b in it:
+            held += np.bincount(np.rint((np.clip(_logits(_matrix(b.column(0)), model), -35, 35) + 35) * 256).astype(np.int64), minlength=len(held))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
+    seen = table.select("x").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toPandas()
+    return edges, model[1], model[2] + _shift(seen["at"].to_numpy() / 256 - 35, seen["n"].to_numpy(), prior)
+
+
+def score_table(table: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of a ``feature_table``."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in tb.batches(it):
-            if model is None:
-                s = np.zeros(len(texts))
-            else:
-                edges, w, b = model
-                s = w[binned(features(texts), edges) + np.arange(len(edges)) * (len(w) // len(edges))].sum(1) + b
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], ["doc_id", "held_out", "score"])
+        for b in it:
+            s = np.zeros(b.num_rows) if model is None else _logits(_matrix(b.column(2)), model)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], ["doc_id", "held_out", "score"])
+    kind = table.schema["doc_id"].dataType.simpleString()
+    scored = table.select("doc_id", "held_out", "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    rows = read_text_column(docs, id_col, text_col).withColumn("held_out", held_out())
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted for every text; an empty or null text is scored on zero statistics.
 
-def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    return score(docs, fit(docs, labels, **options))
+    A very long text is read whole; repeated rows each get their row, a null id too (held out); equal texts score alike; an empty table gives an
+    empty result; other columns are ignored, whatever their names.
+    """
+    table = feature_table(docs, id_col, text_col)
+    return score_table(table, fit(table, labels, id_col=id_col, **options), threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, all columns, in one pass: nothing is joined back."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col)
+    """The documents whose score reaches the threshold, all columns, in one pass: nothing is joined back.
+
+    Without trusted positives all stay. Null and empty texts are scored on zero statistics, very long ones are read whole; repeated rows stay or go together; an
+    empty table stays empty; other columns go along untouched.
+    """
+    model = fit(feature_table(docs, id_col, text_col), labels, id_col=id_col)
     at = docs.columns.index(text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +277,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             if model is None:
                 yield batch
                 continue
-            edges, w, b = model
-            s = w[binned(features(texts), edges) + np.arange(len(edges)) * (len(w) // len(edges))].sum(1) + b
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))) >= threshold))
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(_logits(features(texts), model), -35, 35))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
