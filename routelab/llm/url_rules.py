@@ -56,7 +56,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """page_id, host, path, rule (host and path of the winning rule, else null), verdict (the rule's, else ``default``).
 
     A rule fits its host and all subdomains if the path starts with the rule's path. The longest host wins, then the longest path. A null
-    url or one without ``://`` has an empty host and path. Repeated pages each get their row; without rules every page gets the default.
+    url or one without ``://`` has an empty host and path. Repeated pages each get their row; without rules every page gets the default; an empty table
+    gives an empty result; a very long url is one key; other columns are ignored.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     stacks = stable(rule_stacks(rules))
@@ -72,7 +73,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     # a rule (depth 0) sorts before the probes of the same key
     swept = ordered_running(events, [], ["key", "_j", "host"], {"_top": ("max", "_rule")}).where("_j > 0")
     fits = F.filter("stack", lambda s: F.col("key").startswith(s["key"]))
-    found = (swept.join(stacks.select(F.col("key").alias("_top"), "stack"), "_top")
+    # a table of its own, so that Spark can split a hot (host, path) in the join below
+    found = stable(swept.join(stacks.select(F.col("key").alias("_top"), "stack"), "_top")
              .withColumn("_fit", F.element_at(F.when(F.size(fits) > 0, fits), -1)).where("_fit is not null")
              .groupBy("host", "path").agg(F.max(F.struct("_j", "_fit.len", "_fit.rule", "_fit.verdict")).alias("_best"))
              .select("host", "path", "_best.rule", "_best.verdict"))
