@@ -29,8 +29,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when identical after runs of ASCII white space become one space; null is the empty text. The smallest id of a group
     stays; a null id never wins against another one, and a group of null ids keeps null. A row that repeats both the id and the text is
-    the same document again: its rows count in ``group_size`` and carry the same values. An empty table gives an empty result; other
-    columns are ignored.
+    the same document again: its rows count in ``group_size`` and carry the same values. A very long text is hashed and compared whole. An empty
+    table gives an empty result; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), collapse_white(text_of(text_col)).alias("norm")).withColumn("h", hash_fn(F.col("norm")))
     slim = stable(base.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")))
@@ -50,7 +50,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     regrouped = strays.groupBy("h", "norm").agg(F.min("doc_id").alias("stray_keep"), F.count("*").alias("stray_size"))
     stray_rows = (strays.join(regrouped, ["h", "norm"]).select(F.col("doc_id").alias("_id"), "h", F.sha2("norm", 256).alias("text_sha256"), "stray_keep", "stray_size").distinct())
     stray_rows = stable(stray_rows)
-    lost = stray_rows.select("h", "text_sha256", "stray_size").distinct().groupBy("h").agg(F.sum("stray_size").alias("lost"))
+    lost = stable(stray_rows.select("h", "text_sha256", "stray_size").distinct().groupBy("h").agg(F.sum("stray_size").alias("lost")))
 
     out = (placed.join(stray_rows, placed["doc_id"].eqNullSafe(stray_rows["_id"]) & (placed["h"] == stray_rows["h"])
                        & (placed["text_sha256"] == stray_rows["text_sha256"]), "left")
