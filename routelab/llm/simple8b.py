@@ -16,7 +16,6 @@ lost executor leaves nothing half written. A segment's ``data`` is its header an
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,6 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,24 +58,30 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     ids, sizes = ids.astype(np.uint64), np.asarray(sizes, dtype=np.int64)
     ends = np.cumsum(sizes)
-    left = np.repeat(ends, sizes) - np.arange(n)
+    left = np.repeat(ends, sizes).astype(np.int32) - np.arange(n, dtype=np.int32)
     need = _bits(ids)
-    upto = np.cumsum(np.bincount(need, minlength=65))
-    # per layout: whether the ids from i on fit it, from a running count of those that do not
+    # per layout: the ids from i on fit it where the next count - 1 ids that fit are the next ids; each layout looks at the ids of the wider one
     choice = np.full(n, ESCAPE, dtype=np.int8)
+    fits = np.arange(n, dtype=np.int32)
     for s in range(len(LAYOUTS) - 1, -1, -1):
         count, bits = LAYOUTS[s]
-        if upto[bits] < count:
+        fits = fits[need[fits] <= bits]
+        if len(fits) < count:
             continue
-        bad = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(need > bits, out=bad[1:])
-        choice[: n - count + 1][(bad[count:] == bad[:-count]) & (left[: n - count + 1] >= count)] = s
-    take = np.array([c for c, _ in LAYOUTS] + [1], dtype=np.int64)[choice]
-    at, i = [], 0
-    add, jump = at.append, (np.arange(n) + take).tolist()
-    while i < n:
-        add(i)
-        i = jump[i]
+        first = fits[: len(fits) - count + 1]
+        whole = (fits[count - 1:] - first == count - 1) & (left[first] >= count)
+        choice[first[whole]] = s
+    take = np.array([c for c, _ in LAYOUTS] + [1], dtype=np.int32)[choice]
+    # all blocks walk side by side, a word of each at a time
+    begins, ends = (ends - sizes).astype(np.int32), ends.astype(np.int32)
+    walks, block = [], np.flatnonzero(sizes > 0)
+    i = begins[block]
+    while len(i):
+        walks.append(i)
+        i = i + take[i]
+        going = i < ends[block]
+        i, block = i[going], block[going]
+    at = np.sort(np.concatenate(walks)) if walks else []
     at = np.array(at, dtype=np.int64)
     chosen = choice[at]
     escapes = np.concatenate([[0], np.cumsum(chosen == ESCAPE)])
@@ -174,14 +180,22 @@ def read_block(data: bytes, block: int) -> np.ndarray:
 
 
 _encoders: dict[str, WordIds] = {}
-CACHE_WORDS = 800_000
-_ASCII_WHITE = re.compile(r"[ \t\n\r\x0b\x0c]+")
-# white space to str.split, but not ASCII white space
-_WIDE = re.compile("[^\x00-\u024f]")
-# a full stop or comma before white space that does not follow a letter or digit
-_MARKS = re.compile("[.,](?<![a-z0-9\u00df-\u00f6\u00f8-\u024f].)[ \n]")
-_ODD_ASCII = re.compile("[\x1c-\x1f]")
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+CACHE_WORDS = 900_000
+SLICE_BYTES = 4 << 20
+# lower-case Latin letters that no normaliser changes
+_PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+# a full stop or comma after a letter or digit is a token of its own
+_MARKED = "[0-9a-z][.,]$"
+
+
+def _before(sizes: np.ndarray) -> np.ndarray:
+    """Sum of the sizes before each place; 32 bits, as a slice has far fewer ids."""
+    return np.cumsum(sizes, dtype=np.int32) - sizes.astype(np.int32)
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each run, one after the other."""
+    return np.repeat(starts.astype(np.int32) - _before(sizes), sizes) + np.arange(int(sizes.sum()), dtype=np.int32)
 
 
 class WordIds:
@@ -201,22 +215,26 @@ class WordIds:
         self.latin = Tokenizer.from_file(path)
         self.latin.normalizer = None
         self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._forget()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.marks = {"": -1} | {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"}
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"}
+
+    def _forget(self) -> None:
+        # white space at the ends of a text leaves an empty word, which has no ids
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(1, np.int32), np.zeros(1, np.int32)
 
     def _add(self, words: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.flat, self.counts = np.concatenate([self.flat, flat.astype(np.uint32)]), np.concatenate([self.counts, counts])
-
-    def _library(self, words: list[str]) -> None:
-        """Ids by the library. Words of Latin letters go in long texts, where a word's last token carries the end mark; others go one by one."""
-        plain, rest = [], []
-        for w in words:
-            (plain if w.isalpha() and w == w.lower() and not _WIDE.search(w) else rest).append(w)
+        self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(counts) - counts).astype(np.int32)])
+        self.flat, self.counts = np.concatenate([self.flat, flat.astype(np.uint32)]), np.concatenate([self.counts, counts.astype(np.int32)])
+
+    def _learn(self, stems: pa.Array) -> None:
+        """Ids by the library. Plain words go in long texts, where a word's last token carries the end mark; others go one by one."""
+        plain = pc.match_substring_regex(stems, _PLAIN)
+        rest = stems.filter(pc.invert(plain)).to_pylist()
+        plain = stems.filter(plain).to_pylist()
         done, counts, flat = [], [], []
         texts = [plain[i:i + 500] for i in range(0, len(plain), 500)]
         for mine, got in zip(texts, self.latin.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)):
@@ -236,61 +254,58 @@ class WordIds:
         if done:
             self._add(done, np.concatenate(counts), np.concatenate(flat))
 
-    def _learn(self, new: list[str]) -> None:
-        # a full stop or comma after a letter or digit is a token of its own; ASCII case is folded by the library anyway,
-        # but not inside added tokens such as <|endoftext|>, which it looks for in the raw text
-        parts = [(w[:-1], w[-1]) if w[-1] in ".," and w[-2:-1].isalnum() and w[-2:-1].isascii() else (w, "") for w in new]
-        stems = [p.lower() if p.isascii() and "<|" not in p else p for p, _ in parts]
-        self._library([w for w in dict.fromkeys(stems) if w not in self.known])
-        made = [(w, s, m) for w, s, (_, m) in zip(new, stems, parts) if w not in self.known]
-        at = np.array([self.known[s] for _, s, _ in made], dtype=np.int64)
-        mark = np.array([self.marks[m] for _, _, m in made], dtype=np.int64)
-        stem = self.counts[at]
-        counts = stem + (mark >= 0)
-        ends = np.cumsum(counts)
-        flat = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
-        flat[ends[mark >= 0] - 1] = mark[mark >= 0]
-        inside = np.arange(int(stem.sum())) - np.repeat(np.cumsum(stem) - stem, stem)
-        flat[np.repeat(ends - counts, stem) + inside] = self.flat[np.repeat(self.starts[at], stem) + inside]
-        self._add([w for w, _, _ in made], counts, flat)
-
     def _find(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        """Words between ASCII white space, in a form that the library gives the same ids."""
-        plain = text.isascii()
-        if _ODD_ASCII.search(text) if plain else _ODD.search(text):
-            return [w for w in _ASCII_WHITE.split(text) if w]
-        if "<|" not in text and (plain or not _WIDE.search(text)):
-            # for Latin letters the library's case folding is that of Python; a mark after a letter or digit is a token of its own
-            text = text.lower()
-            if not _MARKS.search(text):
-                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
-        return text.split()
-
-    def encode(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
-        split = [self._split(t) for t in texts]
-        words = [w for s in split for w in s]
-        at = self._find(words)
-        new = np.flatnonzero(at < 0)
+    def encode(self, texts: list[str | None] | pa.Array, end_id: int | None = None) -> list[np.ndarray]:
+        """Ids of each text. Words are cut at ASCII white space and numbered by Arrow, so Python sees the distinct words of the batch only."""
+        raw = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # ASCII case is folded by the library anyway, but not inside added tokens such as <|endoftext|>, which it looks for in the raw text
+        special = pc.match_substring(raw, "<|")
+        lists = pc.ascii_split_whitespace(pc.if_else(special, raw, pc.ascii_lower(raw)))
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        marked = pc.match_substring_regex(words, _MARKED)
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        names = stems.dictionary.to_pylist()
+        place = self._find(names)
+        new = np.flatnonzero(place < 0)
         if len(new):
-            unseen = list(dict.fromkeys(words[i] for i in new.tolist()))
-            if len(self.known) + 2 * len(unseen) > CACHE_WORDS:
-                self.known, self.flat, self.starts, self.counts = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                new, unseen = np.arange(len(words)), list(dict.fromkeys(words))
-            self._learn(unseen)
-            at[new] = self._find([words[i] for i in new.tolist()])
-        counts = self.counts[at]
-        ends = np.cumsum(counts)
-        flat = self.flat[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        cuts = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self._forget()
+                place = self._find(names)
+                new = np.flatnonzero(place < 0)
+            self._learn(stems.dictionary.take(pa.array(new)))
+            place[new] = self._find([names[i] for i in new.tolist()])
+        # the ids of each distinct word: those of its stem and the mark
+        place = place[stems.indices.to_numpy()]
+        mark = np.where(np.asarray(marked), np.where(np.asarray(pc.ends_with(words, ".")), self.marks["."], self.marks[","]), -1)
+        own = self.counts[place]
+        size = own + (mark >= 0)
+        first = _before(size)
+        table = np.empty(int(size.sum()), dtype=np.uint32)
+        table[_runs(first, own)] = self.flat[_runs(self.starts[place], own)]
+        table[(first + own)[mark >= 0]] = mark[mark >= 0]
+        counts = size[at]
+        flat = table[_runs(first[at], counts)]
+        ends = np.cumsum(counts, dtype=np.int64)
+        cuts = lists.offsets.to_numpy().astype(np.int64)
+        cuts -= cuts[0]
         bounds = np.concatenate([[0], ends])[cuts].tolist()
         tail = np.array([] if end_id is None else [end_id], dtype=np.uint32)
         return [np.concatenate([flat[a:b], tail]) for a, b in zip(bounds, bounds[1:])]
 
 
+def slices(batch: pa.RecordBatch, at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of consecutive rows whose texts have about ``most`` bytes together, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID,
               segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every text and write segment files in ascending id order under ``path``.
@@ -311,9 +326,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
                                                pa.array([write_segment(held)], pa.binary())], ["first_id", "first_tie", "seq", "n_ids", "data"])
 
         for batch in it:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                ids = encoder.encode([t or "" for t in b.column(2).to_pylist()], end_id)
+            for b in slices(batch, 2, SLICE_BYTES):
+                ids = encoder.encode(b.column(2), end_id)
                 for i, tie, own, (words, sizes, raw) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ids, pack_documents(ids)):
                     if not held:
                         first = (i, tie)
