@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelab.functions.money import avg_money, nano, sum_money
-from routelab.scale import distinct_values, join_null_safe, ordered_rank, shuffled_rank
+from routelab.scale import distinct_values, join_null_safe, ordered_rank, seeded_hash, shuffled_rank
 
 
 def _cut(ratio: float, n) :
@@ -25,8 +25,10 @@ def split_by_prompt(records: DataFrame, train_ratio: float = 0.8, seed: int = 42
     """Adds ``is_train``; all rows of a prompt stay together, out-of-distribution datasets are test only."""
     if not 0.0 < train_ratio < 1.0:
         raise ValueError("train_ratio must lie strictly between 0 and 1")
-    prompts = records.select("dataset_id", "prompt").distinct()
-    ranked = shuffled_rank(prompts, ["dataset_id"], ["prompt"], seed, "_rn", hash_keys=["dataset_id", "prompt"], total="_n")
+    # ranges of (dataset, hash, prompt) hold every row of a prompt, so the distinct rows need no exchange of their own
+    hashed = records.select("dataset_id", seeded_hash(seed, "dataset_id", "prompt").alias("_h"), "prompt")
+    prompts = hashed.repartitionByRange("dataset_id", "_h", "prompt").distinct()
+    ranked = ordered_rank(prompts, ["dataset_id"], ["_h", "prompt"], "_rn", total="_n", ranged=True)
     ood = F.col("dataset_id").isin(list(ood_datasets)) if ood_datasets else F.lit(False)
     flags = ranked.select(
         "dataset_id", "prompt", (~ood & (F.col("_rn") <= _cut(train_ratio, F.col("_n")))).alias("is_train"))

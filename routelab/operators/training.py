@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelab.operators.shapes import to_prompt_models  # noqa: F401  (input of this module's operators)
-from routelab.scale import join_null_safe, seeded_hash, shuffled_rank
+from routelab.scale import join_null_safe, seeded_hash, shuffled_rank, stable
 
 
 def prompt_accuracy(prompt_models: DataFrame) -> DataFrame:
@@ -24,13 +24,15 @@ def prompt_accuracy(prompt_models: DataFrame) -> DataFrame:
                                 F.when(n > 0, F.round(right / n, 9)).otherwise(0.0).alias("accuracy"))
 
 
-def _ranked(prompts: DataFrame, seed: int) -> DataFrame:
-    return shuffled_rank(prompts, ["dataset_id", "accuracy"], ["prompt"], seed, "rn", hash_keys=["dataset_id", "prompt"])
+def ranked_prompts(prompts: DataFrame, seed: int = 42) -> DataFrame:
+    """dataset_id, accuracy, prompt, rn (place in the shuffled (dataset, accuracy) group), n (its size), kept, as anchors, positives and negatives all use it."""
+    cols = ["dataset_id", "accuracy", "prompt"]
+    return stable(shuffled_rank(prompts.select(*cols), cols[:2], ["prompt"], seed, "rn", hash_keys=["dataset_id", "prompt"], total="n"))
 
 
-def positive_pairs(prompts: DataFrame, max_pos: int = 1, seed: int = 42) -> DataFrame:
+def positive_pairs(prompts: DataFrame, max_pos: int = 1, seed: int = 42, ranked: DataFrame | None = None) -> DataFrame:
     """In each (dataset, accuracy) group in shuffled order, an anchor pairs with the next ``max_pos`` prompts."""
-    r = _ranked(prompts, seed)
+    r = ranked if ranked is not None else ranked_prompts(prompts, seed)
     ahead = r.select("dataset_id", "accuracy", F.col("prompt").alias("positive"), F.explode(
         F.sequence(F.lit(1), F.lit(max(max_pos, 1)))).alias("offset"), (F.col("rn") - F.col("offset")).alias("rn"))
     if max_pos <= 0:
@@ -44,7 +46,7 @@ def _hash_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
-def stratified_negatives(anchors: DataFrame, prompts: DataFrame, top_k: int = 32, seed: int = 42) -> DataFrame:
+def stratified_negatives(anchors: DataFrame, prompts: DataFrame, top_k: int = 32, seed: int = 42, ranked: DataFrame | None = None) -> DataFrame:
     """Up to ``top_k`` prompts of other accuracy per anchor, near/mid/far 5:3:2 by accuracy gap.
 
     The other-accuracy prompts of a dataset are ordered by (gap, accuracy, shuffled rank). Their positions are
@@ -53,10 +55,11 @@ def stratified_negatives(anchors: DataFrame, prompts: DataFrame, top_k: int = 32
     fills from the leftovers in position order from an anchor-specific start. Only group sizes are needed to
     turn positions into (accuracy, rank), so no candidate list is ever built.
     """
-    r = _ranked(prompts, seed)
-    sizes = r.groupBy("dataset_id", "accuracy").agg(F.count("*").alias("n"))
+    r = ranked if ranked is not None else ranked_prompts(prompts, seed)
+    # a row per (dataset, accuracy): the first of each group carries its size
+    sizes = r.where("rn = 1").select("dataset_id", "accuracy", "n")
     levels = sizes.groupBy("dataset_id").agg(F.collect_list(F.struct("accuracy", "n")).alias("levels"))
-    blocks = sizes.select("dataset_id", "accuracy").join(levels, "dataset_id")
+    blocks = levels.select("dataset_id", F.explode("levels.accuracy").alias("accuracy"), "levels")
     others = F.array_sort(F.transform(F.filter("levels", lambda x: x["accuracy"] != F.col("accuracy")), lambda x: F.struct(
         F.round(F.abs(x["accuracy"] - F.col("accuracy")), 9).alias("gap"), x["accuracy"].alias("acc"), x["n"].alias("n"))))
     blocks = blocks.select("dataset_id", "accuracy", others.alias("o"))
@@ -116,9 +119,10 @@ def stratified_negatives(anchors: DataFrame, prompts: DataFrame, top_k: int = 32
 def to_triplets(prompt_models: DataFrame, top_k: int = 32, max_pos: int = 1, seed: int = 42) -> DataFrame:
     """channel, anchor, positive and the negatives (at most ``top_k`` per anchor) with their accuracies."""
     p = prompt_accuracy(prompt_models)
-    pairs = positive_pairs(p, max_pos, seed)
+    r = ranked_prompts(p, seed)
+    pairs = stable(positive_pairs(p, max_pos, seed, r))
     anchors = pairs.select("dataset_id", "accuracy", F.col("anchor").alias("prompt")).distinct()
-    neg = stratified_negatives(anchors, p, top_k, seed).groupBy("dataset_id", "anchor").agg(
+    neg = stratified_negatives(anchors, p, top_k, seed, r).groupBy("dataset_id", "anchor").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "negative", "negative_accuracy"))), lambda x: F.struct(
             F.lit("user").alias("role"), x["negative"].alias("content"), x["negative_accuracy"].alias("accuracy"))).alias("n"))
     j = pairs.join(neg, ["dataset_id", "anchor"], "left")

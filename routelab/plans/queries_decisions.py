@@ -153,12 +153,12 @@ def _(spark, d):
     return r.select("name", "n", *[F.round(x, 9).alias(x) for x in r.columns[2:]])
 
 
-@query("select_candidate", "", """, e AS (SELECT vec_id, embedding[1:5] AS a FROM embeddings)
+@query("select_candidate", "", """, e AS (SELECT vec_id, embedding AS a FROM embeddings)
 SELECT vec_id, CAST(list_position(a, list_max(a)) - 1 AS INT) AS arg_max,
- CASE WHEN a[1] >= 0 THEN 0 WHEN a[2] >= 0 THEN 1 WHEN a[3] >= 0 THEN 2 WHEN a[4] >= 0 THEN 3 ELSE 4 END AS bubble,
- CASE WHEN list_max(a) < 0 THEN 5 ELSE CAST(list_position(a, list_max(a)) - 1 AS INT) END AS heads FROM e""")
+ CAST(coalesce(list_position([x >= 0 for x in a], true) - 1, len(a) - 1) AS INT) AS bubble,
+ CAST(CASE WHEN list_max(a) < 0 THEN len(a) ELSE list_position(a, list_max(a)) - 1 END AS INT) AS heads FROM e""")
 def _(spark, d):
-    e = V.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 5).alias("logits"))
+    e = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("logits"))
     a = D.select_candidate(e, "det_ncls").withColumnRenamed("selected", "arg_max")
     b = D.select_candidate(a, "det_nlabels").withColumnRenamed("selected", "bubble")
     return D.select_candidate(b, "prob_nlabels").withColumnRenamed("selected", "heads").drop("logits")

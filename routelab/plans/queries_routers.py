@@ -201,15 +201,28 @@ def _(spark, d):
     return rounded(choice_report(C.run_cascade(scored(spark, d), C.Strategy(_ORDER, [0.2, 0.4, 1.0])), "cum_cost"))
 
 
-@query("cascade_search", "dense", SCORED + """, w AS (SELECT sample_id, m.m AS a, n.m AS b, max(1 - probability) FILTER (model_name = m.m) AS da, max(1 - probability) FILTER (model_name = n.m) AS db,
-  max(label) FILTER (model_name = m.m) AS la, max(label) FILTER (model_name = n.m) AS lb, CAST(sum(CASE WHEN model_name = m.m THEN round(cost * 1e9) END) AS BIGINT) AS ca,
-  CAST(sum(CASE WHEN model_name = n.m THEN round(cost * 1e9) END) AS BIGINT) AS cb
-  FROM scored, (SELECT DISTINCT model_name AS m FROM scored) m, (SELECT DISTINCT model_name AS m FROM scored) n WHERE m.m <> n.m GROUP BY sample_id, m.m, n.m),
+def _interpolated(values: str, prob: str) -> str:
+    """Linear interpolation in a sorted list, written like the operator's so that equal values stay equal."""
+    at = f"({prob}) * (len({values}) - 1)"
+    return f"{values}[CAST(floor({at}) AS BIGINT) + 1] + ({values}[CAST(ceil({at}) AS BIGINT) + 1] - {values}[CAST(floor({at}) AS BIGINT) + 1]) * ({at} - floor({at}))"
+
+
+@query("cascade_search", "dense", SCORED + f""", p AS (SELECT sample_id, model_name AS m, max(1 - probability) AS d, max(label) AS y, CAST(sum(round(cost * 1e9)) AS BIGINT) AS c FROM scored GROUP BY ALL),
  g AS (SELECT i, 0.00001 + (1 - 0.00002) * i / CAST(14 AS DOUBLE) AS q FROM range(15) x(i)),
- dl AS (SELECT a, b, list(da ORDER BY da) AS ds, count(*) AS n FROM w GROUP BY a, b),
- th AS (SELECT a, b, i, ds[CAST(floor((1 - q) * (n - 1)) AS BIGINT) + 1] + (ds[CAST(ceil((1 - q) * (n - 1)) AS BIGINT) + 1] - ds[CAST(floor((1 - q) * (n - 1)) AS BIGINT) + 1]) * ((1 - q) * (n - 1) - floor((1 - q) * (n - 1))) AS t FROM dl, g),
- r AS (SELECT a, b, i, any_value(t) AS t, avg(CASE WHEN da < t THEN la WHEN db < 1 THEN lb ELSE 0 END) AS acc, avg(CASE WHEN da < t THEN ca WHEN db < 1 THEN ca + cb ELSE 0 END) AS c, avg(ca) AS c0 FROM w JOIN th USING (a, b) GROUP BY a, b, i)
-SELECT a || ',' || b AS model_order, round(t, 6) AS threshold, round(acc, 6) AS accuracy FROM r WHERE c <= 0.0008 * 1e9 AND c0 <= 0.0008 * 1e9 ORDER BY acc DESC, a, b, i LIMIT 1""")
-def _(spark, d):
-    b = C.cascade_search(scored(spark, d), 0.0008, 2)
-    return rounded(spark.createDataFrame([(",".join(b.order), float(b.thresholds[0]), float(b.accuracy))] if b else [], "model_order string, threshold double, accuracy double"), 6)
+ d1 AS (SELECT m, list(d ORDER BY d) AS ds, sum(c) AS c0, count(*) AS n FROM p GROUP BY m HAVING sum(c) <= 0.0008 * 1e9 * count(*)),
+ t1 AS (SELECT m AS a, i, {_interpolated("ds", "1 - q")} AS t FROM d1, g),
+ r1 AS (SELECT sample_id, a, i, t, d < t AS ok, y, c FROM p JOIN t1 ON m = a),
+ b1 AS (SELECT a, i, count(*) AS n, coalesce(sum(y) FILTER (ok), 0) AS hits, coalesce(sum(c) FILTER (ok), 0) AS paid FROM r1 GROUP BY a, i),
+ l1 AS (SELECT sample_id, a, i, c FROM r1 WHERE NOT ok),
+ d2 AS (SELECT a, i, m AS b, list(d ORDER BY d) AS ds FROM l1 JOIN p USING (sample_id) WHERE m <> a GROUP BY ALL),
+ t2 AS (SELECT a, d2.i AS i, b, g.i AS k, {_interpolated("ds", "1 - q")} AS t FROM d2, g WHERE g.i >= d2.i),
+ r2 AS (SELECT sample_id, a, i, b, k, p.d < t2.t AS ok, y, l1.c + p.c AS c FROM l1 JOIN t2 USING (a, i) JOIN p USING (sample_id) WHERE p.m = b),
+ b2 AS (SELECT a, i, b, k, coalesce(sum(y) FILTER (ok), 0) AS hits, coalesce(sum(c) FILTER (ok), 0) AS paid FROM r2 GROUP BY ALL),
+ b3 AS (SELECT a, i, b, k, m AS z, coalesce(sum(p.y) FILTER (p.d < 1), 0) AS hits, coalesce(sum(r2.c + p.c) FILTER (p.d < 1), 0) AS paid FROM r2 JOIN p USING (sample_id) WHERE NOT r2.ok AND m <> a AND m <> b GROUP BY ALL),
+ r AS (SELECT a, b, z, i, k, CAST(b1.hits + b2.hits + b3.hits AS DOUBLE) / n AS acc, b1.paid + b2.paid + b3.paid AS paid, n FROM b3 JOIN b2 USING (a, i, b, k) JOIN b1 USING (a, i)),
+ top AS (SELECT * FROM r WHERE paid <= 0.0008 * 1e9 * n ORDER BY acc DESC, a, b, z, i, k LIMIT 1)
+SELECT a || ',' || b || ',' || z AS model_order, round(t1.t, 6) AS threshold, round(t2.t, 6) AS second_threshold, round(acc, 6) AS accuracy FROM top JOIN t1 USING (a, i) JOIN t2 USING (a, i, b, k)""")
+def _(spark, d):
+    b = C.cascade_search(scored(spark, d), 0.0008, 3)
+    return rounded(spark.createDataFrame([(",".join(b.order), *map(float, b.thresholds[:2]), float(b.accuracy))] if b else [],
+                                         "model_order string, threshold double, second_threshold double, accuracy double"), 6)

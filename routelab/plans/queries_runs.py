@@ -42,6 +42,26 @@ def _(spark, d):
     return rounded(docs.groupBy("dataset_id", "split", "model_name").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), sum_money("cost").alias("cost")))
 
 
+@query("scan_run_files", "", """, f AS (SELECT doc_id // 50 AS g, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY 1)
+SELECT ['no_model', 'no_records', 'no_dataset', 'unreadable', 'good'][g % 5 + 1] AS reason, count(*) AS files, CAST(sum(CASE WHEN g % 5 = 4 THEN n END) AS BIGINT) AS records,
+ CAST(sum(CASE WHEN g % 5 = 4 THEN chars END) AS BIGINT) AS chars FROM f GROUP BY 1""")
+def _(spark, d):
+    # a file of 50 documents each; four of five are broken in a way of their own
+    docs = V.table(spark, d, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 50).alias("g"))
+    rec = F.struct(F.col("doc_id").alias("index"), F.col("text").alias("prompt"))
+    kind = F.col("g") % 5
+    files = docs.groupBy("g").agg(F.collect_list(rec).alias("records")).select(
+        F.when(kind != 2, L("set")).alias("dataset_name"), L("test").alias("split"), F.when(kind != 0, L("m0")).alias("model_name"), F.when(kind != 1, F.col("records")).alias("records"), kind.alias("kind"))
+    path = _dir(spark, "mixedfiles")
+    files.where("kind <> 3").drop("kind").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+    files.where("kind = 3").drop("kind").withColumn("records", L("lost")).write.mode("append").option("maxRecordsPerFile", 1).json(path)
+    scan = R.scan_run_files(spark, path)
+    bad = scan.rejects.groupBy("reason").agg(F.count("*").alias("files"), L(None).cast("bigint").alias("records"), L(None).cast("bigint").alias("chars"))
+    rows = R.explode_records(scan.runs).agg(F.count("*").alias("records"), F.sum(F.length("prompt")).alias("chars"))
+    assert scan.counts.get["files"] == scan.counts.get["good"] + sum(scan.counts.get[r] for r in R.REASONS)
+    return bad.unionByName(rows.select(L("good").alias("reason"), L(scan.counts.get["good"]).cast("bigint").alias("files"), "records", "chars"))
+
+
 @query("filter_runs", "runs", """SELECT dataset_id, split, model_name, count(*) AS n FROM runs WHERE NOT demo AND dataset_id IN ('1-URGENT', '5-LOW') AND model_name IN ('m1', 'm2', 'm7') AND split <> 'P' GROUP BY ALL""")
 def _(spark, d):
     f = R.filter_runs(V.runs(spark, d), datasets=["1-URGENT", "5-LOW"], exclude_datasets=["5-LOW"], models=["m1", "m2"], exclude_splits=["P"],
@@ -107,14 +127,14 @@ def _(spark, d):
     return rounded(Q.explode_wide_prompts(G.to_wide_prompts(V.dense(spark, d), V.MODELS), "test").select("sample_id", "dataset_id", "model_name", "score", "cost"))
 
 
-@query("write_runs", "recs", f"SELECT dataset_id, split, model_name, count(*) AS n, round(sum(score), 9) AS s, round(sum({NANO}) / 1e9, 9) AS cost FROM recs WHERE dataset_id = '5-LOW' GROUP BY ALL")
+@query("write_runs", "recs", f"SELECT dataset_id, split, model_name, count(*) AS n, round(sum(score), 9) AS s, round(sum({NANO}) / 1e9, 9) AS cost FROM recs GROUP BY ALL")
 def _(spark, d):
     from routelab.functions.money import sum_money
     path = _dir(spark, "runs")
     r = V.recs(spark, d).drop("run_ts", "demo")
     R.write_runs(r, path, "20250101_000000", "overwrite")
     back = R.read_written_runs(spark, path, r.schema)
-    return rounded(back.where("dataset_id = '5-LOW'").groupBy("dataset_id", "split", "model_name").agg(
+    return rounded(back.groupBy("dataset_id", "split", "model_name").agg(
         F.count("*").alias("n"), F.sum("score").alias("s"), sum_money("cost").alias("cost")))
 
 

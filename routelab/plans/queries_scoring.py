@@ -66,12 +66,18 @@ golden("score_math", ["output", "answer"], P, [
     ("{t}\nAnswer: 4{v} cm", "4{v}", "4{v} cm", 1), ("{t} \\boxed{x=5}", "5", "x=5", 1), ("{t} \\boxed{2/4}", "1/2", "2/4", 0)],
     G.score_math)
 
-golden("score_outputs", ["dataset_id", "output", "answer"], {"prediction": "VARCHAR", "score": "DOUBLE"}, [
-    ("arcc", "{t}\nAnswer: E", "E", "E", 1), ("medqa", "B", "B", "B", 1), ("winogrande", "{t}\nAnswer: A", "1", "A", 1), ("mmlupro", "{t}\nAnswer: J", "J", "J", 1),
-    ("meld", "{t}\nAnswer: G", "F", "G", 0), ("math500", "{t} Final Answer: 4{v}", "4{v}", "4{v}", 1), ("math500", "{t} Answer: 4{v}", "4{v}", None, 0),
-    ("aime2025", "{t} \\boxed{70}", "70", "70", 1), ("bbh", "42", "42", "42", 1), ("bbh", "{t}\nAnswer: valid", "valid", "valid", 1), ("finqa", "{t} \\boxed{12.3}", "12", "12.3", 1),
-    ("kandk", "{t}\nCONCLUSION:\n(1) Ann is a knight", "(1) Ann is a knight", "(1) Ann is a knight", 1), ("arc-agi", "{t} [[1, 2], [3, 4]]", "[[[1,2],[3,4]]]", None, 1),
-    ("elsewhere", "{t}", "x", None, None)], G.score_outputs)
+golden("score_outputs", ["dataset_id", "output", "answer", "payload"], {"prediction": "VARCHAR", "score": "DOUBLE"}, [
+    ("arcc", "{t}\nAnswer: E", "E", None, "E", 1), ("medqa", "B", "B", "not json", "B", 1), ("winogrande", "{t}\nAnswer: A", "1", None, "A", 1), ("mmlupro", "{t}\nAnswer: J", "J", "{}", "J", 1),
+    ("meld", "{t}\nAnswer: G", "F", None, "G", 0), ("math500", "{t} Final Answer: 4{v}", "4{v}", None, "4{v}", 1), ("math500", "{t} Answer: 4{v}", "4{v}", None, None, 0),
+    ("aime2025", "{t} \\boxed{70}", "70", None, "70", 1), ("bbh", "42", "42", None, "42", 1), ("bbh", "{t}\nAnswer: valid", "valid", None, "valid", 1), ("finqa", "{t} \\boxed{12.3}", "12", None, "12.3", 1),
+    ("kandk", "{t}\nCONCLUSION:\n(1) Ann is a knight", "(1) Ann is a knight", None, "(1) Ann is a knight", 1), ("arc-agi", "{t} [[1, 2], [3, 4]]", "[[[1,2],[3,4]]]", None, None, 1),
+    ("korbench", "[[b a]] {t}", "[[a b]]", '{"question_type": "puzzle", "rule_id": "3", "idx": "1"}', "[[ba]]", 1), ("korbench", "[[b c]]", "[[a b]]", '{"question_type": "puzzle", "rule_id": "3", "idx": "1"}', "[[bc]]", 0),
+    ("sgibench-deepresearch", "no tag {v}", "0.2{v}", '{"parsed": "0.2{v}"}', None, 1), ("sgibench-deepresearch", "no tag {v}", "0.25", None, None, 0),
+    ("humaneval", "{t}", "", '{"tests": [{"pass": true, "returncode": 0, "runtime": 0.1}, {"pass": true}]}', None, 1), ("mbpp", "{t}", "", '{"tests": [{"pass": true}, {"pass": false}]}', None, 0),
+    ("livecodebench", "{t}", "", '{"tests": []}', None, 0), ("simpleqa", "{t}", "x", '{"reply": "A"}', "A", 1), ("simpleqa", "A {t}", "x", '{"reply": "B: wrong"}', "B", 0), ("simpleqa", "A", "x", None, "C", 0),
+    ("hle", "{t}", "x", '{"reply": "correct: yes"}', None, 1), ("frontierscience", "{t}", "x", '{"reply": "<result><grade>CORRECT</grade></result>"}', None, 1),
+    ("frontierscience-research", "{t}", "x", '{"reply": "I give 7 points"}', None, 0.7), ("arenahard", "{t}", "x", '{"round1": "[[B>>A]]", "round2": "[[A>B]]"}', None, 1),
+    ("arenahard", "{t}", "x", '{"round1": "[[A=B]]"}', None, 0), ("sfe", "{t} FINAL ANSWER: B", "B", '{"kind": "mcq", "reply": "9"}', "B", 0.9), ("elsewhere", "{t}", "x", None, None, None)], G.score_outputs)
 
 golden("score_numeric_qa", ["output", "answer"], P, [
     ("{t} \\boxed{12.3}", "12", "12.3", 1), ("{t} \\boxed{12.5%}", "12.1", "12.5%", 1), ("{t} \\boxed{-3.7}", "-4", "-3.7", 1),

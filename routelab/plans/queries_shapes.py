@@ -215,8 +215,8 @@ def _(spark, d):
 
 
 def samples(spark, d):
-    """Sampled responses per (document, model): every recorded turn of the same-numbered conversation group."""
-    c = V.table(spark, d, "conversations").select((F.col("conv_id") % 97).alias("id"), "conv_id", "turn", F.length("text").alias("n"), F.md5("text").alias("h"))
+    """Sampled responses per (conversation, model): every recorded turn of the conversation."""
+    c = V.table(spark, d, "conversations").select(F.col("conv_id").alias("id"), "conv_id", "turn", F.length("text").alias("n"), F.md5("text").alias("h"))
     r = c.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "n", "h"))).alias("x"))
     return r.select("id", F.concat(F.lit("prompt "), F.col("id").cast("string")).alias("prompt"), F.lit("m0").alias("model"),
                     F.transform("x", lambda s: s["h"]).alias("responses"), F.transform("x", lambda s: (s["n"] % 7).cast("double")).alias("scores"),
@@ -225,8 +225,8 @@ def samples(spark, d):
                     F.transform("x", lambda s: s["n"].cast("bigint")).alias("token_num_responses"))
 
 
-SAMPLES = """, sx AS (SELECT conv_id % 97 AS id, md5(text) AS h, length(text) AS n, row_number() OVER (PARTITION BY conv_id % 97 ORDER BY conv_id, turn, length(text), md5(text)) AS i,
-  count(*) OVER (PARTITION BY conv_id % 97) AS cnt FROM conversations)"""
+SAMPLES = """, sx AS (SELECT conv_id AS id, md5(text) AS h, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text), md5(text)) AS i,
+  count(*) OVER (PARTITION BY conv_id) AS cnt FROM conversations)"""
 
 
 @query("preference_pairs", "", SAMPLES + """, so AS (SELECT id, h, n % 7 AS s, cnt, row_number() OVER (PARTITION BY id ORDER BY n % 7, i) AS r FROM sx),

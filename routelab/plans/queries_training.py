@@ -19,15 +19,15 @@ def _(spark, d):
     return T.positive_pairs(T.prompt_accuracy(T.to_prompt_models(V.dense(spark, d))), 2)
 
 
-_NEG = _RANKED + """, c AS (SELECT x.dataset_id, x.prompt AS anchor, x.accuracy AS anchor_accuracy, y.prompt AS negative, y.accuracy AS negative_accuracy,
+_OWN = _RANKED + """, c AS (SELECT x.dataset_id, x.prompt AS anchor, x.accuracy AS anchor_accuracy, y.prompt AS negative, y.accuracy AS negative_accuracy,
   row_number() OVER (PARTITION BY x.dataset_id, x.prompt ORDER BY round(abs(x.accuracy - y.accuracy), 9), y.accuracy, y.rn) - 1 AS pos, count(*) OVER (PARTITION BY x.dataset_id, x.prompt) AS total
   FROM r x JOIN r y ON x.dataset_id = y.dataset_id AND x.accuracy <> y.accuracy),
  k AS (SELECT DISTINCT dataset_id, anchor, total, least(8, total) AS k, CAST(ceil(total * 0.5) AS BIGINT) AS c1, CAST(ceil(total * CAST(0.8 AS DOUBLE)) AS BIGINT) AS c2 FROM c),
  st AS (SELECT dataset_id, anchor, total, k, s.s, CASE s.s WHEN 0 THEN 0 WHEN 1 THEN c1 ELSE c2 END AS lo, CASE s.s WHEN 0 THEN c1 WHEN 1 THEN c2 ELSE total END AS hi,
   CASE s.s WHEN 0 THEN CAST(floor(k * 0.5) AS BIGINT) WHEN 1 THEN CAST(floor(k * CAST(0.3 AS DOUBLE)) AS BIGINT) ELSE k - CAST(floor(k * 0.5) AS BIGINT) - CAST(floor(k * CAST(0.3 AS DOUBLE)) AS BIGINT) END AS want FROM k, (VALUES (0), (1), (2)) s(s)),
  tk AS (SELECT *, least(want, hi - lo) AS take, CASE WHEN hi > lo THEN CAST('0x' || substr(md5(concat_ws('|', '42', CAST(s AS VARCHAR), dataset_id, anchor)), 1, 15) AS BIGINT) % (hi - lo) ELSE 0 END AS start FROM st),
- own AS (SELECT dataset_id, anchor, s, lo + (start + j) % (hi - lo) AS pos FROM tk, range(8) x(j) WHERE j < take)
-SELECT c.dataset_id, c.anchor, c.negative, c.anchor_accuracy, c.negative_accuracy FROM own JOIN c USING (dataset_id, anchor, pos)"""
+ own AS (SELECT dataset_id, anchor, s, j, lo + (start + j) % (hi - lo) AS pos FROM tk, range(8) x(j) WHERE j < take)"""
+_NEG = _OWN + """ SELECT c.dataset_id, c.anchor, c.negative, c.anchor_accuracy, c.negative_accuracy FROM own JOIN c USING (dataset_id, anchor, pos)"""
 
 
 @query("stratified_negatives", "dense", _NEG)
@@ -36,12 +36,13 @@ def _(spark, d):
     return T.stratified_negatives(p, p, 8).drop("slot")
 
 
-@query("to_triplets", "dense", _RANKED + """ SELECT x.dataset_id AS channel, x.prompt AS anchor, y.prompt AS positive, CAST(least(8, (SELECT count(*) FROM r z WHERE z.dataset_id = x.dataset_id AND z.accuracy <> x.accuracy)) AS INT) AS n_negatives
- FROM r x JOIN r y ON x.dataset_id = y.dataset_id AND x.accuracy = y.accuracy AND y.rn = x.rn + 1""")
+@query("to_triplets", "dense", _OWN + """, ng AS (SELECT c.dataset_id, c.anchor, string_agg(c.negative || '@' || CAST(c.negative_accuracy AS VARCHAR), ',' ORDER BY s, j) AS negatives FROM own JOIN c USING (dataset_id, anchor, pos) GROUP BY ALL)
+SELECT x.dataset_id AS channel, x.prompt AS anchor, y.prompt AS positive, negatives FROM r x JOIN r y ON x.dataset_id = y.dataset_id AND x.accuracy = y.accuracy AND y.rn = x.rn + 1
+ LEFT JOIN ng ON ng.dataset_id = x.dataset_id AND ng.anchor = x.prompt""")
 def _(spark, d):
     t = T.to_triplets(T.to_prompt_models(V.dense(spark, d)), 8, 1)
     return t.select("channel", F.col("messages")[0]["content"].alias("anchor"), F.col("positive_messages")[0]["content"].alias("positive"),
-                    F.size("negative_messages").alias("n_negatives"))
+                    F.array_join(F.transform("negative_messages", lambda x: F.concat(x["content"], F.lit("@"), x["accuracy"].cast("string"))), ",").alias("negatives"))
 
 
 @query("best_of_n", "", SAMPLES + """, cnt AS (SELECT id, count(*) AS c FROM sx GROUP BY 1), n1 AS (SELECT id, c, s.s, p.p FROM cnt, range(1, 4) s(s), range(1, 4) p(p)),

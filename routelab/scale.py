@@ -8,6 +8,7 @@ earlier buckets to the position inside the bucket. The result is the same number
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,22 +91,46 @@ def ordered_running(df: DataFrame, partition: Sequence[str], order: Sequence[str
     return _running(ranged.withColumn("_bucket", F.spark_partition_id()), partition, cols, "_bucket", aggs, total)
 
 
-def ordered_rank(df: DataFrame, partition: Sequence[str], order: Sequence[str | Column], out: str = "rn", total: str | None = None) -> DataFrame:
-    """1-based position along ``order`` inside ``partition``; ``total`` names a column for the group's size."""
-    return ordered_running(df, partition, order, {out: ("count", "*")}, total)
+def _numbered(df: DataFrame, partition: Sequence[str], order: Sequence[Column], out: str, total: str | None, ranged: bool = False) -> DataFrame:
+    """1-based positions along ``order`` inside ``partition`` from one exchange.
+
+    Rows are range-partitioned on (partition, order), sorted and checkpointed, so each row's place in its range is fixed. A small table says how many rows of
+    each group every range holds and where they begin; with the counts of earlier ranges a place becomes a position, without a window over the rows. The
+    table is written, so Spark knows its size and broadcasts it only if it is small.
+    """
+    keys = [F.col(p) for p in partition]
+    dealt = df if ranged else df.repartitionByRange(*keys, *order)
+    rows = stable(dealt.sortWithinPartitions(*keys, *order)).withColumn("_at", F.monotonically_increasing_id())
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    held = rows.groupBy(*partition, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*partition)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = [f"_k{i}" for i in range(len(partition))]
+    counts = held.select(*[F.col(p).alias(k) for p, k in zip(partition, names)], F.col("_range").alias("_r"), (before - F.col("_first") + 1).alias("_shift"), F.sum("_n").over(w).alias("_total"))
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.schema(counts.schema).parquet(path)
+    # a null group is a group too
+    same = F.col("_range") == F.col("_r")
+    for p, k in zip(partition, names):
+        same = same & F.col(p).eqNullSafe(F.col(k))
+    extra = [F.col("_total").alias(total)] if total else []
+    return rows.join(counts, same).select(*[F.col(c) for c in df.columns], (F.col("_at") + F.col("_shift")).alias(out), *extra)
+
+
+def ordered_rank(df: DataFrame, partition: Sequence[str], order: Sequence[str | Column], out: str = "rn", total: str | None = None, ranged: bool = False) -> DataFrame:
+    """1-based position along ``order`` inside ``partition``; ``total`` names a column for the group's size, ``ranged`` says that ``df`` is range-partitioned that way."""
+    return _numbered(df, partition, [F.col(o) if isinstance(o, str) else o for o in order], out, total, ranged)
 
 
 def shuffled_rank(df: DataFrame, partition: Sequence[str], keys: Sequence[str], seed: int | str,
-                  out: str = "rn", hash_keys: Sequence[str] | None = None, total: str | None = None, digits: int = 3) -> DataFrame:
+                  out: str = "rn", hash_keys: Sequence[str] | None = None, total: str | None = None) -> DataFrame:
     """1-based position in a seeded pseudo-random order inside ``partition``; ``keys`` identify a row.
 
-    The md5 text is uniform, so its first ``digits`` hex digits are 16 ** digits even, ordered buckets per group: no sampling, no
-    checkpoint. More digits suit groups of more rows. ``total`` names a column for the group's size.
+    The order is that of an md5 of the seed and the row's keys, so a hot group spreads over many ranges. ``total`` names a column for the group's size.
     """
     d = df.withColumn("_h", seeded_hash(seed, *(hash_keys or keys)))
-    d = d.withColumn("_bucket", F.substring("_h", 1, digits))
-    order = [F.col("_h"), *[F.col(k) for k in keys]]
-    return _running(d, partition, order, "_bucket", {out: ("count", "*")}, total).drop("_h")
+    return _numbered(d, partition, [F.col("_h"), *[F.col(k) for k in keys]], out, total).drop("_h")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

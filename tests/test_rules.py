@@ -449,3 +449,66 @@ def test_router_versions(spark, tmp_path):
     one.ranking.limit(1).write.mode("append").parquet(f"{path}/{folder}/ranking")
     with pytest.raises(ValueError, match="ranking"):
         routers.load_router(spark, path)
+
+
+def test_rejected_run_files(spark, tmp_path):
+    good = {"model_name": "m", "dataset_name": "d", "split": "test", "records": [{"index": 1, "score": 1.0}]}
+    files = {"ok_20250101_000000.json": json.dumps(good), "none.json": json.dumps({**good, "records": []}), "cut.json": json.dumps(good)[:40], "text.json": "hello",
+             "typed.json": json.dumps({**good, "records": "lost"}), "nomodel.json": json.dumps({**good, "model_name": " "}), "nodata.json": json.dumps({**good, "dataset_name": None}),
+             "norec.json": json.dumps({k: v for k, v in good.items() if k != "records"}), "both.json": json.dumps({"records": None, "model_name": None})}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    scan = runs.scan_run_files(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1]: r.reason for r in scan.rejects.collect()}
+    assert got == {"cut.json": "unreadable", "text.json": "unreadable", "typed.json": "unreadable", "nomodel.json": "no_model", "nodata.json": "no_dataset", "norec.json": "no_records", "both.json": "no_model"}
+    assert scan.counts.get == {"files": 9, "good": 2, "unreadable": 3, "no_model": 2, "no_dataset": 1, "no_records": 1}
+    assert sorted(scan.runs.columns) == sorted(runs.read_run_files(spark, str(tmp_path)).columns)
+    assert [r.record_index for r in runs.explode_records(scan.runs).collect()] == [1]
+
+
+def test_scores_of_a_mixed_table(spark):
+    """Payload as VARIANT, JSON text or absent; each row scores as its own scorer would alone; clashing columns stay."""
+    from routelab.operators import scoring
+    rows = [(1, "hle", "o", "a", '{"reply": "correct: YES"}', "x"), (2, "hle", "correct: yes", "a", None, "x"), (3, "humaneval", "", "", '{"tests": [{"pass": true}, {"pass": null}]}', "x"),
+            (4, "arenahard", "", "", '{"round1": "[[B>A]]", "round2": "[[A=B]]"}', "x"), (5, "medqa", "Answer: C", "C", "[1", "x"), (6, None, "o", "a", None, "x"), (7, "sfe", "FINAL ANSWER: B", "B", '{"kind": "mcq", "reply": "12"}', "x"),
+            (8, "frontierscience", None, None, '{"reply": null}', "x")]
+    df = spark.createDataFrame(rows, "id int, dataset_id string, output string, answer string, payload string, rule_id string")
+    want = {1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 1.0, 6: None, 7: 0.0, 8: 0.0}
+    for d in (df, df.withColumn("payload", F.try_parse_json("payload"))):
+        out = scoring.score_outputs(d)
+        assert out.columns == [*df.columns, "prediction", "ground_truth", "score"]
+        assert {r.id: r.score for r in out.collect()} == want
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.score for r in scoring.score_outputs(df.drop("payload")).where("id in (5, 6)").collect()} == {5: 1.0, 6: None}
+    from_factory = {n for s in scoring.SCORERS for n in s.datasets}
+    assert len(from_factory) == sum(len(s.datasets) for s in scoring.SCORERS) and len(from_factory) >= 32
+
+
+def test_rank_needs_one_exchange(spark):
+    """A rank moves its rows once; a split by prompt three times: to ranges, and both sides of the last join."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("x"), F.concat(F.lit("p"), F.col("id") % 2).alias("dataset_id"), F.col("id").cast("string").alias("prompt"))
+    seen = []
+    keep = scale.stable
+    try:
+        scale.stable = lambda d: seen.append(d._jdf.queryExecution().executedPlan().toString()) or keep(d)
+        ranked = scale.ordered_rank(df, ["g"], ["x"], total="n")
+        split = splits.split_by_prompt(df, 0.8, 1)
+    finally:
+        scale.stable = keep
+    plans = [*seen, *(d._jdf.queryExecution().executedPlan().toString() for d in (ranked, split))]
+    per = [p.count("Exchange hashpartitioning") + p.count("Exchange rangepartitioning") for p in plans]
+    assert per[0] == 1 and per[1] == 1 and per[2] == 0 and per[3] <= 2
+    got = ranked.collect()
+    assert all(r.rn == r.x // 3 + 1 and r.n == (334 if r.g == 0 else 333) for r in got)
+
+
+def test_triplets_rank_once(spark):
+    """Anchors, positives and negatives share one kept rank; the plan of the triplets stays small."""
+    rows = [(f"d{i % 2}", f"p{i}", i, m, float((i * 7 + j) % 5 > 2)) for i in range(60) for j, m in enumerate("abcd")]
+    df = spark.createDataFrame(rows, "dataset_id string, prompt string, record_index int, model_name string, score double").withColumns({"cost": F.lit(0.0), "split": F.lit("t"), "prompt_tokens": F.lit(1), "completion_tokens": F.lit(1)})
+    out = training.to_triplets(shapes.to_prompt_models(df), 6, 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") < 15
+    for r in out.collect():
+        assert r.messages[0].accuracy == r.positive_messages[0].accuracy and r.messages[0].content != r.positive_messages[0].content
+        assert len(r.negative_messages) == 6 and all(x.accuracy != r.messages[0].accuracy for x in r.negative_messages) and len({x.content for x in r.negative_messages}) == 6
