@@ -10,19 +10,46 @@ vector) still spreads over tasks. Each (block, chunk) pair keeps its k best; the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelab.scale import seeded_hash, stable
+from routelab.scale import seeded_hash, stable, written
+
+L = F.lit
 
 
 def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2.0 * x @ p.T, 0.0))
 
 
+def _best_pairs(left: pd.DataFrame, right: pd.DataFrame, k: int, test_id: str, train_id: str) -> pd.DataFrame:
+    """The k nearest rows of ``right`` (vectors v) for each row of ``left`` (vectors q), ties by id."""
+    cols = [test_id, train_id, "distance"]
+    if left.empty or right.empty:
+        return pd.DataFrame({c: [] for c in cols})
+    right = right.sort_values(train_id, kind="stable")
+    tv, tid = np.stack(right["v"].to_numpy()), right[train_id].to_numpy()
+    qv, qid = np.stack(left["q"].to_numpy()), left[test_id].to_numpy()
+    room = 1e-6 * (1 + np.sqrt(max((tv * tv).sum(1).max(), (qv * qv).sum(1).max())))
+    found = []
+    for at in range(0, len(qv), 256):
+        # one product finds who can be among the k best; their distances are then taken exactly
+        rough = _distances(qv[at:at + 256], tv)
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * room if len(tv) > k else np.full(len(rough), np.inf)
+        r, c = (rough <= limit[:, None]).nonzero()
+        d = np.sqrt(((tv[c] - qv[at + r]) ** 2).sum(1))
+        order = np.lexsort((c, d, r))
+        r, c, d = r[order], c[order], d[order]
+        mine = np.arange(len(r)) - np.searchsorted(r, r) < k
+        found.append((at + r[mine], c[mine], d[mine]))
+    r, c, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+    return pd.DataFrame({test_id: qid[r], train_id: tid[c], "distance": d})
+
+
 def knn_join(test: DataFrame, train: DataFrame, k: int = 131, test_id: str = "test_id", train_id: str = "train_id",
              vector: str = "embedding", pivots: int | None = None, block: int = 4096, chunk: int = 16384) -> DataFrame:
     """(test_id, train_id, distance, rank): the k nearest train rows by Euclidean distance, ties by id.
@@ -69,32 +96,140 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = 131, test_id: str = "te
         stable(visits.select("cell", (F.col("chunk") + 0).alias("chunk")).distinct()), "cell")
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = [test_id, train_id, "distance"]
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        right = right.sort_values(train_id, kind="stable")
-        tv, tid = np.stack(right["v"].to_numpy()), right[train_id].to_numpy()
-        qv, qid = np.stack(left["q"].to_numpy()), left[test_id].to_numpy()
-        room = 1e-6 * (1 + np.sqrt(max((tv * tv).sum(1).max(), (qv * qv).sum(1).max())))
-        found = []
-        for at in range(0, len(qv), 256):
-            # one product finds who can be among the k best; their distances are then taken exactly
-            rough = _distances(qv[at:at + 256], tv)
-            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * room if len(tv) > k else np.full(len(rough), np.inf)
-            r, c = (rough <= limit[:, None]).nonzero()
-            d = np.sqrt(((tv[c] - qv[at + r]) ** 2).sum(1))
-            order = np.lexsort((c, d, r))
-            r, c, d = r[order], c[order], d[order]
-            mine = np.arange(len(r)) - np.searchsorted(r, r) < k
-            found.append((at + r[mine], c[mine], d[mine]))
-        r, c, d = (np.concatenate([f[i] for f in found]) for i in range(3))
-        return pd.DataFrame({test_id: qid[r], train_id: tid[c], "distance": d})
+        return _best_pairs(left, right, k, test_id, train_id)
     keys = ["cell", "block", "chunk"]
     cand = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(best, f"{test_id} {q_kind}, {train_id} {t_kind}, distance double")
     w = Window.partitionBy(test_id).orderBy("distance", train_id)
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+@dataclass(frozen=True)
+class Projections:
+    """Sign projections: ``bits`` planes per table, ``tables`` tables, ``probes`` buckets looked up per table; what the sample promises of them."""
+    planes: np.ndarray
+    middle: np.ndarray
+    bits: int
+    tables: int
+    probes: int
+    recall: float
+    share: float
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Signed distance to every plane: rows x tables x bits."""
+        return ((x - self.middle) @ self.planes[: self.tables * self.bits].T).reshape(len(x), self.tables, self.bits)
+
+    def buckets(self, x: np.ndarray) -> np.ndarray:
+        """The bucket of each row in each table."""
+        return (self.margins(x) > 0) @ (1 << np.arange(self.bits))
+
+    def probed(self, x: np.ndarray) -> np.ndarray:
+        """The buckets to look up, nearest first: rows x tables x probes. A bucket costs the squares of the margins of the planes it lies across."""
+        m = self.margins(x)
+        flips = _flips(self.bits)
+        over = ((flips[:, None] >> np.arange(self.bits)) & 1).astype(float)
+        price = (m * m) @ over.T
+        own = (m > 0) @ (1 << np.arange(self.bits))
+        near = np.argpartition(price, self.probes - 1, axis=2)[:, :, : self.probes] if self.probes < price.shape[2] else np.broadcast_to(np.arange(len(flips)), price.shape)
+        return own[:, :, None] ^ flips[near]
+
+
+def _flips(bits: int) -> np.ndarray:
+    """The sets of planes that a probe may lie across: all of them for short hashes, up to three planes for longer ones."""
+    masks = np.arange(1 << bits)
+    return masks if bits <= 10 else masks[((masks[:, None] >> np.arange(bits)) & 1).sum(1) <= 3]
+
+
+_MOST_BITS, _SHAPES = 18, [(t, p) for t in (1, 2, 3, 4, 6, 8) for p in (1, 2, 4, 8, 16, 32, 64, 128, 256)]
+
+
+def fit_projections(train: np.ndarray, queries: np.ndarray, rows: int, k: int, recall: float, block: int, seed: int) -> Projections:
+    """The cheapest shape that finds the ``k`` nearest of the sample with the wanted recall. Neighbours in a sample lie farther off than in all rows, and a standard error is taken off, so it errs on the safe side.
+
+    Cheap is the share of the rows that a query meets plus what its copies and the tables' copies of the rows weigh in the shuffle.
+    """
+    rng = np.random.default_rng(seed)
+    size, middle = train.shape[1], train.mean(0)
+    bits = max(1, min(_MOST_BITS, int(np.log2(max(2, rows / block)))))
+    planes = rng.normal(0, 1, (8 * bits, size))
+    d = _distances(queries, train)
+    kth = np.sort(d, axis=1)[:, min(k, d.shape[1]) - 1]
+    near = d <= kth[:, None] + 1e-12
+    best, fallback = None, None
+    for tables, probes in _SHAPES:
+        if probes > len(_flips(bits)):
+            continue
+        p = Projections(planes, middle, bits, tables, probes, 0.0, 0.0)
+        of, looked = p.buckets(train), p.probed(queries)
+        met = np.zeros_like(near)
+        for t in range(tables):
+            hit = np.zeros((len(queries), 1 << bits), dtype=bool)
+            np.put_along_axis(hit, looked[:, t], True, axis=1)
+            met |= hit[:, of[:, t]]
+        # of rows at the same distance as the k-th any will do
+        each = np.minimum((met & near).sum(1), k) / np.minimum(near.sum(1), k)
+        got, share = float(each.mean() - each.std() / len(each) ** 0.5), float(met.mean())
+        done = Projections(planes, middle, bits, tables, probes, got, share)
+        cost = share + tables * probes / (1 << bits) / 8 + tables / 64
+        if got >= recall and (best is None or cost < best[0]):
+            best = cost, done
+        if fallback is None or got > fallback.recall:
+            fallback = done
+    return best[1] if best else fallback
+
+
+def approx_knn_join(test: DataFrame, train: DataFrame, k: int = 131, recall: float = 0.95, test_id: str = "test_id", train_id: str = "train_id", vector: str = "embedding",
+                    block: int = 4096, chunk: int = 16384, sample: int = 4096, sample_queries: int = 256, seed: int = 42) -> DataFrame:
+    """(test_id, train_id, distance, rank): nearest train rows among those that share a bucket with the query; distances are exact, a neighbour may be missed.
+
+    Multi-probe random projections: every row lies in one bucket of each table, a query looks into the buckets nearest to it. Bits, tables and
+    probes are chosen on a bounded sample for the wanted ``recall``; a train row is shuffled once per table and a query once per probe, so the shuffle
+    grows with the rows and not with their product. Buckets get more as the rows do; a hot one is cut into blocks and its queries into chunks. Rows without a vector take no part. ``knn_join`` is the exact mode.
+    """
+    tr = train.select(train_id, F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    te = test.select(test_id, F.col(vector).cast("array<double>").alias("q")).where("q is not null")
+    t_kind, q_kind = dict(tr.dtypes)[train_id], dict(te.dtypes)[test_id]
+    n_train, n_test = tr.count(), te.count()
+
+    def some(df: DataFrame, n: int, key: str, col: str, most: int) -> np.ndarray:
+        # cut by hash before ordering, so one task sees about twice the sample
+        h = F.pmod(F.xxhash64(key, L(seed)), L(1 << 40))
+        part = df.where(h < int(min(1.0, 2 * most / max(n, 1)) * (1 << 40))) if n > 2 * most else df
+        return np.array([r[0] for r in part.orderBy(h, key).select(col).limit(most).collect()], dtype=float)
+    if not n_train or not n_test:
+        return test.sparkSession.createDataFrame([], f"{test_id} {q_kind}, {train_id} {t_kind}, distance double, rank int")
+    known = some(tr, n_train, train_id, "v", sample)
+    p = fit_projections(known, some(te, n_test, test_id, "q", sample_queries), n_train, max(1, round(k * len(known) / n_train)), recall, min(block, max(1, n_train // 64)), seed)
+
+    def into(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            of = p.buckets(np.stack(b["v"].to_numpy()).astype(float))
+            for t in range(p.tables):
+                yield b.assign(tab=t, bucket=of[:, t].astype("int32"))
+    placed = stable(tr.mapInPandas(into, f"{train_id} {t_kind}, v array<double>, tab int, bucket int"))
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            looked = p.probed(np.stack(b["q"].to_numpy()).astype(float))
+            for t in range(p.tables):
+                for j in range(looked.shape[2]):
+                    yield b.assign(tab=t, bucket=looked[:, t, j].astype("int32"))
+    visits = te.mapInPandas(look, f"{test_id} {q_kind}, q array<double>, tab int, bucket int")
+    # blocks and chunks of each bucket that has rows and queries
+    per = [x.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / n).cast("int").alias(c)) for x, n, c in ((placed, block, "n_blocks"), (visits, chunk, "n_chunks"))]
+    info = written(per[0].join(per[1], ["tab", "bucket"]))
+    again = info.select(*[(F.col(c) + 0).alias(c) for c in info.columns])  # the two sides of a cogroup must not share columns
+    q = visits.join(info, ["tab", "bucket"]).withColumn("block", F.explode(F.sequence(L(0), F.col("n_blocks") - 1))).withColumn("chunk", F.pmod(F.xxhash64(test_id), F.col("n_chunks")).cast("int")).drop("n_blocks", "n_chunks")
+    t = placed.join(again, ["tab", "bucket"]).withColumn("block", F.pmod(F.xxhash64(train_id), F.col("n_blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(L(0), F.col("n_chunks") - 1))).drop("n_blocks", "n_chunks")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _best_pairs(left, right, k, test_id, train_id)
+    keys = ["tab", "bucket", "block", "chunk"]
+    cand = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(best, f"{test_id} {q_kind}, {train_id} {t_kind}, distance double")
+    # a pair may meet in several tables
+    once = cand.groupBy(test_id, train_id).agg(F.min("distance").alias("distance"))
+    w = Window.partitionBy(test_id).orderBy("distance", train_id)
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def knn_router(test: DataFrame, train: DataFrame, test_labels: DataFrame, train_labels: DataFrame, k: int = 131,
                **names) -> DataFrame:
     """Majority of the neighbours' labels per model (a tie counts as 0): (test_id, model_name, label, predicted)."""

@@ -94,6 +94,17 @@ def _(spark, d):
     return rounded(j.select("test_id", "train_id", "rank", "distance"), 6)
 
 
+@query("approx_knn_join", "prompt_vectors", _KNN + " SELECT count(DISTINCT test_id) AS n_queries, true AS recall_reached, true AS distances_exact, true AS ranks_whole FROM nn")
+def _(spark, d):
+    tr, te = (x.withColumnRenamed("record_index", n) for x, n in zip(_halves(spark, d), ("train_id", "test_id")))
+    exact, got = N.knn_join(te, tr, 15), N.approx_knn_join(te, tr, 15, 0.95)
+    j = exact.select("test_id", "train_id", F.col("distance").alias("d")).join(got, ["test_id", "train_id"], "full")
+    per = got.groupBy("test_id").agg((F.max("rank") == F.count("*")).alias("whole")).agg(F.min("whole").alias("whole"), F.count("*").alias("n"))
+    found = j.agg((F.count_if(F.col("d").isNotNull() & F.col("distance").isNotNull()) / F.count("d")).alias("recall"), F.max(F.abs(F.col("d") - F.col("distance"))).alias("off"))
+    n, one = te.where("embedding is not null").select(F.count("*").cast("bigint").alias("n_queries"), L(1).alias("k")), L(1).alias("k")
+    return n.join(found.select((F.col("recall") >= 0.9).alias("recall_reached"), (F.col("off") < 1e-9).alias("distances_exact"), one), "k").join(per.select(F.col("whole").alias("ranks_whole"), one), "k").drop("k")
+
+
 @query("knn_router", "dense prompt_vectors", _KNN + """, vt AS (SELECT test_id, model_name, CAST(avg(score) > 0.5 AS INT) AS predicted FROM nn JOIN dense ON record_index = train_id WHERE rank <= 31 GROUP BY ALL),
  r AS (SELECT vt.model_name, CAST(CAST(d.score AS INT) = predicted AS INT) AS ok FROM vt JOIN dense d ON d.record_index = vt.test_id AND d.model_name = vt.model_name),
  per AS (SELECT model_name AS name, avg(ok) AS a, count(*) AS n FROM r GROUP BY 1)

@@ -34,6 +34,13 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A small table written below the shared folder and read again: unlike a checkpoint, Spark knows its size and broadcasts it if it is small."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def seeded_hash(seed: int | str, *keys: str | Column) -> Column:
     """md5 of ``seed|key|key...``: the deterministic stand-in for a random draw."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
@@ -107,9 +114,7 @@ def _numbered(df: DataFrame, partition: Sequence[str], order: Sequence[Column],
     before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     names = [f"_k{i}" for i in range(len(partition))]
     counts = held.select(*[F.col(p).alias(k) for p, k in zip(partition, names)], F.col("_range").alias("_r"), (before - F.col("_first") + 1).alias("_shift"), F.sum("_n").over(w).alias("_total"))
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/ranges-{uuid.uuid4().hex}"
-    counts.write.parquet(path)
-    counts = df.sparkSession.read.schema(counts.schema).parquet(path)
+    counts = written(counts)
     # a null group is a group too
     same = F.col("_range") == F.col("_r")
     for p, k in zip(partition, names):

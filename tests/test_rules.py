@@ -512,3 +512,41 @@ def test_triplets_rank_once(spark):
     for r in out.collect():
         assert r.messages[0].accuracy == r.positive_messages[0].accuracy and r.messages[0].content != r.positive_messages[0].content
         assert len(r.negative_messages) == 6 and all(x.accuracy != r.messages[0].accuracy for x in r.negative_messages) and len({x.content for x in r.negative_messages}) == 6
+
+
+@pytest.mark.parametrize("spread", [0.2, 3.0])
+def test_approximate_neighbours(spark, spread):
+    """Clustered and even vectors, a hot one, ties and missing vectors: the recall that was asked for, exact distances, whole ranks; clusters meet few rows."""
+    rng = np.random.default_rng(8)
+    middle = rng.normal(0, 1, (12, 8))
+    point = lambda: [float(x) for x in middle[rng.integers(12)] + rng.normal(0, spread, 8)]
+    train = [(i, point()) for i in range(1500)] + [(i, [1.0] * 8) for i in range(1500, 2000)] + [(5000, None)]
+    test = [(i, point()) for i in range(60)] + [(60, [1.0] * 8), (61, None)]
+    te, tr = spark.createDataFrame(test, "test_id int, embedding array<double>"), spark.createDataFrame(train, "train_id int, embedding array<double>")
+    got = neighbors.approx_knn_join(te, tr, 10, 0.9, block=128, chunk=16).collect()
+    x, q = np.array([v for _, v in train if v]), np.array([v for _, v in test if v])
+    d = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    limit = np.sort(d, axis=1)[:, 9]
+    hits = sum(r.distance <= limit[r.test_id] + 1e-9 for r in got)
+    assert hits >= 0.9 * 10 * len(q) and all(abs(r.distance - d[r.test_id, r.train_id]) < 1e-9 for r in got)
+    for i in range(len(q)):
+        mine = sorted((r.rank, r.distance, r.train_id) for r in got if r.test_id == i)
+        assert [m[0] for m in mine] == list(range(1, len(mine) + 1)) and mine == sorted(mine, key=lambda m: m[1:])
+    known = x[rng.permutation(len(x))[:500]]
+    p = neighbors.fit_projections(known, q, 10**6, 10, 0.9, 4096, 1)
+    assert p.recall >= 0.9 and (p.share < 0.5 or spread > 1)
+    empty = neighbors.approx_knn_join(te, tr.limit(0), 10)
+    assert empty.count() == 0
+
+
+def test_probes_are_the_nearest_buckets():
+    rng = np.random.default_rng(2)
+    for bits, probes in ((4, 5), (12, 20)):
+        p = neighbors.Projections(rng.normal(0, 1, (2 * bits, 6)), np.zeros(6), bits, 2, probes, 0.0, 0.0)
+        x = rng.normal(0, 1, (7, 6))
+        m, looked = p.margins(x), p.probed(x)
+        own = p.buckets(x)
+        for i in range(7):
+            for t in range(2):
+                price = {int(own[i, t]) ^ int(f): sum(m[i, t, b] ** 2 for b in range(bits) if f >> b & 1) for f in neighbors._flips(bits)}
+                assert set(looked[i, t].tolist()) == set(sorted(price, key=price.get)[:probes]) and own[i, t] in looked[i, t]
