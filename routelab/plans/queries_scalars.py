@@ -21,6 +21,60 @@ def _one(fn):
     return lambda df: df.withColumn("value", fn(F.col("x")))
 
 
+def twin(name: str, table: str, key: str, x: str, value: str, fn) -> None:
+    """Registers a query whose input ``x`` is an expression over a table in words that both engines know; ``value`` says in SQL what must come out."""
+    @query(name, "", f"SELECT {key}, {value} AS value FROM {table}")
+    def _(spark, d):
+        return V.table(spark, d, table).select(key, F.expr(x).alias("x")).select(key, fn(F.col("x")).alias("value"))
+
+
+def _pick(key: str, *cases: str) -> str:
+    return f"CASE {key} % {len(cases)} " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases)) + " END"
+
+
+_A, _B = "CAST(p_size % 9 + 1 AS STRING)", "CAST(p_partkey % 7 + 2 AS STRING)"
+_N = "CAST(floor(o_totalprice) AS BIGINT)"
+_NT = f"CAST({_N} AS STRING)"
+_COMMAS = f"CASE WHEN {_N} < 1000 THEN {_NT} ELSE CAST(CAST(floor({_N} / 1000.0) AS BIGINT) AS STRING) || ',' || lpad(CAST({_N} % 1000 AS STRING), 3, '0') END"
+_PRICE = "CAST(o_totalprice AS DECIMAL(12, 2))"
+
+twin("math_normalize", "part", "p_partkey",
+     _pick("p_partkey", f"chr(92) || 'dfrac' || {_A} || {_B}", "'x = ' || CAST(p_size + 1 AS STRING) || '.5'", f"{_A} || '/' || {_B}", "chr(92) || 'text{ ' || p_brand || ' }'", f"'.' || {_A} || chr(92) || '%'"),
+     _pick("p_partkey", f"chr(92) || 'frac{{' || {_A} || '}}{{' || {_B} || '}}'", "CAST(p_size + 1 AS STRING) || '.5'", f"chr(92) || 'frac{{' || {_A} || '}}{{' || {_B} || '}}'", "p_brand",
+           f"CASE WHEN p_size % 9 + 1 = 5 THEN chr(92) || 'frac{{1}}{{2}}' ELSE '0.' || {_A} END"), T.math_normalize)
+twin("number_normalize", "orders", "o_orderkey", _pick("o_orderkey", f"'$' || {_COMMAS}", f"{_NT} || ' cm'", f"{_NT} || ' million'", f"chr(92) || 'frac{{' || {_NT} || '}}{{7}}'", f"'{{' || {_NT} || '.0}}'"),
+     _pick("o_orderkey", _NT, _NT, f"{_NT} || '*10^6'", f"{_NT} || '/7'", _NT), T.number_normalize)
+twin("tuple_split", "orders", "o_orderkey", _pick("o_orderkey", f"'(' || CAST(o_orderkey AS STRING) || ', ' || {_COMMAS} || ', ' || o_orderstatus || ')'", _COMMAS, f"'[' || o_orderpriority || ', ' || {_COMMAS} || ')'"),
+     _pick("o_orderkey", f"CAST(o_orderkey AS STRING) || '|' || {_NT} || '|' || o_orderstatus", _NT, f"o_orderpriority || '|' || {_NT}"), lambda c: F.array_join(T.tuple_split(c), "|"))
+twin("rounded_number", "orders", "o_orderkey", _pick("o_orderkey", f"'about ' || CAST({_PRICE} AS STRING) || ' units'", "CAST(o_custkey AS STRING) || '.5'", f"'-' || CAST({_PRICE} AS STRING)", "'none'"),
+     _pick("o_orderkey", f"CAST(CAST(round_even(CAST({_PRICE} AS DOUBLE), 0) AS BIGINT) AS STRING) || '.0'", "CAST(o_custkey + o_custkey % 2 AS STRING) || '.0'",
+           f"'-' || CAST(CAST(round_even(CAST({_PRICE} AS DOUBLE), 0) AS BIGINT) AS STRING) || '.0'", "'none'"), T.rounded_number)
+twin("fenced_code", "documents", "doc_id", _pick("doc_id", "text || chr(10) || '```' || chr(10) || source || chr(10) || 'lang = ' || lang || chr(10) || '```' || chr(10)", "text",
+                                                "'```old' || chr(10) || lang || chr(10) || '```' || chr(10) || text || chr(10) || '```py' || chr(10) || lang || chr(10) || '```'"),
+     _pick("doc_id", "source || chr(10) || 'lang = ' || lang", "''", "lang"), T.fenced_code)
+twin("dataset_from_file_name", "documents", "doc_id", _pick("doc_id", "'/runs/' || lang || CAST(doc_id AS STRING) || '_anthropic_' || source || '.json'", "lang || '-experiment_' || source || '-2025.json'",
+                                                            "'a/b/' || lang || CAST(doc_id AS STRING) || '.json'", "'tau2_' || lang || '_' || source || '.json'", "lang || '-v' || CAST(doc_id AS STRING) || '_gpt-' || source || '.json'"),
+     _pick("doc_id", "lang || CAST(doc_id AS STRING)", "lang || '-experiment'", "lang || CAST(doc_id AS STRING)", "'tau2_' || lang", "lang || '-v' || CAST(doc_id AS STRING)"), T.dataset_from_file_name)
+
+
+@query("token_f1_answer", "", """, n AS (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type), ' ') AS t FROM part),
+ s AS (SELECT n.p_partkey, len(n.t) AS np, len(m.t) AS nt, CAST(list_sum([least(len([1 for y in n.t if y = w]), len([1 for y in m.t if y = w])) for w in list_distinct(n.t)]) AS DOUBLE) AS same FROM n JOIN n m ON m.p_partkey = n.p_partkey + 1)
+SELECT p_partkey, round(CASE WHEN same = 0 THEN 0 ELSE 2 * (same / np) * (same / nt) / (same / np + same / nt) END, 6) AS f1 FROM s""")
+def _(spark, d):
+    n = V.table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("t"))
+    j = n.join(n.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("t").alias("u")), "p_partkey")
+    return rounded(j.select("p_partkey", T.token_f1(F.col("t"), F.col("u"))["f1"].alias("f1")), 6)
+
+
+_MODEL = _pick("p_partkey", "'gpt-5-' || CASE WHEN p_size % 2 = 0 THEN 'medium' ELSE 'high' END", "p_type || '/' || p_name || ' ' || p_brand", "p_brand")
+
+
+@query("canonical_model_name", "", f"""SELECT p_partkey, {_pick("p_partkey", "'gpt-5'", "p_name || ' ' || p_brand", "p_brand")} AS name,
+ CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'medium' ELSE 'high' END END AS effort, replace(replace({_MODEL}, '/', '_'), ' ', '_') AS path_name FROM part""")
+def _(spark, d):
+    return V.table(spark, d, "part").select("p_partkey", T.canonical_model_name(F.expr(_MODEL)).alias("n")).select("p_partkey", "n.*")
+
+
 _QA = r"""list_aggregate(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), 'string_agg', ' ')"""
 
 
@@ -51,23 +105,12 @@ def _(spark, d):
 
 
 golden("qa_normalize_choice", ["x"], TXT, [("{t} (A) or (b)", "(b)"), ("plain text", "")], _one(lambda c: T.qa_normalize(c, "mc")))
-golden("token_f1_answer", ["x", "y"], {"f1": "DOUBLE"}, [("The cat, the cat!", "a cat", 0.666667), ("yes", "yes it is", 0.0), ("no", "No.", 1.0), ("dog {v}", "{v} dog", 1.0), ("", "x", 0.0)],
-       lambda df: df.withColumn("f1", T.token_f1(F.col("x"), F.col("y"))["f1"]), 6)
 golden("choice_letter", ["x"], TXT, [("{t}\nAnswer: B\nanswer:$C", "C"), ("{t}\nFinal Answer\n\n D", "D"), ("{t} \\boxed{A{v}}", "A{v}"), (" B", "B"), ("{t} nothing", "")],
        _one(lambda c: T.choice_letter(c, "A-D")))
 golden("boxed_last", ["x"], TXT, [("{t} \\boxed{1} \\boxed{a{b}{c{v}}} }", "a{b}{c{v}}"), ("{t} \\boxed{open", None), ("no box {v}", None), ("{t}\\boxed 5", None)], _one(T.boxed))
 golden("boxed_first", ["x"], TXT, [("\\boxed{ x^{2} } {t} \\boxed{3}", "x^{2}"), ("{v} \\boxed{open", "open"), ("no box", "")], _one(lambda c: T.boxed(c, "first")))
-golden("math_normalize", ["x"], TXT, [
-    ("\\dfrac12", "\\frac{1}{2}"), ("0.5", "\\frac{1}{2}"), ("x = 3{v}", "3{v}"), ("\\text{ yes }", "yes"), ("\\sqrt3 + .5", "\\sqrt{3}+0.5"), ("90^\\circ", "90"), ("3/4", "\\frac{3}{4}"),
-    ("12\\%", "12"), ("\\left( 1, 2 \\right)", "(1,2)"), ("5 \\text{ cm}", "5"), ("\\frac1{72}", "\\frac{1}{72}"), ("1,000\\$", "1,000")], _one(T.math_normalize))
-golden("number_normalize", ["x"], TXT, [
-    ("1,234,567", "1234567"), ("$3{v}", "3{v}"), ("5 cm", "5"), ("2 million", "2*10^6"), ("7 3/4", "7+3/4"), ("3.0", "3"), ("\\frac{1}{2}", "1/2"), ("1 or 2", "1,2"), ("- 5", "-5"),
-    ("{12}", "12"), ("45^ \\circ", "45"), ("ABC", "abc")], _one(T.number_normalize))
-golden("tuple_split", ["x"], TXT, [("(1, 2,3{v})", "1|2|3{v}"), ("[1,000, 5)", "1000|5"), ("12{v}", "12{v}"), ("(1),(2)", "(1),(2)")], _one(lambda c: F.array_join(T.tuple_split(c), "|")))
-golden("rounded_number", ["x"], TXT, [("about 2.5 units", "2.0"), ("3.5{v}", "4.0"), ("-1.6", "-2.0"), ("none", "none"), ("{v} and 9", "{v}.0")], _one(T.rounded_number))
 golden("last_integer", ["x"], TXT, [("{t} 12 and 3{v}", "3{v}"), ("none", None), ("a1 7 b2", "7")], _one(T.last_integer))
 golden("tagged_span", ["x"], TXT, [("{t}<answer>1</answer><answer> 2{v} </answer> x", "2{v}"), ("plain {v}", "plain {v}"), ("<answer>open", "open")], _one(T.tagged_span))
-golden("fenced_code", ["x"], TXT, [("```\nold\n```\ntext\n```python\na = {v}\nb\n```\n", "a = {v}\nb"), ("no code", ""), ("```\n```", "")], _one(T.fenced_code))
 golden("parse_grid", ["x"], TXT, [("{t} [[1, 2], [{v}, 4]]", "1,2;{v},4"), ("[[1], [2, 3]]", None), ("{t} none", None)],
        _one(lambda c: F.array_join(F.transform(T.parse_grid(c), lambda r: F.array_join(F.transform(r, lambda x: x.cast("string")), ",")), ";")))
 golden("bracket_text", ["x"], {"basic": "VARCHAR", "clean": "VARCHAR", "logic": "VARCHAR", "math": "VARCHAR"}, [
@@ -137,12 +180,6 @@ def _(spark, d):
 golden("build_scorer_text", ["a", "b"], TXT, [("Q: one Q: two", "{v} {t}.", "Q: two {v} {t}."), ("plain", "{v}", "plain {v}"), ("", "x{v}", "x{v}")],
        lambda df: df.withColumn("value", T.build_scorer_text(F.col("a"), F.col("b"))))
 golden("label_tasks", ["x"], TXT, [("Answer the following math {v} question: {t}", "math {v}"), ("{v}", None)], _one(T.label_tasks))
-golden("canonical_model_name", ["x"], {"name": "VARCHAR", "effort": "VARCHAR", "path_name": "VARCHAR"}, [
-    ("gpt-5-medium", "gpt-5", "medium", "gpt-5-medium"), ("gpt-5-chat", "gpt-5-chat", None, "gpt-5-chat"), ("qwen/m {v}", "m {v}", None, "qwen_m_{v}")],
-    lambda df: df.withColumn("n", T.canonical_model_name(F.col("x"))).select("*", "n.*"))
-golden("dataset_from_file_name", ["x"], TXT, [
-    ("/a/aime-experiment_claude-opus-20250814-085351.json", "aime-experiment"), ("arc-agi-v{v}_anthropic_claude.json", "arc-agi-v{v}"), ("gpqa_claude-x.json", "gpqa"),
-    ("tau2_airline_claude.json", "tau2_airline"), ("x{v}_y_z.json", "x{v}"), ("plain.json", "plain")], _one(T.dataset_from_file_name))
 
 
 @query("request_key", "", """SELECT event_id, sha256('{' || '"event_type":"' || event_type || '"' || CASE WHEN user_id % 2 = 0 THEN ',"user_id":' || CAST(user_id AS VARCHAR) ELSE '' END || '}') AS request_key FROM events""")

@@ -147,9 +147,15 @@ golden("score_grids", ["output", "answer"], {"n_outputs": "INTEGER", "score": "D
     ("{t} [[1, 2], [3, {v}]]", "[[[1,2],[3,{v}]]]", 1, 1), ("{t} [[1, 2], [3]]", "[[[1,2],[3,4]]]", 1, 0),
     ("{t} [[1]] and [[{v}, 2]]", "[[[1]],[[{v},2]]]", 2, 1), ("{t} none", "[[[1]]]", 1, 0)], G.score_grids)
 
-golden("score_step_judgements", ["output"], S, [
-    ('steps: [{"judge": "correct"}, {"judge": "wrong"}] end', 0.5), ('[{"judge": "Correct"}, {"judge": "correct", "n": {v}}]', 1.0),
-    ("no list", 0.0), ("[]", 0.0)], G.score_step_judgements)
+@query("score_step_judgements", "", """SELECT l_orderkey AS id, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS score FROM lineitem GROUP BY 1
+UNION ALL SELECT -1 - o_orderkey, 0.0 FROM orders WHERE o_orderkey % 2 = 0""")
+def _(spark, d):
+    # the lines of an order are its steps; half of the orders also come with an answer that has no list
+    step = F.struct("l_linenumber", F.when(F.col("l_returnflag") == "R", "Correct").otherwise("wrong").alias("judge"))
+    lines = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(L("steps: "), F.to_json(F.collect_list(step)), L(" end")).alias("output"))
+    bare = V.table(spark, d, "orders").where("o_orderkey % 2 = 0").select((-1 - F.col("o_orderkey")).alias("id"), F.col("o_orderpriority").alias("output"))
+    return rounded(G.score_step_judgements(lines.unionByName(bare)).select("id", "score"), 6)
+
 
 golden("score_exact_or_parsed", ["output", "parsed", "answer"], P, [
     ("{t}<answer> 4{v} </answer>", "", "4{v}", "4{v}", 1), ("{t}<answer>5</answer>", "6", "6", "5", 1), ("{t}<answer>5</answer>", "5", "6", "5", 0)],
@@ -161,16 +167,16 @@ golden("score_protocol_steps", ["output", "answer"], {"order_similarity": "DOUBL
     (_STEPS.split("out")[0], _STEPS, 0, 0.5, 0.25), (_STEPS.replace("<combine>", "<zap>"), _STEPS, 0, 0, 0), ("{t}", "none {v}", 1, 1, 1)],
     G.score_protocol_steps)
 
-golden("score_idea_graph", ["id1", "a", "b"], {"edge_similarity": "DOUBLE", "text_similarity": "DOUBLE", "score": "DOUBLE"}, [
-    ("0", "mix the dye|heat it", "mix the dye|heat it", 1, 1, 1), ("1", "mix the dye|heat it", "mix the dye|cool it", 1, round(4 / 6, 9), round(0.6 + 0.4 * 4 / 6, 9)),
-    ("2", "one {v}|two {v}|three", "one {v}|two {v}", 0.5, 0.75, 0.6)],
-    lambda df: G.score_idea_graph(df.withColumn("steps", _steps("a")).withColumn("ref_steps", _steps("b")).withColumn(
-        "order", F.map_keys("steps")).withColumn("ref_order", F.map_keys("ref_steps"))))
-
-
-def _steps(c):
-    parts = F.split(c, r"\|")
-    return F.map_from_arrays(F.transform(parts, lambda x, i: (i + 1).cast("string")), parts)
+@query("score_idea_graph", "", """, g AS (SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN 3 ELSE 2 END AS n,
+  list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type || CASE WHEN p_size > 25 THEN ' ' || p_brand ELSE '' END), ' '), lambda x: x <> '')) AS w FROM part),
+ s AS (SELECT a.id, (least(a.n, b.n) - 1) / CAST(greatest(a.n, b.n) - 1 AS DOUBLE) AS e, len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) AS t FROM g a JOIN g b ON b.id = a.id - 1)
+SELECT id, round(e, 6) AS edge_similarity, round(t, 6) AS text_similarity, round(CAST(0.6 AS DOUBLE) * e + CAST(0.4 AS DOUBLE) * t, 6) AS score FROM s""")
+def _(spark, d):
+    texts = F.array("p_name", "p_type", F.when(F.col("p_size") > 25, F.col("p_brand")))
+    steps = F.map_from_entries(F.filter(F.transform(texts, lambda v, i: F.struct((i + 1).cast("string").alias("k"), v.alias("v"))), lambda x: x["v"].isNotNull()))
+    g = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), steps.alias("steps"))
+    j = g.join(g.select((F.col("id") + 1).alias("id"), F.col("steps").alias("ref_steps")), "id").withColumn("order", F.map_keys("steps")).withColumn("ref_order", F.map_keys("ref_steps"))
+    return rounded(G.score_idea_graph(j).select("id", "edge_similarity", "text_similarity", "score"), 6)
 
 
 @query("score_idea_text", "", """, e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

@@ -330,17 +330,16 @@ def _(spark, d):
     return S.pair_statistics(to_prompt_models(V.dense(spark, d)), 32, 2)
 
 
-@query("vote_tally", "", """, v AS (SELECT doc_id AS item_id, dim.d AS dimension, CASE WHEN (doc_id * 3 + j.j * 5 + dim.k * 7) % 5 < 3 THEN 'win_B' ELSE 'win_A' END AS judgment
- FROM documents, (SELECT range AS j FROM range(6)) j, (VALUES ('novelty', 1), ('clarity', 2)) dim(d, k))
+@query("vote_tally", "", """, v AS (SELECT l_orderkey AS item_id, 'novelty' AS dimension, l_returnflag = 'R' AS win FROM lineitem UNION ALL SELECT l_orderkey, 'clarity', l_linestatus = 'F' FROM lineitem)
 SELECT item_id, dimension, o AS original_votes, g AS generated_votes,
  CASE WHEN g > CASE WHEN dimension = 'novelty' THEN 4 ELSE 3 END THEN 'win' WHEN g <= 2 THEN 'lose' ELSE 'tie' END AS result
-FROM (SELECT item_id, dimension, count(*) FILTER (judgment = 'win_A') AS o, count(*) FILTER (judgment = 'win_B') AS g FROM v GROUP BY ALL)""")
+FROM (SELECT item_id, dimension, count(*) FILTER (NOT win) AS o, count(*) FILTER (win) AS g FROM v GROUP BY ALL)""")
 def _(spark, d):
-    def side(k):
-        return F.when((F.col("item_id") * 3 + F.col("j") * 5 + k * 7) % 5 < 3, "win_B").otherwise("win_A")
-    votes = V.table(spark, d, "documents").select(
-        F.col("doc_id").alias("item_id"), F.explode(F.array(*[F.lit(i) for i in range(6)])).alias("j")).select(
-        "item_id", F.create_map(F.lit("novelty"), side(1), F.lit("clarity"), side(2)).alias("judgments"))
+    # every line of an order is a vote on it
+    def side(c, v):
+        return F.when(F.col(c) == v, "win_B").otherwise("win_A")
+    votes = V.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("item_id"), F.create_map(F.lit("novelty"), side("l_returnflag", "R"), F.lit("clarity"), side("l_linestatus", "F")).alias("judgments"))
     return S.vote_tally(votes)
 
 

@@ -550,3 +550,40 @@ def test_probes_are_the_nearest_buckets():
             for t in range(2):
                 price = {int(own[i, t]) ^ int(f): sum(m[i, t, b] ** 2 for b in range(bits) if f >> b & 1) for f in neighbors._flips(bits)}
                 assert set(looked[i, t].tolist()) == set(sorted(price, key=price.get)[:probes]) and own[i, t] in looked[i, t]
+
+
+def _texts(spark, rows, fn):
+    df = spark.createDataFrame([(i, *r[:-1], r[-1]) for i, r in enumerate(rows)], "i int, x string, want string" if len(rows[0]) == 2 else "i int, x string, y string, want string")
+    return [(r.value, r.want) for r in df.withColumn("value", fn(df)).collect()]
+
+
+@pytest.mark.parametrize("name,rows", [
+    ("math_normalize", [("\\dfrac12", "\\frac{1}{2}"), ("0.5", "\\frac{1}{2}"), ("x = 3", "3"), ("\\text{ yes }", "yes"), ("\\sqrt3 + .5", "\\sqrt{3}+0.5"), ("90^\\circ", "90"), ("3/4", "\\frac{3}{4}"),
+                        ("12\\%", "12"), ("\\left( 1, 2 \\right)", "(1,2)"), ("5 \\text{ cm}", "5"), ("\\frac1{72}", "\\frac{1}{72}"), ("1,000\\$", "1,000")]),
+    ("number_normalize", [("1,234,567", "1234567"), ("$3", "3"), ("5 cm", "5"), ("2 million", "2*10^6"), ("7 3/4", "7+3/4"), ("3.0", "3"), ("\\frac{1}{2}", "1/2"), ("1 or 2", "1,2"), ("- 5", "-5"),
+                          ("{12}", "12"), ("45^ \\circ", "45"), ("ABC", "abc")]),
+    ("tuple_split", [("(1, 2,3)", "1|2|3"), ("[1,000, 5)", "1000|5"), ("12", "12"), ("(1),(2)", "(1),(2)")]),
+    ("rounded_number", [("about 2.5 units", "2.0"), ("3.5", "4.0"), ("-1.6", "-2.0"), ("none", "none"), ("7 and 9", "7.0")]),
+    ("fenced_code", [("```\nold\n```\ntext\n```python\na = 1\nb\n```\n", "a = 1\nb"), ("no code", ""), ("```\n```", "")]),
+    ("dataset_from_file_name", [("/a/aime-experiment_claude-opus-20250814-085351.json", "aime-experiment"), ("arc-agi-v2_anthropic_claude.json", "arc-agi-v2"), ("gpqa_claude-x.json", "gpqa"),
+                                ("tau2_airline_claude.json", "tau2_airline"), ("x5_y_z.json", "x5"), ("plain.json", "plain")])])
+def test_text_rules(spark, name, rows):
+    from routelab.functions import text
+    fn = getattr(text, name)
+    got = _texts(spark, rows, lambda df: F.array_join(fn(df["x"]), "|") if name == "tuple_split" else fn(df["x"]))
+    assert [g for g, _ in got] == [w for _, w in got]
+
+
+def test_answers_names_and_judgements(spark):
+    from routelab.functions import text
+    from routelab.operators import scoring
+    f1 = _texts(spark, [("The cat, the cat!", "a cat", "0.666667"), ("yes", "yes it is", "0.0"), ("no", "No.", "1.0"), ("dog 3", "3 dog", "1.0"), ("", "x", "0.0")], lambda df: text.token_f1(df["x"], df["y"])["f1"])
+    assert [round(v, 6) for v, _ in f1] == [float(w) for _, w in f1]
+    names = spark.createDataFrame([("gpt-5-medium",), ("gpt-5-chat",), ("qwen/m 1",)], "x string").select(text.canonical_model_name(F.col("x")).alias("n")).select("n.*").collect()
+    assert [tuple(r) for r in names] == [("gpt-5", "medium", "gpt-5-medium"), ("gpt-5-chat", None, "gpt-5-chat"), ("m 1", None, "qwen_m_1")]
+    steps = ['steps: [{"judge": "correct"}, {"judge": "wrong"}] end', '[{"judge": "Correct"}, {"judge": "correct", "n": 1}]', "no list", "[]"]
+    assert [r.score for r in scoring.score_step_judgements(spark.createDataFrame([(s,) for s in steps], "output string")).collect()] == [0.5, 1.0, 0.0, 0.0]
+    ideas = [(["mix the dye", "heat it"], ["mix the dye", "heat it"], 1.0, 1.0), (["mix the dye", "heat it"], ["mix the dye", "cool it"], 1.0, 4 / 6), (["one 1", "two 1", "three"], ["one 1", "two 1"], 0.5, 0.75)]
+    df = spark.createDataFrame([({str(i + 1): t for i, t in enumerate(a)}, {str(i + 1): t for i, t in enumerate(b)}, e, w) for a, b, e, w in ideas], "steps map<string,string>, ref_steps map<string,string>, e double, w double")
+    for r in scoring.score_idea_graph(df.withColumn("order", F.map_keys("steps")).withColumn("ref_order", F.map_keys("ref_steps"))).collect():
+        assert (r.edge_similarity, r.text_similarity) == (pytest.approx(r.e), pytest.approx(r.w)) and r.score == pytest.approx(0.6 * r.e + 0.4 * r.w)
