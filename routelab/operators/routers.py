@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Interaction, OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +22,7 @@ from routelab.functions.similarity import l2_normalize
 from routelab.operators.splits import cost_percentile, rank_models_in_cluster, tie_labels
 from routelab.operators.stats import best_first
 from routelab.operators.tradeoffs import balance_score, cluster_metrics, pareto_join
+from routelab.scale import stable
 
 L = F.lit
 
@@ -40,20 +40,96 @@ def _unit(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_u", l2_normalize(F.col(vector)))
 
 
-def _fit_kmeans(vectors: DataFrame, k: int, n_init: int, seed: int, vector: str):
-    """Best of ``n_init`` seeded K-Means fits by training cost."""
-    data = vectors.select(array_to_vector(F.col(vector)).alias("features")).persist()
-    try:
-        n = data.count()
-        fits = [KMeans(k=max(1, min(k, n)), seed=seed + i, maxIter=50).fit(data) for i in range(n_init)]
-        return min(fits, key=lambda f: f.summary.trainingCost)
-    finally:
-        data.unpersist()
+@dataclass
+class Clusters:
+    """``centers`` (k x dimensions) and the training cost: the sum of squared distances to the nearest centre."""
+    centers: np.ndarray
+    cost: float
+
+    def assign(self, df: DataFrame, vector: str, out: str = "cluster_id") -> DataFrame:
+        """Adds the nearest centre's number (ties: the smaller); null without a vector."""
+        c = self.centers
+        c2 = (c * c).sum(1)
+
+        @F.pandas_udf("int")
+        def nearest(v: pd.Series) -> pd.Series:
+            had = v.notna().to_numpy()
+            found = pd.Series([None] * len(v), dtype="Int32")
+            if had.any():
+                x = np.stack(v[had].to_numpy()).astype(float)
+                found[had] = (c2 - 2 * x @ c.T).argmin(1).astype("int32")
+            return found
+        return df.withColumn(out, nearest(F.col(vector)))
 
 
-def _centers(spark: SparkSession, model) -> DataFrame:
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cluster_id int, center array<double>")
+START_SAMPLE = 4096
+
+
+def fit_kmeans(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, vector: str = "embedding", max_iter: int = 50, tolerance: float = 1e-6) -> Clusters:
+    """Lloyd's iterations for ``n_init`` starts at once: a pass over the rows moves the centres of every start, so an iteration is one job however many starts.
+
+    Starts are drawn by squared distance (k-means++) from a bounded sample of the rows, the smallest by hash. A task adds up counts, sums and costs by
+    (start, centre); only those (starts x centres rows) reach the driver. A start that moved less than ``tolerance`` rests; a centre without rows stays where it is.
+    The best start is that of least cost.
+    """
+    rows = stable(vectors.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null"))
+    n = rows.count()
+    if not n:
+        raise ValueError("no vectors to cluster")
+    h = F.pmod(F.xxhash64("v"), L(1 << 40))
+    part = rows.where(h < int(min(1.0, 2 * START_SAMPLE / n) * (1 << 40))) if n > 2 * START_SAMPLE else rows
+    known = np.unique(np.array([r[0] for r in part.orderBy(h, "v").limit(START_SAMPLE).collect()], dtype=float), axis=0)
+    k = max(1, min(k, len(known)))
+    starts = np.stack([_plus_plus(known, k, np.random.default_rng(seed + i)) for i in range(n_init)])
+    moving, cost = np.ones(n_init, dtype=bool), np.full(n_init, np.inf)
+
+    def step(at: np.ndarray) -> pd.DataFrame:
+        here = starts[at]
+
+        def add(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            count, sums, far = np.zeros((len(at), k)), np.zeros(here.shape), np.zeros((len(at), k))
+            for b in it:
+                x = np.stack(b["v"].to_numpy())
+                x2 = (x * x).sum(1)
+                for i, c in enumerate(here):
+                    d = (c * c).sum(1)[None, :] - 2 * x @ c.T
+                    own = d.argmin(1)
+                    count[i] += np.bincount(own, minlength=k)
+                    far[i] += np.bincount(own, weights=np.maximum(d[np.arange(len(x)), own] + x2, 0), minlength=k)
+                    sums[i] += (own[None, :] == np.arange(k)[:, None]).astype(float) @ x
+            yield pd.DataFrame({"start": np.repeat(at, k), "centre": np.tile(np.arange(k), len(at)), "n": count.ravel(), "far": far.ravel(), "total": list(sums.reshape(-1, here.shape[2]))})
+        size = here.shape[2]
+        got = rows.mapInPandas(add, "start bigint, centre bigint, n double, far double, total array<double>").groupBy("start", "centre").agg(
+            F.sum("n").alias("n"), F.sum("far").alias("far"), F.array(*[F.sum(F.col("total")[i]) for i in range(size)]).alias("total"))
+        return got.orderBy("start", "centre").toPandas()
+
+    for _ in range(max_iter):
+        at = np.flatnonzero(moving)
+        if not len(at):
+            break
+        got = step(at)
+        count = got["n"].to_numpy().reshape(len(at), k, 1)
+        new = np.where(count > 0, np.stack(got["total"].to_numpy()).reshape(len(at), k, -1) / np.maximum(count, 1), starts[at])
+        cost[at] = got["far"].to_numpy().reshape(len(at), k).sum(1)
+        moving[at] = np.abs(new - starts[at]).max((1, 2)) > tolerance
+        # the cost is that of the centres it was measured with, so a resting start keeps them
+        starts[at[moving[at]]] = new[moving[at]]
+    best = int(cost.argmin())
+    return Clusters(starts[best], float(cost[best]))
+
+
+def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows, each drawn with a chance in proportion to its squared distance from those before."""
+    picks = [int(rng.integers(len(x)))]
+    best = ((x - x[picks[0]]) ** 2).sum(1)
+    while len(picks) < k:
+        picks.append(int(rng.choice(len(x), p=best / best.sum())) if best.sum() > 0 else int(rng.integers(len(x))))
+        best = np.minimum(best, ((x - x[picks[-1]]) ** 2).sum(1))
+    return x[picks]
+
+
+def _centers(spark: SparkSession, model: Clusters) -> DataFrame:
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.centers)], "cluster_id int, center array<double>")
 
 
 def _nearest(centers: DataFrame, top_k: int, vector: str) -> Column:
@@ -96,10 +172,10 @@ def assign_nearest_centroid(vectors: DataFrame, centers: DataFrame, top_k: int =
 def fit_cluster_router(train: DataFrame, vectors: DataFrame, n_clusters: int = 32, n_init: int = 10, seed: int = 42,
                        keys: Sequence[str] = ("dataset_id", "record_index")) -> RouterModel:
     """K-Means on unit vectors of the training prompts, then models ranked per cluster by mean score."""
-    prompts = _unit(vectors.join(train.select(*keys).distinct(), list(keys), "left_semi"), "embedding")
-    km = _fit_kmeans(prompts, n_clusters, n_init, seed, "_u")
+    prompts = stable(_unit(vectors.join(train.select(*keys).distinct(), list(keys), "left_semi"), "embedding").select(*keys, "_u"))
+    km = fit_kmeans(prompts, n_clusters, n_init, seed, "_u")
     centers = _centers(train.sparkSession, km)
-    inside = km.transform(prompts.withColumn("features", array_to_vector("_u"))).select(*keys, F.col("prediction").alias("cluster_id"))
+    inside = stable(km.assign(prompts, "_u").select(*keys, "cluster_id"))
     return RouterModel(centers, rank_models_in_cluster(train.join(inside, list(keys))))
 
 
@@ -158,11 +234,9 @@ def route(queries: DataFrame, model: RouterModel, keys: Sequence[str] = ("datase
 
 def assign_clusters_global(train: DataFrame, test: DataFrame, n_clusters: int = 50, seed: int = 42,
                            vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """One K-Means over all training prompts; both sides get ``cluster_id``."""
-    km = _fit_kmeans(train, n_clusters, 1, seed, vector)
-    def predict(df):
-        return km.transform(df.withColumn("features", array_to_vector(F.col(vector)))).drop("features").withColumnRenamed("prediction", "cluster_id")
-    return predict(train), predict(test)
+    """One K-Means over all training prompts; both sides get ``cluster_id`` (null without a vector)."""
+    km = fit_kmeans(train, n_clusters, 1, seed, vector)
+    return km.assign(train, vector), km.assign(test, vector)
 
 
 # fixed values: (effect weight, cost weight) per scenario

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from routelab.operators import cascade as C
@@ -49,10 +50,19 @@ def _(spark, d):
     return rounded(R.route_by_cluster(V.prompt_vectors(spark, d).drop("cluster_id"), model, top_k=3, max_router=2), 6)
 
 
-@query("fit_cluster_router")
+@query("fit_cluster_router", "prompt_vectors", """ SELECT CAST(count(*) AS BIGINT) AS n_routed, 8 AS n_clusters, true AS ranks_whole, true AS nearer_than_the_mean, true AS models_known FROM prompt_vectors""")
 def _(spark, d):
-    m = R.fit_cluster_router(V.dense(spark, d), V.prompt_vectors(spark, d).drop("cluster_id"), n_clusters=8, n_init=2)
-    return rounded(R.route_by_cluster(V.prompt_vectors(spark, d).drop("cluster_id"), m), 6)
+    # what any right fit has: every prompt decided, whole rankings, and less distance to the centres than to the mean of all vectors
+    v = V.prompt_vectors(spark, d).drop("cluster_id")
+    m = R.fit_cluster_router(V.dense(spark, d), v, n_clusters=8, n_init=10)
+    routed = R.route_by_cluster(v, m).agg(F.count("*").alias("n_routed"), F.min(F.col("model_name").isin(V.MODELS)).alias("models_known"), L(1).alias("k"))
+    ranks = m.ranking.groupBy("cluster_id").agg((F.sort_array(F.collect_list("rank")) == F.array(*[L(i + 1) for i in range(len(V.MODELS))])).alias("ok")).agg(
+        F.count("*").cast("int").alias("n_clusters"), F.min("ok").alias("ranks_whole"), L(1).alias("k"))
+    unit = R._unit(v, "embedding").select(F.posexplode("_u").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
+    mean = unit.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("center")).withColumn("cluster_id", L(0))
+    far = [R.assign_nearest_centroid(v, c).agg(F.avg("distance").alias(n), L(1).alias("k")) for c, n in ((m.centers, "own"), (mean, "all"))]
+    return routed.join(ranks, "k").join(far[0].join(far[1], "k").select((F.col("own") < F.col("all")).alias("nearer_than_the_mean"), "k"), "k").select(
+        "n_routed", "n_clusters", "ranks_whole", "nearer_than_the_mean", "models_known")
 
 
 _BALANCE = """, a AS (SELECT label % 8 AS cluster_id, model_name, score, CAST(round(cost * 1e9) AS BIGINT) AS c FROM dense),
@@ -76,11 +86,17 @@ def _halves(spark, d):
     return v.where(seeded_hash(3, "prompt") >= "4"), v.where(seeded_hash(3, "prompt") < "4")
 
 
-@query("assign_clusters_global")
+@query("assign_clusters_global", "prompt_vectors", """ SELECT CASE WHEN md5('3|' || prompt) >= '4' THEN 'train' ELSE 'test' END AS side, CAST(count(*) AS BIGINT) AS n, true AS in_range, true AS nearest FROM prompt_vectors GROUP BY 1""")
 def _(spark, d):
     tr, te = _halves(spark, d)
     a, b = R.assign_clusters_global(tr, te, 10)
-    return a.withColumn("side", L("train")).unionByName(b.withColumn("side", L("test"))).groupBy("side", "cluster_id").agg(F.count("*").alias("n"))
+    both = a.withColumn("side", L("train")).unionByName(b.withColumn("side", L("test")))
+    # a training centre is the mean of its rows: no row of a cluster lies nearer to the mean of another
+    long = a.select("cluster_id", F.posexplode("embedding").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = long.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("center")).orderBy("cluster_id").collect()
+    fit = R.Clusters(np.array([r["center"] for r in means]), 0.0)
+    again = fit.assign(both, "embedding", "at").withColumn("again", F.element_at(F.array(*[L(r["cluster_id"]) for r in means]), F.col("at") + 1))
+    return again.groupBy("side").agg(F.count("*").alias("n"), F.min(F.col("cluster_id").between(0, 9)).alias("in_range"), (F.avg((F.col("again") == F.col("cluster_id")).cast("int")) > 0.99).alias("nearest"))
 
 
 _KNN = """, v AS (SELECT record_index AS id, CAST(embedding AS DOUBLE[]) AS e, md5('3|' || prompt) < '4' AS is_test FROM prompt_vectors),
@@ -132,19 +148,32 @@ def _(spark, d):
     return rounded(R.cost_threshold_sweep(c))
 
 
-@query("linear_win_rate")
+@query("linear_win_rate", "dense prompt_vectors", """, w AS (SELECT record_index, max(score) FILTER (model_name = 'm7') AS a, max(score) FILTER (model_name = 'm2') AS b FROM dense GROUP BY 1),
+ p AS (SELECT a > b AS win FROM w JOIN prompt_vectors USING (record_index) WHERE a <> b)
+SELECT (SELECT count(*) FROM prompt_vectors) AS n, true AS in_range, true AS better_than_majority, (SELECT count(*) FROM p) AS n_decided""")
 def _(spark, d):
     from routelab.operators.shapes import pair_models
     vec = V.prompt_vectors(spark, d).drop("cluster_id")
-    m = R.linear_win_rate(pair_models(V.dense(spark, d), "m7", "m2", True), vec)
-    return R.win_rates(m, vec).select("dataset_id", "record_index", F.round("winrate", 4).alias("winrate"))
+    pairs = pair_models(V.dense(spark, d), "m7", "m2", True)
+    rates = R.win_rates(R.linear_win_rate(pairs, vec), vec)
+    win = (F.col("winner") == "model_a").cast("int")
+    known = pairs.where("winner <> 'tie'").join(rates, ["dataset_id", "prompt"]).agg(F.count("*").alias("n_decided"), F.avg(((F.col("winrate") >= 0.5).cast("int") == win).cast("int")).alias("right"),
+                                                                                     F.avg(win).alias("share"), L(1).alias("k"))
+    return rates.agg(F.count("*").alias("n"), F.min(F.col("winrate").between(0, 1)).alias("in_range"), L(1).alias("k")).join(known, "k").select(
+        "n", "in_range", (F.col("right") >= F.greatest("share", 1 - F.col("share"))).alias("better_than_majority"), "n_decided")
 
 
-@query("per_model_correctness")
+@query("per_model_correctness", "dense prompt_vectors", """ SELECT count(*) AS n, true AS in_range, true AS models_known, true AS better_than_best_single FROM prompt_vectors""")
 def _(spark, d):
     vec = V.prompt_vectors(spark, d).drop("cluster_id")
-    m = R.per_model_correctness(V.dense(spark, d).select("dataset_id", "prompt", "model_name", F.col("score").alias("label")), vec)
-    return R.route_by_correctness(m, vec, V.MODELS).select("dataset_id", "prompt", "model_name", F.round("probability", 4).alias("probability"))
+    facts = V.dense(spark, d)
+    m = R.per_model_correctness(facts.where("embedding is not null").select("dataset_id", "prompt", "model_name", F.col("score").alias("label")), vec)
+    chosen = R.route_by_correctness(m, vec, V.MODELS)
+    seen = facts.where("embedding is not null").select("dataset_id", "prompt", "model_name", "score")
+    got = chosen.join(seen, ["dataset_id", "prompt", "model_name"]).agg(F.count("*").alias("n"), F.min(F.col("probability").between(0, 1)).alias("in_range"),
+                                                                        F.min(F.col("model_name").isin(V.MODELS)).alias("models_known"), F.avg("score").alias("own"), L(1).alias("k"))
+    single = seen.groupBy("model_name").agg(F.avg("score").alias("s")).agg(F.max("s").alias("single"), L(1).alias("k"))
+    return got.join(single, "k").select("n", "in_range", "models_known", (F.col("own") > F.col("single")).alias("better_than_best_single"))
 
 
 @query("export_router", "dense", """ SELECT CAST(label % 8 AS BIGINT) AS cluster_id, model_name, round(avg(score), 9) AS mean_score, count(*) AS n, round(sum(CAST(round(cost * 1e9) AS BIGINT)) / 1e9 / count(*), 9) AS mean_cost,
@@ -168,10 +197,16 @@ def _(spark, d):
     return rounded(R.route(V.prompt_vectors(spark, d).drop("cluster_id"), R.load_router(spark, path)), 6)
 
 
-@query("project_embeddings")
+@query("project_embeddings", "prompt_vectors", """, x AS (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM prompt_vectors), v AS (SELECT i, var_pop(CAST(x AS DOUBLE)) AS v FROM x GROUP BY i)
+SELECT (SELECT count(*) FROM prompt_vectors) AS n, true AS ordered, true AS uncorrelated, true AS beats_every_axis, true AS within_total, round((SELECT sum(v) FROM v), 6) AS total_variance""")
 def _(spark, d):
-    p = R.project_embeddings(V.prompt_vectors(spark, d).drop("cluster_id"))
-    return p.select("record_index", F.round(F.abs(F.col("projection")[0]), 4).alias("x"), F.round(F.abs(F.col("projection")[1]), 4).alias("y"))
+    # the first component has the largest variance of all directions, the second is uncorrelated with it
+    v = V.prompt_vectors(spark, d).drop("cluster_id")
+    p = R.project_embeddings(v).select(F.col("projection")[0].alias("x"), F.col("projection")[1].alias("y"))
+    got = p.agg(F.count("*").alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.corr("x", "y").alias("c"), L(1).alias("k"))
+    axes = v.select(F.posexplode("embedding").alias("i", "e")).groupBy("i").agg(F.var_pop(F.col("e").cast("double")).alias("v")).agg(F.max("v").alias("axis"), F.sum("v").alias("total"), L(1).alias("k"))
+    return got.join(axes, "k").select("n", (F.col("vx") >= F.col("vy")).alias("ordered"), (F.abs("c") < 1e-6).alias("uncorrelated"), (F.col("vx") >= F.col("axis") - 1e-9).alias("beats_every_axis"),
+                                      (F.col("vx") + F.col("vy") <= F.col("total") + 1e-9).alias("within_total"), F.round("total", 6).alias("total_variance"))
 
 
 # cascades

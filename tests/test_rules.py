@@ -587,3 +587,20 @@ def test_answers_names_and_judgements(spark):
     df = spark.createDataFrame([({str(i + 1): t for i, t in enumerate(a)}, {str(i + 1): t for i, t in enumerate(b)}, e, w) for a, b, e, w in ideas], "steps map<string,string>, ref_steps map<string,string>, e double, w double")
     for r in scoring.score_idea_graph(df.withColumn("order", F.map_keys("steps")).withColumn("ref_order", F.map_keys("ref_steps"))).collect():
         assert (r.edge_similarity, r.text_similarity) == (pytest.approx(r.e), pytest.approx(r.w)) and r.score == pytest.approx(0.6 * r.e + 0.4 * r.w)
+
+
+def test_kmeans_of_all_starts(spark):
+    """Separated groups are found; the cost is that of the assignment; more starts never cost more; copies and missing vectors do no harm."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(0, 10, (5, 4))
+    rows = [(i, [float(v) for v in middle[i % 5] + rng.normal(0, 0.1, 4)]) for i in range(300)] + [(300, None)] + [(301 + i, [float(v) for v in middle[0]]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>")
+    one, ten = (routers.fit_kmeans(df, 5, n, 7) for n in (1, 10))
+    assert ten.cost <= one.cost + 1e-9
+    x = np.array([v for _, v in rows if v])
+    d = ((x[:, None, :] - ten.centers[None, :, :]) ** 2).sum(2)
+    assert ten.cost == pytest.approx(d.min(1).sum(), rel=1e-6)
+    got = {r.id: r.cluster_id for r in ten.assign(df, "embedding").collect()}
+    assert got[300] is None and [got[i] for i, v in rows if v] == d.argmin(1).tolist()
+    assert all(len({got[i] for i in range(g, 300, 5)}) == 1 for g in range(5)) and len(set(got.values())) == 6
+    assert len(routers.fit_kmeans(df.where("id > 300"), 5, 2).centers) == 1
