@@ -72,7 +72,7 @@ golden("score_outputs", ["dataset_id", "output", "answer", "payload"], {"predict
     ("aime2025", "{t} \\boxed{70}", "70", None, "70", 1), ("bbh", "42", "42", None, "42", 1), ("bbh", "{t}\nAnswer: valid", "valid", None, "valid", 1), ("finqa", "{t} \\boxed{12.3}", "12", None, "12.3", 1),
     ("kandk", "{t}\nCONCLUSION:\n(1) Ann is a knight", "(1) Ann is a knight", None, "(1) Ann is a knight", 1), ("arc-agi", "{t} [[1, 2], [3, 4]]", "[[[1,2],[3,4]]]", None, None, 1),
     ("korbench", "[[b a]] {t}", "[[a b]]", '{"question_type": "puzzle", "rule_id": "3", "idx": "1"}', "[[ba]]", 1), ("korbench", "[[b c]]", "[[a b]]", '{"question_type": "puzzle", "rule_id": "3", "idx": "1"}', "[[bc]]", 0),
-    ("sgibench-deepresearch", "no tag {v}", "0.2{v}", '{"parsed": "0.2{v}"}', None, 1), ("sgibench-deepresearch", "no tag {v}", "0.25", None, None, 0),
+    ("sgibench-deepresearch", "no tag {v}", "0.2{v}", '{"parsed": "0.2{v}"}', "no tag {v}", 1), ("sgibench-deepresearch", "<answer>{v}</answer> {t}", "0.25", None, "{v}", 0),
     ("humaneval", "{t}", "", '{"tests": [{"pass": true, "returncode": 0, "runtime": 0.1}, {"pass": true}]}', None, 1), ("mbpp", "{t}", "", '{"tests": [{"pass": true}, {"pass": false}]}', None, 0),
     ("livecodebench", "{t}", "", '{"tests": []}', None, 0), ("simpleqa", "{t}", "x", '{"reply": "A"}', "A", 1), ("simpleqa", "A {t}", "x", '{"reply": "B: wrong"}', "B", 0), ("simpleqa", "A", "x", None, "C", 0),
     ("hle", "{t}", "x", '{"reply": "correct: yes"}', None, 1), ("frontierscience", "{t}", "x", '{"reply": "<result><grade>CORRECT</grade></result>"}', None, 1),

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,10 +39,10 @@ def _stamp(path: Column, mtime: Column) -> Column:
 
 @dataclass
 class RunFiles:
-    """The files of one scan: ``runs`` (a row per good file), ``rejects`` (path, reason, detail of the others) and ``counts``, filled once the scan has run."""
+    """The files of one scan: ``runs`` (a row per good file), ``rejects`` (path, reason, detail of the others) and ``counts`` (of all files, good ones, each reason)."""
     runs: DataFrame
     rejects: DataFrame
-    counts: Observation
+    counts: dict[str, int]
 
 
 # reasons of a reject, the first that fits
@@ -52,17 +52,17 @@ REASONS = ["unreadable", "no_model", "no_dataset", "no_records"]
 def scan_run_files(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType = RUN_SCHEMA) -> RunFiles:
     """Reads run files once and tells good ones from rejects, which are kept with their reason instead of being dropped.
 
-    The scan is checkpointed, so both outputs come from the same reading of the files. ``counts.get`` has the number of files, of good ones and of each reason. A
-    file of several reasons is listed under the first of ``REASONS``; a file without records is a reject, an empty list of records is not.
+    The scan is checkpointed, so both outputs and the counts come from one reading of the files (an observation would count on the way, but its listener
+    keeps fitted models of the session from being sent to tasks). A file of several reasons is listed under the first of ``REASONS``; a file without records is a reject, an empty list of records is not.
     """
     raw = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option(
         "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     blank = lambda c: F.nullif(F.trim(F.col(c)), L("")).isNull()
     reason = (F.when(F.col("_bad").isNotNull(), "unreadable").when(blank("model_name"), "no_model").when(blank("dataset_name"), "no_dataset").when(F.col("records").isNull(), "no_records"))
     seen = raw.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("_mtime"), reason.alias("reason"))
-    counts = Observation("run files")
+    rows = stable(seen)
     each = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
-    rows = stable(seen.observe(counts, F.count("*").alias("files"), F.count_if(F.col("reason").isNull()).alias("good"), *each))
+    counts = rows.agg(F.count("*").alias("files"), F.count_if(F.col("reason").isNull()).alias("good"), *each).first().asDict()
     good = rows.where("reason is null").withColumn("run_ts", _stamp(F.col("path"), F.col("_mtime"))).withColumnRenamed("dataset_name", "dataset_id").drop("_bad", "_mtime", "reason")
     return RunFiles(good, rows.where("reason is not null").select("path", "reason", F.left("_bad", L(200)).alias("detail")), counts)
 

@@ -461,7 +461,7 @@ def test_rejected_run_files(spark, tmp_path):
     scan = runs.scan_run_files(spark, str(tmp_path))
     got = {r.path.rsplit("/", 1)[1]: r.reason for r in scan.rejects.collect()}
     assert got == {"cut.json": "unreadable", "text.json": "unreadable", "typed.json": "unreadable", "nomodel.json": "no_model", "nodata.json": "no_dataset", "norec.json": "no_records", "both.json": "no_model"}
-    assert scan.counts.get == {"files": 9, "good": 2, "unreadable": 3, "no_model": 2, "no_dataset": 1, "no_records": 1}
+    assert scan.counts == {"files": 9, "good": 2, "unreadable": 3, "no_model": 2, "no_dataset": 1, "no_records": 1}
     assert sorted(scan.runs.columns) == sorted(runs.read_run_files(spark, str(tmp_path)).columns)
     assert [r.record_index for r in runs.explode_records(scan.runs).collect()] == [1]
 
