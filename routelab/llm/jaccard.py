@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``threshold``), group_id (least id of the connected group).
 
     Null is the empty text. Texts without a word are linked to nothing (equal ones are still one class); texts of fewer words than the
-    n-gram are one gram. Repeated rows are copies. Null ids count as the least ids and stay null. An empty table gives an empty result.
+    n-gram are one gram. Repeated rows are copies. Null ids count as the least ids and stay null. A very long text is compared on all its n-grams, one row of its task.
+    An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     texts = read_text_column(docs, id_col, text_col).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     sketch = stable(_sketch(texts, words, bands_for(threshold, recall, rows), rows))

@@ -89,7 +89,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``size`` is the number of words (runs of other than ASCII white space), 0 for null. ``taken`` is a multiple of ``size``, but for one
     document of each source, which is cut at the word. A document without words is taken 0 times; a source without words has target 0.
     Null ids, null sources and repeated rows are documents like others. Blocks hold ``fan_in`` documents on average at the leaves and at
-    most ``fan_in`` above, whatever the source's size.
+    most ``fan_in`` above, whatever the source's size. A very long text counts with all its words; an empty table gives an empty result; other columns are
+    ignored.
     """
     slim = stable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"),
                               F.xxhash64(F.col(id_col), F.col(source_col), text_of(text_col)).alias("k")))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from routelab.llm import textbytes as tb
 from routelab.llm.common import held_out, text_of, written
+from routelab.llm.simple8b import slices
 from routelab.llm.toxicity import train_ids
 
 MAX_POSITIVES = 20_000
@@ -95,10 +96,17 @@ def features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def _slices(it: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about a megabyte of text, turned into Python bytes one slice at a time; memory that Arrow no longer uses goes back."""
+    for batch in it:
+        yield from ((b, [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]) for b in slices(batch, at, tb.CHUNK))
+        pa.default_memory_pool().release_unused()
+
+
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, shard hash and statistics of every document, written below the shared folder."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in tb.batches(it, 3):
+        for batch, texts in _slices(it, 3):
             x = features(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["doc_id", "held_out", "h", "x"])
     kind = docs.schema[id_col].dataType.simpleString()
@@ -273,7 +281,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     at = docs.columns.index(text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in tb.batches(it, at):
+        for batch, texts in _slices(it, at):
             if model is None:
                 yield batch
                 continue

@@ -160,8 +160,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A byte goes if a ``length``-byte string over it starts anywhere else too, in another document or in the same one, overlapping or not;
     strings are judged on the input. Null is the empty text; texts shorter than ``length`` lose nothing. Documents that share an id are
-    told apart by their text; a repeated row is a second document with the same text, so it loses all its windows. An empty table gives
-    an empty result. Null ids stay null.
+    told apart by their text; a repeated row is a second document with the same text, so it loses all its windows. A very long text is one
+    row of its tasks. An empty table gives an empty result; other columns are ignored. Null ids stay null.
     """
     if not 0 < gram <= length - block:
         raise ValueError("gram and block must leave room in length")

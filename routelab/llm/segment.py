@@ -316,7 +316,8 @@ def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """doc_id, draw (1 is the best), ids, log_prob, perturbed, inclusion: up to ``draws`` distinct segmentations of every whole text.
 
     An empty or null text has one, without pieces. What double precision cannot tell from impossible (a piece with less than 1e-16 of the
-    chances at its place) is not drawn. Repeated rows draw alike; a null id draws as id 0. An empty table gives an empty result.
+    chances at its place) is not drawn. Repeated rows draw alike; a null id draws as id 0. A very long text is one lattice, whose memory grows with its bytes.
+    An empty table gives an empty result; other columns are ignored.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

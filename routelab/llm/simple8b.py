@@ -311,7 +311,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
     """Encode every text and write segment files in ascending id order under ``path``.
 
     Null is the empty text and has only the end id. Null ids come first, as the smallest 64-bit number; rows with one id go by the text's
-    hash. Texts move once, to their range of ids; each task then encodes its rows in order and writes full segments as it goes.
+    hash. Texts move once, to their range of ids; each task then encodes its rows in order and writes full segments as it goes. A very long text is
+    one document of its segment, which is then larger than ``segment_ids``. An empty table writes an empty set of files; other columns are ignored.
     """
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +364,8 @@ def _null_ids(rows: DataFrame) -> DataFrame:
 def document_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 of every document in the files.
 
-    A segment's ids are decoded in its task; starts inside it come from its counts, starts of segments from a running sum of their totals.
+    A segment's ids are decoded in its task; starts inside it come from its counts, starts of segments from a running sum of their totals. Files
+    without documents give an empty result; null ids are null again; repeated ids each have their row.
     """
     keys = ["first_id", "first_tie", "seq"]
 

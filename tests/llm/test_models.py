@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, folds, ties and empty tables."""
 
+import math
 import random
 import zlib
 
@@ -116,3 +117,69 @@ def test_span_hashes():
     h = tb.Sums(buf, tb.byte_values()).of(b, e)
     assert d.tolist() == [0, 0, 1] and len(set(h.tolist())) == 1
     assert len(set(tb.Sums(buf, tb.byte_values()).of(b, e - 1).tolist()) | set(h.tolist())) == 2
+
+
+def test_ftrl_equals_plain_python():
+    """Weights of the vectorised learner against a coordinate at a time."""
+    r = np.random.default_rng(6)
+    rows = [(np.concatenate([[0], np.unique(r.integers(1, 40, 8))]), int(r.random() < 0.4)) for _ in range(120)]
+    alpha, beta, l1, l2, epochs = 0.7, 1.0, 0.6, 0.5, 3
+    z, n = {}, {}
+
+    def weight(i, pull):
+        x = z.get(i, 0.0)
+        return 0.0 if abs(x) <= pull else -(x - math.copysign(pull, x)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+    for _ in range(epochs):
+        for ids, y in rows:
+            w = {int(i): weight(int(i), 0.0 if i == 0 else l1) for i in ids}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, x in w.items():
+                new = n.get(i, 0.0) + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(new) - math.sqrt(n.get(i, 0.0))) / alpha * x
+                n[i] = new
+    want = {i: weight(i, 0.0 if i == 0 else l1) for i in z}
+    want = {i: w for i, w in want.items() if w}
+    got = toxicity.ftrl(rows, 8, alpha, beta, l1, l2, epochs)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want) and len(got) < 41
+
+
+def test_descent_equals_plain_python():
+    """Adam on the non-negative risk, a row at a time; the prior is high enough that both branches of the bound occur."""
+    r = np.random.default_rng(7)
+    at_p, at_u = r.integers(0, 3, (15, 2)) + np.array([0, 3]), r.integers(0, 3, (25, 2)) + np.array([0, 3])
+    prior, steps, rate, l2, size = 0.8, 60, 0.3, 1e-3, 6
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    w, b, m, v, branches = [0.0] * size, 0.0, [0.0] * (size + 1), [0.0] * (size + 1), set()
+    for t in range(1, steps + 1):
+        fp, fu = [sum(w[c] for c in row) + b for row in at_p], [sum(w[c] for c in row) + b for row in at_u]
+        negative = sum(math.log1p(math.exp(f)) for f in fu) / len(fu) - prior * sum(math.log1p(math.exp(f)) for f in fp) / len(fp)
+        branches.add(negative >= 0)
+        g = [l2 * x for x in w] + [0.0]
+        for rows, f, push in ((at_p, fp, lambda x: prior * (sig(x) - 1) - (prior * sig(x) if negative >= 0 else 0)), (at_u, fu, lambda x: sig(x) if negative >= 0 else 0.0)):
+            for row, x in zip(rows, f):
+                for c in [*row, size]:
+                    g[c] += push(x) / len(rows)
+        for c in range(size + 1):
+            m[c], v[c] = 0.9 * m[c] + 0.1 * g[c], 0.999 * v[c] + 0.001 * g[c] ** 2
+            step = rate * (m[c] / (1 - 0.9 ** t)) / (math.sqrt(v[c] / (1 - 0.999 ** t)) + 1e-9)
+            if c < size:
+                w[c] -= step
+            else:
+                b -= step
+    got = quality.descend(at_p, at_u, size, prior, steps, rate, l2)
+    assert branches == {True, False}
+    assert got[0] == pytest.approx(w, abs=1e-6) and got[1] == pytest.approx(b, abs=1e-6)
+
+
+def test_edges_cover_all_rows(spark):
+    """Quantile edges from bucket counts, next to exact quantiles; negative values and zeros keep their order."""
+    r = np.random.default_rng(3)
+    x = np.column_stack([r.normal(0, 5, 4000), r.random(4000), np.repeat([0.0, 1.0], 2000)]).astype(np.float32)
+    table = spark.createDataFrame([(row.tolist(),) for row in x], "x array<float>")
+    got = quality.corpus_edges(table, 16)
+    for i in range(2):
+        at = np.searchsorted(np.sort(x[:, i]), got[i]) / 4000
+        assert np.abs(at - np.arange(1, 16) / 16).max() < 0.02
+    assert got[2][0] > 0 and got[2][0] <= 1 and got[2][-1] > 1
+    b = quality._buckets(np.array([-3.0, -0.5, -0.0, 0.0, 1e-9, 2.0], dtype=np.float32))
+    assert (np.diff(b) >= 0).all() and b[2] == b[3]
