@@ -105,7 +105,7 @@ def _(spark, d):
 
 
 golden("qa_normalize_choice", ["x"], TXT, [("{t} (A) or (b)", "(b)"), ("plain text", "")], _one(lambda c: T.qa_normalize(c, "mc")))
-golden("choice_letter", ["x"], TXT, [("{t}\nAnswer: B\nanswer:$C", "C"), ("{t}\nFinal Answer\n\n D", "D"), ("{t} \\boxed{A{v}}", "A{v}"), (" B", "B"), ("{t} nothing", "")],
+golden("choice_letter", ["x"], TXT, [("{t}\nAnswer: B\nanswer:$C", "C"), ("{t}\nFinal Answer\n\n D", "D"), ("{t} \\boxed{A{v}}", "A{v}"), (" B", "B"), ("{t} names no letter", "")],
        _one(lambda c: T.choice_letter(c, "A-D")))
 golden("boxed_last", ["x"], TXT, [("{t} \\boxed{1} \\boxed{a{b}{c{v}}} }", "a{b}{c{v}}"), ("{t} \\boxed{open", None), ("no box {v}", None), ("{t}\\boxed 5", None)], _one(T.boxed))
 golden("boxed_first", ["x"], TXT, [("\\boxed{ x^{2} } {t} \\boxed{3}", "x^{2}"), ("{v} \\boxed{open", "open"), ("no box", "")], _one(lambda c: T.boxed(c, "first")))

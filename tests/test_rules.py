@@ -574,6 +574,21 @@ def test_text_rules(spark, name, rows):
     assert [g for g, _ in got] == [w for _, w in got]
 
 
+def test_choice_letter_of_every_form_with_a_short_text(spark, tmp_path):
+    """A document of one or two characters: every form of the query gives what its SQL says, and the rule itself keeps answers of ten characters as they are."""
+    import duckdb
+
+    from routelab.functions import text
+    from routelab.plans import catalog
+    catalog.load()
+    assert [g for g, _ in _texts(spark, [("A. nothing", "A. nothing"), (" C", "C")], lambda df: text.choice_letter(df["x"]))] == ["A. nothing", "C"]
+    spark.createDataFrame([(i, "A." if i % 2 else "") for i in range(10)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["choice_letter"]).fetchall()
+    assert sorted(tuple(r) for r in catalog.QUERIES["choice_letter"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_answers_names_and_judgements(spark):
     from routelab.functions import text
     from routelab.operators import scoring
