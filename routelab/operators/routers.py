@@ -280,10 +280,17 @@ def win_rates(model: PipelineModel, prompts: DataFrame) -> DataFrame:
     return d.withColumn("winrate", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def _with_one(vector: str) -> Column:
+    return array_to_vector(F.concat(F.array(L(1.0)), F.col(vector).cast("array<double>")))
+
+
 def per_model_correctness(labels: DataFrame, vectors: DataFrame, keys: Sequence[str] = ("dataset_id", "prompt")) -> PipelineModel:
-    """Logistic regression on model one-hot x prompt vector: one linear rule per model in one fit. A model without labels has zero weights."""
-    d = labels.join(vectors.select(*keys, "embedding"), list(keys)).withColumn("vec", array_to_vector("embedding"))
-    size = len(vectors.select("embedding").where("embedding is not null").first()[0])
+    """Logistic regression on model one-hot x (1, prompt vector): one linear rule per model, with an offset of its own, in one fit. A model without labels has zero weights.
+
+    Without the offsets every model has the same base rate, and prompts whose vectors say little are sent to poor models.
+    """
+    d = labels.join(vectors.select(*keys, "embedding"), list(keys)).withColumn("vec", _with_one("embedding"))
+    size = 1 + len(vectors.select("embedding").where("embedding is not null").first()[0])
     stages = [VectorSizeHint(inputCol="vec", size=size, handleInvalid="error"), VectorAssembler(inputCols=["vec"], outputCol="va"),
               StringIndexer(inputCol="model_name", outputCol="mi", stringOrderType="alphabetAsc", handleInvalid="keep"),
               OneHotEncoder(inputCol="mi", outputCol="mo", dropLast=False), Interaction(inputCols=["mo", "va"], outputCol="features"),
@@ -296,8 +303,8 @@ def route_by_correctness(model: PipelineModel, prompts: DataFrame, models: Seque
 
     The intercept alone scores a model that the fit has not seen, and every model of a prompt without a vector (so the first name wins).
     """
-    none = F.array_repeat(L(0.0), model.stages[0].getSize())
-    d = prompts.withColumn("model_name", F.explode(F.array(*[L(m) for m in models]))).withColumn("vec", array_to_vector(F.coalesce(F.col("embedding").cast("array<double>"), none)))
+    none = array_to_vector(F.array_repeat(L(0.0), model.stages[0].getSize()))
+    d = prompts.withColumn("model_name", F.explode(F.array(*[L(m) for m in models]))).withColumn("vec", F.when(F.col("embedding").isNull(), none).otherwise(_with_one("embedding")))
     p = model.transform(d).withColumn("p", vector_to_array("probability")[1])
     return p.groupBy(*keys).agg(F.min_by(F.struct("model_name", F.col("p").alias("probability")), best_first("p")).alias("b")).select(*keys, "b.*")
 

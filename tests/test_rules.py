@@ -382,6 +382,16 @@ def test_unseen_models_and_missing_vectors_are_scored(spark):
     assert {r.prompt: r.model_name for r in routers.route_by_correctness(m, ask, ["new"]).collect()} == {"x": "new", "none": "new"}
 
 
+def test_models_keep_their_base_rates(spark):
+    """Vectors that say nothing: the model that is right more often is chosen, whatever the vector."""
+    rng = random.Random(8)
+    rows = [("d", f"p{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(400)]
+    vec = spark.createDataFrame(rows, "dataset_id string, prompt string, embedding array<double>")
+    lab = spark.createDataFrame([(d, p, m, float(rng.random() < r)) for d, p, _ in rows for m, r in (("a", 0.1), ("b", 0.9))], "dataset_id string, prompt string, model_name string, label double")
+    m = routers.per_model_correctness(lab, vec)
+    assert {r.model_name for r in routers.route_by_correctness(m, vec, ["a", "b"]).collect()} == {"b"}
+
+
 def test_cascade_trie_equals_the_search_by_orders(spark):
     """Full pools go through the trie; the search by orders, which keeps a row per order and sample, gives the same answer at every budget."""
     for seed, models, grid, budget, depth in ((1, "abcd", 5, 0.06, 3), (2, "abc", 6, 0.02, 2), (3, "abcde", 3, 0.02, 1), (3, "abcde", 3, 0.5, 3)):
