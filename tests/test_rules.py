@@ -1,5 +1,6 @@
 """Rules that the large queries do not pin down: small fixtures, brute force, invariants and plans."""
 
+import hashlib
 import itertools
 import json
 import random
@@ -382,6 +383,21 @@ def test_unseen_models_and_missing_vectors_are_scored(spark):
     assert {r.prompt: r.model_name for r in routers.route_by_correctness(m, ask, ["new"]).collect()} == {"x": "new", "none": "new"}
 
 
+def test_digest_of_prompts_is_that_of_the_text(spark):
+    """Missing rules, shots and questions included; long lists are never put into a row per item."""
+    items = spark.createDataFrame([(i, i % 5 if i % 7 else None, None if i % 11 == 3 else f"q\u00e9 {i % 20}", {"a": i}) for i in range(60)], "item_id bigint, rule_id bigint, question string, extra map<string,bigint>")
+    rules = spark.createDataFrame([(0, "zero"), (1, "one"), (2, None), (3, "three"), (3, "again"), (None, "none")], "rule_id bigint, rule_content string")
+    shots = spark.createDataFrame([(r, n, f"ask {n}", None if n == 4 else f"\u00fc {n}") for r in (0, 2, 3, None) for n in (5, 3, 4, 1)], "rule_id bigint, shot_no bigint, question string, answer string")
+    for most in (None, 2):
+        want = rows(shapes.join_rule_and_fewshot(items, rules, shots, most), "item_id", "rule_id", F.md5("formatted"))
+        assert rows(shapes.digest_rule_and_fewshot(items, rules, shots, most), "item_id", "rule_id", "formatted_md5") == want
+    many = spark.range(20_000).select(F.lit(1).cast("bigint").alias("rule_id"), F.col("id").alias("shot_no"), F.repeat(F.lit("x"), 50).alias("question"), F.lit("y").alias("answer"))
+    asked = spark.range(20_000).select(F.col("id").alias("item_id"), F.lit(1).cast("bigint").alias("rule_id"), F.col("id").cast("string").alias("question"))
+    text = "one\n" + "\n".join(["x" * 50 + "\ny"] * 20_000) + "\n"
+    got = {r.item_id: r.formatted_md5 for r in shapes.digest_rule_and_fewshot(asked, rules, many).collect()}
+    assert len(got) == 20_000 and all(got[i] == hashlib.md5(f"{text}{i}".encode()).hexdigest() for i in (0, 7, 19_999))
+
+
 def test_models_keep_their_base_rates(spark):
     """Vectors that say nothing: the model that is right more often is chosen, whatever the vector."""
     rng = random.Random(8)
