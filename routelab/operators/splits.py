@@ -35,6 +35,15 @@ def split_by_prompt(records: DataFrame, train_ratio: float = 0.8, seed: int = 42
     return join_null_safe(records, flags, ["dataset_id", "prompt"])
 
 
+def flag_prompts(prompts: DataFrame, train_ratio: float = 0.8, seed: int = 42, ood_datasets: Sequence[str] = ()) -> DataFrame:
+    """The ``is_train`` of ``split_by_prompt`` for a table with one row per prompt: a rank, no join."""
+    if not 0.0 < train_ratio < 1.0:
+        raise ValueError("train_ratio must lie strictly between 0 and 1")
+    ranked = shuffled_rank(prompts, ["dataset_id"], ["prompt"], seed, "_rn", hash_keys=["dataset_id", "prompt"], total="_n")
+    ood = F.col("dataset_id").isin(list(ood_datasets)) if ood_datasets else F.lit(False)
+    return ranked.withColumn("is_train", ~ood & (F.col("_rn") <= _cut(train_ratio, F.col("_n")))).drop("_rn", "_n")
+
+
 def split_by_record(records: DataFrame, train_ratio: float = 0.8, seed: int = 42,
                     keys: Sequence[str] = ("split", "record_index", "model_name")) -> DataFrame:
     """Row-level split inside each dataset; ``keys`` identify a row of a dataset."""

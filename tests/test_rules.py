@@ -418,6 +418,24 @@ def test_idea_graph_binds_its_steps(spark):
     assert got._jdf.queryExecution().analyzed().toString().count("map_keys(steps") <= 2
 
 
+def test_pairs_read_their_records_once(spark):
+    """The split and the index are ranks over one row per prompt: the records are grouped once for all three outputs."""
+    r = spark.range(400).select((F.col("id") % 2).cast("string").alias("dataset_id"), F.concat(L("p"), F.col("id") % 100).alias("prompt"), (F.col("id") % 100).alias("record_index"),
+                                F.when(F.col("id") % 4 < 2, "s").otherwise("w").alias("model_name"), (F.col("id") % 3 / 2).alias("score"), L(0.1).alias("cost"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    counted = r.mapInPandas(count, r.schema)
+    train, test, index = shapes.to_pairs(counted, "s", "w", 0.7)
+    n = train.count() + test.count()
+    assert index.count() == n and seen.value == 400
+    flag = {(x.dataset_id, x.prompt): x.is_train for x in splits.split_by_prompt(r, 0.7).collect()}
+    assert all(flag[x.dataset_id, x.prompt] for x in train.collect()) and not any(flag[x.dataset_id, x.prompt] for x in test.collect())
+
+
 def test_models_keep_their_base_rates(spark):
     """Vectors that say nothing: the model that is right more often is chosen, whatever the vector."""
     rng = random.Random(8)
