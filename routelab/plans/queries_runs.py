@@ -31,11 +31,11 @@ _WP = """, p AS (SELECT *, dataset_id || '/' || split || '/' || model_name || '/
 
 @query("read_runs", "runs", f"""SELECT dataset_id, split, model_name, count(*) AS n, round(avg(score), 9) AS avg_score, round(sum({NANO}) / 1e9, 9) AS cost FROM runs GROUP BY ALL""")
 def _(spark, d):
-    # a nested document per file, of 10,000 orders of a run at most: the exchange format, written and read back by the reader
+    # a nested document per file, of 1,000,000 order keys of a run at most, so that the files are megabytes each: the exchange format, written and read back by the reader
     path = _dir(spark, "runfiles")
     rec = F.struct(F.col("record_index").alias("index"), F.col("prompt").alias("origin_query"), "prompt", "prompt_tokens", "completion_tokens", "cost", "score",
                    L("p").alias("prediction"), L("t").alias("ground_truth"))
-    V.runs(spark, d).groupBy("dataset_id", "split", "model_name", F.floor(F.col("record_index") / 10_000)).agg(F.collect_list(rec).alias("records"), F.max("demo").alias("demo")).select(
+    V.runs(spark, d).groupBy("dataset_id", "split", "model_name", F.floor(F.col("record_index") / 1_000_000)).agg(F.collect_list(rec).alias("records"), F.max("demo").alias("demo")).select(
         F.col("dataset_id").alias("dataset_name"), "split", "model_name", "demo", "records").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
     docs = R.read_runs(spark, path)
     from routelab.functions.money import sum_money

@@ -436,6 +436,19 @@ def test_pairs_read_their_records_once(spark):
     assert all(flag[x.dataset_id, x.prompt] for x in train.collect()) and not any(flag[x.dataset_id, x.prompt] for x in test.collect())
 
 
+def test_run_files_of_sparse_keys_are_few(spark, tmp_path, monkeypatch):
+    """Order keys with wide gaps: a run is a few files of many records, not a file for each of its orders."""
+    from routelab.plans import catalog, queries_runs
+    catalog.load()
+    o = spark.range(100).select((F.col("id") * 9_000).alias("o_orderkey"), L("1-URGENT").alias("o_orderpriority"), L("O").alias("o_orderstatus"))
+    o.write.parquet(str(tmp_path / "orders.parquet"))
+    o.select(F.col("o_orderkey").alias("l_orderkey"), L(8).cast("bigint").alias("l_suppkey"), L("2024-01-01").cast("date").alias("l_shipdate"), L(1).alias("l_linenumber"), L("N").alias("l_returnflag"),
+             L(0.08).alias("l_discount"), L(0.01).alias("l_tax"), L(2.0).alias("l_quantity"), L(100.0).alias("l_extendedprice")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(queries_runs, "_dir", lambda spark, name: str(tmp_path / name))
+    assert [(r.n, r.avg_score) for r in catalog.QUERIES["read_runs"](spark, str(tmp_path)).collect()] == [(100, 1.0)]
+    assert len(list((tmp_path / "runfiles").glob("*.json"))) == 1
+
+
 def test_models_keep_their_base_rates(spark):
     """Vectors that say nothing: the model that is right more often is chosen, whatever the vector."""
     rng = random.Random(8)
