@@ -179,10 +179,11 @@ def dealt_by(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def write_runs(records: DataFrame, path: str, run_ts: str, mode: str = "append") -> None:
     """Records as JSON lines per run folder, and the run headers as a table next to them.
 
-    Spark's commit protocol moves finished files into place; no run is packed into one row.
+    Spark's commit protocol moves finished files into place; no run is packed into one row. Files are compressed; as their rows are bounded, a run is still read by many tasks.
     """
     stamped = records.withColumn("run_ts", L(run_ts))
-    dealt_by(stamped, [*RUN_KEYS, "run_ts"]).write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("dataset_id", "split", "model_name", "run_ts").json(f"{path}/records")
+    dealt_by(stamped, [*RUN_KEYS, "run_ts"]).write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "gzip").partitionBy(
+        "dataset_id", "split", "model_name", "run_ts").json(f"{path}/records")
     run_aggregates(records).withColumn("run_ts", L(run_ts)).write.mode(mode).json(f"{path}/headers")
 
 

@@ -449,6 +449,18 @@ def test_run_files_of_sparse_keys_are_few(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "runfiles").glob("*.json"))) == 1
 
 
+def test_text_files_are_compressed(spark, tmp_path):
+    """Lines repeat their names; what is written is smaller than the text and reads back whole."""
+    df = spark.range(2000).select(L("d").alias("dataset_id"), L("s").alias("split"), L("m").alias("model_name"), F.col("id").alias("record_index"), L(1.0).alias("score"),
+                                  L(1).cast("bigint").alias("prompt_tokens"), L(1).cast("bigint").alias("completion_tokens"), L(0.1).alias("cost"))
+    runs.write_runs(df, str(tmp_path / "r"), "20250101_000000")
+    prompts.write_training_sets(df, str(tmp_path / "t"))
+    for sub in ("r/records", "t"):
+        files = [f for f in (tmp_path / sub).rglob("part-*") if f.is_file()]
+        assert files and all(f.name.endswith(".json.gz") for f in files)
+        assert spark.read.json(str(tmp_path / sub)).count() == 2000
+
+
 def test_models_keep_their_base_rates(spark):
     """Vectors that say nothing: the model that is right more often is chosen, whatever the vector."""
     rng = random.Random(8)
