@@ -51,8 +51,11 @@ def write_training_sets(df: DataFrame, path: str, fmt: str = "json", by: Sequenc
         w = w.partitionBy(*by)
     if fmt == "csv":
         w.option("header", True).option("escape", '"').csv(path)
-    elif fmt in ("json", "parquet"):
-        getattr(w, fmt)(path)
+    elif fmt == "json":
+        # names and keys repeat in every line
+        w.option("compression", "gzip").json(path)
+    elif fmt == "parquet":
+        w.parquet(path)
     else:
         raise ValueError(f"unknown format {fmt}")
 
