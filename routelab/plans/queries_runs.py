@@ -59,7 +59,7 @@ def _(spark, d):
     bad = scan.rejects.groupBy("reason").agg(F.count("*").alias("files"), L(None).cast("bigint").alias("records"), L(None).cast("bigint").alias("chars"))
     rows = R.explode_records(scan.runs).agg(F.count("*").alias("records"), F.sum(F.length("prompt")).alias("chars"))
     assert scan.counts["files"] == scan.counts["good"] + sum(scan.counts[r] for r in R.REASONS)
-    return bad.unionByName(rows.select(L("good").alias("reason"), L(scan.counts["good"]).cast("bigint").alias("files"), "records", "chars"))
+    return bad.unionByName(rows.select(L("good").alias("reason"), L(scan.counts["good"]).cast("bigint").alias("files"), "records", "chars").where("files > 0"))
 
 
 @query("filter_runs", "runs", """SELECT dataset_id, split, model_name, count(*) AS n FROM runs WHERE NOT demo AND dataset_id IN ('1-URGENT', '5-LOW') AND model_name IN ('m1', 'm2', 'm7') AND split <> 'P' GROUP BY ALL""")
