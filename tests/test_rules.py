@@ -140,6 +140,29 @@ def test_knn_equals_brute_force_with_a_third_of_copies(spark, pivots, block, chu
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("spread,block,bundle", [(1.0, 50, 300), (0.01, 50, 300), (1.0, 4096, 16384), (0.01, 7, 20)])
+def test_knn_queries_travel_once_per_bundle(spark, monkeypatch, spread, block, bundle):
+    """Where no bound excludes a cell a query is sent once per bundle of cells, and the partitions follow the rows."""
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(12, 16))
+    tr, te = (middle[rng.integers(0, 12, n)] * (spread < 1) + spread * rng.normal(size=(n, 16)) for n in (900, 60))
+    a = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(te)], "test_id long, embedding array<double>")
+    b = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(tr)], "train_id long, embedding array<double>")
+    sent, keep = [], neighbors.stable
+    monkeypatch.setattr(neighbors, "stable", lambda df: (sent.append(out := keep(df)), out)[1])
+    monkeypatch.setattr(neighbors, "TASK_BYTES", 4096, raising=False)
+    got = neighbors.knn_join(a, b, 5, block=block, bundle=bundle)
+    want = []
+    for i, q in enumerate(te):
+        d = np.sqrt(((tr - q) ** 2).sum(1))
+        want += [(i, k + 1, int(j)) for k, j in enumerate(np.argsort(d, kind="stable")[:5])]
+    assert rows(got, "test_id", "rank", "train_id") == sorted(want)
+    visits = next(x for x in sent if "test_id" in x.columns).count()
+    assert visits <= 60 * (90 if bundle == 20 else 10)
+    asked = [int(x.split(")")[0].split(",")[-1]) for x in plan(got).split("hashpartitioning(")[1:] if "REPARTITION_BY_NUM" in x.split("\n")[0]]
+    assert asked and min(asked) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_knn_with_fewer_rows_than_k(spark):
     a = spark.createDataFrame([(1, [0.0, 0.0])], "test_id long, embedding array<double>")
     b = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "train_id long, embedding array<double>")
