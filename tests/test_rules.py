@@ -484,6 +484,14 @@ def test_text_files_are_compressed(spark, tmp_path):
         assert spark.read.json(str(tmp_path / sub)).count() == 2000
 
 
+def test_idea_graph_deals_its_rows(spark, sf):
+    """One small file does not mean one task: the comparison runs wherever there are cores."""
+    from routelab.plans import catalog
+    catalog.load()
+    got = catalog.QUERIES["score_idea_graph"](spark, sf).select(F.spark_partition_id().alias("p")).distinct()
+    assert got.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_models_keep_their_base_rates(spark):
     """Vectors that say nothing: the model that is right more often is chosen, whatever the vector."""
     rng = random.Random(8)
