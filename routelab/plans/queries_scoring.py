@@ -172,12 +172,15 @@ golden("score_protocol_steps", ["output", "answer"], {"order_similarity": "DOUBL
  s AS (SELECT a.id, (least(a.n, b.n) - 1) / CAST(greatest(a.n, b.n) - 1 AS DOUBLE) AS e, len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) AS t FROM g a JOIN g b ON b.id = a.id - 1)
 SELECT id, round(e, 6) AS edge_similarity, round(t, 6) AS text_similarity, round(CAST(0.6 AS DOUBLE) * e + CAST(0.4 AS DOUBLE) * t, 6) AS score FROM s""")
 def _(spark, d):
-    # the comparison costs far more than the bytes of a row say, so the rows of few files are dealt to all tasks
-    parts = V.table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    # the comparison costs far more than the bytes of a row say, so the rows of few files are dealt to all tasks, by the key they meet on;
+    # unpacked they are many times as large as their file, too large to pass through the driver
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", "p_size", "p_brand")
     texts = F.array("p_name", "p_type", F.when(F.col("p_size") > 25, F.col("p_brand")))
     steps = F.map_from_entries(F.filter(F.transform(texts, lambda v, i: F.struct((i + 1).cast("string").alias("k"), v.alias("v"))), lambda x: x["v"].isNotNull()))
-    g = parts.select(F.col("p_partkey").alias("id"), steps.alias("steps"))
-    j = g.join(g.select((F.col("id") + 1).alias("id"), F.col("steps").alias("ref_steps")), "id").withColumn("order", F.map_keys("steps")).withColumn("ref_order", F.map_keys("ref_steps"))
+    g = parts.repartition(n, "id").select("id", steps.alias("steps"))
+    ref = parts.withColumn("id", F.col("id") + 1).repartition(n, "id").select("id", steps.alias("ref_steps"))
+    j = g.join(ref.hint("merge"), "id").withColumn("order", F.map_keys("steps")).withColumn("ref_order", F.map_keys("ref_steps"))
     return rounded(G.score_idea_graph(j).select("id", "edge_similarity", "text_similarity", "score"), 6)
 
 

@@ -492,6 +492,26 @@ def test_idea_graph_deals_its_rows(spark, sf):
     assert got.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_idea_graph_moves_its_rows_once(spark, sf):
+    """Both sides are dealt by the key they meet on, and none passes whole through the driver."""
+    from routelab.plans import catalog
+    catalog.load()
+    got = catalog.QUERIES["score_idea_graph"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in got and got.count("Exchange hashpartitioning") == 2
+
+
+def test_idea_graph_orders_its_edges(spark):
+    """Listed steps in any order, unknown and missing ones, named edges; edges follow the sorted keys."""
+    from routelab.operators import scoring
+    steps = "map('2', 'b', '10', 'c', '1', 'a')"
+    rows = {"array('2', '1', '10')": ["1-10", "10-2"], "array('7', '2', '1')": ["1-2"], "array('1-2', '2-7', '1-2')": ["1-2"], "array('7')": ["1-10", "10-2"], "array()": ["1-10", "10-2"]}
+    for order, want in rows.items():
+        got = spark.sql(f"select {steps} as steps, cast({order} as array<string>) as o").select(scoring._edges(F.col("steps"), F.col("o")).alias("e")).first().e
+        assert got == want, order
+    null = spark.sql(f"select {steps} as steps, array('2', null, '1') as o").select(scoring._edges(F.col("steps"), F.col("o")).alias("e")).first().e
+    assert null == ["1-10", "10-2"]
+
+
 def test_models_keep_their_base_rates(spark):
     """Vectors that say nothing: the model that is right more often is chosen, whatever the vector."""
     rng = random.Random(8)
