@@ -8,9 +8,10 @@ A search descends best-first by the upper bound, skips nodes whose interval miss
 takes the exact integer products in the leaves it reaches.
 
 The top level (at most ``CELLS`` centres from a bounded sample) deals all rows to cells, each with its own covering radius; a cell is cut into
-groups of bounded size (also when a third of all rows are one vector), and each group becomes one tree, one row of a written
-index. Anchors travel to the trees of the cells that their bounds cannot exclude, first to the nearest cell, then with the fifth-best score found there to
-the others. The index holds every row and the search is exact: recall is 1.
+pieces of bounded size (also when a third of all rows are one vector), pieces that lie near each other share a bundle of bounded size, and each bundle
+becomes one tree, one row of a written index. An anchor travels once to each bundle with a cell that its bounds cannot exclude, first to that of the nearest
+cell, then with the fifth-best score found there to the others: where vectors are spread evenly no bound excludes a cell, and an anchor's copies then count
+bundles and not cells. Anchors are routed some at a time, so that a task never holds all copies at once. The index holds every row and the search is exact: recall is 1.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import heapq
 import io
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,10 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelab.llm.common import stable, written
+from routelab.operators.neighbors import _bundles, _chain
 
 LEAF, FAN = 192, 32
 CELLS, ROWS_PER_CELL, SAMPLE = 1024, 2048, 4096
-GROUP_ROWS, CHUNK = 65_536, 65_536
+GROUP_ROWS, CHUNK = 65_536, 4096
+# cells' rows of a bundle; distances and copies that a task holds at once; tasks of a visit
+CELLS_PER_BUNDLE, DISTANCES, COPIES, TASKS = 8, 1 << 20, 1 << 16, 4096
 EXACT = 2.0 ** 53
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -189,6 +193,13 @@ def interval(a: np.ndarray, centres: np.ndarray, norms: np.ndarray, lift: np.nda
     return np.minimum(low, 2.0 ** 63 - 1024), np.maximum(high, -2.0 ** 63)
 
 
+def slices(batches: Iterable[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches cut to ``rows`` rows."""
+    for b in batches:
+        for at in range(0, len(b), max(1, rows)):
+            yield b.iloc[at:at + max(1, rows)]
+
+
 def scaled(values: pd.Series, scale: float, size: int) -> np.ndarray:
     """floor(scale * x) as whole doubles, shorter vectors filled up with zeros."""
     out = np.zeros((len(values), size))
@@ -222,25 +233,30 @@ class Forest:
         centres, norms, lift, top, size = self.centres, self.norms, self.lift, self.top, self.size
 
         def deal(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in it:
+            for b in slices(it, DISTANCES // len(centres)):
                 x = scaled(b["v"], scale, size)
                 sq = (x * x).sum(1)
                 d = np.sqrt(np.maximum(sq[:, None] + norms[None, :] - 2 * x @ centres.T, 0) + (np.sqrt(np.maximum(top - sq, 0))[:, None] - lift[None, :]) ** 2)
                 yield b.assign(cell=d.argmin(1).astype("int32"), d=d.min(1))
         cells = written(rows.mapInPandas(deal, "vec_id bigint, label bigint, v array<double>, cell int, d double"), "cells")
-        self.radius, self.slots = np.full(len(centres), -1.0), {}
+        self.radius, sizes = np.full(len(centres), -1.0), np.zeros(len(centres), dtype=np.int64)
         for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect():
-            self.radius[r["cell"]] = r["r"]
-            self.slots[r["cell"]] = -(-r["n"] // group_rows)
+            self.radius[r["cell"]], sizes[r["cell"]] = r["r"], r["n"]
+        self.cell_of, self.bundle_of = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if not n:
+            return
+        used = sizes.nonzero()[0]
+        # small tables are dealt to some tasks too
+        most = min(group_rows, max(rows_per_cell, min(CELLS_PER_BUNDLE * rows_per_cell, n // 16)))
+        self.cell_of, self.bundle_of = _bundles(sizes[used], _chain(np.column_stack([centres, lift])[used]), group_rows, most)
+        self.cell_of = used[self.cell_of]
 
         def plant(g: pd.DataFrame) -> pd.DataFrame:
             t = Tree.build(scaled(g["v"], scale, size), g["vec_id"].to_numpy(), g["label"].to_numpy(), leaf)
-            return pd.DataFrame({"cell": [g["cell"].iloc[0]], "slot": [g["slot"].iloc[0]], "tree": [t.dump()]})
-        slot = F.pmod(F.xxhash64("vec_id"), self._n_slots()).cast("int") if self.slots else F.lit(0)
-        self.trees = written(cells.withColumn("slot", slot).groupBy("cell", "slot").applyInPandas(plant, "cell int, slot int, tree binary"), "cover-trees")
-
-    def _n_slots(self) -> Column:
-        return F.create_map(*[F.lit(x) for c, s in self.slots.items() for x in (c, s)])[F.col("cell")].cast("bigint")
+            return pd.DataFrame({"bundle": [g["bundle"].iloc[0]], "tree": [t.dump()]})
+        begin, many = (F.create_map(*[F.lit(int(x)) for c in used for x in (c, of(self.cell_of == c))])[F.col("cell")] for of in (np.argmax, np.sum))
+        piece = (begin + F.pmod(F.xxhash64("vec_id"), many.cast("bigint"))).cast("int")
+        self.trees = written(cells.withColumn("bundle", F.get(F.array(*[F.lit(int(x)) for x in self.bundle_of]), piece)).groupBy("bundle").applyInPandas(plant, "bundle int, tree binary"), "cover-trees")
 
     @staticmethod
     def _spread(x: np.ndarray, k: int) -> np.ndarray:
@@ -256,46 +272,50 @@ class Forest:
     def visit(self, anchors: DataFrame, same: bool, k: int, chunks: int, nearest: bool | None) -> DataFrame:
         """anchor, window, score, vec_id: the k best of every tree for every window (``lows`` and ``highs``) of the anchors.
 
-        ``nearest`` True visits the cell of the nearest centre only, False all others, None all; cells whose bounds miss every window are left out.
+        ``nearest`` True visits the bundles of the nearest cell only, False all others, None all; bundles whose cells' bounds miss every window are left out.
         """
-        centres, norms, lift, radius, top, size, scale = self.centres, self.norms, self.lift, self.radius, self.top, self.size, self.scale
-        kinds = anchors.schema
-        if not self.slots:
+        size, scale, kinds = self.size, self.scale, anchors.schema
+        if not len(self.cell_of):
             return anchors.sparkSession.createDataFrame([], "anchor_id bigint, h bigint, at int, score bigint, vec_id bigint")
-
-        def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in it:
-                low, high = interval(scaled(b["v"], scale, size), centres, norms, lift, np.maximum(radius, 0), top)
-                open_ = np.zeros(low.shape, dtype=bool)
-                for i, (lo, hi) in enumerate(zip(b["lows"], b["highs"])):
-                    for a, z in zip(lo, hi):
-                        open_[i] |= (high[i] >= a) & (low[i] <= z)
-                open_ &= radius[None, :] >= 0
-                if nearest is not None:
-                    own = np.zeros_like(open_)
-                    own[np.arange(len(b)), np.where(radius[None, :] >= 0, high, -np.inf).argmax(1)] = True
-                    open_ &= own == nearest
-                at, cell = open_.nonzero()
-                yield b.iloc[at].assign(cell=cell.astype("int32"))
-        spread = anchors.mapInPandas(route, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", cell int")
-        spread = spread.withColumn("slot", F.explode(F.sequence(F.lit(0), (self._n_slots() - 1).cast("int")))).withColumn("chunk", F.pmod(F.xxhash64("anchor_id", "h"), F.lit(chunks)).cast("int"))
+        spread = anchors.mapInPandas(self.router(nearest), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", bundle int")
+        spread = spread.withColumn("chunk", F.pmod(F.xxhash64("anchor_id", "h"), F.lit(chunks)).cast("int"))
         trees = self.trees.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
         def look(trees: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
-            out = []
+            out = [np.zeros((0, 5), dtype=np.int64)]
             for data in trees["tree"] if len(mine) else []:
                 t = Tree.load(data)
                 step = max(1, min(512, (1 << 22) // max(1, len(t.radius))))
-                for s in range(0, len(mine), step):
-                    block = mine.iloc[s:s + step]
+                for block in slices([mine], step):
                     a = scaled(block["v"], scale, size)
                     low, high = t.bounds(a)
-                    for i, (me, h, label, lo, hi) in enumerate(zip(block["anchor_id"], block["h"], block["label"], block["lows"], block["highs"])):
-                        for w, got in enumerate(t.search(a[i], low[i], high[i], me, label, list(zip(lo.tolist(), hi.tolist())), same, k)):
-                            out += [(me, h, w, score, n) for score, n in got]
-            return pd.DataFrame(out, columns=["anchor_id", "h", "at", "score", "vec_id"])
-        keys = ["cell", "slot", "chunk"]
-        return trees.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(look, "anchor_id bigint, h bigint, at int, score bigint, vec_id bigint")
+                    got = [(me, h, w, score, n) for i, (me, h, label, lo, hi) in enumerate(zip(block["anchor_id"], block["h"], block["label"], block["lows"], block["highs"]))
+                           for w, best in enumerate(t.search(a[i], low[i], high[i], me, label, list(zip(lo.tolist(), hi.tolist())), same, k)) for score, n in best]
+                    out.append(np.array(got, dtype=np.int64).reshape(-1, 5))
+            return pd.DataFrame(np.concatenate(out), columns=["anchor_id", "h", "at", "score", "vec_id"])
+        keys, tasks = ["bundle", "chunk"], min(TASKS, (int(self.bundle_of[-1]) + 1) * chunks)
+        trees, spread = (side.repartition(tasks, *keys).groupBy(*keys) for side in (trees, spread))
+        return trees.cogroup(spread).applyInPandas(look, "anchor_id bigint, h bigint, at int, score bigint, vec_id bigint")
+
+    def router(self, nearest: bool | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """From anchors to a row for each bundle that they must visit, some anchors at a time."""
+        centres, norms, lift, radius, top, size, scale, cell_of = self.centres, self.norms, self.lift, self.radius, self.top, self.size, self.scale, self.cell_of
+        first = np.flatnonzero(np.diff(self.bundle_of, prepend=-1))
+
+        def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in slices(it, COPIES // max(len(centres), len(first))):
+                low, high = interval(scaled(b["v"], scale, size), centres, norms, lift, np.maximum(radius, 0), top)
+                open_ = np.zeros(low.shape, dtype=bool)
+                for i, (lo, hi) in enumerate(zip(b["lows"], b["highs"])):
+                    for a, z in zip(lo, hi):
+                        open_[i] |= (high[i] >= a) & (low[i] <= z)
+                met = np.logical_or.reduceat(open_[:, cell_of], first, axis=1)
+                if nearest is not None:
+                    own = np.where(radius[None, :] >= 0, high, -np.inf).argmax(1)
+                    met &= np.logical_or.reduceat(cell_of[None, :] == own[:, None], first, axis=1) == nearest
+                at, bundle = met.nonzero()
+                yield b.iloc[at].assign(bundle=bundle.astype("int32"))
+        return route
 
 
 def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", scale: float = 256.0, positives: int = 5,

@@ -11,6 +11,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,24 @@ def test_hard_negatives_without_pairs(spark):
     assert negatives.hard_negatives(_vectors(spark, [(1, 1, [1.0]), (2, 1, [1.0]), (3, 2, [-1.0])]), always).count() == 0
 
 
+def test_anchors_travel_per_bundle_and_some_at_a_time(spark, monkeypatch):
+    """Where no bound excludes a cell, an anchor's copies count bundles of cells, and no frame holds more than some anchors' copies."""
+    r = np.random.default_rng(11)
+    x = r.normal(0, 1, (1500, 24))
+    rows = [(i, int(r.integers(0, 4)), v) for i, v in enumerate((x / np.linalg.norm(x, axis=1)[:, None]).round(4).tolist())]
+    got = negatives.hard_negatives(_vectors(spark, rows), F.col("vec_id") % 10 == 0, rows_per_cell=8, leaf=8, chunk=60)
+    assert sorted(tuple(g) for g in got.collect()) == _mine(rows)
+    forest = negatives.Forest(negatives.usable_rows(_vectors(spark, rows), "vec_id", "label", "embedding"), 256.0, rows_per_cell=8)
+    trees = forest.trees.count()
+    assert (forest.radius >= 0).sum() >= 150 and 16 <= trees <= 50
+    anchors = pd.DataFrame([(i, 0, lab, np.array(v), np.array([-(1 << 63)]), np.array([(1 << 63) - 1])) for i, lab, v in rows[::5]], columns=["anchor_id", "h", "label", "v", "lows", "highs"])
+    monkeypatch.setattr(negatives, "COPIES", 2000)
+    sent = {near: list(forest.router(near)(iter([anchors]))) for near in (True, False, None)}
+    assert all(len(b) <= 2000 for frames in sent.values() for b in frames)
+    copies = {near: [k for b in frames for k in zip(b["anchor_id"].tolist(), b["bundle"].tolist())] for near, frames in sent.items()}
+    assert sorted(copies[None]) == sorted(copies[True] + copies[False]) == [(i, b) for i in range(0, 1500, 5) for b in range(trees)]
+
+
 def test_bounds_hold():
     """Every inner product below a node lies inside its interval; radii cover."""
     r = np.random.default_rng(9)
